@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, webp
+from . import bpe, language, packing, secrets, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,31 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(docs, secrets.scan(docs)), "doc_id")
 
 
+def _remainder(key: str, n: int) -> F.Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net, cuts = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, net, cuts)
+    return scored.select(
+        "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"),
+        F.col("toxic_predicted").alias("predicted"), F.col("toxic_flagged").alias("flagged"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    names, net = language.fit(docs)
+    found = language.predict(docs, names, net)
+    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(_table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_webp, op5_secrets, op10_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_webp, op5_secrets, op6_toxicity, op8_language, op10_packing)}
