@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, secrets, toxicity, webp
+from . import bpe, kdtree, language, packing, secrets, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return kdtree.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     names, net = language.fit(docs)
@@ -56,4 +61,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_webp, op5_secrets, op6_toxicity, op8_language, op10_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op10_packing)}
