@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)
+), r AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM g) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r
+), l AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
 OP7 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -21,4 +39,4 @@ QUALIFY row_number() OVER w <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7}
+    return {"op2_substrings": OP2, "op7_top_k": OP7}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, language, packing, secrets, toxicity, webp
+from . import bpe, kdtree, language, packing, secrets, substrings, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), path, digests=True)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.store(_table(spark, sf_dir, "documents"), with_media=False)
 
@@ -61,4 +65,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op10_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op10_packing)}
