@@ -37,6 +37,28 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
 """
 
+OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other
+), k AS (
+  SELECT x, count(*) AS n_links FROM l GROUP BY x
+)
+SELECT c.doc_id, c.class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id) c LEFT JOIN k ON k.x = c.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2, "op7_top_k": OP7}
+    return {"op2_substrings": OP2, "op7_top_k": OP7, "op9_jaccard": OP9}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, language, packing, secrets, substrings, toxicity, webp
+from . import bpe, jaccard, kdtree, language, packing, secrets, substrings, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(_table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op10_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op9_jaccard, op10_packing)}
