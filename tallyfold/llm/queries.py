@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kdtree, language, packing, secrets, substrings, toxicity, webp
+from . import bpe, jaccard, kdtree, language, ngrams, packing, secrets, substrings, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(_table(spark, sf_dir, "documents"), digests=True)
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.store(_table(spark, sf_dir, "documents"), with_media=False)
 
@@ -69,4 +73,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op9_jaccard, op10_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op3_language_model, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op9_jaccard, op10_packing)}
