@@ -278,3 +278,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     names = rows.select("id", "key")
     leads = names.dropDuplicates(["id"]).select(F.col("id").alias("class_id"), F.col("key").alias("lead"))
     return names.join(out, "id").join(leads, "class_id").select(F.col("key").alias(key), F.col("lead").alias("class_id"), "n_links")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """One document of each component of links, that with the smallest key, all its columns.
+
+    Of rows that repeat key and text one stays; rows that only share a key are judged each.
+    """
+    if docs.filter(docs[key].isNull()).isEmpty() and docs.groupBy(key).count().filter("count > 1").isEmpty():
+        lead = join(docs, key, text, threshold, size).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("lead__"))
+        return docs.join(lead.hint("shuffle_hash"), docs[key] == F.col("lead__"), "left_semi")
+    digest = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    numbered = docs.withColumn("tie__", digest).dropDuplicates([key, "tie__"])
+    order = _kept(numbered.select(F.col(key).alias("k__"), F.col("tie__").alias("t__")).orderBy(F.col(key).asc_nulls_first(), "tie__").withColumn("id__", F.monotonically_increasing_id()))
+    numbered = numbered.join(order, F.col(key).eqNullSafe(F.col("k__")) & (F.col("tie__") == F.col("t__")))
+    lead = join(numbered.select("id__", F.col(text).alias("text__")), "id__", "text__", threshold, size).filter("id__ = class_id").select(F.col("id__").alias("lead__"))
+    return numbered.join(lead, F.col("id__") == F.col("lead__"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

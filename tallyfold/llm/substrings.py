@@ -83,9 +83,13 @@ def paths(words: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndar
 
 
 def ranked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(documents as (id, text), rows as (key columns..., id)); ids are unique whole numbers in order."""
+    """(documents as (id, text), rows as (id, key, text, row) or None where the key is the id).
+
+    Ids are unique whole numbers in the documents' order; ``row`` has all columns.
+    """
     content = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[key].alias("key"), content.alias("text"))
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(docs[key].alias("key"), content.alias("text"), whole.alias("row"))
     kind = rows.schema["key"].dataType
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         clash = docs.groupBy(docs[key].alias("key")).count().filter((F.col("count") > 1) | F.col("key").isNull())
@@ -94,7 +98,7 @@ def ranked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     tied = rows.withColumn("tie", F.xxhash64("text"))
     order = tied.select("key", "tie").distinct().orderBy(F.col("key").asc_nulls_first(), "tie").withColumn("id", F.monotonically_increasing_id())
     order = _kept(order).select(F.col("key").alias("k"), F.col("tie").alias("t"), "id")
-    joined = tied.join(order, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).select("id", "key", "text")
+    joined = tied.join(order, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).select("id", "key", "text", "row")
     return joined.select("id", "text"), joined
 
 
@@ -180,8 +184,47 @@ def compacted(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _spans(documents: DataFrame, k: int, m: int) -> DataFrame:
+    return repeats(documents, k, m).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+
+
+def kept_text(content: str, runs: list[tuple[int, int]]) -> str:
+    """A text without the words of these runs; what stays between two runs keeps its white space."""
+    if not runs:
+        return content
+    view = np.frombuffer(raw := content.encode(), np.uint8)
+    starts, ends, _ = word_bounds(view, np.array([0, len(view)]))
+    edges = [0, *[x for run in runs for x in run], len(starts)]
+    return b" ".join([raw[starts[a] : ends[b - 1]] for a, b in zip(edges[::2], edges[1::2]) if a < b]).decode()
+
+
+def stripped(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, m: int = SEED) -> DataFrame:
+    """The rows, all columns, with repeated words taken out of the text (null texts become empty).
+
+    Other columns travel with the spans, so that the text is shuffled once.  Of rows
+    that repeat key and text each is kept.
+    """
+    documents, rows = ranked(docs, key, text)
+    if rows is None:
+        light = docs.select(docs[key].cast("long").alias("of"), F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text]).alias("row"))
+    else:
+        documents = documents.dropDuplicates(["id"])
+        light = rows.select(F.col("id").alias("of"), F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text]).alias("row"))
+    spans = _spans(documents, k, m).withColumnRenamed("id", "s")
+    light = light.join(spans.hint("merge"), F.col("of") == F.col("s"), "left").select("of", "row", "spans")
+    joined = documents.join(light.hint("merge"), F.col("id") == F.col("of")).select("text", "row", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rebatched(batches):
+            texts = [kept_text(t, compacted([(x["start"], x["size"]) for x in s or ()])) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    out = joined.mapInArrow(cut, T.StructType([joined.schema["row"]]).add("text", "string"))
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def _with_spans(documents: DataFrame, k: int, m: int) -> DataFrame:
-    spans = repeats(documents, k, m).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = _spans(documents, k, m)
     return documents.join(spans.select(F.col("id").alias("of"), "spans").hint("merge"), F.col("id") == F.col("of"), "left").select("id", "text", "spans")
 
 
@@ -212,12 +255,8 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = W
                 gone.append(n)
                 if digests:
                     kept.append(hashlib.sha256(b" ".join([w for a, b in stay for w in parts[a:b]])).hexdigest())
-                elif not runs:
-                    kept.append(content)
                 else:
-                    view = np.frombuffer(raw, np.uint8)
-                    starts, ends, _ = word_bounds(view, np.array([0, len(view)]))
-                    kept.append(b" ".join([raw[starts[a] : ends[b - 1]] for a, b in stay]).decode())
+                    kept.append(kept_text(content, runs))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", last])
 
     out = _with_spans(documents, k, m).mapInArrow(cut, f"id long, n_words long, n_removed long, {last} string")
