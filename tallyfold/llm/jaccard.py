@@ -66,25 +66,30 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return window_hash(words, start, stop), at
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], size: int, runs: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints, minhash coordinates (16 bits each) and each run's first path, from its coordinate's whole token."""
     for part in rebatched(batches, most=2 << 20):
         words, first = _word_hashes(*utf8(part.column("text")))
         tokens, at = shingles(words, first, size)
         full = np.flatnonzero(np.diff(at))
         sums = [window_hash(words, first[:-1], first[1:], f).view(np.int64) for f in (0, 1)]
         grid = np.empty((len(full), COORDINATES), "<u2")
+        first_paths = np.empty((len(full), runs), np.int64)
         for k, factor in enumerate(_FACTORS if len(full) else ()):
-            grid[:, k] = mix64(np.minimum.reduceat(tokens * factor, at[full])) & np.uint64(0xFFFF)
+            least = mix64(np.minimum.reduceat(tokens * factor, at[full]))
+            grid[:, k] = least & np.uint64(0xFFFF)
+            if k < runs:
+                first_paths[:, k] = mix64(least + np.uint64(k)).view(np.int64)
         ids = part.column("id").to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[full]), pa.array(sums[0][full]), pa.array(sums[1][full]), pa.array([x.tobytes() for x in grid], pa.binary())],
-            names=["id", "one", "two", "sig"],
+            [pa.array(ids[full]), pa.array(sums[0][full]), pa.array(sums[1][full]), pa.array([x.tobytes() for x in grid], pa.binary()), pa.array(list(first_paths), pa.list_(pa.int64()))],
+            names=["id", "one", "two", "sig", "paths"],
         )
 
 
-def _coordinate(k) -> F.Column:
-    """A signature's k-th coordinate, in hexadecimal digits; k is an int or a column."""
-    return F.hex(F.substring("sig", 2 * k + 1, 2)) if isinstance(k, int) else F.hex(F.expr(f"substring(sig, 2 * {k} + 1, 2)"))
+def _coordinate(column: str) -> F.Column:
+    """The coordinate of a signature that a column numbers, in hexadecimal digits."""
+    return F.hex(F.expr(f"substring(sig, 2 * {column} + 1, 2)"))
 
 
 def _alike(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -166,20 +171,24 @@ def _tasks(rows: DataFrame, group: str, limit: int, block: int) -> DataFrame:
     return pairs.withColumn("task", F.xxhash64(group, low, high)).withColumn("side", side).withColumn("whole", F.col("blocks") == 1).drop("own", "other", "blocks", "n")
 
 
-def proposals(sets: DataFrame, threshold: float, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(a, b) forests of likely similar sets, from (id, sig)."""
-    tokens = [F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), _coordinate(r)).alias("path")) for r in range(runs_for(threshold))]
-    rows = sets.select("id", "sig", F.explode(F.array(*tokens)).alias("t")).select("id", "sig", F.col("t.path").alias("path"))
+def proposals(sets: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(a, b) forests of likely similar sets, from (id, sig, paths).
+
+    Paths travel without signatures until it is known which of them sets share.
+    """
+    rows = sets.select("id", F.explode("paths").alias("path"))
+    signed = sets.select(F.col("id").alias("of"), "sig")
     for depth in range(SPLITS):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("path").alias("p"), "n")
-        sized = _kept(rows.join(sizes.hint("merge"), F.col("path") == F.col("p")).select("id", "sig", "path", (F.col("n") > bucket).alias("large")))
-        split = sized.filter("large")
+        sized = rows.join(sizes.hint("merge"), F.col("path") == F.col("p")).select("id", "path", (F.col("n") > bucket).alias("large"))
+        sized = _kept(sized)
+        split = sized.filter("large").join(signed.hint("merge"), F.col("id") == F.col("of"))
         for branch in (0, 1):
             split = split.withColumn(f"k{branch}", F.pmod(F.xxhash64("path", F.lit(100 * depth + branch)), F.lit(COORDINATES)).cast("int"))
         branches = [F.xxhash64("path", F.lit(b), _coordinate(f"k{b}")) for b in (0, 1)]
-        split = split.select("id", "sig", F.explode(F.array(*branches)).alias("path"))
-        rows = sized.filter("not large").select("id", "sig", "path").unionByName(split)
-    tasks = _tasks(rows, "path", bucket, block).select("task", "side", "id", "sig")
+        rows = sized.filter("not large").select("id", "path").unionByName(split.select("id", F.explode(F.array(*branches)).alias("path")))
+    tasks = _tasks(rows, "path", bucket, block).select("task", "side", F.col("id").alias("i"))
+    tasks = tasks.join(signed.hint("merge"), F.col("i") == F.col("of")).select("task", "side", F.col("i").alias("id"), "sig")
     return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_propose, "a long, b long")
 
 
@@ -252,9 +261,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     documents, rows = ranked(docs, key, text)
     if rows is not None:
         documents = documents.dropDuplicates(["id"])
-    signed = _kept(documents.mapInArrow(lambda b: _signatures(b, size), "id long, one long, two long, sig binary"))
-    sets = signed.groupBy("one", "two").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
-    likely = components(proposals(sets.select("id", "sig"), threshold))
+    runs = runs_for(threshold)
+    signed = _kept(documents.mapInArrow(lambda b: _signatures(b, size, runs), "id long, one long, two long, sig binary, paths array<long>"))
+    sets = signed.groupBy("one", "two").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("paths").alias("paths"))
+    likely = components(proposals(sets.select("id", "sig", "paths")))
 
     # Groups of likely similar sets, compared exactly.
     members = likely.select(F.col("node").alias("m"), F.col("root").alias("task_group")).join(sets.select("id", "copies").hint("merge"), F.col("m") == F.col("id"))

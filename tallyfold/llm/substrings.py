@@ -4,17 +4,17 @@ Edges are k-mers, runs of k consecutive words.  Writing an edge for every word w
 move far more than the text, so edges are compacted before they move: consecutive
 edges with the same minimizer (the least hash of the m-mers within them, leftmost on
 ties) form a path without branches, a super-k-mer, and only that path's fingerprint,
-seed and source coordinates are shuffled.  Spark joins then
+seed and source coordinates are shuffled, packed by shard of the seed.  Then
 
-1. find seeds that occur more than once; a k-mer that repeats has such a seed,
-2. meet equal paths by fingerprint: all but the first source are repeats whole,
-3. take paths that share a seed but differ, where a repeat ends inside a path, back
-   to their source coordinates and compare their single edges,
-4. join the repeated spans, compacted to maximal runs, with their documents.
+1. equal paths meet in their seed's shard: all but the first source are repeats whole,
+2. paths that share a seed but differ, where a repeat ends inside a path, are joined
+   back to their source documents, and their single edges meet by fingerprint,
+3. the repeated spans, compacted to maximal runs, are joined with their documents.
 
-Seeds, paths and edges that a third of all rows share are counted with partial
-aggregation, and joined in plain sort-merge joins, whose hot keys adaptive execution
-splits.  Fingerprints have 96 (paths) and 128 (edges) bits.
+A k-mer that repeats has the same minimizer everywhere, so its paths meet.  What a
+third of all rows share is reduced before it moves: a batch sends one source of each
+path and edge and bare coordinates of the others, and only a few paths of a seed to
+the seed's shard.  Fingerprints have 96 (paths) and 128 (edges) bits.
 
 Null texts have no words.  A document is its key with its text: rows that repeat both
 are one document and get one result each; order is by key (nulls first), then by a
@@ -24,10 +24,12 @@ hash of the text.  Keys that are not unique whole numbers are ranked first.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +38,11 @@ from .arrays import mix64, prefix_sums, rebatched, span_hash, utf8, window_hash,
 
 WORDS = 20
 SEED = 6
-#: A path's packed coordinate: first edge's word number, edges less one, 32 more fingerprint bits.
-_COUNT_BITS, _EXTRA_BITS = 6, 32
-_FIRST_SHIFT = _COUNT_BITS + _EXTRA_BITS
+BATCH_BYTES = 6 << 20
+#: Paths of one seed that a batch sends to the seed's shard.
+HOT = 8
+#: A path's packed coordinate: first edge's word number, then edges less one.
+_COUNT_BITS = 6
 
 
 def _word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +106,36 @@ def ranked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return joined.select("id", "text"), joined
 
 
+def _written(frame: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the cluster's shared folder and read again."""
+    folder = f"{frame.sparkSession.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/rows-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.parquet(folder)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned whole numbers by byte planes, compressed."""
+    most = int(values.max()) if len(values) else 0
+    wide = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    raw = np.ascontiguousarray(values.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T).tobytes()
+    return bytes([wide]) + len(values).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    wide, n = data[0], int.from_bytes(data[1:9], "little")
+    raw = pa.decompress(data[9:], n * wide, "zstd", asbytes=True) if n else b""
+    return np.frombuffer(raw, np.uint8).reshape(wide, n).T.copy().view(f"<u{wide}").reshape(-1).astype(np.uint64)
+
+
+def zigzag(values: np.ndarray) -> np.ndarray:
+    """Signed whole numbers as unsigned ones, small ones small."""
+    return ((values << 1) ^ (values >> 63)).view(np.uint64)
+
+
+def unzigzag(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(1)).view(np.int64) ^ -(values & np.uint64(1)).view(np.int64)
+
+
 def _kept(frame: DataFrame) -> DataFrame:
     """A checkpoint in the cluster's shared folder."""
     context = frame.sparkSession.sparkContext
@@ -110,6 +144,144 @@ def _kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def _leads(groups: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in source order, the first of each group of equal rows, and all others."""
+    order = np.lexsort(groups[::-1])
+    fresh = np.zeros(len(order), bool)
+    for x in groups:
+        fresh[1:] |= x[order[1:]] != x[order[:-1]]
+    fresh[:1] = True
+    return np.sort(order[fresh]), np.sort(order[~fresh])
+
+
+def _in_order(part: pa.RecordBatch) -> pa.RecordBatch:
+    return part.take(pa.array(np.argsort(part.column("id").to_numpy(), kind="stable")))
+
+
+def _by_shard(shard: np.ndarray, order: np.ndarray, columns: dict[str, np.ndarray], deltas: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard with its part of each column packed, in the given order."""
+    line = order[np.argsort(shard[order], kind="stable")]
+    used, first = np.unique(shard[line], return_index=True)
+    if not len(used):
+        return
+    edges = list(zip(first, np.append(first[1:], len(line))))
+    arrays, names = [pa.array(used)], ["shard"]
+    for name, values in columns.items():
+        taken = values[line]
+        arrays.append(pa.array([pack(np.diff(taken[a:b], prepend=taken[:0].dtype.type(0)) if name in deltas else taken[a:b]) for a, b in edges], pa.binary()))
+        names.append(name)
+    yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _whole(table: pa.Table, name: str, delta: bool = False) -> np.ndarray:
+    parts = [unpack(x) for x in table.column(name).to_pylist() if x is not None]
+    return np.concatenate([np.cumsum(x) if delta else x for x in parts] or [np.zeros(0, np.uint64)])
+
+
+def _send_paths(batches: Iterator[pa.RecordBatch], k: int, m: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Paths of each batch to the shards of their seeds.
+
+    A path that an earlier source of the batch has is a repeat already (``again``), and
+    travels as a bare coordinate.  Of a seed with many paths in the batch a few go to
+    its shard; the others surely share their seed (``sure``), and go to any shard.
+    """
+    for part in rebatched(batches, most=BATCH_BYTES):
+        part = _in_order(part)
+        owner, start, count, seed, one, two = paths(*_word_hashes(*utf8(part.column("text"))), k, m)
+        if not len(owner):
+            continue
+        ids = part.column("id").to_numpy()[owner]
+        extra = two >> np.uint64(32)
+        spot = start << _COUNT_BITS | (count - 1)
+        lead, again = _leads((one, extra))
+        turn = np.argsort(seed[lead], kind="stable")
+        sorted_seed = seed[lead][turn]
+        place = np.empty(len(lead), np.int64)
+        place[turn] = np.arange(len(lead)) - np.searchsorted(sorted_seed, sorted_seed)
+        home, sure = lead[place < HOT], lead[place >= HOT]
+        columns = {"id": zigzag(ids), "spot": spot.astype(np.uint64)}
+        full = {"seed": seed, "path": one, "extra": extra} | columns
+        for kind, own, key, sent in ((0, home, seed, full), (1, again, one, columns), (2, sure, one, columns)):
+            order = own[np.argsort(seed[own], kind="stable")] if kind == 0 else own
+            for batch in _by_shard(_shard_of(key, shards), order, sent, ("seed",)):
+                fields = {n: batch.column(n) for n in batch.schema.names}
+                none = pa.nulls(batch.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [fields["shard"], pa.array([kind] * batch.num_rows, pa.int32()), *(fields.get(n, none) for n in ("seed", "path", "extra", "id", "spot"))],
+                    names=["shard", "kind", "seed", "path", "extra", "id", "spot"],
+                )
+
+
+def _meet_paths(table: pa.Table, k: int) -> pa.Table:
+    """Repeated spans (size > 0), and first sources of paths that share a seed but differ (size 0)."""
+    of = {kind: table.filter(pa.compute.equal(table.column("kind"), kind)) for kind in (0, 1, 2)}
+    ids, spots, sizes = [], [], []
+
+    def put(i: np.ndarray, spot: np.ndarray, repeat: bool) -> None:
+        ids.append(i)
+        spots.append(spot)
+        sizes.append(np.full(len(i), repeat))
+
+    for kind in (1, 2):
+        put(unzigzag(_whole(of[kind], "id")), _whole(of[kind], "spot").astype(np.int64), kind == 1)
+    seed, path, extra = _whole(of[0], "seed", True), _whole(of[0], "path"), _whole(of[0], "extra")
+    i, spot = unzigzag(_whole(of[0], "id")), _whole(of[0], "spot").astype(np.int64)
+    order = np.lexsort((spot, i))
+    seed, path, extra, i, spot = (x[order] for x in (seed, path, extra, i, spot))
+    lead, again = _leads((path, extra))
+    put(i[again], spot[again], True)
+    _, number, n = np.unique(seed[lead], return_inverse=True, return_counts=True)
+    mixed = lead[n[number] > 1]
+    put(i[mixed], spot[mixed], False)
+    i, spot, repeat = np.concatenate(ids), np.concatenate(spots), np.concatenate(sizes)
+    count = (spot & ((1 << _COUNT_BITS) - 1)) + 1
+    return pa.table({"id": pa.array(i), "start": pa.array(spot >> _COUNT_BITS), "count": pa.array(count), "size": pa.array(np.where(repeat, count + k - 1, 0))})
+
+
+def _send_edges(batches: Iterator[pa.RecordBatch], k: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Single edges of paths back at their sources, to the shards of the edges' fingerprints."""
+    for part in rebatched(batches, most=BATCH_BYTES):
+        part = _in_order(part)
+        words, at = _word_hashes(*utf8(part.column("text")))
+        spots = part.column("spots")
+        flat = spots.flatten()
+        owner = np.repeat(np.arange(part.num_rows), np.diff(spots.offsets.to_numpy()))
+        n = flat.field("count").to_numpy()
+        if not len(n):
+            continue
+        begin = np.repeat(flat.field("start").to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(owner, n)
+        line = np.lexsort((begin, owner))
+        owner, begin = owner[line], begin[line]
+        one, two = (window_hash(words, at[owner] + begin, at[owner] + begin + k, f) for f in (0, 1))
+        ids = part.column("id").to_numpy()[owner]
+        lead, again = _leads((one, two))
+        columns = {"id": zigzag(ids), "spot": begin.astype(np.uint64)}
+        for kind, own, sent in ((0, lead, {"path": one, "extra": two} | columns), (1, again, columns)):
+            order = own[np.argsort(one[own], kind="stable")]
+            for batch in _by_shard(_shard_of(one, shards), order, sent, ("path",)):
+                fields = {n: batch.column(n) for n in batch.schema.names}
+                none = pa.nulls(batch.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([fields["shard"], pa.array([kind] * batch.num_rows, pa.int32()), *(fields.get(n, none) for n in ("path", "extra", "id", "spot"))], names=["shard", "kind", "path", "extra", "id", "spot"])
+
+
+def _meet_edges(table: pa.Table, k: int) -> pa.Table:
+    first = table.filter(pa.compute.equal(table.column("kind"), 0))
+    rest = table.filter(pa.compute.equal(table.column("kind"), 1))
+    i, start = unzigzag(_whole(first, "id")), _whole(first, "spot").astype(np.int64)
+    one, two = _whole(first, "path", True), _whole(first, "extra")
+    order = np.lexsort((start, i))
+    i, start, one, two = (x[order] for x in (i, start, one, two))
+    _, again = _leads((one, two))
+    i = np.concatenate([i[again], unzigzag(_whole(rest, "id"))])
+    start = np.concatenate([start[again], _whole(rest, "spot").astype(np.int64)])
+    return pa.table({"id": pa.array(i), "start": pa.array(start), "size": pa.array(np.full(len(i), k))})
+
+
 def repeats(documents: DataFrame, k: int = WORDS, m: int = SEED) -> DataFrame:
     """(id, start, size) word spans of (id, text) that are covered by k-mers starting earlier too.
 
@@ -117,60 +289,14 @@ def repeats(documents: DataFrame, k: int = WORDS, m: int = SEED) -> DataFrame:
     """
     if not 0 < m < k or k - m >= 1 << _COUNT_BITS:
         raise ValueError(f"0 < m < k and k - m < {1 << _COUNT_BITS}")
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rebatched(batches):
-            seed, n = np.unique(paths(*_word_hashes(*utf8(part.column("text"))), k, m)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], names=["seed", "n"])
-
-    def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rebatched(batches):
-            owner, start, count, seed, one, two = paths(*_word_hashes(*utf8(part.column("text"))), k, m)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            spot = start << _FIRST_SHIFT | (count - 1) << _EXTRA_BITS | (two >> np.uint64(32)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), one.view(np.int64), ids[owner].astype(np.int64), spot)], names=["seed", "path", "id", "spot"])
-
-    text = documents.select("text")
-    often = text.mapInArrow(seeds, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("seed").alias("often"))
-    source = documents.mapInArrow(sources, "seed long, path long, id long, spot long")
-    source = source.join(often.hint("merge"), F.col("seed") == F.col("often")).select("seed", "path", "id", "spot")
-    extra = (F.col("spot").bitwiseAND(F.lit((1 << _EXTRA_BITS) - 1))).alias("extra")
-    known = source.select("seed", "path", extra, "id", "spot").groupBy("seed", "path", "extra").agg(F.min(F.struct("id", "spot")).alias("lead"), F.count("*").alias("n"))
-
-    start = F.shiftright("spot", _FIRST_SHIFT)
-    count = F.shiftright("spot", _EXTRA_BITS).bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)) + 1
-
-    # Equal paths: every source but the first.
-    lead = known.filter("n > 1").select(F.col("path").alias("p"), F.col("extra").alias("x"), F.col("lead.id").alias("lead_id"), F.col("lead.spot").alias("lead_spot"))
-    again = source.select("path", extra, "id", "spot").join(lead.hint("merge"), (F.col("path") == F.col("p")) & (F.col("extra") == F.col("x")))
-    again = again.filter((F.col("id") != F.col("lead_id")) | (F.col("spot") != F.col("lead_spot")))
-    again = again.select("id", start.alias("start"), (count + k - 1).alias("size"))
-
-    # Different paths of one seed: their first sources, edge by edge.
-    mixed = known.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("seed").alias("s"))
-    first = known.join(mixed.hint("merge"), F.col("seed") == F.col("s")).select(F.col("lead.id").alias("of"), F.col("lead.spot").alias("spot"))
-    first = first.groupBy("of").agg(F.collect_list(F.struct(start.alias("start"), count.alias("count"))).alias("spots"))
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rebatched(batches):
-            words, at = _word_hashes(*utf8(part.column("text")))
-            spots = part.column("spots")
-            flat = spots.flatten()
-            owner = np.repeat(np.arange(part.num_rows), np.diff(spots.offsets.to_numpy()))
-            n = flat.field("count").to_numpy()
-            begin = np.repeat(flat.field("start").to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            owner = np.repeat(owner, n)
-            a = at[owner] + begin
-            ids = part.column("id").to_numpy()[owner]
-            one, two = (window_hash(words, a, a + k, f).view(np.int64) for f in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, ids, begin)], names=["one", "two", "id", "start"])
-
-    single = documents.join(first.hint("merge"), F.col("id") == F.col("of")).select("id", "text", "spots").mapInArrow(edges, "one long, two long, id long, start long")
-    lead = single.groupBy("one", "two").agg(F.min(F.struct("id", "start")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    lead = lead.select(F.col("one").alias("o"), F.col("two").alias("t"), F.col("lead.id").alias("lead_id"), F.col("lead.start").alias("lead_start"))
-    later = single.join(lead.hint("merge"), (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")))
-    later = later.filter((F.col("id") != F.col("lead_id")) | (F.col("start") != F.col("lead_start")))
-    return again.unionByName(later.select("id", "start", F.lit(k).cast("long").alias("size")))
+    shards = max(16, 2 * documents.rdd.getNumPartitions())
+    sent = documents.mapInArrow(lambda b: _send_paths(b, k, m, shards), "shard long, kind int, seed binary, path binary, extra binary, id binary, spot binary")
+    met = _written(sent.groupBy("shard").applyInArrow(lambda t: _meet_paths(t, k), "id long, start long, count long, size long"))
+    mixed = met.filter("size = 0").groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "count")).alias("spots"))
+    back = documents.join(mixed.hint("merge"), F.col("id") == F.col("of")).select("id", "text", "spots")
+    single = back.mapInArrow(lambda b: _send_edges(b, k, shards), "shard long, kind int, path binary, extra binary, id binary, spot binary")
+    later = single.groupBy("shard").applyInArrow(lambda t: _meet_edges(t, k), "id long, start long, size long")
+    return met.filter("size > 0").select("id", "start", "size").unionByName(later)
 
 
 def compacted(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
