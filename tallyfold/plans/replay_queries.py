@@ -26,14 +26,15 @@ def hash_chain_tail(spark, sf_dir):
     return integrity.chain_tail(_bodies(spark, sf_dir))
 
 
-_TAMPERED = (F.col("application_id") % 97 == 0) & (F.col("stream_position") == 3)
+def _tampered():
+    return (F.col("application_id") % 97 == 0) & (F.col("stream_position") == 3)
 
 
 @query(""" SELECT stream_id, count(*) AS events_verified, CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN count(*) - 2 ELSE 0 END AS violations,
   CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN CAST(3 AS BIGINT) END AS first_violation, NOT (application_id % 97 = 0 AND count(*) >= 3) AS chain_valid FROM b GROUP BY stream_id, application_id""", _CHAIN_SQL)
 def integrity_verify(spark, sf_dir):
     stored = integrity.with_links(_bodies(spark, sf_dir), out="stored_hash")
-    return integrity.verify(stored.withColumn("body", F.when(_TAMPERED, F.concat("body", F.lit("!"))).otherwise(F.col("body"))))
+    return integrity.verify(stored.withColumn("body", F.when(_tampered(), F.concat("body", F.lit("!"))).otherwise(F.col("body"))))
 
 
 @query(""", s AS (SELECT stream_id, application_id, count(*) AS n, count(*) FILTER (WHERE application_id % 10 = 0 AND stream_position % 5 = 0) AS missing FROM b GROUP BY ALL)
@@ -42,7 +43,7 @@ SELECT count(*) AS streams, count(*) FILTER (WHERE missing > 0) AS streams_repai
 def integrity_backfill(spark, sf_dir):
     stored = integrity.with_links(_bodies(spark, sf_dir), out="stored_hash")
     stored = stored.withColumn("stored_hash", F.when(~((F.col("application_id") % 10 == 0) & (F.col("stream_position") % 5 == 0)), F.col("stored_hash")))
-    tampered = stored.withColumn("body", F.when(_TAMPERED, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    tampered = stored.withColumn("body", F.when(_tampered(), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     return integrity.backfill_summary(integrity.backfilled(tampered, "missing"))
 
 
