@@ -42,3 +42,15 @@ def coverage(log: DataFrame, expected: tuple[str, ...] = EXPECTED) -> DataFrame:
     seen = log.select("event_type").distinct()
     missing = wanted.join(seen, "event_type", "left_anti").withColumn("finding", F.lit("missing"))
     return missing.unionByName(seen.join(wanted, "event_type", "left_anti").withColumn("finding", F.lit("unexpected")))
+
+
+def narrowed(rows: DataFrame, now: str, event_type: str | None = None, actor: str | None = None, hours: int | None = None) -> DataFrame:
+    """Lineage rows of a type, an actor and the hours up to ``now``; None leaves a test out (P-07, P-08)."""
+    if event_type is not None:
+        rows = rows.filter(F.col("event_type") == event_type)
+    if actor is not None:
+        rows = rows.filter(F.col("actor") == actor)
+    if hours is not None:
+        end = F.lit(now).cast("timestamp_ntz")
+        rows = rows.filter((F.col("recorded_at") <= end) & (F.col("recorded_at") >= end - F.make_dt_interval(hours=F.lit(hours))))
+    return rows

@@ -74,3 +74,16 @@ def delivery_topics(outbox: DataFrame, k: int = 8) -> DataFrame:
     """Counts of the k topics with most messages (A-11)."""
     one = lambda s: F.count_if(F.col("status") == s).cast("long")
     return outbox.groupBy("topic").agg(F.count("*").alias("messages"), one("published").alias("published"), one("pending").alias("pending"), one("dead_letter").alias("dead_letter")).orderBy(F.desc("messages"), "topic").limit(k)
+
+
+def messages(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """Delivery form of events (K-10, F-31): key, JSON value and headers, for any message sink."""
+    key = F.coalesce("stream_id", "event_id")
+    value = F.to_json(F.struct("event_id", "event_type", F.col("global_position"), F.col(payload).alias("payload"), "stream_id"))
+    headers = F.filter(F.array(F.struct(F.lit("event_type").alias("key"), F.col("event_type").alias("value")), F.struct(F.lit("stream_id").alias("key"), F.col("stream_id").alias("value"))), lambda h: h["value"].isNotNull())
+    return events.select(F.col("global_position").alias("outbox_id"), key.alias("key"), value.alias("value"), headers.alias("headers"))
+
+
+def delivered_once(sink: DataFrame, new: DataFrame, key: str = "outbox_id") -> DataFrame:
+    """Messages that the sink lacks, each once (K-07, K-11)."""
+    return new.dropDuplicates([key]).join(sink.select(key), key, "left_anti")

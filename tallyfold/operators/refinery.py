@@ -150,3 +150,11 @@ def search(chunked: DataFrame, question: str, k: int = 5, content: str = "conten
     asked = tokens(F.lit(question))
     share = F.round(F.size(F.array_intersect(asked, tokens(F.col(content)))) / F.size(asked), 6)
     return chunked.withColumn("score", share).filter("score > 0").orderBy(F.desc("score"), *order).limit(k)
+
+
+def provenance(found: DataFrame, chunked: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """Facts with the start of their chunk; ids may carry a prefix up to a colon (J-10, F-37)."""
+    source = F.col("source_chunk_id")
+    excerpt = F.substring(F.trim(F.regexp_replace("content", r"\s+", " ")), 1, 180)
+    chunks_ = chunked.select(F.col(chunk).alias("c"), excerpt.alias("excerpt"))
+    return found.join(chunks_, F.element_at(F.split(source, ":"), -1) == F.col("c"), "left").drop("c")
