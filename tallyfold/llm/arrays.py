@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _MIX_1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX_2 = np.uint64(0xC4CEB9FE1A85EC53)

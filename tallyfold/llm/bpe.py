@@ -35,7 +35,7 @@ _BOS, _IN_L, _IN_N, _IN_O, _IN_SP, _IN_WS, _AT_Q, _AT_QR, _AT_QL, _DONE = range(
 #: Unicode's White_Space property.
 _WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 LONG_PIECE = 64
 _NONE = np.iinfo(np.int32).max
 

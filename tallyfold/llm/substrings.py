@@ -38,7 +38,7 @@ from .arrays import mix64, prefix_sums, rebatched, span_hash, utf8, window_hash,
 
 WORDS = 20
 SEED = 6
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 #: Paths of one seed that a batch sends to the seed's shard.
 HOT = 8
 #: A path's packed coordinate: first edge's word number, then edges less one.
