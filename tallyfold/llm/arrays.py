@@ -7,6 +7,8 @@ cut between documents only, so that temporaries stay in proportion to
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,18 +84,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 
 def rebatched(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Small batches joined and large ones cut, towards ``most`` bytes of text each."""
+    """Small batches joined and large ones cut, towards ``most`` bytes of text each.
+
+    At the end the worker gives freed memory back, as it stays for later tasks.
+    """
     held, size = [], 0
-    for batch in batches:
-        for part in slices(batch, column, most):
-            n = part.column(column).nbytes
-            if held and size + n > most:
-                yield _joined(held)
-                held, size = [], 0
-            held.append(part)
-            size += n
-    if held:
-        yield _joined(held)
+    try:
+        for batch in batches:
+            for part in slices(batch, column, most):
+                n = part.column(column).nbytes
+                if held and size + n > most:
+                    yield _joined(held)
+                    held, size = [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield _joined(held)
+    finally:
+        held = []
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
