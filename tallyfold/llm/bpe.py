@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -161,16 +162,23 @@ def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class Codec:
-    """Encodes and decodes by a file of ranks, one line ``base64 rank`` for each token."""
+    """Encodes and decodes by a file of ranks, one line ``base64 rank`` for each token.
 
-    def __init__(self, path: str | None = None, ranks: dict[bytes, int] | None = None):
+    ``added`` tokens are cut out of a text before anything else, the longest first.
+    """
+
+    def __init__(self, path: str | None = None, ranks: dict[bytes, int] | None = None, added: dict[str, int] | None = None):
         if ranks is None:
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = ranks
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        self.added = {token: i.to_bytes(4, "little") for token, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.tokens = [b""] * (max([*self.ranks.values(), *(added or {}).values()]) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        for text, i in (added or {}).items():
+            self.tokens[i] = text.encode()
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -310,6 +318,15 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        held = {i: self.cut.split(text) for i, text in enumerate(texts) if any(token in text for token in self.added)}
+        if not held:
+            return self._encode_ordinary(texts)
+        # A split text has ordinary pieces at even places and added tokens at odd ones.
+        flat = [piece for i, text in enumerate(texts) for piece in (held[i][::2] if i in held else (text,))]
+        ids = iter(self._encode_ordinary(flat))
+        return [b"".join(self.added[piece] if k & 1 else next(ids) for k, piece in enumerate(held[i])) if i in held else next(ids) for i in range(len(texts))]
+
+    def _encode_ordinary(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         joined, starts, first = boundaries(texts)

@@ -11,6 +11,7 @@ cannot fill is carried to the next.  A partition's last tokens become windows of
 powers of two, so that no window needs padding.  Nothing is shuffled; with
 the same partitions, a task run again gives the same rows.
 
+Texts are cut at the vocabulary file's added tokens first, and each gives its one id.
 Null and empty texts are the end id alone.  Rows with the same key are packed each.
 """
 
@@ -47,7 +48,10 @@ def _byte_letters() -> dict[str, int]:
 def json_codec(path: str) -> Codec:
     """A codec from a byte-level BPE file whose ids follow the order of its merges."""
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], whole.get("added_tokens") or []
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+        raise ValueError(f"added tokens of {path} take their neighbours into account")
     letters = _byte_letters()
     special = {x for x in model["vocab"] if any(c not in letters for c in x)}
     merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
@@ -56,7 +60,7 @@ def json_codec(path: str) -> Codec:
         raise ValueError(f"ids in {path} do not follow its merges")
     made = {"".join(m.split(" ")) for m in merged}
     ranks = {bytes(letters[c] for c in x): i for x, i in model["vocab"].items() if x not in special and (len(x) == 1 or x in made)}
-    return Codec(ranks=ranks)
+    return Codec(ranks=ranks, added={x["content"]: x["id"] for x in added})
 
 
 class _Packer:

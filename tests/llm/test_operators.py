@@ -261,6 +261,21 @@ def test_packing(docs, none):
         packing.pack(docs, path, tiers=(3, 5))
 
 
+def test_packing_gives_added_tokens_their_id(spark):
+    from tokenizers import Tokenizer
+
+    path, end = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    lib = Tokenizer.from_file(path)
+    texts = [f"a {end} b", end, end * 3, f"é{end}\n{end}  x", f"<|endoftext{end}|>", "<|endoftext|", "plain", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in packing.pack(frame, path).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += r.ids
+    assert dict(got) == {i: [*lib.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    own = packing.json_codec(path)
+    assert [own.decode(x).decode() for x in own.encode_batch(texts)] == texts
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     g = np.random.default_rng(5)
     rows = [(i, [float(x) for x in g.integers(-3, 4, 6) / 8]) for i in range(400)] + [(400 + i, [0.25] * 6) for i in range(150)]
