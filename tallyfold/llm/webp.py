@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -639,20 +640,48 @@ def encode(
 
 
 def _sides(n: int) -> tuple[int, int]:
-    """Width and height for n samples, n a multiple of ROW."""
-    width = ROW
-    while n // width > MAX_SIDE or n % width:
-        width += ROW
-        if width > MAX_SIDE:
-            raise ValueError("too many samples for one image")
-    return width, n // width
+    """Width and height for n samples, n a multiple of ROW.
+
+    If no rectangle holds just n, the last row has spare samples; a height above
+    MAX_SIDE takes several images.
+    """
+    widths = range(ROW, MAX_SIDE + 1, ROW)
+    for width in widths:
+        if n // width <= MAX_SIDE and not n % width:
+            return width, n // width
+    width = next((w for w in widths if n <= w * MAX_SIDE), widths[-1])
+    return width, -(-n // width)
+
+
+def _strips(payload: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[int]]:
+    """Samples of all images, where each starts, its sides, and how many images each run takes."""
+    sides, counts, parts = [], [], []
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        width, height = _sides(b - a)
+        parts.append(payload[a:b])
+        if spare := width * height - (b - a):
+            parts.append(np.full(spare, 255, np.uint8))
+        own = [(width, min(MAX_SIDE, height - y)) for y in range(0, height, MAX_SIDE)]
+        sides += own
+        counts.append(len(own))
+    sizes = np.array([w * h for w, h in sides], np.int64)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), sides, counts
 
 
 def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A grey image file for each run ``payload[at[i]:at[i+1]]``, a positive multiple of ROW long."""
-    n = len(at) - 1
-    if not n:
+    """Grey image files, one behind the other, for each run ``payload[at[i]:at[i+1]]``, a positive multiple of ROW long.
+
+    One file is enough up to 264 million samples; a longer run has one for each MAX_SIDE rows.
+    """
+    if len(at) < 2:
         return []
+    payload, at, sides, counts = _strips(payload, at)
+    files = iter(_write_images(payload, at, sides))
+    return [b"".join(islice(files, k)) for k in counts]
+
+
+def _write_images(payload: np.ndarray, at: np.ndarray, sides: list[tuple[int, int]]) -> list[bytes]:
+    n = len(sides)
     sizes = np.diff(at)
     owner = np.repeat(np.arange(n, dtype=np.int64) << 8, sizes)
     owner += payload
@@ -662,7 +691,7 @@ def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
     heads, head_bits = [], np.zeros(n, np.int64)
     for i in range(n):
         out = BitWriter()
-        _header(out, *_sides(int(sizes[i])), False)
+        _header(out, *sides[i], False)
         out.put(0b101, 3)  # a transform, subtract-green ...
         out.put(0, 1)  # ... and no other
         out.put(0, 2)  # no colour cache, no entropy image
@@ -717,7 +746,24 @@ def _plain_head(body: bytes) -> tuple[int, int, dict[int, int]] | None:
     return n, bits.at, green
 
 
-def read_samples(files: list[bytes]) -> list[bytes]:
+def _split(data: bytes) -> list[bytes]:
+    """The files that stand one behind the other."""
+    out, at = [], 0
+    while at < len(data):
+        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+def read_samples(media: list[bytes], sizes: list[int]) -> list[bytes]:
+    """The first ``sizes[i]`` samples of the green channel of the i-th run's files."""
+    split = [_split(data) for data in media]
+    found = iter(_read_images([file for files in split for file in files]))
+    return [b"".join(islice(found, len(files)))[:n] for files, n in zip(split, sizes)]
+
+
+def _read_images(files: list[bytes]) -> list[bytes]:
     """The green channel of each file."""
     out: list[bytes | None] = [None] * len(files)
     lanes = []
@@ -809,7 +855,9 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media:
 
     Returns the key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature and, ``with_media``, the file.  Null and empty texts are one
-    row of bytes 255.  No shuffle; equal texts give equal values.
+    row of bytes 255.  A payload that fills no rectangle of whole rows has spare samples
+of 255 behind it in the image, which are not read back; above 264 million bytes the
+media are several files, one behind the other.  No shuffle; equal texts give equal values.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -818,8 +866,9 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rebatched(batches, most=BATCH_BYTES):
             raw, at = utf8(part.column("text"))
-            files = write_samples(*padded(raw, at))
-            back = read_samples(files)
+            full, ends = padded(raw, at)
+            files = write_samples(full, ends)
+            back = read_samples(files, np.diff(ends).tolist())
             columns = [
                 part.column("key"),
                 pa.array(np.diff(at), pa.int64()),

@@ -212,6 +212,20 @@ def test_webp_columns(docs, none):
     assert got[5].media_sha256 == got[6].media_sha256 and webp.store(none).count() == 0
 
 
+def test_webp_stores_lengths_that_fill_no_rectangle(spark, monkeypatch):
+    rows = 16391  # a prime above the longest side
+    text = "".join(chr(97 + i * i % 23) for i in range(1000)) * (rows * 576 // 1000) + "end"
+    full = text.encode() + b"\xff" * (rows * 576 - len(text))
+    r = webp.store(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), rows * 576, hashlib.sha256(full).hexdigest())
+    assert r.feature.startswith("1152x8196;")
+    monkeypatch.setattr(webp, "MAX_SIDE", 1200)  # 2 widths; the longest image has 1,382,400 samples
+    for size in (576, 1201 * 576, 2399 * 576, 2401 * 576, 7201 * 576):
+        raw = np.frombuffer(full, np.uint8)[:size]
+        media = webp.write_samples(raw, np.array([0, size]))
+        assert webp.read_samples(media, [size]) == [raw.tobytes()]
+
+
 def test_secrets(spark, docs, none, tmp_path):
     ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
     found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in ledger.update(docs).collect()}
