@@ -20,48 +20,83 @@ def with_causes(log: DataFrame) -> DataFrame:
     return out.withColumn("causation_id", F.when(F.lag("phase").over(order) != F.col("phase"), before))
 
 
-def descendants(log: DataFrame, roots: DataFrame, rounds: int = 50) -> DataFrame:
+def _kept(frame: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's shared folder."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    return frame.checkpoint()
+
+
+def _walked(links: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(root_id, event_id, depth): ``start`` and all that follows from it by (event_id, causation_id) links, at least depth.
+
+    The frontier is joined with its children round by round; an event that a root has
+    reached before is not walked again, so that cycles end.  With ``rounds``, events left
+    beyond them are an error.
+    """
+    links = _kept(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), "causation_id").distinct())
+    front = seen = _kept(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while True:
+        depth += 1
+        reached = front.join(links, F.col("event_id") == F.col("causation_id")).select("root_id", F.col("child").alias("event_id")).distinct()
+        front = _kept(reached.join(seen, ["root_id", "event_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen
+        if rounds is not None and depth > rounds:
+            raise RuntimeError(f"causal chains go on beyond {rounds} rounds")
+        seen = _kept(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
+
+
+def descendants(log: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(root_id, event_id, depth) of all events that a root led to, by cause (J-09).
 
-    The frontier is joined with its children round by round inside one recursive plan;
-    a cycle ends at ``rounds``, and an event counts once at its least depth.
+    Chains are followed to their ends, with ``rounds`` as far as that and an error beyond;
+    cycles end, and an event counts once at its least depth.
     """
-    spark = log.sparkSession
-    log.select("event_id", "causation_id").filter("causation_id is not null").createOrReplaceTempView("tallyfold_links")
-    roots.select("root_id").distinct().createOrReplaceTempView("tallyfold_roots")
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk (root_id, event_id, depth) AS (
-          SELECT root_id, root_id, 0 FROM tallyfold_roots
-          UNION ALL SELECT w.root_id, l.event_id, w.depth + 1 FROM walk w JOIN tallyfold_links l ON l.causation_id = w.event_id WHERE w.depth < {int(rounds)}
-        ) SELECT root_id, event_id, min(depth) AS depth FROM walk GROUP BY root_id, event_id"""
-    )
-    return walked.filter("depth > 0 and event_id <> root_id")
+    start = roots.select("root_id", F.col("root_id").alias("event_id"))
+    return _walked(log.select("event_id", "causation_id"), start, rounds).filter("depth > 0")
 
 
 def branches(log: DataFrame, event_type: str, key: str = "application_id") -> DataFrame:
     """The first event of a type in each application (W-16)."""
-    return log.filter(is_type(event_type)).groupBy(key).agg(F.min("global_position").alias("branch_position"), F.min_by("event_id", "global_position").alias("branch_id"))
+    first = lambda c, name: F.min_by(c, "global_position").alias(name)
+    return log.filter(is_type(event_type)).groupBy(key).agg(F.min("global_position").alias("branch_position"), first("event_id", "branch_id"), first("stream_id", "branch_stream"), first("stream_position", "branch_stream_position"))
 
 
 def divergence(log: DataFrame, event_type: str, key: str = "application_id") -> DataFrame:
-    """Events that a change of the branch event undoes: it and all later ones of its stream (C-05)."""
-    at = branches(log, event_type, key)
-    return log.join(at, key).filter(F.col("global_position") >= F.col("branch_position")).select(key, "global_position", "event_type", (F.col("global_position") == F.col("branch_position")).alias("is_branch"))
+    """Events that a change of the branch event undoes (C-05).
+
+    They are the branch event, the later ones of its stream, and what these led to by
+    cause within the application, as far as it lies behind the branch.
+    """
+    joined = log.join(branches(log, event_type, key), key)
+    own = (F.col("stream_id") == F.col("branch_stream")) & (F.col("stream_position") >= F.col("branch_stream_position"))
+    # An event counts under its application alone; a cause outside the application ends a chain.
+    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(key, F.col(c).alias("id")))
+    links = joined.select(name("event_id").alias("event_id"), name("causation_id").alias("causation_id"))
+    start = joined.filter(own).select(name("branch_id").alias("root_id"), name("event_id").alias("event_id"))
+    gone = _walked(links, start).select(F.col(f"event_id.{key}").alias(key), F.col("event_id.id").alias("event_id")).distinct()
+    undone = joined.filter("global_position >= branch_position").join(gone, [key, "event_id"], "left_semi")
+    return undone.select(key, "global_position", "event_type", (F.col("global_position") == F.col("branch_position")).alias("is_branch"))
 
 
 def what_if(log: DataFrame, event_type: str, decision: str, key: str = "application_id") -> DataFrame:
     """Outcome of each application as it was, and with its branch event replaced by a final decision.
 
-    Later events of the branch's stream depend on it and go; the injected event follows what is left.
+    What ``divergence`` finds goes; the injected event stands in the branch's place, and
+    later events that do not depend on the branch stay behind it.
     """
     final = F.when(is_type("ApplicationApproved"), "FINAL_APPROVED").when(is_type("ApplicationDeclined"), "FINAL_DECLINED").when(is_type("ApplicationSubmitted"), "SUBMITTED")
     fold = lambda rows, name: rows.groupBy(key).agg(F.coalesce(F.max_by(final, F.when(final.isNotNull(), F.col("global_position"))), F.lit("UNKNOWN")).alias(name))
-    at = branches(log, event_type, key)
-    kept = log.join(at, key).filter(F.col("global_position") < F.col("branch_position")).select(key, "event_type", "global_position")
+    at, gone = branches(log, event_type, key), _kept(divergence(log, event_type, key))
+    related = log.join(at, key, "left_semi")
+    kept = related.join(gone, [key, "global_position"], "left_anti").select(key, "event_type", "global_position")
     injected = at.select(key, F.lit("ApplicationApproved" if decision == "APPROVE" else "ApplicationDeclined").alias("event_type"), F.col("branch_position").alias("global_position"))
-    real = fold(log.join(at, key, "left_semi"), "real_outcome")
+    real = fold(related, "real_outcome")
     other = fold(kept.unionByName(injected), "counterfactual_outcome")
-    undone = divergence(log, event_type, key).groupBy(key).agg(F.count("*").alias("events_undone"))
+    undone = gone.groupBy(key).agg(F.count("*").alias("events_undone"))
     return real.join(other, key).join(undone, key).withColumn("diverges", F.col("real_outcome") != F.col("counterfactual_outcome"))
 
 

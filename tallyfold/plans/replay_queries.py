@@ -155,6 +155,13 @@ def causal_descendants(spark, sf_dir):
     return causal.descendants(log, roots)
 
 
+@query()
+def causal_closure(spark, sf_dir):
+    """Descendants of every application's submission; the SQL beside ``causal_descendants`` takes one root in fifty."""
+    log = causal.with_causes(case_log(spark, sf_dir))
+    return causal.descendants(log, log.filter(pj.is_type("ApplicationSubmitted")).select(F.col("event_id").alias("root_id")))
+
+
 @query(""", br AS (SELECT application_id, min(global_position) AS b FROM log WHERE event_type = 'DecisionGenerated' GROUP BY 1
 ) SELECT application_id, CASE o_orderstatus WHEN 'F' THEN 'FINAL_APPROVED' WHEN 'O' THEN 'FINAL_DECLINED' ELSE 'SUBMITTED' END AS real_outcome, 'FINAL_DECLINED' AS counterfactual_outcome,
   (SELECT count(*) FROM log l WHERE l.application_id = br.application_id AND l.global_position >= b) AS events_undone, o_orderstatus <> 'O' AS diverges FROM br JOIN orders ON o_orderkey = application_id""")

@@ -104,6 +104,37 @@ def test_causal_descendants_survive_a_cycle(spark):
     assert got == {("b", 1), ("c", 2), ("d", 3)}
 
 
+def test_causal_descendants_of_long_chains(spark):
+    rows = spark.createDataFrame([(f"e{i}", f"e{i - 1}" if i else None) for i in range(61)], "event_id string, causation_id string")
+    root = spark.createDataFrame([("e0",)], "root_id string")
+    assert {(r.event_id, r.depth) for r in causal.descendants(rows, root).collect()} == {(f"e{i}", i) for i in range(1, 61)}
+    assert causal.descendants(rows.limit(9), root, rounds=8).count() == 8
+    with pytest.raises(RuntimeError):
+        causal.descendants(rows, root, rounds=8)
+
+
+def test_causal_closure_takes_every_root(spark):
+    from conftest import SF
+    from tallyfold.plans import catalog
+
+    queries = catalog.queries()
+    roots = {r.root_id for r in queries["causal_closure"](spark, SF).select("root_id").distinct().collect()}
+    assert len(roots) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    some = {tuple(r) for r in queries["causal_descendants"](spark, SF).select("root_id", "event_id", "depth").collect()}
+    assert some <= {tuple(r) for r in queries["causal_closure"](spark, SF).select("root_id", "event_id", "depth").collect()}
+
+
+def test_what_if_keeps_independent_events_of_other_streams(spark):
+    # (position, event, cause, stream, its position, type): the branch is b, of stream s.
+    log = [(1, "a", None, "s", 1, "ApplicationSubmitted"), (2, "b", "a", "s", 2, "DecisionGenerated"), (3, "c", "b", "t", 1, "ApplicationDeclined"), (4, "d", None, "s", 3, "HumanReviewCompleted"),
+           (5, "e", "d", "u", 1, "ApplicationDeclined"), (6, "f", "a", "v", 1, "ApplicationApproved"), (7, "g", "c", "t", 2, "ApplicationDeclined"), (8, "h", "x", "w", 1, "AgentNoted")]
+    rows = [(k, 10 * k + p, f"{k}{e}", c and f"{k}{c}", f"{k}{s}", n, t) for k in (1, 2) for p, e, c, s, n, t in log if k == 1 or e != "f"]
+    frame = spark.createDataFrame(rows, "application_id long, global_position long, event_id string, causation_id string, stream_id string, stream_position long, event_type string")
+    assert {(r.application_id, r.global_position, r.is_branch) for r in causal.divergence(frame, "DecisionGenerated").collect()} == {(k, 10 * k + p, p == 2) for k in (1, 2) for p in (2, 3, 4, 5, 7)}
+    got = {r.application_id: (r.real_outcome, r.counterfactual_outcome, r.events_undone) for r in causal.what_if(frame, "DecisionGenerated", "DECLINE").collect()}
+    assert got == {1: ("FINAL_DECLINED", "FINAL_APPROVED", 5), 2: ("FINAL_DECLINED", "FINAL_DECLINED", 5)}
+
+
 def test_context_after_a_crash(spark):
     rows = [("s", i + 1, k, k == "ERROR") for i, k in enumerate(["AgentContextLoaded", "CreditAnalysisRequested", "ERROR", "CreditAnalysisCompleted", "DecisionGenerated"])]
     frame = spark.createDataFrame(rows, "stream_id string, stream_position long, event_type string, flagged boolean")
