@@ -4,10 +4,8 @@
 colour cache, and inverts predictor, cross-colour, subtract-green and palette
 transforms, into ARGB pixels.  ``encode`` writes them, with any of these.
 
-``write_samples`` stores many byte strings at once as grey images (the sample is the
-green channel, the subtract-green transform copies it), each under a prefix code of
-its own; ``read_samples`` takes such streams back, one symbol of every image per
-round over whole arrays, and leaves every other stream to ``decode``.
+``write_samples`` stores byte strings as grey images with a palette, back-references and
+a colour cache, all by ``encode``; ``read_samples`` takes them back by ``decode``.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from .arrays import rebatched, utf8
 
 ROW = 576
 MAX_SIDE = 16384
-MAX_BITS = 10
+CACHE_BITS = 4
 BATCH_BYTES = 10 << 20
 
 #: Fixed values of the format.
@@ -59,18 +57,20 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
         return out
     floor = 1
     while True:
-        heap = [(max(n, floor), i, (i,)) for n, i in used]
+        heap = [(max(n, floor), i) for n, i in used]
         heapq.heapify(heap)
-        depth = dict.fromkeys((i for _, i in used), 0)
+        above: dict[int, int] = {}
         serial = len(counts)
         while len(heap) > 1:
             a = heapq.heappop(heap)
-            b = heapq.heappop(heap)
-            both = a[2] + b[2]
-            for i in both:
-                depth[i] += 1
-            heapq.heappush(heap, (a[0] + b[0], serial, both))
+            b = heap[0]
+            above[a[1]] = above[b[1]] = serial
+            heapq.heapreplace(heap, (a[0] + b[0], serial))
             serial += 1
+        depth = {serial - 1: 0}
+        for node in range(serial - 2, len(counts) - 1, -1):
+            depth[node] = depth[above[node]] + 1
+        depth = {i: depth[above[i]] + 1 for _, i in used}
         if max(depth.values()) <= most:
             break
         floor = max(floor * 2, sum(n for n, _ in used) >> (most + 1))
@@ -79,12 +79,14 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
     return out
 
 
+@lru_cache(1)
+def _mirror() -> list[int]:
+    return [int(f"{i:08b}"[::-1], 2) for i in range(256)]
+
+
 def _reversed_bits(value: int, n: int) -> int:
-    out = 0
-    for _ in range(n):
-        out = out << 1 | value & 1
-        value >>= 1
-    return out
+    turned = _mirror()
+    return (turned[value & 255] << 8 | turned[value >> 8]) >> (16 - n)
 
 
 def canonical(lengths: list[int]) -> list[int]:
@@ -111,8 +113,25 @@ class BitWriter:
             self.value >>= 512
             self.size -= 512
 
-    def bits(self) -> int:
-        return 512 * len(self.done) + self.size
+    def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many values of at most 32 bits each."""
+        stop = np.cumsum(sizes)
+        total = int(stop[-1]) + self.size if len(stop) else self.size
+        spot = stop - sizes + self.size
+        values = values.astype(np.uint64) << (spot & 31).astype(np.uint64)
+        words = np.zeros(total // 512 * 16 + 18, np.uint64)
+        if len(spot):
+            word = spot >> 5
+            edge = np.flatnonzero(np.diff(word, prepend=-1))
+            words[word[edge]] += np.add.reduceat(values & np.uint64(0xFFFFFFFF), edge)
+            words[word[edge] + 1] += np.add.reduceat(values >> np.uint64(32), edge)
+        raw = words.astype("<u4").tobytes()
+        raw = (int.from_bytes(raw[:64], "little") | self.value).to_bytes(64, "little") + raw[64:]
+        full = total // 512 * 64
+        if full:
+            self.done.append(raw[:full])
+        self.size = total % 512
+        self.value = int.from_bytes(raw[full : full + 64], "little")
 
     def take(self) -> bytes:
         return b"".join([*self.done, self.value.to_bytes((self.size + 7) // 8, "little")])
@@ -122,6 +141,10 @@ class BitReader:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data, 0, 8 * len(data)
 
+    def look(self) -> int:
+        a = self.at >> 3
+        return int.from_bytes(self.data[a : a + 8], "little") >> (self.at & 7)
+
     def get(self, n: int) -> int:
         if not n:
             return 0
@@ -134,35 +157,28 @@ class BitReader:
 
 
 class Code:
-    """A prefix code ready for reading."""
+    """A prefix code ready for reading: ``table`` has symbol and bits by the next ``mask`` bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        used = [s for s, n in lengths.items() if n]
-        self.lone = used[0] if len(used) == 1 else None
-        if not used:
-            self.lone = 0
-        self.most = max(lengths.values(), default=0)
-        self.known: dict[int, int] = {}
-        if self.lone is None:
-            if sum(1 << (self.most - lengths[s]) for s in used) != 1 << self.most:
-                raise ValueError("an incomplete or overfull prefix code")
-            code, last = 0, 0
-            for n, s in sorted((lengths[s], s) for s in used):
-                code <<= n - last
-                last = n
-                self.known[1 << n | code] = s
-                code += 1
+        used = sorted((n, s) for s, n in lengths.items() if n)
+        if len(used) < 2:
+            self.table, self.mask = [used[0][1] << 4 if used else 0], 0
+            return
+        most = used[-1][0]
+        if sum(1 << (most - n) for n, _ in used) != 1 << most:
+            raise ValueError("an incomplete or overfull prefix code")
+        self.table, self.mask = [0] * (1 << most), (1 << most) - 1
+        code, last = 0, 0
+        for n, s in used:
+            code <<= n - last
+            last = n
+            self.table[_reversed_bits(code, n) :: 1 << n] = [s << 4 | n] * (1 << (most - n))
+            code += 1
 
     def read(self, bits: BitReader) -> int:
-        if self.lone is not None:
-            return self.lone
-        code = 1
-        while True:
-            code = code << 1 | bits.get(1)
-            if (s := self.known.get(code)) is not None:
-                return s
-            if code >> self.most > 1:
-                raise ValueError("no such prefix code")
+        hit = self.table[bits.look() & self.mask]
+        bits.get(hit & 15)
+        return hit >> 4
 
 
 def _put_code(out: BitWriter, counts: list[int], most: int = 15) -> tuple[list[int], list[int]]:
@@ -273,13 +289,6 @@ def _divided(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def _value(symbol: int, bits: BitReader) -> int:
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.get(extra) + 1
-
-
 def _entropy_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.get(4) if bits.get(1) else 0
     if cache_bits > 11:
@@ -292,38 +301,86 @@ def _entropy_image(bits: BitReader, width: int, height: int, main: bool) -> np.n
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[Code(_get_code(bits, n)) for n in sizes] for _ in range(groups)]
     total = width * height
-    out = [0] * total
+    out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift = 32 - cache_bits
-    at = 0
+    near = _near()
     green, red, blue, alpha, dist = codes[0]
+    table, mask = green.table, green.mask
+    plain = not (red.mask or blue.mask or alpha.mask)
+    base = alpha.table[0] >> 4 << 24 | red.table[0] >> 4 << 16 | blue.table[0] >> 4
+    data, spot, word, have = bits.data, bits.at >> 3, 0, 0  # the next ``have`` bits are in ``word``
+    skip = bits.at & 7
+    word, have, spot = int.from_bytes(data[spot : spot + 24], "little") >> skip, 192 - skip, spot + 24
+    at = cached = 0  # pixels made, and of these put into the cache
     while at < total:
         if plan is not None:
             green, red, blue, alpha, dist = codes[plan[(at // width) >> tile, (at % width) >> tile]]
-        s = green.read(bits)
+            table, mask, plain = green.table, green.mask, False
+        if have < 96:
+            if spot > len(data) + 24:
+                raise ValueError("the stream ends early")
+            word |= int.from_bytes(data[spot : spot + 24], "little") << have
+            have += 192
+            spot += 24
+        hit = table[word & mask]
+        n = hit & 15
+        word >>= n
+        have -= n
+        s = hit >> 4
         if s < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            fresh = [a << 24 | r << 16 | s << 8 | b]
+            if plain:
+                out.append(base | s << 8)
+            else:
+                pixel = s << 8
+                for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+                    hit = code.table[word & code.mask]
+                    word >>= hit & 15
+                    have -= hit & 15
+                    pixel |= hit >> 4 << place
+                out.append(pixel)
+            at += 1
         elif s < 280:
-            n = _value(s - 256, bits)
-            back = _value(dist.read(bits), bits)
+            s -= 256
+            if s < 4:
+                n = s + 1
+            else:
+                extra = (s - 2) >> 1
+                n = ((2 + (s & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
+                word >>= extra
+                have -= extra
+            hit = dist.table[word & dist.mask]
+            word >>= hit & 15
+            have -= hit & 15
+            s = hit >> 4
+            if s < 4:
+                back = s + 1
+            else:
+                extra = (s - 2) >> 1
+                back = ((2 + (s & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
+                word >>= extra
+                have -= extra
             if back > 120:
                 back -= 120
             else:
-                x, y = _near()[back - 1]
+                x, y = near[back - 1]
                 back = max(1, x + y * width)
             if back > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(at, at + n):
-                out[k] = out[k - back]
-            fresh = out[at : at + n]
+            if back >= n:
+                out += out[at - back : at - back + n]
+            else:
+                out += (out[at - back :] * (n // back + 1))[:n]
+            at += n
         else:
-            fresh = [cache[s - 280]]
-        out[at : at + len(fresh)] = fresh
-        at += len(fresh)
-        if cache_bits:
-            for p in fresh:
+            for p in out[cached:at]:
                 cache[(p * _CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = p
+            cached = at
+            out.append(cache[s - 280])
+            at += 1
+    bits.at = 8 * spot - have
+    if bits.at > bits.end:
+        raise ValueError("the stream ends early")
     return np.array(out, np.uint32).reshape(height, width)
 
 
@@ -491,78 +548,93 @@ def decode(data: bytes) -> np.ndarray:
 # -------------------------------------------------------------------- encoding
 
 
-def _prefix(value: int) -> tuple[int, int, int]:
-    """(symbol, extra bits' value, their number) of a length or distance."""
-    value -= 1
-    if value < 4:
-        return value, 0, 0
-    high = value.bit_length() - 1
-    second = value >> (high - 1) & 1
-    return 2 * high + second, value & ((1 << (high - 1)) - 1), high - 1
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits' value, their number) of lengths or distances."""
+    value = values - 1
+    high = np.maximum(np.frexp(value.astype(np.float64))[1] - 1, 1).astype(np.int64)
+    small = value < 4
+    symbol = np.where(small, value, 2 * high + (value >> (high - 1) & 1))
+    return symbol, np.where(small, 0, value & ((1 << (high - 1)) - 1)), np.where(small, 0, high - 1)
+
+
+@lru_cache(64)
+def _near_codes(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(_near())))}
+
+
+def _same_before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last place before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _copies(flat: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(place, length, distance code) of runs of three pixels or more that stood before, greedily."""
+    total = len(flat)
+    if total < 4:
+        return []
+    x = flat.astype(np.uint64)
+    before = memoryview(_same_before((x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]))
+    pixel, raw, near, out, at = memoryview(flat), flat.tobytes(), _near_codes(width), [], 0
+    while at < total - 2:
+        back = before[at]
+        if back >= 0:
+            length, most = 0, min(total - at, 4096)
+            while length + 32 <= most and raw[4 * (back + length) : 4 * (back + length + 32)] == raw[4 * (at + length) : 4 * (at + length + 32)]:
+                length += 32
+            while length < most and pixel[back + length] == pixel[at + length]:
+                length += 1
+            if length >= 3:
+                away = at - back
+                out.append((at, length, near.get(away, away + 120)))
+                at += length
+                continue
+        at += 1
+    return out
 
 
 def _put_entropy_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    height, width = pixels.shape
-    flat = pixels.ravel().tolist()
-    near = {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(_near())))}
-    items: list[tuple] = []
-    cache: list[int | None] = [None] * (1 << cache_bits)
-    heads: dict[tuple, int] = {}
-    at = 0
-    while at < len(flat):
-        length = 0
-        if references and at + 3 <= len(flat):
-            back = heads.get(tuple(flat[at : at + 3]))
-            if back is not None:
-                while at + length < len(flat) and length < 4096 and flat[back + length] == flat[at + length]:
-                    length += 1
-        if length >= 3:
-            away = at - back
-            items.append(("copy", length, near.get(away, away + 120)))
-            step = length
-        else:
-            pixel = flat[at]
-            slot = (pixel * _CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            items.append(("cache", slot) if cache_bits and cache[slot] == pixel else ("pixel", pixel))
-            step = 1
-        for k in range(at, at + step):
-            heads[tuple(flat[k : k + 3])] = k
-            if cache_bits:
-                cache[(flat[k] * _CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)] = flat[k]
-        at += step
-    counts = [[0] * n for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
-    for item in items:
-        if item[0] == "pixel":
-            p = item[1]
-            for k, s in enumerate((p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24)):
-                counts[k][s] += 1
-        elif item[0] == "cache":
-            counts[0][280 + item[1]] += 1
-        else:
-            counts[0][256 + _prefix(item[1])[0]] += 1
-            counts[4][_prefix(item[2])[0]] += 1
+    flat = np.ascontiguousarray(pixels, np.uint32).ravel()
+    place, length, away = np.array(_copies(flat, pixels.shape[1]) if references else [], np.int64).reshape(-1, 3).T
+    edge = np.zeros(len(flat) + 1, np.int64)
+    edge[place] += 1
+    edge[place + length] -= 1
+    kept = edge[:-1].cumsum() == 0
+    kept[place] = True
+    at = np.flatnonzero(kept)  # where an item starts
+    copy = np.searchsorted(at, place)
+    # The four fields of an item: symbol, red, blue and alpha, or length, extra, distance and extra.
+    values = np.stack([flat[at] >> s & 255 for s in (8, 16, 0, 24)], axis=1).astype(np.int64)
+    is_pixel = np.ones(len(at), bool)
+    is_pixel[copy] = False
+    if cache_bits:
+        slot = ((flat.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.uint16)
+        before = _same_before(slot)
+        hit = is_pixel & (before[at] >= 0) & (flat[before[at]] == flat[at])
+        is_pixel &= ~hit
+        values[hit, 0] = 280 + slot[at[hit]]
+    long, long_extra, long_bits = _prefixes(length)
+    far, far_extra, far_bits = _prefixes(away)
+    values[copy] = np.stack([256 + long, long_extra, far, far_extra], axis=1)
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    seen = [values[:, 0], *(values[is_pixel, k] for k in (1, 2, 3)), far]
     out.put(1 if cache_bits else 0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
-    codes = [_put_code(out, c) for c in counts]
-
-    def put(k: int, s: int) -> None:
-        out.put(codes[k][0][s], codes[k][1][s])
-
-    for item in items:
-        if item[0] == "pixel":
-            p = item[1]
-            for k, s in enumerate((p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24)):
-                put(k, s)
-        elif item[0] == "cache":
-            put(0, 280 + item[1])
-        else:
-            for k, value in ((0, item[1]), (4, item[2])):
-                s, extra, n = _prefix(value)
-                put(k, s + 256 if k == 0 else s)
-                out.put(extra, n)
+    codes = [tuple(map(np.array, _put_code(out, np.bincount(x, minlength=n).tolist()))) for x, n in zip(seen, sizes)]
+    bits, widths = np.zeros_like(values), np.zeros_like(values)
+    bits[:, 0], widths[:, 0] = codes[0][0][values[:, 0]], codes[0][1][values[:, 0]]
+    for k in (1, 2, 3):
+        if codes[k][1].any():
+            bits[is_pixel, k], widths[is_pixel, k] = codes[k][0][values[is_pixel, k]], codes[k][1][values[is_pixel, k]]
+    bits[copy, 1:] = np.stack([long_extra, codes[4][0][far], far_extra], axis=1)
+    widths[copy, 1:] = np.stack([long_bits, codes[4][1][far], far_bits], axis=1)
+    out.put_many(np.where(widths > 0, bits, 0).ravel(), widths.ravel())
 
 
 def _file(body: bytes) -> bytes:
@@ -636,7 +708,7 @@ def encode(
     return _file(out.take())
 
 
-# ------------------------------------------------------- many grey images at once
+# ----------------------------------------------------------- texts as grey images
 
 
 def _sides(n: int) -> tuple[int, int]:
@@ -676,76 +748,12 @@ def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
     if len(at) < 2:
         return []
     payload, at, sides, counts = _strips(payload, at)
-    files = iter(_write_images(payload, at, sides))
+    grey = payload * np.uint32(0x010101) | np.uint32(_BLACK)
+    images = [grey[a:b].reshape(height, width) for a, b, (width, height) in zip(at, at[1:], sides)]
+    files = (encode(image, palette=True, cache_bits=CACHE_BITS) for image in images)
     return [b"".join(islice(files, k)) for k in counts]
 
 
-def _write_images(payload: np.ndarray, at: np.ndarray, sides: list[tuple[int, int]]) -> list[bytes]:
-    n = len(sides)
-    sizes = np.diff(at)
-    owner = np.repeat(np.arange(n, dtype=np.int64) << 8, sizes)
-    owner += payload
-    counts = np.bincount(owner, minlength=n << 8).reshape(n, 256)
-    codes = np.zeros((n, 256), np.uint64)
-    lengths = np.zeros((n, 256), np.int64)
-    heads, head_bits = [], np.zeros(n, np.int64)
-    for i in range(n):
-        out = BitWriter()
-        _header(out, *sides[i], False)
-        out.put(0b101, 3)  # a transform, subtract-green ...
-        out.put(0, 1)  # ... and no other
-        out.put(0, 2)  # no colour cache, no entropy image
-        code, length = _put_code(out, counts[i].tolist() + [0] * 24, MAX_BITS)
-        codes[i], lengths[i] = code[:256], length[:256]
-        for symbol in (0, 0, 255, 0):
-            _put_code(out, [0] * symbol + [1] + [0] * (255 - symbol))
-        head_bits[i] = out.bits()
-        heads.append(out.take())
-    data_bits = (counts * lengths).sum(1)
-    size = (head_bits + data_bits + 7) // 8
-    base = np.concatenate([[0], np.cumsum((size + 7) // 4 * 4 + 4)])
-    words = np.zeros(int(base[-1]) // 4 + 2, np.uint64)
-    width = lengths.ravel().take(owner)
-    spot = np.cumsum(width)
-    spot -= width
-    spot += np.repeat(base[:-1] * 8 + head_bits - np.concatenate([[0], np.cumsum(data_bits)[:-1]]), sizes)
-    value = codes.ravel().take(owner) << (spot & 31).astype(np.uint64)
-    word = spot >> 5
-    edge = np.flatnonzero(np.diff(word, prepend=-1))
-    words[word[edge]] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), edge)
-    words[word[edge] + 1] += np.add.reduceat(value >> np.uint64(32), edge)
-    raw = words.astype("<u4").tobytes()
-    out = []
-    for i, head in enumerate(heads):
-        start = int(base[i])
-        body = bytearray(raw[start : start + int(size[i])])
-        short = len(head) - 1
-        body[:short] = head[:short]
-        body[short] |= head[short]
-        out.append(_file(bytes(body)))
-    return out
-
-
-_TURNED = np.array([_reversed_bits(i, MAX_BITS) for i in range(1 << MAX_BITS)])
-
-
-def _plain_head(body: bytes) -> tuple[int, int, dict[int, int]] | None:
-    """(samples, first bit of the pixels, green code) of a stream that ``write_samples`` could have made."""
-    bits = BitReader(body)
-    if bits.get(8) != _SIGNATURE:
-        return None
-    n = (bits.get(14) + 1) * (bits.get(14) + 1)
-    if bits.get(4) or bits.get(3) != 0b101 or bits.get(3):
-        return None
-    green = _get_code(bits, 280)
-    for symbol in (0, 0, 255, 0):
-        if _get_code(bits, 256) != {symbol: 1}:
-            return None
-    if max(green, default=0) > 255 or max(green.values(), default=0) > MAX_BITS:
-        return None
-    return n, bits.at, green
-
-
 def _split(data: bytes) -> list[bytes]:
     """The files that stand one behind the other."""
     out, at = [], 0
@@ -759,75 +767,10 @@ def _split(data: bytes) -> list[bytes]:
 def read_samples(media: list[bytes], sizes: list[int]) -> list[bytes]:
     """The first ``sizes[i]`` samples of the green channel of the i-th run's files."""
     split = [_split(data) for data in media]
-    found = iter(_read_images([file for files in split for file in files]))
+    found = ((decode(file) >> 8).astype(np.uint8).tobytes() for files in split for file in files)
     return [b"".join(islice(found, len(files)))[:n] for files, n in zip(split, sizes)]
 
 
-def _read_images(files: list[bytes]) -> list[bytes]:
-    """The green channel of each file."""
-    out: list[bytes | None] = [None] * len(files)
-    lanes = []
-    for i, data in enumerate(files):
-        body = _chunk(data)
-        head = _plain_head(body)
-        if head is None:
-            out[i] = (decode(data) >> 8).astype(np.uint8).tobytes()
-        elif len(head[2]) == 1:
-            out[i] = bytes(head[2].keys()) * head[0]
-        else:
-            lanes.append((head[0], i, head[1], head[2], body))
-    lanes.sort(key=lambda x: (-x[0], x[1]))
-    first = 0
-    while first < len(lanes):
-        last = min(len(lanes), first + max(1, (24 << 20) // lanes[first][0]))
-        _read_lanes(lanes[first:last], out)
-        first = last
-    return out
-
-
-def _read_lanes(lanes: list[tuple], out: list[bytes | None]) -> None:
-    """Five symbols of every image a round; images are in order of falling size."""
-    sizes = np.array([x[0] for x in lanes])
-    table = np.zeros((len(lanes), 1 << MAX_BITS), np.uint16)
-    starts, parts, at = [], [], 0
-    for k, (_, _, bit, green, body) in enumerate(lanes):
-        used = sorted((n, s) for s, n in green.items())
-        entry = np.array([s << 4 | n for n, s in used], np.uint16)
-        run = np.array([1 << (MAX_BITS - n) for n, _ in used])
-        table[k] = np.repeat(entry, run)[_TURNED]
-        starts.append(8 * at + bit)
-        parts.append(body)
-        at += len(body)
-    parts.append(b"\0" * (16 + -at % 8))
-    whole = np.frombuffer(b"".join(parts), "<u8")
-    position = np.array(starts, np.int64)
-    base = np.arange(len(lanes), dtype=np.int64) << MAX_BITS
-    flat = table.ravel()
-    rounds = -(-int(sizes[0]) // 5)
-    grid = np.zeros((5 * rounds, len(lanes)), np.uint8)
-    alive = np.searchsorted(-sizes, -5 * np.arange(rounds), side="left")  # lanes with more samples than that
-    mask = np.uint64((1 << MAX_BITS) - 1)
-    low, one, last_bit = np.int64(15), np.uint64(1), np.uint64(63)
-    for r in range(rounds):
-        n = int(alive[r])
-        p = position[:n]
-        spot = p >> 6
-        shift = (p & 63).astype(np.uint64)
-        word = whole.take(spot) >> shift
-        spot += 1
-        word |= (whole.take(spot) << one) << (last_bit - shift)
-        own = base[:n]
-        for k in range(5):
-            hit = flat.take((word & mask).astype(np.int64) + own)
-            grid[5 * r + k, :n] = hit >> 4
-            step = hit & low
-            p += step
-            word >>= step.astype(np.uint64)
-    lines = np.ascontiguousarray(grid.T)
-    for k, (n, i, *_) in enumerate(lanes):
-        out[i] = lines[k, :n].tobytes()
-
-
 def padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every run with bytes 255 up to a positive multiple of ROW."""
     sizes = np.diff(at)

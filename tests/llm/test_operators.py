@@ -226,6 +226,16 @@ def test_webp_stores_lengths_that_fill_no_rectangle(spark, monkeypatch):
         assert webp.read_samples(media, [size]) == [raw.tobytes()]
 
 
+def test_webp_texts_go_through_the_whole_codec(monkeypatch):
+    raw = np.frombuffer((SHARED * 400).encode()[: 80 * 576], np.uint8)
+    media, calls, whole = webp.write_samples(raw, np.array([0, len(raw)])), [], webp.decode
+    monkeypatch.setattr(webp, "decode", lambda data: calls.append(len(data)) or whole(data))
+    assert webp.read_samples(media, [len(raw)]) == [raw.tobytes()] and calls == [len(media[0])]
+    bits = webp.BitReader(webp._chunk(media[0])[1:])
+    assert [bits.get(n) for n in (14, 14, 1, 3, 1, 2)] == [575, 79, 0, 0, 1, 3]  # the palette transform
+    assert len(media[0]) < len(raw) / 16  # prefix codes alone take a bit a sample or more
+
+
 def test_secrets(spark, docs, none, tmp_path):
     ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
     found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in ledger.update(docs).collect()}
