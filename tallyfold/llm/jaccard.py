@@ -34,10 +34,8 @@ from .substrings import _kept, _word_hashes, ranked
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64
-#: A pair is missed by all runs with at most this probability.
+#: A pair at the threshold is missed with at most this probability: half for all runs, half for the signatures' agreement.
 MISS = 1e-8
-#: Sets whose signatures agree in fewer coordinates are not compared exactly: five deviations below the threshold.
-LIKELY = 0.55
 BUCKET = 64
 BLOCK = 512
 SPLITS = 1
@@ -46,14 +44,27 @@ CHUNK = 4096
 _FACTORS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def runs_for(threshold: float, miss: float = MISS) -> int:
+def likely_for(threshold: float, miss: float = MISS / 2) -> int:
+    """Coordinates that a pair at the threshold shares with probability 1 - ``miss`` at least."""
+    below = 0.0
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        if below > miss:
+            return k
+    return COORDINATES
+
+
+def runs_for(threshold: float, miss: float = MISS / 2) -> int:
     """Runs after which a pair at the threshold is missed with probability ``miss`` at most.
 
     A pair meets in a run's first bucket with probability ``threshold``, and in one of two
     branches of each split with 1 - (1 - threshold)**2.
     """
     meet = threshold * (1 - (1 - threshold) ** 2) ** SPLITS
-    return min(COORDINATES, math.ceil(math.log(miss) / math.log(1 - meet))) if meet < 1 else 1
+    runs = math.ceil(math.log(miss) / math.log(1 - meet)) if meet < 1 else 1
+    if runs > COORDINATES:
+        raise ValueError(f"a threshold of {threshold} takes {runs} runs, more than the {COORDINATES} coordinates allow")
+    return runs
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +147,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _propose(batches: Iterator[pa.RecordBatch], likely: int) -> Iterator[pa.RecordBatch]:
     """A forest of likely pairs of each bucket or pair of blocks."""
     for group in _grouped(batches, "task"):
         ids = group.column("id").to_numpy()
@@ -145,7 +156,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ids, kind="stable")
         ids, sig, side = ids[order], sig[order], side[order]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        i, j = np.nonzero(_alike(sig[left], sig[right]) >= LIKELY)
+        i, j = np.nonzero(_alike(sig[left], sig[right]) * COORDINATES >= likely)
         a, b = left[i], right[j]
         keep = ids[a] != ids[b]
         edges = _forest(len(ids), a[keep], b[keep])
@@ -171,7 +182,7 @@ def _tasks(rows: DataFrame, group: str, limit: int, block: int) -> DataFrame:
     return pairs.withColumn("task", F.xxhash64(group, low, high)).withColumn("side", side).withColumn("whole", F.col("blocks") == 1).drop("own", "other", "blocks", "n")
 
 
-def proposals(sets: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+def proposals(sets: DataFrame, bucket: int = BUCKET, block: int = BLOCK, likely: int = likely_for(THRESHOLD)) -> DataFrame:
     """(a, b) forests of likely similar sets, from (id, sig, paths).
 
     Paths travel without signatures until it is known which of them sets share.
@@ -189,7 +200,7 @@ def proposals(sets: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> Data
         rows = sized.filter("not large").select("id", "path").unionByName(split.select("id", F.explode(F.array(*branches)).alias("path")))
     tasks = _tasks(rows, "path", bucket, block).select("task", "side", F.col("id").alias("i"))
     tasks = tasks.join(signed.hint("merge"), F.col("i") == F.col("of")).select("task", "side", F.col("i").alias("id"), "sig")
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_propose, "a long, b long")
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _propose(b, likely), "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -254,7 +265,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """Every row with class_id, the smallest key of its component of links, and n_links.
 
     ``n_links`` counts other rows whose similarity with this one is at least the
-    threshold, copies among them.  Rows that repeat key and text are one document.
+    threshold, copies among them.  A threshold too low for the coordinates (below about
+    0.4) is an error.  Rows that repeat key and text are one document.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is in (0, 1]")
@@ -264,7 +276,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     runs = runs_for(threshold)
     signed = _kept(documents.mapInArrow(lambda b: _signatures(b, size, runs), "id long, one long, two long, sig binary, paths array<long>"))
     sets = signed.groupBy("one", "two").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("paths").alias("paths"))
-    likely = components(proposals(sets.select("id", "sig", "paths")))
+    likely = components(proposals(sets.select("id", "sig", "paths"), likely=likely_for(threshold)))
 
     # Groups of likely similar sets, compared exactly.
     members = likely.select(F.col("node").alias("m"), F.col("root").alias("task_group")).join(sets.select("id", "copies").hint("merge"), F.col("m") == F.col("id"))

@@ -148,6 +148,16 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == brute_links(pairs)
 
 
+def test_jaccard_bounds_follow_the_threshold():
+    for t in (0.45, 0.5, 0.6, 0.8, 0.95, 1):
+        need = jaccard.likely_for(t)
+        lost = sum(math.comb(64, k) * t**k * (1 - t) ** (64 - k) for k in range(need))
+        missed = (1 - t * (1 - (1 - t) ** 2)) ** jaccard.runs_for(t)
+        assert lost + missed <= 1e-8
+    with pytest.raises(ValueError):
+        jaccard.runs_for(0.2)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
