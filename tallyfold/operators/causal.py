@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .projections import is_type
 
 
@@ -20,14 +21,6 @@ def with_causes(log: DataFrame) -> DataFrame:
     return out.withColumn("causation_id", F.when(F.lag("phase").over(order) != F.col("phase"), before))
 
 
-def _kept(frame: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return frame.checkpoint()
-
-
 def _walked(links: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
     """(root_id, event_id, depth): ``start`` and all that follows from it by (event_id, causation_id) links, at least depth.
 
@@ -35,18 +28,18 @@ def _walked(links: DataFrame, start: DataFrame, rounds: int | None = None) -> Da
     reached before is not walked again, so that cycles end.  With ``rounds``, events left
     beyond them are an error.
     """
-    links = _kept(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), "causation_id").distinct())
-    front = seen = _kept(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))
+    links = kept(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), "causation_id").distinct())
+    front = seen = kept(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while True:
         depth += 1
         reached = front.join(links, F.col("event_id") == F.col("causation_id")).select("root_id", F.col("child").alias("event_id")).distinct()
-        front = _kept(reached.join(seen, ["root_id", "event_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(reached.join(seen, ["root_id", "event_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
         if rounds is not None and depth > rounds:
             raise RuntimeError(f"causal chains go on beyond {rounds} rounds")
-        seen = _kept(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
+        seen = kept(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
 
 
 def descendants(log: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -90,12 +83,12 @@ def what_if(log: DataFrame, event_type: str, decision: str, key: str = "applicat
     """
     final = F.when(is_type("ApplicationApproved"), "FINAL_APPROVED").when(is_type("ApplicationDeclined"), "FINAL_DECLINED").when(is_type("ApplicationSubmitted"), "SUBMITTED")
     fold = lambda rows, name: rows.groupBy(key).agg(F.coalesce(F.max_by(final, F.when(final.isNotNull(), F.col("global_position"))), F.lit("UNKNOWN")).alias(name))
-    at, gone = branches(log, event_type, key), _kept(divergence(log, event_type, key))
+    at, gone = branches(log, event_type, key), kept(divergence(log, event_type, key))
     related = log.join(at, key, "left_semi")
-    kept = related.join(gone, [key, "global_position"], "left_anti").select(key, "event_type", "global_position")
+    stays = related.join(gone, [key, "global_position"], "left_anti").select(key, "event_type", "global_position")
     injected = at.select(key, F.lit("ApplicationApproved" if decision == "APPROVE" else "ApplicationDeclined").alias("event_type"), F.col("branch_position").alias("global_position"))
     real = fold(related, "real_outcome")
-    other = fold(kept.unionByName(injected), "counterfactual_outcome")
+    other = fold(stays.unionByName(injected), "counterfactual_outcome")
     undone = gone.groupBy(key).agg(F.count("*").alias("events_undone"))
     return real.join(other, key).join(undone, key).withColumn("diverges", F.col("real_outcome") != F.col("counterfactual_outcome"))
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import json as js
+from ..sources import shared
 from ..sources.ledger import ACTIVITY_SQL, activity_log
 from ..streaming import views
 from .ledger_queries import query
@@ -15,7 +16,7 @@ from .ledger_queries import query
 @query(" SELECT stream_id, event_type, count(*) AS n, max(global_position) AS last_position FROM activity GROUP BY ALL", ACTIVITY_SQL)
 def streamed_counters(spark, sf_dir):
     """The events table replayed as a stream into a counters view."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/streams/{uuid.uuid4().hex}"
+    folder = f"{shared.folder(spark)}/streams/{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*")
     envelopes = stream.select(F.concat(F.lit("user-"), F.col("user_id")).alias("stream_id"), "event_type", (F.col("event_id") + 1).alias("global_position"), F.col("ts").alias("recorded_at"))
