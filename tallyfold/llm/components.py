@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substrings import _kept
+from ..sources.shared import kept
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Nodes without an edge do not appear.  Every round is cut off by a checkpoint; rounds
     grow with the logarithm of the longest chain.
     """
-    now = _kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(rounds):
         # Large star: every larger neighbour of a node takes the least of the node and its neighbours.
@@ -25,7 +25,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         joined = large.join(least.hint("merge"), F.col("a") == F.col("n"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = _kept(small)
+        now = kept(small)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if mark == (row["n"], row["s"]):
             break

@@ -8,7 +8,34 @@ entropy; maxima pass their gradient to the position that won.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Text that a training task takes at most, besides the bound on its rows.
+SAMPLE_BYTES = 64 << 20
+
+
+def trained(sample: DataFrame, order: list[str], train: Callable[[list[dict]], object], column: str, most: int = SAMPLE_BYTES) -> object:
+    """What ``train`` makes of a bounded sample, in one task and in the given order; only the model comes back.
+
+    Rows are taken while their values of ``column`` stay within ``most`` bytes together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist() if size < most else ():
+                size += len(row[column] or "")
+                if size <= most:
+                    rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([])
 
 
 class MaxConvolution:
@@ -29,6 +56,10 @@ class MaxConvolution:
         self._moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.parts.items()}
         self._step = 0
 
+    def __getstate__(self) -> dict:
+        """A stored net can score; the moments of its training stay behind."""
+        return {k: v for k, v in vars(self).items() if k not in ("_moments", "_step")}
+
     def tables(self) -> dict[int, list[np.ndarray]]:
         """For each width, each tap's product with the embedding table."""
         e = self.parts["embedding"]

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .arrays import mix64, rebatched, utf8, window_hash
 from .components import components
-from .substrings import _kept, _word_hashes, ranked
+from .substrings import _word_hashes, ranked
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -192,7 +193,7 @@ def proposals(sets: DataFrame, bucket: int = BUCKET, block: int = BLOCK, likely:
     for depth in range(SPLITS):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("path").alias("p"), "n")
         sized = rows.join(sizes.hint("merge"), F.col("path") == F.col("p")).select("id", "path", (F.col("n") > bucket).alias("large"))
-        sized = _kept(sized)
+        sized = kept(sized)
         split = sized.filter("large").join(signed.hint("merge"), F.col("id") == F.col("of"))
         for branch in (0, 1):
             split = split.withColumn(f"k{branch}", F.pmod(F.xxhash64("path", F.lit(100 * depth + branch)), F.lit(COORDINATES)).cast("int"))
@@ -274,7 +275,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     if rows is not None:
         documents = documents.dropDuplicates(["id"])
     runs = runs_for(threshold)
-    signed = _kept(documents.mapInArrow(lambda b: _signatures(b, size, runs), "id long, one long, two long, sig binary, paths array<long>"))
+    signed = kept(documents.mapInArrow(lambda b: _signatures(b, size, runs), "id long, one long, two long, sig binary, paths array<long>"))
     sets = signed.groupBy("one", "two").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("paths").alias("paths"))
     likely = components(proposals(sets.select("id", "sig", "paths"), likely=likely_for(threshold)))
 
@@ -284,7 +285,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     grouped = _tasks(members.select("id", "task_group", "copies"), "task_group", BLOCK, BLOCK)
     wanted = grouped.groupBy("id").agg(F.collect_list(F.struct("task", "side", "copies")).alias("tasks"))
     loaded = texts.join(wanted.hint("merge"), F.col("i") == F.col("id")).select("id", "text", F.explode("tasks").alias("t")).select("id", "text", "t.*")
-    found = _kept(loaded.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _compare(b, size, threshold), "id long, links long, link long"))
+    found = kept(loaded.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _compare(b, size, threshold), "id long, links long, link long"))
 
     roots = components(found.filter("link is not null").select(F.col("id").alias("a"), F.col("link").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0").select(F.col("id").alias("l"), "links")
@@ -309,10 +310,10 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     if docs.filter(docs[key].isNull()).isEmpty() and docs.groupBy(key).count().filter("count > 1").isEmpty():
         lead = join(docs, key, text, threshold, size).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("lead__"))
-        return docs.join(lead.hint("shuffle_hash"), docs[key] == F.col("lead__"), "left_semi")
+        return docs.join(lead.hint("merge"), docs[key] == F.col("lead__"), "left_semi")
     digest = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
     numbered = docs.withColumn("tie__", digest).dropDuplicates([key, "tie__"])
-    order = _kept(numbered.select(F.col(key).alias("k__"), F.col("tie__").alias("t__")).orderBy(F.col(key).asc_nulls_first(), "tie__").withColumn("id__", F.monotonically_increasing_id()))
+    order = kept(numbered.select(F.col(key).alias("k__"), F.col("tie__").alias("t__")).orderBy(F.col(key).asc_nulls_first(), "tie__").withColumn("id__", F.monotonically_increasing_id()))
     numbered = numbered.join(order, F.col(key).eqNullSafe(F.col("k__")) & (F.col("tie__") == F.col("t__")))
     lead = join(numbered.select("id__", F.col(text).alias("text__")), "id__", "text__", threshold, size).filter("id__ = class_id").select(F.col("id__").alias("lead__"))
     return numbered.join(lead, F.col("id__") == F.col("lead__"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

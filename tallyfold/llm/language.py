@@ -5,15 +5,13 @@ each window's bytes, their maxima feed a softmax, and a text's windows vote with
 means of their log probabilities.  A filter's first two taps, and the last two of the
 widest, are looked up together by byte pair.
 
-Training takes a bounded sample (``ROWS_PER_LANGUAGE`` texts of each of at most
-``LANGUAGES`` languages, those with the smallest hash of their key; a few windows of
-each, evenly spread over the text).  Every row is scored, with no shuffle.
+Training takes a bounded sample (``ROWS_PER_LANGUAGE`` texts of each of the ``LANGUAGES``
+languages with most rows, those with the smallest hash of their key; a few windows of
+each, evenly spread over the text), in one task.  Every row is scored, with no shuffle.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import rebatched, strings, utf8
-from .convolution import MaxConvolution
+from .convolution import MaxConvolution, trained
 
 WINDOW = 192
 SIZE = 8
@@ -38,20 +36,41 @@ RATE = 0.01
 FOLDS = 5
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by its category; number characters are none."""
+    return any(map(str.isalpha, text))
 
 
 def training_rows(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(k, text, lang) of the bounded sample; keys are chosen before texts are read."""
+    """(k, text, lang) of the bounded sample; keys are chosen before texts are read.
+
+    A language's share of hashes is cut to about three times what is wanted before its
+    rows are ranked, so that no task ranks a language whole.
+    """
     rows = docs.select(docs[key].alias("k"), docs[label].cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("k").isNotNull() & (F.crc32(F.col("k").cast("string").cast("binary")) % FOLDS != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ROWS_PER_LANGUAGE)
-    chosen = chosen.orderBy("n", "lang").limit(ROWS_PER_LANGUAGE * LANGUAGES).select("k", "lang").distinct()
+    sizes = rows.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("of")).orderBy(F.desc("of"), "l").limit(LANGUAGES)
+    share = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(F.broadcast(sizes), F.col("lang") == F.col("l")).filter(share * F.col("of") < 3 * ROWS_PER_LANGUAGE).select("k", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), "k")
+    chosen = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ROWS_PER_LANGUAGE).select("k", "lang")
     texts = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("text"), docs[label].cast("string").alias("lang"))
     return texts.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), ["k", "lang"])
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most WINDOWS_PER_TEXT evenly spread windows of each text, end to end."""
+    for part in rebatched(batches):
+        grid, owner = windows(*utf8(part.column("text")))
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        count = np.maximum(np.bincount(owner, minlength=part.num_rows)[owner], 1)
+        pick = np.flatnonzero((place * WINDOWS_PER_TEXT // count) != ((place - 1) * WINDOWS_PER_TEXT // count))
+        edges = np.searchsorted(owner[pick], np.arange(part.num_rows + 1))
+        taken = [grid[pick[a:b]].tobytes() for a, b in zip(edges, edges[1:])]
+        yield pa.RecordBatch.from_arrays([part.column("k"), part.column("lang"), pa.array(taken, pa.binary())], names=["k", "lang", "taken"])
+
+
 def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(windows, WINDOW) bytes, the last of a text filled with zeros, and whose each is."""
     sizes = np.diff(at)
@@ -89,21 +108,13 @@ class Pairs:
         return out
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", seed: int = 5) -> tuple[list[str], MaxConvolution | None]:
-    """(languages, net) from the bounded sample; no net without a labelled row."""
-    found = sorted(training_rows(docs, key, text, label).collect(), key=lambda r: (zlib.crc32(str(r["k"]).encode()), str(r["k"]), r["text"], r["lang"]))
+def _fitted(found: list[dict], seed: int = 5) -> tuple[list[str], MaxConvolution | None]:
     names = sorted({r["lang"] for r in found})
     if not names:
         return [], None
-    raw, at = utf8(pa.array([r["text"] for r in found], pa.large_string()))
-    grid, owner = windows(raw, at)
     rng = np.random.default_rng(seed)
-    label_of = np.array([names.index(r["lang"]) for r in found])
-    # Evenly spread windows of each text.
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    count = np.bincount(owner, minlength=len(found))[owner]
-    pick = np.flatnonzero((place * WINDOWS_PER_TEXT // np.maximum(count, 1)) != ((place - 1) * WINDOWS_PER_TEXT // np.maximum(count, 1)))
-    grid, y = grid[pick], label_of[owner[pick]]
+    grid = np.frombuffer(b"".join(r["taken"] for r in found), np.uint8).reshape(-1, WINDOW)
+    y = np.repeat([names.index(r["lang"]) for r in found], [len(r["taken"]) // WINDOW for r in found])
     net = MaxConvolution(256, SIZE, WIDTHS, FILTERS, len(names), seed)
     weight = (len(y) / (len(names) * np.maximum(1, np.bincount(y, minlength=len(names)))))[y]
     order, at_row = rng.permutation(len(y)), 0
@@ -116,6 +127,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     return names, net
 
 
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> tuple[list[str], MaxConvolution | None]:
+    """(languages, net) from the bounded sample, trained in one task; no net without a labelled row.
+
+    Rows whose key, text or language is null, and those of the held-out fold, are no examples.
+    """
+    kinds = training_rows(docs, key, text, label).select(F.col("k").cast("string").alias("k"), "text", "lang")
+    sample = kinds.mapInArrow(_spread, "k string, lang string, taken binary").withColumn("order", F.crc32(F.col("k").cast("binary")))
+    return trained(sample, ["order", "k", "taken", "lang"], _fitted, "taken")
+
+
 def predict(docs: DataFrame, names: list[str], net: MaxConvolution | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score): ``und`` with score 0 where a text is null or has no letter."""
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
@@ -136,7 +157,7 @@ def predict(docs: DataFrame, names: list[str], net: MaxConvolution | None, key:
                 total /= np.maximum(1, np.bincount(owner, minlength=n))[:, None]
                 q = np.exp(total - total.max(1, keepdims=True))
                 q /= q.sum(1, keepdims=True)
-                known = np.array([_LETTER.search(t) is not None for t in strings(part.column("text"))], bool)
+                known = np.array([has_letter(t) for t in strings(part.column("text"))], bool)
                 best = q.argmax(1)
                 lang[known] = np.array(own_names, object)[best[known]]
                 score[known] = np.round(q[np.arange(n), best], 6)[known]

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrays import slices, strings, utf8
+from ..sources.shared import written
+from .arrays import rebatched, slices, strings, utf8
 
 #: Kinds in order, each with its version, pattern, least length of the
 #: match and of its group 2, and texts of which a match has one (in lower case).
@@ -30,6 +32,7 @@ RULES: dict[str, tuple[int, re.Pattern, int, int, tuple[str, ...]]] = {
     "pem": (1, re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"), 0, 0, ("-----begin ",)),
 }
 BASE = ("assign", "access", "hex")
+SALTS = 16
 _HEX_RUN = RULES["hex"][2]
 
 _SPANS = "array<struct<kind:string,start:long,stop:long>>"
@@ -102,7 +105,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_
         seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         chosen = chosen.join(seen, "blob", "left").withColumn("pending", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("pending") > 0)
     chosen = chosen.select(F.col("blob").alias("b"), F.col("pick.path").alias("p"), "pending")
-    todo = rows.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
+    todo = rows.join(chosen.hint("merge"), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
     return todo.select("blob", "text", "pending").mapInArrow(_scan, f"blob string, rules array<string>, spans {_SPANS}")
 
 
@@ -127,6 +130,18 @@ def merged(ledger: DataFrame) -> DataFrame:
     return grouped.select("blob", F.array_distinct("rules").alias("rules"), F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
+def incremental(versions: list[DataFrame], path: str = "doc_id", text: str = "text") -> DataFrame:
+    """A ledger, one row a blob, filled by scans of one part of the history after another.
+
+    Each scan reads only what the ledger of the parts before lacks.
+    """
+    ledger = None
+    for part in versions:
+        new = written(scan(part, ledger, path, text), "ledger")
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return merged(ledger)
+
+
 class BlobLedger:
     """A ledger kept as Parquet in a folder that the whole cluster shares."""
 
@@ -161,29 +176,32 @@ def digest(found: DataFrame, key: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; other columns stay.
+    """The documents with every span replaced by its kind in brackets; every row and column stays.
 
-    Overlapping spans are replaced together under the first one's kind.  The text is
-    rewritten by the spans of its blob, joined on the content's address.
+    Overlapping spans are replaced together under the first one's kind; null texts stay
+    null, repeated rows are rewritten each, and columns of any name are carried along.
+    The text is rewritten by the spans of its blob, joined on the content's address; the
+    few blobs with spans are repeated for each of SALTS parts, so that many copies of
+    one blob are rewritten by several tasks.
     """
-    ledger = scan(docs, None, key, text).filter(F.size("spans") > 0).select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__"))
-    rows = docs.withColumn("blob__", F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256))
-    joined = rows.join(ledger.hint("shuffle_hash"), "blob__", "left")
-    at = joined.schema.names.index(text)
-    schema = docs.schema
+    ledger = scan(docs, None, key, text).filter(F.size("spans") > 0)
+    spans = ledger.select(F.col("blob").alias("b"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    whole = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    others = [docs[f"`{c}`"].cast("string") for c in docs.columns if c != text and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    rows = docs.select(whole.alias("row"), F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256).alias("blob"), F.pmod(F.xxhash64(F.lit(SALTS), *others), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = rows.join(spans.hint("merge"), (F.col("blob") == F.col("b")) & (F.col("salt") == F.col("s")), "left")
+    joined = joined.select("row", F.col(f"row.c{docs.columns.index(text)}").cast("string").alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            for i, spans in enumerate(batch.column(batch.schema.names.index("spans__")).to_pylist()):
-                if spans:
-                    texts[i] = masked(texts[i], [(s["kind"], s["start"], s["stop"]) for s in spans])
-            kept = batch.select(schema.names)
-            place = kept.schema.names.index(text)
-            yield kept.set_column(place, kept.schema.field(place), pa.array(texts, kept.schema.field(place).type))
-
-    assert at >= 0
-    return joined.mapInArrow(run, schema)
+        for part in rebatched(batches):
+            texts = part.column("text").to_pylist()
+            for i, found in enumerate(part.column("spans").to_pylist()):
+                if found:
+                    texts[i] = masked(texts[i], [(s["kind"], s["start"], s["stop"]) for s in found])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    out = joined.mapInArrow(run, T.StructType([joined.schema["row"]]).add("text", "string"))
+    return out.select(*[(F.col("text").cast(docs.schema[c].dataType) if c == text else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

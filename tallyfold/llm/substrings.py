@@ -24,7 +24,6 @@ hash of the text.  Keys that are not unique whole numbers are ranked first.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import kept, written
 from .arrays import mix64, prefix_sums, rebatched, span_hash, utf8, window_hash, word_bounds
 
 WORDS = 20
@@ -101,18 +101,11 @@ def ranked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
             return rows.select(F.col("key").cast("long").alias("id"), "text").filter("id is not null"), None
     tied = rows.withColumn("tie", F.xxhash64("text"))
     order = tied.select("key", "tie").distinct().orderBy(F.col("key").asc_nulls_first(), "tie").withColumn("id", F.monotonically_increasing_id())
-    order = _kept(order).select(F.col("key").alias("k"), F.col("tie").alias("t"), "id")
+    order = kept(order).select(F.col("key").alias("k"), F.col("tie").alias("t"), "id")
     joined = tied.join(order, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).select("id", "key", "text", "row")
     return joined.select("id", "text"), joined
 
 
-def _written(frame: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the cluster's shared folder and read again."""
-    folder = f"{frame.sparkSession.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/rows-{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.parquet(folder)
-
-
 def pack(values: np.ndarray) -> bytes:
     """Unsigned whole numbers by byte planes, compressed."""
     most = int(values.max()) if len(values) else 0
@@ -136,14 +129,6 @@ def unzigzag(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(1)).view(np.int64) ^ -(values & np.uint64(1)).view(np.int64)
 
 
-def _kept(frame: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return frame.checkpoint()
-
-
 def _leads(groups: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Of rows in source order, the first of each group of equal rows, and all others."""
     order = np.lexsort(groups[::-1])
@@ -291,7 +276,7 @@ def repeats(documents: DataFrame, k: int = WORDS, m: int = SEED) -> DataFrame:
         raise ValueError(f"0 < m < k and k - m < {1 << _COUNT_BITS}")
     shards = max(16, 2 * documents.rdd.getNumPartitions())
     sent = documents.mapInArrow(lambda b: _send_paths(b, k, m, shards), "shard long, kind int, seed binary, path binary, extra binary, id binary, spot binary")
-    met = _written(sent.groupBy("shard").applyInArrow(lambda t: _meet_paths(t, k), "id long, start long, count long, size long"))
+    met = written(sent.groupBy("shard").applyInArrow(lambda t: _meet_paths(t, k), "id long, start long, count long, size long"))
     mixed = met.filter("size = 0").groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "count")).alias("spots"))
     back = documents.join(mixed.hint("merge"), F.col("id") == F.col("of")).select("id", "text", "spots")
     single = back.mapInArrow(lambda b: _send_edges(b, k, shards), "shard long, kind int, path binary, extra binary, id binary, spot binary")

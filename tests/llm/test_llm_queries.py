@@ -69,7 +69,6 @@ def test_op10_pieces_are_whole(spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     ids = {i: np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in documents(spark).items()}
     covered, windows = dict.fromkeys(ids, 0), {}
     for r in QUERIES["op10_packing"](spark, SF).orderBy("doc_id", "start").collect():

@@ -271,7 +271,6 @@ def test_packing(docs, none):
 
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in TEXTS}
     parts, windows = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(docs, path, tiers=(16, 64, 128)).collect():
