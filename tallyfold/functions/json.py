@@ -25,10 +25,16 @@ def truthy(column: Column) -> Column:
 
 
 def merged(left: Column, right: Column) -> Column:
-    """Two flat objects in one; the right one's keys win."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    mine = F.map_filter(as_map(left), lambda k, v: ~F.map_contains_key(as_map(right), k))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(mine, as_map(right))))))
+    """Two objects in one with sorted keys; the right one's keys win, and values keep their types (K-03)."""
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    mine = F.map_filter(as_map(left), lambda k, v: ~F.coalesce(F.array_contains(F.json_object_keys(right), k), F.lit(False)))
+    return F.to_json(F.try_parse_json(F.to_json(F.map_concat(mine, as_map(right)))))
+
+
+def stamped(metadata: Column, correlation_id: Column, causation_id: Column) -> Column:
+    """Metadata with the correlation and cause that a write gives; null ones leave what is there (K-02)."""
+    given = F.to_json(F.struct(correlation_id.alias("correlation_id"), causation_id.alias("causation_id")))
+    return merged(F.coalesce(metadata, F.lit("{}")), given)
 
 
 def in_unit_range(column: Column) -> Column:

@@ -86,10 +86,10 @@ def compliance_counters(log: DataFrame, as_of: dt.datetime, days: int) -> DataFr
     return row.withColumn("pass_rate", percentage(F.col("passed"), F.col("passed") + F.col("failed")))
 
 
-def top_failed_rules(log: DataFrame, as_of: dt.datetime, days: int, k: int = 5) -> DataFrame:
-    """The k rules that failed most, by regulation set in force (A-06, O-03)."""
+def top_failed_rules(log: DataFrame, as_of: dt.datetime, days: int, k: int = 5, keys: tuple[str, str] = ("rule_id", "rule_version")) -> DataFrame:
+    """The k rules and versions that failed most (A-06, O-03); ties in order of the keys."""
     failed = recent(log, as_of, days).filter(is_type("ComplianceRuleFailed"))
-    return failed.groupBy("rule_id").agg(F.count("*").alias("failures"), F.countDistinct("application_id").alias("applications")).orderBy(F.desc("failures"), "rule_id").limit(k)
+    return failed.groupBy(*keys).agg(F.count("*").alias("failures"), F.countDistinct("application_id").alias("applications")).orderBy(F.desc("failures"), *keys).limit(k)
 
 
 def override_rate(log: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
@@ -104,21 +104,31 @@ def outcomes(log: DataFrame) -> DataFrame:
 
 
 def agent_leaderboard(log: DataFrame, as_of: dt.datetime, days: int, k: int = 6) -> DataFrame:
-    """Decisions of each orchestrator with their outcomes (A-09, J-03)."""
-    decisions = recent(log, as_of, days).filter(is_type("DecisionGenerated")).select("application_id", F.coalesce(F.nullif(F.col("orchestrator"), F.lit("")), F.lit("unknown")).alias("agent_id"))
-    joined = decisions.join(outcomes(log), "application_id", "left")
-    out = joined.groupBy("agent_id").agg(F.count("*").alias("decisions"), F.count_if(F.col("outcome") == "APPROVED").cast("long").alias("approved"), F.count_if(F.col("outcome") == "DECLINED").cast("long").alias("declined"))
-    return out.withColumn("approval_rate", percentage(F.col("approved"), F.col("approved") + F.col("declined"))).orderBy(F.desc("decisions"), "agent_id").limit(k)
+    """Decisions of each orchestrator with their mean confidence and outcomes (A-09, J-03)."""
+    agent = F.coalesce(F.nullif(F.col("orchestrator"), F.lit("")), F.lit("unknown"))
+    decisions = recent(log, as_of, days).filter(is_type("DecisionGenerated")).select("application_id", agent.alias("agent_id"), F.round(F.col("confidence") * 1e6).cast("long").alias("c"))
+    of = lambda name: F.count_if(F.col("outcome") == name).cast("long")
+    out = decisions.join(outcomes(log), "application_id", "left").groupBy("agent_id").agg(
+        F.count("*").alias("decisions"), (F.sum("c") / F.count("c") / 1e6).alias("avg_confidence"), of("APPROVED").alias("approved"), of("DECLINED").alias("declined")
+    )
+    rate = percentage(F.col("approved"), F.col("approved") + F.col("declined"))
+    return out.withColumn("approval_rate", rate).orderBy(F.desc("decisions"), "agent_id").limit(k)
+
+
+def trailing(trend: DataFrame, rows: int = 7, day: str = "day") -> DataFrame:
+    """The last rows of a trend (W-12)."""
+    return trend.orderBy(F.desc(day)).limit(rows)
 
 
 def metrics_summary(clients: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     """Counts and hours from the client view (A-12); empty rates are 0."""
     low, high = _bounds(as_of, days)
     inside = lambda c: (F.col(c) >= low) & (F.col(c) <= high)
-    final = inside("finalized_at")
+    final, seconds = inside("finalized_at"), F.expr("timestampdiff(SECOND, submitted_at, finalized_at)")
     row = clients.agg(
         F.count_if(inside("submitted_at")).cast("long").alias("submitted"), F.count_if(final & (F.col("final_decision") == "APPROVED")).cast("long").alias("approved"),
         F.count_if(final & (F.col("final_decision") == "DECLINED")).cast("long").alias("declined"), F.count_if(F.col("finalized_at").isNull()).cast("long").alias("open"),
+        F.coalesce(F.round(F.avg(F.when(final & (seconds >= 0), seconds)), 2), F.lit(0.0)).alias("mean_seconds"),
     )
     return row.withColumn("approval_rate", percentage(F.col("approved"), F.col("approved") + F.col("declined"), 0.0))
 

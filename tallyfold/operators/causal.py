@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .projections import is_type
+from . import folds
+from .projections import column_of, is_type
 
 
 def with_causes(log: DataFrame) -> DataFrame:
@@ -93,6 +94,34 @@ def what_if(log: DataFrame, event_type: str, decision: str, key: str = "applicat
     return real.join(other, key).join(undone, key).withColumn("diverges", F.col("real_outcome") != F.col("counterfactual_outcome"))
 
 
+def counterfactual(log: DataFrame, event_type: str, injected: list[dict], key: str = "application_id") -> DataFrame:
+    """Each application's outcome as it was and with events in place of its branch event (C-05, W-14).
+
+    ``injected`` are a few events by column name, the same for every application; they
+    stand behind the branch in their order, before later events.  Columns ``real_*`` and
+    ``other_*`` hold the folds of both.
+    """
+    if not injected:
+        raise ValueError("at least one event takes the branch's place")
+    at, gone = branches(log, event_type, key), kept(divergence(log, event_type, key))
+    related = log.join(at.select(key), key, "left_semi")
+    stays = related.join(gone, [key, "global_position"], "left_anti")
+    kinds = {f.name: f.dataType for f in log.schema}
+    rows = [F.struct(F.lit(i + 1).alias("turn"), *[F.lit(event.get(c)).cast(kinds[c]).alias(c) for c in sorted({c for e in injected for c in e})]) for i, event in enumerate(injected)]
+    news = at.select(key, F.col("branch_stream").alias("stream_id"), "branch_position", "branch_stream_position", F.explode(F.array(*rows)).alias("e"))
+    # Between the branch and the next event there is room for the turns.
+    room = 1000
+    place = {"global_position": F.col("branch_position") * room + F.col("e.turn"), "stream_position": F.col("branch_stream_position") + F.col("e.turn")}
+    news = news.withColumns(place).select(key, "stream_id", "global_position", "stream_position", *[F.col(f"e.{c}") for c in sorted({c for e in injected for c in e})])
+    stays = stays.withColumn("global_position", F.col("global_position") * room)
+    other = stays.unionByName(news, allowMissingColumns=True)
+    named = lambda frame, prefix: frame.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in frame.columns if c != key])
+    undone = gone.groupBy(key).agg(F.count("*").alias("events_undone"))
+    simulated = other.groupBy(key).agg(F.count("*").alias("simulated_events"))
+    joined = named(folds.outcome(related, key), "real").join(named(folds.outcome(other, key), "other"), key)
+    return joined.join(undone, key).join(simulated, key)
+
+
 SIGNIFICANT = ("ApplicationSubmitted", "CreditAnalysisCompleted", "FraudScreeningCompleted", "ComplianceRuleFailed", "ComplianceCheckCompleted", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined")
 
 
@@ -111,6 +140,59 @@ def narrative(log: DataFrame) -> DataFrame:
     return log.filter(is_type(*SIGNIFICANT)).select("application_id", "global_position", said.alias("sentence"))
 
 
+def told(log: DataFrame) -> DataFrame:
+    """The sentence of each significant event in the words of an examination (F-34); amounts and scores as they print."""
+    said = lambda *parts: F.concat(*[F.coalesce(p.cast("string"), F.lit("None")) if not isinstance(p, str) else F.lit(p) for p in parts])
+    c = F.col
+    sentence = (
+        F.when(is_type("ApplicationSubmitted"), said("Application ", c("application_id"), " was submitted for ", c("requested_amount"), " USD."))
+        .when(is_type("CreditAnalysisCompleted"), said("Credit analysis by agent ", c("agent_id"), " produced risk tier ", column_of(log, "risk_tier"), " with confidence ", c("confidence"), "."))
+        .when(is_type("FraudScreeningCompleted"), said("Fraud screening by agent ", c("agent_id"), " produced score ", c("fraud_score"), "."))
+        .when(is_type("ComplianceCheckRequested"), said("Compliance checks requested under regulation set ", column_of(log, "regulation_set"), "."))
+        .when(is_type("ComplianceRulePassed"), said("Compliance rule ", c("rule_id"), " passed."))
+        .when(is_type("ComplianceRuleFailed"), said("Compliance rule ", c("rule_id"), " failed: ", c("failure_reason"), "."))
+        .when(is_type("DecisionGenerated"), said("Decision orchestrator recommended ", c("recommendation"), " with confidence ", c("confidence"), "."))
+        .when(is_type("HumanReviewCompleted"), said("Human reviewer ", c("reviewer"), " completed review with decision ", c("final_decision"), "."))
+        .when(is_type("ApplicationApproved"), said("Application approved for ", c("approved_amount"), " USD at interest rate ", column_of(log, "interest_rate", "double"), "."))
+        .when(is_type("ApplicationDeclined"), "Application was declined after review.")
+    )
+    return log.withColumn("sentence", sentence).filter("sentence is not null").select("application_id", "global_position", "sentence")
+
+
+def model_metadata(log: DataFrame) -> DataFrame:
+    """Agent, model and score behind each analysis, screening and decision."""
+    agent = F.when(is_type("DecisionGenerated"), F.col("orchestrator")).otherwise(F.col("agent_id"))
+    model = F.when(is_type("DecisionGenerated"), F.col("decision_model")).otherwise(F.col("model_version"))
+    score = F.when(is_type("FraudScreeningCompleted"), F.col("fraud_score")).otherwise(F.col("confidence"))
+    rows = log.filter(is_type("CreditAnalysisCompleted", "FraudScreeningCompleted", "DecisionGenerated"))
+    return rows.select("application_id", "global_position", "event_id", "event_type", agent.alias("agent_id"), model.alias("model_version"), score.alias("score"))
+
+
+def package(log: DataFrame, moment: str, chain: DataFrame, key: str = "application_id") -> DataFrame:
+    """The regulatory package of each application at a moment (C-06): folds, chain, story, models and a hash over them.
+
+    ``chain`` has (key, stream_position, stored_hash, expected_hash) of the loan streams;
+    as much of it is verified as lay before the moment.
+    """
+    at = log.filter(F.col("recorded_at") <= F.lit(moment).cast("timestamp_ntz"))
+    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("global_position", name))), lambda s: s[name])
+    story = told(at).groupBy(key).agg(F.array_join(in_order("sentence"), " ").alias("narrative"))
+    shown = F.concat_ws(":", "event_id", "agent_id", F.coalesce("model_version", F.lit("None")), F.coalesce(F.col("score").cast("string"), F.lit("None")))
+    models = model_metadata(at).withColumn("shown", shown).groupBy(key).agg(F.array_join(in_order("shown"), ",").alias("models"))
+    counts = at.groupBy(key).agg(F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.max(F.when(F.startswith("stream_id", F.lit("loan-")), F.col("stream_position"))).alias("upto"))
+    bad = F.col("stored_hash").isNull() | (F.col("stored_hash") != F.col("expected_hash"))
+    verified = chain.join(counts.select(key, "upto"), key).filter("stream_position <= upto").groupBy(key).agg(
+        F.count("*").alias("events_verified"), F.count_if(bad).cast("long").alias("violations"), F.max_by("expected_hash", "stream_position").alias("final_hash")
+    )
+    out = counts.drop("upto").join(folds.outcome(at, key), key).join(verified, key, "left").join(story, key, "left").join(models, key, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("narrative", "models")})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("events_verified", "violations")})
+    out = out.withColumn("chain_valid", (F.col("events_verified") > 0) & (F.col("violations") == 0))
+    whole = [key, "events", "current_state", "compliance", "agents", "events_verified", "violations", "final_hash", "narrative", "models"]
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in whole])
+    return out.withColumn("package_hash", F.sha2(text, 256))
+
+
 def examination(log: DataFrame, moment: str, key: str = "application_id") -> DataFrame:
     """State of each application at a moment: events, sentences in order, and a hash over the package (C-06)."""
     at = log.filter(F.col("recorded_at") <= F.lit(moment).cast("timestamp_ntz"))

@@ -5,15 +5,31 @@ Works on envelopes of one stream a session; ``flagged`` marks pending or error e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Requests and what completes them.
 COMPLETES = {"CreditAnalysisRequested": "CreditAnalysisCompleted", "FraudScreeningRequested": "FraudScreeningCompleted", "DecisionRequested": "DecisionGenerated", "HumanReviewRequested": "HumanReviewCompleted"}
+#: Decisions that something must follow, and the marks of trouble.
 UNFINISHED = ("DecisionGenerated", "DecisionRequested")
+MARKS = ("PENDING", "ERROR", "FAILED")
 KEPT = 3
 
 
+def troubled(payload: Column | str, metadata: Column | str | None = None) -> Column:
+    """Whether a text value anywhere in the JSON holds a mark of trouble in any case; keys don't count (F-38)."""
+    text = r'"(?:[^"\\]|\\.)*(?:' + "|".join(MARKS) + r')(?:[^"\\]|\\.)*"(?!\s*:)'
+    inside = lambda c: F.coalesce(F.upper(c).rlike(text), F.lit(False))
+    return inside(payload) if metadata is None else inside(payload) | inside(metadata)
+
+
+def flagged(log: DataFrame) -> DataFrame:
+    """The log with ``flagged``: trouble in the values, PENDING or ERROR in the type, or an open request for a decision or review."""
+    kind = F.upper("event_type")
+    named = F.contains(kind, F.lit("PENDING")) | F.contains(kind, F.lit("ERROR")) | F.col("event_type").isin("DecisionRequested", "HumanReviewRequested")
+    return log.withColumn("flagged", named | troubled("payload", "metadata" if "metadata" in log.columns else None))
+
+
 def open_requests(log: DataFrame, pairs: dict[str, str] | None = None) -> DataFrame:
     """The last request of each type that no completion follows (J-12, W-06); a completion clears all before it."""
     pairs = pairs or COMPLETES
@@ -63,3 +79,37 @@ def summary(log: DataFrame, budget: int = 60) -> DataFrame:
     tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
     text = F.when(tokens("full") <= budget, F.col("full")).otherwise(F.col("short"))
     return lines.select("stream_id", "summarized", text.alias("summary"), tokens(text).alias("tokens"))
+
+
+def context_text(log: DataFrame, budget: int = 4096, opening: str = "AgentContextLoaded", pairs: dict[str, str] | None = None) -> DataFrame:
+    """Each session's text for its next start (C-04): whole, else compact, else its first four lines.
+
+    Events are envelopes with a JSON ``payload``; a text's tokens are a quarter of its characters.
+    """
+    rows = preserved(log)
+    json_of = lambda *fields: F.to_json(F.struct(*[(F.try_parse_json(f) if f == "payload" else F.col(f)).alias(f) for f in sorted(fields)]))
+    rows = rows.withColumns({"line": json_of("event_type", "payload", "recorded_at", "stream_id", "stream_position"), "short": json_of("event_type", "payload", "stream_position")})
+    kept_ = F.when(F.col("preserved"), F.struct("stream_position", "line", "short"))
+    old = rows.filter(~F.col("preserved")).groupBy("stream_id", "event_type").agg(F.count("*").alias("n"), F.min("recorded_at").alias("low"), F.max("recorded_at").alias("high"))
+    counted = F.concat(F.col("event_type"), F.lit(" x"), F.col("n"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    old = old.groupBy("stream_id").agg(F.array_join(F.array_sort(F.collect_list(counted)), ", ").alias("counts"), stamp(F.min("low")).alias("low"), stamp(F.max("high")).alias("high"))
+    told = F.concat(F.lit("Earlier history summary: "), "counts", F.lit(" between "), "low", F.lit(" and "), "high", F.lit("."))
+    work = pending_work(log, pairs)
+    item = F.concat("work_type", F.lit(" at position "), "stream_position", F.lit(" ("), "event_type", F.lit(")"))
+    work = work.withColumn("item", item).groupBy("stream_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stream_position", "work_type", "item"))), lambda w: w["item"]), "; ").alias("items"), F.count("*").alias("pending")
+    )
+    sessions = rows.groupBy("stream_id").agg(F.count("*").alias("events"), F.max("stream_position").alias("last_position"), F.array_sort(F.collect_list(kept_)).alias("kept"))
+    joined = sessions.join(old.select("stream_id", told.alias("told")), "stream_id", "left").join(work, "stream_id", "left")
+    none = "Earlier history summary: none (all events preserved verbatim)."
+    head = F.concat(F.lit("Agent session reconstruction for "), "stream_id", F.lit(".\nTotal events: "), "events", F.lit("; last_event_position: "), "last_position", F.lit(".\n"), F.coalesce("told", F.lit(none)))
+    work_line = F.coalesce(F.concat(F.lit("Pending work: "), "items"), F.lit("Pending work: none."))
+    count_line = F.concat(F.lit("Pending work count: "), F.coalesce("pending", F.lit(0)))
+    lines = lambda name: F.array_join(F.transform("kept", lambda k: k[name]), "\n")
+    whole = F.concat_ws("\n", head, work_line, F.lit("Verbatim preserved events:"), lines("line"))
+    compact = F.concat_ws("\n", head, count_line, F.lit("Verbatim preserved events (compact):"), lines("short"))
+    tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
+    text = F.when(tokens(whole) <= budget, whole).when(tokens(compact) <= budget, compact).otherwise(F.concat_ws("\n", head, count_line))
+    health = session_health(log, opening, pairs).select("stream_id", "health")
+    return joined.select("stream_id", "last_position", text.alias("context_text")).withColumn("tokens", tokens("context_text")).join(health, "stream_id")

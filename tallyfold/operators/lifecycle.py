@@ -22,32 +22,55 @@ def _events(log: DataFrame, key: str, *columns: str) -> DataFrame:
 def loan_lifecycle(log: DataFrame, key: str = "application_id", decide_from: tuple[str, ...] = OPEN) -> DataFrame:
     """End state and first violation of each application's strict replay (M-01).
 
-    ``decide_from`` are the states in which a decision may come.  Types that the machine does not know are skipped.
+    ``decide_from`` are the states in which a decision may come.  Types that the machine
+    does not know are skipped.  The rules on compliance, on the assessed limit and on
+    overrides are held to where the log has columns for them.
     """
     known = is_type("ApplicationSubmitted", "CreditAnalysisRequested", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined")
-    streams = _events(log.filter(known), key, "recommendation", "confidence", "requested_amount")
-    start = F.struct(F.lit("EMPTY").alias("state"), F.lit(False).alias("reviewed"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("at"))
+    has = {c: c in log.columns for c in ("compliance_status", "limit_amount", "override_reason")}
+    carried = ["recommendation", "confidence", "requested_amount", "override", "approved_amount", *[c for c, there in has.items() if there]]
+    streams = _events(log.filter(known), key, *carried)
+    ruled, text, amount = has["compliance_status"], F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def held(state: Column, reviewed: Column, cleared: Column, limit: Column, error: Column, at: Column) -> Column:
+        return F.struct(state.alias("state"), reviewed.alias("reviewed"), cleared.alias("cleared"), limit.alias("limit"), error.alias("error"), at.alias("at"))
+
+    start = held(F.lit("EMPTY"), F.lit(False), F.lit(False), amount, text, F.lit(None).cast("long"))
 
     def step(s: Column, e: Column) -> Column:
         kind, said = e["event_type"], F.upper(e["recommendation"])
+        decides, reviews = kind == "DecisionGenerated", kind == "HumanReviewCompleted"
+        approves, final = kind == "ApplicationApproved", kind.isin("ApplicationApproved", "ApplicationDeclined")
+        named = F.nullif(F.upper(e["compliance_status"]), F.lit("")) if ruled else text
+        cleared = F.when(decides & named.isNotNull(), named == "CLEARED").otherwise(s["cleared"])
+        limit = F.when(decides, F.coalesce(e["limit_amount"], s["limit"])).otherwise(s["limit"]) if has["limit_amount"] else s["limit"]
         allowed = (
-            F.when(kind == "ApplicationSubmitted", s["state"] == "EMPTY").when(kind == "CreditAnalysisRequested", s["state"].isin("SUBMITTED", "AWAITING_ANALYSIS"))
-            .when(kind == "DecisionGenerated", s["state"].isin(*decide_from)).otherwise(s["state"].isin(*REVIEWABLE))
-        )
+            F.when(kind == "ApplicationSubmitted", s["state"] == "EMPTY")
+            .when(kind == "CreditAnalysisRequested", s["state"].isin("SUBMITTED", "AWAITING_ANALYSIS"))
+            .when(decides, s["state"].isin(*decide_from))
+            .otherwise(s["state"].isin(*REVIEWABLE))
+        )
         error = (
             F.when(~allowed, F.concat(kind, F.lit(" invalid in "), s["state"]))
             .when((kind == "ApplicationSubmitted") & ~F.coalesce(e["requested_amount"] > 0, F.lit(False)), "requested amount must be positive")
-            .when((kind == "DecisionGenerated") & ~F.coalesce(said.isin("APPROVE", "DECLINE", "REFER"), F.lit(False)), "unknown recommendation")
-            .when((kind == "DecisionGenerated") & (e["confidence"] < 0.6) & (said != "REFER"), "low confidence must refer")
-            .when(kind.isin("ApplicationApproved", "ApplicationDeclined") & ~s["reviewed"], "no human review before final event")
-        )
+            .when(decides & ~F.coalesce(said.isin("APPROVE", "DECLINE", "REFER"), F.lit(False)), "unknown recommendation")
+            .when(decides & (e["confidence"] < 0.6) & (said != "REFER"), "low confidence must refer")
+            .when(F.lit(ruled) & decides & (said == "APPROVE") & ~cleared, "approval needs cleared compliance")
+        )
+        if has["override_reason"]:
+            error = error.when(reviews & F.coalesce(e["override"], F.lit(False)) & (F.coalesce(e["override_reason"], F.lit("")) == ""), "override needs a reason")
+        error = error.when(final & ~s["reviewed"], "no human review before final event")
+        error = error.when(F.lit(ruled) & approves & ~s["cleared"], "compliance is not cleared").when(approves & (e["approved_amount"] > s["limit"]), "amount exceeds the assessed limit")
         state = (
-            F.when(kind == "ApplicationSubmitted", "SUBMITTED").when(kind == "CreditAnalysisRequested", "AWAITING_ANALYSIS")
-            .when(kind == "DecisionGenerated", F.when(said == "APPROVE", "APPROVED_PENDING_HUMAN").when(said == "DECLINE", "DECLINED_PENDING_HUMAN").otherwise("PENDING_DECISION"))
-            .when(kind == "ApplicationApproved", "FINAL_APPROVED").when(kind == "ApplicationDeclined", "FINAL_DECLINED").otherwise(s["state"])
-        )
-        moved = F.struct(state.alias("state"), (s["reviewed"] | (kind == "HumanReviewCompleted")).alias("reviewed"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("at"))
-        stopped = F.struct(s["state"].alias("state"), s["reviewed"].alias("reviewed"), error.alias("error"), e["global_position"].alias("at"))
+            F.when(kind == "ApplicationSubmitted", "SUBMITTED")
+            .when(kind == "CreditAnalysisRequested", "AWAITING_ANALYSIS")
+            .when(decides, F.when(said == "APPROVE", "APPROVED_PENDING_HUMAN").when(said == "DECLINE", "DECLINED_PENDING_HUMAN").otherwise("PENDING_DECISION"))
+            .when(approves, "FINAL_APPROVED")
+            .when(final, "FINAL_DECLINED")
+            .otherwise(s["state"])
+        )
+        moved = held(state, s["reviewed"] | reviews, cleared, limit, text, F.lit(None).cast("long"))
+        stopped = held(s["state"], s["reviewed"], s["cleared"], s["limit"], error, e["global_position"])
         return F.when(s["error"].isNotNull(), s).when(error.isNotNull(), stopped).otherwise(moved)
 
     end = streams.select(key, F.aggregate("e", start, step).alias("s"))

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from .projections import is_type
 
-EXPECTED = ("ApplicationSubmitted", "CreditAnalysisCompleted", "ComplianceCheckRequested", "ComplianceRulePassed", "ComplianceRuleFailed", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined", "FraudScreeningCompleted")
+#: The event types that a complete ledger has.
+EXPECTED = (
+    "ApplicationSubmitted", "CreditAnalysisRequested", "AgentContextLoaded", "CreditAnalysisCompleted", "FraudScreeningCompleted", "ComplianceCheckRequested", "ComplianceRulePassed",
+    "ComplianceRuleFailed", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined", "AuditIntegrityCheckRun", "DocumentUploadRequested", "DocumentUploaded",
+    "FraudScreeningRequested", "DecisionRequested", "HumanReviewRequested", "ComplianceCheckCompleted", "AgentSessionStarted", "AgentSessionRecovered", "PackageCreated", "DocumentAdded",
+    "DocumentFormatValidated", "ExtractionStarted", "ExtractionCompleted", "QualityAssessmentCompleted", "PackageReadyForAnalysis",
+)
 
 
 def phase() -> Column:

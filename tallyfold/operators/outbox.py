@@ -60,16 +60,33 @@ def applied(outbox: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def delivery_summary(outbox: DataFrame, now: str) -> DataFrame:
-    """Counts by state, attempts and the status ladder (A-10, A-31)."""
-    at, one = F.lit(now).cast("timestamp_ntz"), lambda s: F.count_if(F.col("status") == s).cast("long")
+    """Counts by state, attempts, what was published lately, and the status ladder (A-10, A-31)."""
+    at, is_in = F.lit(now).cast("timestamp_ntz"), lambda s: F.col("status") == s
+    count = lambda test: F.count_if(test).cast("long")
+    since = lambda text: is_in("published") & (F.col("published_at") >= at - F.expr(f"interval '{text}' minute"))
     row = outbox.agg(
-        one("pending").alias("pending"), one("published").alias("published"), one("dead_letter").alias("dead_letter"),
-        F.count_if((F.col("status") == "pending") & (F.col("next_attempt_at") <= at)).cast("long").alias("due"), F.count_if((F.col("status") == "pending") & (F.col("attempts") > 0)).cast("long").alias("retrying"),
-        F.max("attempts").alias("max_attempts"), F.min(F.when(F.col("status") == "pending", F.col("created_at"))).alias("oldest_pending"),
-    )
+        count(is_in("pending")).alias("pending"),
+        count(is_in("published")).alias("published"),
+        count(is_in("dead_letter")).alias("dead_letter"),
+        count(is_in("pending") & (F.col("next_attempt_at") <= at)).alias("due"),
+        count(is_in("pending") & (F.col("attempts") > 0)).alias("retrying"),
+        F.max("attempts").alias("max_attempts"),
+        F.coalesce(F.avg(F.when(is_in("pending"), F.col("attempts"))), F.lit(0.0)).alias("pending_attempts"),
+        count(since("5")).alias("published_5m"),
+        count(since("60")).alias("published_1h"),
+        F.max("published_at").alias("last_published_at"),
+        F.min(F.when(is_in("pending"), F.col("created_at"))).alias("oldest_pending"),
+    )
     return row.withColumn("health", F.when(F.col("dead_letter") > 0, "dead_letter").when(F.col("pending") > 0, "pending").otherwise("healthy"))
 
 
+def topics_by_last_hour(outbox: DataFrame, now: str) -> DataFrame:
+    """Topics by what they published in the last hour (O-08)."""
+    at = F.lit(now).cast("timestamp_ntz")
+    lately = (F.col("status") == "published") & (F.col("published_at") >= at - F.expr("interval '1' hour"))
+    return outbox.groupBy("topic").agg(F.count_if(lately).cast("long").alias("published_1h"), F.count("*").alias("messages")).orderBy(F.desc("published_1h"), "topic")
+
+
 def delivery_topics(outbox: DataFrame, k: int = 8) -> DataFrame:
     """Counts of the k topics with most messages (A-11)."""
     one = lambda s: F.count_if(F.col("status") == s).cast("long")
@@ -79,7 +96,7 @@ def delivery_topics(outbox: DataFrame, k: int = 8) -> DataFrame:
 def messages(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Delivery form of events (K-10, F-31): key, JSON value and headers, for any message sink."""
     key = F.coalesce("stream_id", "event_id")
-    value = F.to_json(F.struct("event_id", "event_type", F.col("global_position"), F.col(payload).alias("payload"), "stream_id"))
+    value = F.to_json(F.struct("event_id", "event_type", F.col("global_position"), F.try_parse_json(payload).alias("payload"), "stream_id"))
     headers = F.filter(F.array(F.struct(F.lit("event_type").alias("key"), F.col("event_type").alias("value")), F.struct(F.lit("stream_id").alias("key"), F.col("stream_id").alias("value"))), lambda h: h["value"].isNotNull())
     return events.select(F.col("global_position").alias("outbox_id"), key.alias("key"), value.alias("value"), headers.alias("headers"))
 

@@ -30,7 +30,7 @@ def is_type(*names: str) -> Column:
     return F.col("event_type").isin(*names)
 
 
-def _column(log: DataFrame, name: str, kind: str = "string") -> Column:
+def column_of(log: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in log.columns else F.lit(None).cast(kind)
 
 
@@ -45,9 +45,9 @@ def application_summary(log: DataFrame) -> DataFrame:
     )
     review = F.upper("final_decision")
     final = F.when(is_type("ApplicationApproved"), "APPROVE").when(is_type("ApplicationDeclined"), "DECLINE").when(is_type("HumanReviewCompleted") & (review != ""), review)
-    verdict = F.upper(_column(log, "overall_verdict"))
+    verdict = F.upper(column_of(log, "overall_verdict"))
     status = (
-        F.when(is_type("DecisionGenerated"), _column(log, "compliance_status")).when(is_type("ComplianceCheckRequested", "ComplianceRulePassed"), "PENDING")
+        F.when(is_type("DecisionGenerated"), column_of(log, "compliance_status")).when(is_type("ComplianceCheckRequested", "ComplianceRulePassed"), "PENDING")
         .when(is_type("ComplianceRuleFailed"), "FAILED").when(is_type("ComplianceCheckCompleted"), F.when(verdict.isin(*VERDICTS), verdict).otherwise("PENDING"))
     )
     return rows.groupBy("application_id").agg(
@@ -68,19 +68,34 @@ def state_histogram(summary: DataFrame) -> DataFrame:
 
 
 def agent_performance(log: DataFrame) -> DataFrame:
-    """Counters and ratios of each (agent, model) (A-17); confidences are summed as whole hundredths."""
-    agent = F.when(is_type("CreditAnalysisCompleted"), F.col("agent_id")).when(is_type("DecisionGenerated"), F.col("orchestrator")).when(is_type("HumanReviewCompleted"), F.col("reviewer"))
-    model = F.when(is_type("CreditAnalysisCompleted"), F.col("model_version")).when(is_type("DecisionGenerated"), F.lit("unknown")).when(is_type("HumanReviewCompleted"), F.lit("human-review"))
-    cents = F.when(is_type("CreditAnalysisCompleted", "DecisionGenerated") & F.col("confidence").between(0, 1), F.round(F.col("confidence") * 100).cast("long"))
-    rows = log.select(agent.alias("agent_id"), model.alias("model_version"), cents.alias("cents"), "event_type", "override", "global_position").filter("nullif(agent_id, '') is not null and nullif(model_version, '') is not null")
+    """Counters and ratios of each (agent, model) (A-17); confidences are summed as whole hundredths.
+
+    A decision's model is that of its orchestrator, ``unknown`` where it names none.
+    """
+    worker = is_type("AgentContextLoaded", "CreditAnalysisCompleted", "FraudScreeningCompleted")
+    decides, reviews = is_type("DecisionGenerated"), is_type("HumanReviewCompleted")
+    agent = F.when(worker, F.col("agent_id")).when(decides, F.col("orchestrator")).when(reviews, F.col("reviewer"))
+    decided_by = F.coalesce(column_of(log, "decision_model"), F.lit("unknown"))
+    model = F.when(worker, F.col("model_version")).when(decides, decided_by).when(reviews, F.lit("human-review"))
+    sampled = is_type("CreditAnalysisCompleted", "DecisionGenerated") & F.col("confidence").between(0, 1)
+    cents = F.when(sampled, F.round(F.col("confidence") * 100).cast("long"))
+    rows = log.select(agent.alias("agent_id"), model.alias("model_version"), cents.alias("cents"), "event_type", "override", "global_position")
+    rows = rows.filter("nullif(agent_id, '') is not null and nullif(model_version, '') is not null")
     of = lambda name: F.count_if(is_type(name)).cast("long")
     out = rows.groupBy("agent_id", "model_version").agg(
-        of("CreditAnalysisCompleted").alias("analyses_completed"), of("DecisionGenerated").alias("decisions_recorded"), of("HumanReviewCompleted").alias("human_reviews_completed"),
-        F.count_if(is_type("HumanReviewCompleted") & F.col("override")).cast("long").alias("overrides_recorded"),
-        F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"), F.count("cents").alias("confidence_samples"), F.max("global_position").alias("last_global_position"),
-    )
+        of("AgentContextLoaded").alias("sessions_started"),
+        of("CreditAnalysisCompleted").alias("analyses_completed"),
+        of("FraudScreeningCompleted").alias("fraud_screenings_completed"),
+        of("DecisionGenerated").alias("decisions_recorded"),
+        of("HumanReviewCompleted").alias("human_reviews_completed"),
+        F.count_if(reviews & F.col("override")).cast("long").alias("overrides_recorded"),
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"),
+        F.count("cents").alias("confidence_samples"),
+        F.max("global_position").alias("last_global_position"),
+    )
     ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
-    return out.withColumn("avg_confidence", ratio(F.col("cents"), F.col("confidence_samples") * 100)).withColumn("override_rate", ratio(F.col("overrides_recorded"), F.col("human_reviews_completed"))).drop("cents")
+    out = out.withColumn("avg_confidence", ratio(F.col("cents"), F.col("confidence_samples") * 100))
+    return out.withColumn("override_rate", ratio(F.col("overrides_recorded"), F.col("human_reviews_completed"))).drop("cents")
 
 
 def client_analytics(log: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ DOMAINS = {
     "medical": ("patient", "diagnosis", "clinical", "treatment", "hospital"),
 }
 #: Patterns of metrics in lower-case text.
-_NUMBER = r"\s*[:=-]?\s*\$?([0-9][0-9,]*(?:\.[0-9]+)?)"
 METRICS = {
-    "total_revenue": r"(?:total\s+revenue|revenue)" + _NUMBER, "net_income": r"(?:net\s+income)" + _NUMBER, "ebitda": r"(?:ebitda)" + _NUMBER,
-    "total_assets": r"(?:total\s+assets)" + _NUMBER, "total_liabilities": r"(?:total\s+liabilities)" + _NUMBER,
-}
+    "total_revenue": r"(?:total\s+revenue|revenue)\s*[:=-]?\s*\$?([0-9][0-9,]*(?:\.[0-9]+)?)",
+    "net_income": r"(?:net\s+income)\s*[:=-]?\s*\$?([0-9][0-9,]*(?:\.[0-9]+)?)",
+    "ebitda": r"(?:ebitda)\s*[:=-]?\s*\$?([0-9][0-9,]*(?:\.[0-9]+)?)",
+    "total_assets": r"(?:total\s+assets)\s*[:=-]?\s*\$?([0-9][0-9,]*(?:\.[0-9]+)?)",
+    "total_liabilities": r"(?:total\s+liabilities)\s*[:=-]?\s*\$?([0-9][0-9,]*(?:\.[0-9]+)?)",
+}
 
 
 def words(text: Column) -> Column:
@@ -82,8 +84,8 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """Slices of at most ``size`` words with their hash (C-16, F-18, F-20); whole texts, no join."""
     rows = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int"))
-    rows = rows.select(key, "w", F.explode(starts).alias("i"))
-    part = F.slice("w", F.col("i") * size + 1, size)
+    rows = rows.select(key, F.posexplode(F.transform(starts, lambda i: F.slice("w", i * size + 1, size))).alias("i", "part"))
+    part = F.col("part")
     rows = rows.select(key, (F.col("i") + 1).alias("chunk"), F.concat_ws("-", F.col(key).cast("string"), F.lit("paragraph"), (F.col("i") + 1).cast("string")).alias("chunk_id"), F.size(part).alias("token_count"), F.array_join(part, " ").alias("content"))
     return rows.withColumn("content_hash", F.sha2(F.concat_ws("|", "chunk_id", F.lit("paragraph"), F.lit("None"), "content"), 256))
 
@@ -99,7 +101,7 @@ def inline_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def page_sections(pages: DataFrame) -> DataFrame:
     """Headings of raw web pages in order with the words that follow each (C-17, W-07)."""
     parts = F.split("html", r"(?i)<h[1-3][^>]*>")
-    rows = pages.select("page_id", F.posexplode(F.slice(parts, 2, 100000)).alias("section", "part"))
+    rows = pages.select("page_id", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("section", "part"))
     title = F.trim(F.regexp_replace(F.regexp_extract("part", r"(?is)^(.*?)</h[1-3]>", 1), r"<[^>]*>", " "))
     body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("part", r"(?is)^.*?</h[1-3]>", ""), r"<[^>]*>", " "), r"\s+", " "))
     return rows.select("page_id", (F.col("section") + 1).alias("section"), title.alias("title"), F.size(words(body)).alias("n_words"))

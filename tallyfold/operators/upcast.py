@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import merged
+
 
 class Upcasters:
     """One rewrite for each (event type, from version)."""
@@ -39,6 +41,7 @@ class Upcasters:
             out = out.withColumns(
                 {
                     "payload": F.when(due, function()).otherwise(F.col("payload")),
+                    "metadata": F.when(due, noted(F.col("metadata"), kind, version, to)).otherwise(F.col("metadata")),
                     "event_version": F.when(due, F.lit(to)).otherwise(F.col("event_version")).cast("int"),
                     "upcast_steps": F.when(due, F.concat("upcast_steps", F.array(F.lit(f"{kind}:v{version}->v{to}")))).otherwise(F.col("upcast_steps")),
                 }
@@ -46,6 +49,13 @@ class Upcasters:
         return out
 
 
+def noted(metadata: Column, kind: str, version: int, to: int) -> Column:
+    """Metadata whose ``upcast_notes`` name one step more."""
+    held = F.from_json(F.get_json_object(metadata, "$.upcast_notes"), "array<string>")
+    notes = F.concat(F.coalesce(held, F.array().cast("array<string>")), F.array(F.lit(f"{kind}:v{version}->v{to}")))
+    return merged(F.coalesce(metadata, F.lit("{}")), F.to_json(F.struct(notes.alias("upcast_notes"))))
+
+
 def text(column: str, key: str) -> Column:
     """A non-empty text of a JSON object, else null."""
     return F.nullif(F.get_json_object(column, f"$.{key}"), F.lit(""))
@@ -95,7 +105,7 @@ def model_versions() -> Column:
 
 def default_upcasters() -> Upcasters:
     registry = Upcasters()
-    keep = lambda *keys: {k: F.get_json_object("payload", f"$.{k}") for k in keys}
+    keep = lambda *keys: {k: F.try_variant_get(F.try_parse_json("payload"), f"$.{k}", "variant") for k in keys}
 
     @registry.register("CreditAnalysisCompleted", 1, 2)
     def credit() -> Column:

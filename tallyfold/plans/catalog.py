@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import command_queries, ledger_queries, refinery_queries, replay_queries, stream_queries, structure_queries  # noqa: F401  (registration)
+from . import command_queries, decision_queries, dossier_queries, ledger_queries, refinery_queries, replay_queries, stream_queries, structure_queries  # noqa: F401  (registration)
 
 
 def queries() -> dict:

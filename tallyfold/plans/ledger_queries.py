@@ -125,7 +125,8 @@ def applications_page(spark, sf_dir):
     return rows.select("application_id", "current_state", "updated_at").orderBy(F.desc("updated_at"), "application_id").offset(50).limit(25)
 
 
-@query(""" SELECT agent_id, model_version, count(*) FILTER (WHERE event_type = 'CreditAnalysisCompleted') AS analyses_completed, count(*) FILTER (WHERE event_type = 'DecisionGenerated') AS decisions_recorded,
+@query(""" SELECT agent_id, model_version, CAST(0 AS BIGINT) AS sessions_started, CAST(0 AS BIGINT) AS fraud_screenings_completed,
+  count(*) FILTER (WHERE event_type = 'CreditAnalysisCompleted') AS analyses_completed, count(*) FILTER (WHERE event_type = 'DecisionGenerated') AS decisions_recorded,
   count(*) FILTER (WHERE event_type = 'HumanReviewCompleted') AS human_reviews_completed, count(*) FILTER (WHERE event_type = 'HumanReviewCompleted' AND override) AS overrides_recorded,
   count(cents) AS confidence_samples, max(global_position) AS last_global_position,
   CASE WHEN count(cents) > 0 THEN CAST(sum(cents) AS DOUBLE) / (count(cents) * 100) ELSE 0 END AS avg_confidence,
@@ -229,9 +230,10 @@ def compliance_counters(spark, sf_dir):
     return an.compliance_counters(case_log(spark, sf_dir), AS_OF, DAYS)
 
 
-@query(f" SELECT rule_id, count(*) AS failures, count(DISTINCT application_id) AS applications FROM log WHERE event_type = 'ComplianceRuleFailed' AND {_IN} GROUP BY 1 ORDER BY failures DESC, rule_id LIMIT 5")
+@query(f" SELECT rule_id, failure_reason, count(*) AS failures, count(DISTINCT application_id) AS applications FROM log WHERE event_type = 'ComplianceRuleFailed' AND {_IN} GROUP BY 1, 2 ORDER BY failures DESC, rule_id, failure_reason LIMIT 5")
 def top_failed_rules(spark, sf_dir):
-    return an.top_failed_rules(case_log(spark, sf_dir), AS_OF, DAYS)
+    """The log has no rule versions; the reason stands in as the second key."""
+    return an.top_failed_rules(case_log(spark, sf_dir), AS_OF, DAYS, keys=("rule_id", "failure_reason"))
 
 
 @query(f" SELECT count(*) AS reviews, count(*) FILTER (WHERE override) AS overrides, CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (WHERE override) / count(*), 2) END AS override_rate FROM log WHERE event_type = 'HumanReviewCompleted' AND {_IN}")
@@ -245,7 +247,7 @@ _OUTCOMES = """, outcomes AS (
 
 
 @query(_OUTCOMES + f""" SELECT *, CASE WHEN approved + declined > 0 THEN round(100.0 * approved / (approved + declined), 2) END AS approval_rate FROM (
-  SELECT orchestrator AS agent_id, count(*) AS decisions, count(*) FILTER (WHERE outcome = 'APPROVED') AS approved, count(*) FILTER (WHERE outcome = 'DECLINED') AS declined
+  SELECT orchestrator AS agent_id, count(*) AS decisions, NULL::DOUBLE AS avg_confidence, count(*) FILTER (WHERE outcome = 'APPROVED') AS approved, count(*) FILTER (WHERE outcome = 'DECLINED') AS declined
   FROM log LEFT JOIN outcomes USING (application_id) WHERE event_type = 'DecisionGenerated' AND {_IN} GROUP BY 1) ORDER BY decisions DESC, agent_id LIMIT 6""")
 def agent_leaderboard(spark, sf_dir):
     return an.agent_leaderboard(case_log(spark, sf_dir), AS_OF, DAYS)
@@ -256,7 +258,8 @@ _INSIDE = "BETWEEN " + _AT + " - INTERVAL 90 DAY AND " + _AT
 
 @query(CLIENT_SQL + f""" SELECT *, CASE WHEN approved + declined > 0 THEN round(100.0 * approved / (approved + declined), 2) ELSE 0 END AS approval_rate FROM (
   SELECT count(*) FILTER (WHERE submitted_at {_INSIDE}) AS submitted, count(*) FILTER (WHERE finalized_at {_INSIDE} AND final_decision = 'APPROVED') AS approved,
-    count(*) FILTER (WHERE finalized_at {_INSIDE} AND final_decision = 'DECLINED') AS declined, count(*) FILTER (WHERE finalized_at IS NULL) AS open FROM clients)""")
+    count(*) FILTER (WHERE finalized_at {_INSIDE} AND final_decision = 'DECLINED') AS declined, count(*) FILTER (WHERE finalized_at IS NULL) AS open,
+    coalesce(round(CAST(sum(date_diff('second', submitted_at, finalized_at)) FILTER (WHERE finalized_at {_INSIDE} AND finalized_at >= submitted_at) AS DOUBLE) / count(*) FILTER (WHERE finalized_at {_INSIDE} AND finalized_at >= submitted_at), 2), 0) AS mean_seconds FROM clients)""")
 def metrics_summary(spark, sf_dir):
     return an.metrics_summary(pj.client_analytics(case_log(spark, sf_dir)), AS_OF, DAYS)
 

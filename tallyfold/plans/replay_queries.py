@@ -39,7 +39,8 @@ def integrity_verify(spark, sf_dir):
 
 @query(""", s AS (SELECT stream_id, application_id, count(*) AS n, count(*) FILTER (WHERE application_id % 10 = 0 AND stream_position % 5 = 0) AS missing FROM b GROUP BY ALL)
 SELECT count(*) AS streams, count(*) FILTER (WHERE missing > 0) AS streams_repaired, CAST(sum(n) AS BIGINT) AS events, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(missing) AS BIGINT) AS repaired,
-  CAST(sum(CASE WHEN application_id % 97 = 0 AND n >= 3 THEN n - 2 - (CASE WHEN application_id % 10 = 0 THEN n // 5 ELSE 0 END) ELSE 0 END) AS BIGINT) AS unresolved FROM s""", _CHAIN_SQL)
+  CAST(sum(CASE WHEN application_id % 97 = 0 AND n >= 3 THEN n - 2 - (CASE WHEN application_id % 10 = 0 THEN n // 5 ELSE 0 END) ELSE 0 END) AS BIGINT) AS unresolved,
+  CAST(sum(missing + CASE WHEN application_id % 97 = 0 AND n >= 3 THEN n - 2 - (CASE WHEN application_id % 10 = 0 THEN n // 5 ELSE 0 END) ELSE 0 END) AS BIGINT) AS violations FROM s""", _CHAIN_SQL)
 def integrity_backfill(spark, sf_dir):
     stored = integrity.with_links(_bodies(spark, sf_dir), out="stored_hash")
     stored = stored.withColumn("stored_hash", F.when(~((F.col("application_id") % 10 == 0) & (F.col("stream_position") % 5 == 0)), F.col("stored_hash")))
@@ -146,18 +147,10 @@ _CAUSE_SQL = CASE_SQL + """, ph AS (SELECT *, 'e' || global_position AS event_id
 ), ev AS (SELECT *, CASE WHEN lag(phase) OVER w <> phase THEN lag(event_id) OVER w END AS causation_id FROM ph WINDOW w AS (PARTITION BY application_id ORDER BY global_position))"""
 
 
-@query(""", walk AS (SELECT event_id AS root_id, event_id, 0 AS depth FROM ev WHERE event_type = 'ApplicationSubmitted' AND application_id % 50 = 0
+@query(""", walk AS (SELECT event_id AS root_id, event_id, 0 AS depth FROM ev WHERE event_type = 'ApplicationSubmitted'
   UNION ALL SELECT w.root_id, l.event_id, w.depth + 1 FROM walk w JOIN ev l ON l.causation_id = w.event_id)
 SELECT root_id, event_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY ALL""", _CAUSE_SQL.replace("\nitems AS", "RECURSIVE\nitems AS", 1))
 def causal_descendants(spark, sf_dir):
-    log = causal.with_causes(case_log(spark, sf_dir))
-    roots = log.filter(pj.is_type("ApplicationSubmitted") & (F.col("application_id") % 50 == 0)).select(F.col("event_id").alias("root_id"))
-    return causal.descendants(log, roots)
-
-
-@query()
-def causal_closure(spark, sf_dir):
-    """Descendants of every application's submission; the SQL beside ``causal_descendants`` takes one root in fifty."""
     log = causal.with_causes(case_log(spark, sf_dir))
     return causal.descendants(log, log.filter(pj.is_type("ApplicationSubmitted")).select(F.col("event_id").alias("root_id")))
 
@@ -230,7 +223,8 @@ def context_summary(spark, sf_dir):
 _NOW = "2024-01-20 00:00:00"
 _BOX_SQL = ACTIVITY_SQL + """, box AS (
   SELECT global_position AS outbox_id, event_type || '.events' AS topic, CASE WHEN global_position % 11 = 0 THEN 'dead_letter' WHEN global_position % 3 = 0 THEN 'pending' ELSE 'published' END AS status,
-    CAST(global_position % 8 AS INTEGER) AS attempts, recorded_at + INTERVAL 5 MINUTE AS next_attempt_at, recorded_at AS created_at FROM activity
+    CAST(global_position % 8 AS INTEGER) AS attempts, recorded_at + INTERVAL 5 MINUTE AS next_attempt_at, recorded_at AS created_at,
+    CASE WHEN global_position % 11 <> 0 AND global_position % 3 <> 0 THEN recorded_at + INTERVAL 1 MINUTE END AS published_at FROM activity
 )"""
 
 
@@ -239,7 +233,7 @@ def _outbox(spark, sf_dir):
     return log.select(
         p.alias("outbox_id"), F.concat("event_type", F.lit(".events")).alias("topic"), F.when(p % 11 == 0, "dead_letter").when(p % 3 == 0, "pending").otherwise("published").alias("status"),
         (p % 8).cast("int").alias("attempts"), (F.col("recorded_at") + F.expr("interval '5' minute")).alias("next_attempt_at"), F.col("recorded_at").alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit(None).cast("string").alias("last_error"),
+        F.when((p % 11 != 0) & (p % 3 != 0), F.col("recorded_at") + F.expr("interval '1' minute")).alias("published_at"), F.lit(None).cast("string").alias("last_error"),
     )
 
 
@@ -260,7 +254,10 @@ def outbox_transition(spark, sf_dir):
 
 @query(f""" SELECT *, CASE WHEN dead_letter > 0 THEN 'dead_letter' WHEN pending > 0 THEN 'pending' ELSE 'healthy' END AS health FROM (
   SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'published') AS published, count(*) FILTER (WHERE status = 'dead_letter') AS dead_letter,
-    count(*) FILTER (WHERE status = 'pending' AND next_attempt_at <= TIMESTAMP '{_NOW}') AS due, count(*) FILTER (WHERE status = 'pending' AND attempts > 0) AS retrying, max(attempts) AS max_attempts, min(created_at) FILTER (WHERE status = 'pending') AS oldest_pending FROM box)""", _BOX_SQL)
+    count(*) FILTER (WHERE status = 'pending' AND next_attempt_at <= TIMESTAMP '{_NOW}') AS due, count(*) FILTER (WHERE status = 'pending' AND attempts > 0) AS retrying, max(attempts) AS max_attempts, min(created_at) FILTER (WHERE status = 'pending') AS oldest_pending,
+    coalesce(avg(attempts) FILTER (WHERE status = 'pending'), 0) AS pending_attempts, max(published_at) AS last_published_at,
+    count(*) FILTER (WHERE status = 'published' AND published_at >= TIMESTAMP '{_NOW}' - INTERVAL 5 MINUTE) AS published_5m,
+    count(*) FILTER (WHERE status = 'published' AND published_at >= TIMESTAMP '{_NOW}' - INTERVAL 60 MINUTE) AS published_1h FROM box)""", _BOX_SQL)
 def delivery_summary(spark, sf_dir):
     return outbox.delivery_summary(_outbox(spark, sf_dir), _NOW)
 
@@ -293,9 +290,17 @@ def latest_by_actor(spark, sf_dir):
     return lineage.latest_by_actor(case_log(spark, sf_dir))
 
 
-@query(""", want AS (SELECT unnest(['ApplicationSubmitted','CreditAnalysisCompleted','ComplianceCheckRequested','ComplianceRulePassed','ComplianceRuleFailed','DecisionGenerated','HumanReviewCompleted','ApplicationApproved','ApplicationDeclined','FraudScreeningCompleted']) AS event_type)
+_WANT = ", ".join(f"'{x}'" for x in lineage.EXPECTED)
+
+
+@query(f""", want AS (SELECT unnest([{_WANT}]) AS event_type)
 SELECT event_type, 'missing' AS finding FROM want WHERE event_type NOT IN (SELECT event_type FROM log) UNION ALL SELECT DISTINCT event_type, 'unexpected' FROM log WHERE event_type NOT IN (SELECT event_type FROM want)""")
 def event_coverage(spark, sf_dir):
     return lineage.coverage(case_log(spark, sf_dir))
 
 
+
+
+@query(f""" SELECT topic, count(*) FILTER (WHERE status = 'published' AND published_at >= TIMESTAMP '{_NOW}' - INTERVAL 1 HOUR) AS published_1h, count(*) AS messages FROM box GROUP BY 1""", _BOX_SQL)
+def topics_by_last_hour(spark, sf_dir):
+    return outbox.topics_by_last_hour(_outbox(spark, sf_dir), _NOW)

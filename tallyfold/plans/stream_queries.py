@@ -41,9 +41,10 @@ def json_fields(spark, sf_dir):
     return log.select("event_id", js.text("payload", "k").alias("k"), js.has("payload", "k").alias("has_k"), js.has("payload", "z").alias("has_z"), js.number(js.text("payload", "k")).alias("k_number"), js.in_unit_range(F.col("value")).alias("unit_value"))
 
 
-@query(""" SELECT event_id, '{"k":"' || CASE WHEN event_id::BIGINT % 2 = 0 THEN 'new' ELSE json_extract_string(payload, '$.k') END || '","tag":"x"}' AS metadata FROM activity""", ACTIVITY_SQL)
+@query(""" SELECT event_id, '{"k":' || CASE WHEN event_id::BIGINT % 2 = 0 THEN '"new"' ELSE json_extract_string(payload, '$.k') END || ',"tag":{"on":true}}' AS metadata FROM activity""", ACTIVITY_SQL)
 def metadata_merge(spark, sf_dir):
-    patch = F.when(F.col("event_id").cast("long") % 2 == 0, '{"tag":"x","k":"new"}').otherwise('{"tag":"x"}')
+    """Numbers and objects keep their types."""
+    patch = F.when(F.col("event_id").cast("long") % 2 == 0, '{"tag":{"on":true},"k":"new"}').otherwise('{"tag":{"on":true}}')
     return activity_log(spark, sf_dir).select("event_id", js.merged(F.col("payload"), patch).alias("metadata"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Settings of the extraction gates where a rules table names none.
 DEFAULT_RULES = {"fast_text_gate": 0.90, "layout_gate": 0.88, "vision_gate": 0.72, "vision_budget": 0.5}
 
 
+#: Size that a rules file may have.
+RULES_BYTES = 1 << 20
+
+
 def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, doc_id, text) of whole files under a folder, each path once (S-11, S-13, F-19)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -23,8 +27,14 @@ def csv_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, path: str) -> dict[str, float]:
-    """``key: value`` lines merged over the defaults (S-14); the file is a few lines."""
-    lines = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\w+\s*:\s*[0-9.]+\s*$")).limit(1000).collect()
+    """``key: value`` lines merged over the defaults (S-14).
+
+    A rules file is a few lines; a larger one is refused, as it comes to the driver whole.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > RULES_BYTES:
+        raise ValueError(f"a rules file has at most {RULES_BYTES} bytes")
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\w+\s*:\s*[0-9.]+\s*$")).collect()
     return DEFAULT_RULES | {k.strip(): float(v) for k, _, v in (r["value"].partition(":") for r in lines)}
 
 
@@ -36,6 +46,24 @@ def structured_query(facts: DataFrame, sql: str, view: str = "fact_table") -> Da
     return facts.sparkSession.sql(sql)
 
 
-def write_json(frame: DataFrame, path: str) -> None:
-    """One JSON object a line (K-12)."""
-    frame.write.mode("overwrite").json(path)
+def write_json(frame: DataFrame, path: str, append: bool = False) -> None:
+    """One JSON object a line, in place of what is there or behind it (K-12)."""
+    frame.write.mode("append" if append else "overwrite").json(path)
+
+
+def insert_facts(found: DataFrame, path: str) -> None:
+    """Facts behind those of a table; nothing is replaced, so a fact that comes again stands twice (K-13)."""
+    found.write.mode("append").parquet(path)
+
+
+def audited(log: DataFrame, limit: int = 100, at: str = "recorded_at", tie: str = "global_position") -> DataFrame:
+    """The newest audit rows first (O-07)."""
+    return log.orderBy(F.desc(at), F.desc(tie)).limit(limit)
+
+
+def seeded(users: DataFrame, seeds: DataFrame, key: str = "username", order: str = "turn") -> DataFrame:
+    """Users after seeding (K-14, U-06): of seeds with one key the last holds and is active, other users are not."""
+    last = Window.partitionBy(key).orderBy(F.desc(order))
+    chosen = seeds.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", order, "active").withColumn("active", F.lit(True))
+    others = users.join(chosen.select(key), key, "left_anti").drop("active").withColumn("active", F.lit(False))
+    return chosen.unionByName(others, allowMissingColumns=True)

@@ -8,25 +8,39 @@ version they opened.  Rows that fail validation go to quarantine and never block
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class View:
-    """A versioned table: folder/v=<batch> and a pointer file."""
+    """A versioned table: folder/v=<version> and numbered pointer files, of which the last holds.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
+    A pointer is written whole under another name and then renamed, so that no reader
+    meets half of one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str | T.StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _last(self) -> int:
+        where = self._path(f"{self.folder}/pointers")
+        if not self._fs.exists(where):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(where)]
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
+
     def pointer(self) -> dict | None:
-        path = self._path(f"{self.folder}/pointer.json")
-        if not self._fs.exists(path):
+        last = self._last()
+        if not last:
             return None
-        stream = self._fs.open(path)
+        stream = self._fs.open(self._path(f"{self.folder}/pointers/{last}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -36,46 +50,83 @@ class View:
         now = self.pointer()
         return self.spark.createDataFrame([], self.schema) if now is None else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={now['version']}")
 
-    def publish(self, rows: DataFrame, version: int | str, position: int | None = None) -> None:
-        """Writes a version and then points to it; a version that is pointed to already stays."""
+    def publish(self, rows: DataFrame, version: int | str, position: int | None = None, floor: int = 0) -> None:
+        """Writes a version and then points to it; a version that is pointed to already stays.
+
+        ``floor`` is the position up to which the version holds the whole log.
+        """
         now = self.pointer()
         if now is not None and now["version"] == version:
             return
         rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
-        stream = self._fs.create(self._path(f"{self.folder}/pointer.json"), True)
-        stream.write(bytearray(json.dumps({"version": version, "position": position}).encode()))
+        part = self._path(f"{self.folder}/pointers/{uuid.uuid4().hex}.part")
+        stream = self._fs.create(part, False)
+        stream.write(bytearray(json.dumps({"version": version, "position": position, "floor": floor}).encode()))
         stream.close()
+        if not self._fs.rename(part, self._path(f"{self.folder}/pointers/{self._last() + 1}.json")):
+            raise RuntimeError(f"another writer published a version of {self.folder}")
 
     def reset(self) -> None:
         self._fs.delete(self._path(self.folder), True)
 
 
+def _tried(action: Callable[[], None], retries: int, delay: float) -> None:
+    """Runs an action again after failures, with doubling pauses."""
+    for turn in range(retries + 1):
+        try:
+            return action()
+        except Exception:
+            if turn == retries:
+                raise
+            time.sleep(delay * 2**turn)
+
+
 def keep_up(
-    stream: DataFrame, view: View, delta: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame],
-    checkpoint: str, valid: F.Column | None = None, quarantine: str | None = None, position: str = "global_position", trigger: dict | None = None,
+    stream: DataFrame, view: View, delta: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str,
+    valid: F.Column | None = None, quarantine: str | None = None, position: str = "global_position", trigger: dict | None = None, retries: int = 3, delay: float = 0.2,
 ):
     """Starts a query that merges each batch's delta into the view (K-05 to K-07, T-01 to T-05).
 
-    ``merge`` gets the old view and the delta of the events beyond the view's position,
-    so that events that a batch brings again are counted once.
+    ``merge`` gets the old view and the delta of the batch.  A batch that runs again has
+    its number and is published once; events that a rebuild covers are left out.  A batch
+    that fails is tried again after growing pauses; rows that fail validation go aside.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        now = view.pointer()
-        done = (now or {}).get("position") or 0
-        if now is not None and isinstance(now["version"], int) and now["version"] >= number:
+        now = view.pointer() or {}
+        if isinstance(now.get("version"), int) and now["version"] >= number:
             return
-        fresh = batch.filter(F.col(position) > done)
+        floor = now.get("floor") or 0
+        fresh = batch.filter(F.col(position) > floor)
         good = fresh if valid is None else fresh.filter(F.coalesce(valid, F.lit(False)))
         if valid is not None and quarantine:
             fresh.filter(~F.coalesce(valid, F.lit(False))).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        top = fresh.agg(F.max(position)).first()[0]
-        view.publish(merge(view.read(), delta(good)), number, max(done, top or 0))
+        top = max(now.get("position") or 0, fresh.agg(F.max(position)).first()[0] or 0)
+        _tried(lambda: view.publish(merge(view.read(), delta(good)), number, top, floor), retries, delay)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def refold(log: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str]) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame, DataFrame], DataFrame]]:
+    """(delta, merge) for ``keep_up`` of a projection that isn't a sum: what a batch touches is folded anew from the log (T-09).
+
+    The log may hold later events already; their batches fold the same rows again.
+    """
+    delta = lambda batch: batch.select(*keys).distinct()
+
+    def merge(old: DataFrame, touched: DataFrame) -> DataFrame:
+        fresh = fold(log.join(touched, keys, "left_semi"))
+        return old.join(touched, keys, "left_anti").unionByName(fresh.select(*old.columns))
+
+    return delta, merge
+
+
+def lowest(views: list[View]) -> int:
+    """The position that all these views have reached (T-01)."""
+    return min(((v.pointer() or {}).get("position") or 0 for v in views), default=0)
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Events of each stream by type, and the last event of each."""
     return events.groupBy("stream_id", "event_type").agg(F.count("*").alias("n"), F.max("global_position").alias("last_position"))
@@ -100,7 +151,7 @@ def lag(view_position: int | None, log: DataFrame, now: str, position: str = "gl
 
 def rebuild(view: View, log: DataFrame, fold: Callable[[DataFrame], DataFrame], version: str, upto: int) -> None:
     """A fresh version from the log up to a position; readers see the old one until it is done (T-07, T-08)."""
-    view.publish(fold(log.filter(F.col("global_position") <= upto)), version, upto)
+    view.publish(fold(log.filter(F.col("global_position") <= upto)), version, upto, upto)
 
 
 def daily_activity(events: DataFrame, delay: str = "1 day") -> DataFrame:
