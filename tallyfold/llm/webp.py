@@ -4,14 +4,17 @@
 colour cache, and inverts predictor, cross-colour, subtract-green and palette
 transforms, into ARGB pixels.  ``encode`` writes them, with any of these.
 
+``encode_many`` and ``decode_many`` take many images at once: matches, cache hits and
+symbols of all are found in arrays, and bit streams are read side by side, a symbol of
+each image a step.
+
 ``write_samples`` stores byte strings as grey images with a palette, back-references and
-a colour cache, all by ``encode``; ``read_samples`` takes them back by ``decode``.
+a colour cache, by ``encode_many``; ``read_samples`` takes them back by ``decode_many``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +30,12 @@ from .arrays import rebatched, utf8
 ROW = 576
 MAX_SIDE = 16384
 CACHE_BITS = 4
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 8 << 20
+#: Rows of an image of a text; a longer text takes several.
+STRIP_ROWS = 16
+#: Fewer images than this are decoded one by one, and so are the last ones of many.
+LANES = 48
+SHORTEST, LONGEST = 4, 4096
 
 #: Fixed values of the format.
 _SIGNATURE = 0x2F
@@ -47,9 +55,29 @@ def _near() -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- prefix codes
 
 
+def _depths(weights: list[int]) -> list[int]:
+    """Depths of two or more leaves of increasing weight in a Huffman tree."""
+    n = len(weights)
+    total = 2 * n - 1
+    w, up = weights + [0] * (n - 1), [0] * total
+    leaf, inner = 0, n
+    for k in range(n, total):
+        for _ in (0, 1):
+            if leaf < n and (inner >= k or w[leaf] <= w[inner]):
+                pick, leaf = leaf, leaf + 1
+            else:
+                pick, inner = inner, inner + 1
+            w[k] += w[pick]
+            up[pick] = k
+    depth = [0] * total
+    for k in range(total - 2, -1, -1):
+        depth[k] = depth[up[k]] + 1
+    return depth[:n]
+
+
 def code_lengths(counts: list[int], most: int) -> list[int]:
     """Huffman code lengths of at most ``most`` bits; a lone symbol gets length 1."""
-    used = [(n, i) for i, n in enumerate(counts) if n]
+    used = sorted((n, i) for i, n in enumerate(counts) if n)
     out = [0] * len(counts)
     if len(used) < 2:
         for _, i in used:
@@ -57,24 +85,11 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
         return out
     floor = 1
     while True:
-        heap = [(max(n, floor), i) for n, i in used]
-        heapq.heapify(heap)
-        above: dict[int, int] = {}
-        serial = len(counts)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            above[a[1]] = above[b[1]] = serial
-            heapq.heapreplace(heap, (a[0] + b[0], serial))
-            serial += 1
-        depth = {serial - 1: 0}
-        for node in range(serial - 2, len(counts) - 1, -1):
-            depth[node] = depth[above[node]] + 1
-        depth = {i: depth[above[i]] + 1 for _, i in used}
-        if max(depth.values()) <= most:
+        depth = _depths([max(n, floor) for n, _ in used])
+        if max(depth) <= most:
             break
         floor = max(floor * 2, sum(n for n, _ in used) >> (most + 1))
-    for i, n in depth.items():
+    for (_, i), n in zip(used, depth):
         out[i] = n
     return out
 
@@ -181,27 +196,20 @@ class Code:
         return hit >> 4
 
 
-def _put_code(out: BitWriter, counts: list[int], most: int = 15) -> tuple[list[int], list[int]]:
-    """Writes a prefix code for these counts; returns (codes, bits each takes)."""
+@lru_cache(8)
+def _code_of(packed: bytes, most: int = 15) -> tuple[int, int, np.ndarray | None, np.ndarray | None]:
+    """(header, its bits, codes, bits each takes) of a prefix code for packed 64-bit counts; no arrays where it takes no bits."""
+    counts = np.frombuffer(packed, np.int64).tolist()
     used = [i for i, n in enumerate(counts) if n]
     if len(used) <= 1 and (not used or used[0] < 256):
-        out.put(1, 1)
         symbol = used[0] if used else 0
-        out.put(0, 1)
-        if symbol < 2:
-            out.put(0, 1)
-            out.put(symbol, 1)
-        else:
-            out.put(1, 1)
-            out.put(symbol, 8)
-        return [0] * len(counts), [0] * len(counts)
+        return (1 | symbol << 3, 4, None, None) if symbol < 2 else (1 | 1 << 2 | symbol << 3, 11, None, None)
     lengths = code_lengths(counts, most)
-    out.put(0, 1)
     runs: list[tuple[int, int, int]] = []  # (symbol, extra, bits of extra)
     i, stop = 0, used[-1] + 1
     while i < stop:
         n = lengths[i]
-        j = i
+        j = i + 1
         while j < stop and lengths[j] == n:
             j += 1
         run = j - i
@@ -228,14 +236,14 @@ def _put_code(out: BitWriter, counts: list[int], most: int = 15) -> tuple[list[i
         tally[s] += 1
     own = code_lengths(tally, 7)
     shown = max(4, 1 + max(k for k, s in enumerate(_LENGTH_ORDER) if own[s]))
-    out.put(shown - 4, 4)
+    value, size = (shown - 4) << 1, 5
     for s in _LENGTH_ORDER[:shown]:
-        out.put(own[s], 3)
+        value |= own[s] << size
+        size += 3
     n = max(2, (len(runs) - 2).bit_length())
     n += n & 1
-    out.put(1, 1)
-    out.put((n - 2) // 2, 3)
-    out.put(len(runs) - 2, n) if len(runs) >= 2 else out.put(0, n)
+    value |= (1 | (n - 2) // 2 << 1 | max(len(runs) - 2, 0) << 4) << size
+    size += 4 + n
     if len(runs) < 2:
         runs.append((0, 0, 0))
         if not own[0]:
@@ -244,10 +252,13 @@ def _put_code(out: BitWriter, counts: list[int], most: int = 15) -> tuple[list[i
     codes = canonical(own)
     for s, extra, bits in runs:
         if not alone:
-            out.put(codes[s], own[s])
-        out.put(extra, bits)
-    lone = len(used) == 1
-    return canonical(lengths), [0] * len(counts) if lone else lengths
+            value |= codes[s] << size
+            size += own[s]
+        value |= extra << size
+        size += bits
+    if len(used) == 1:
+        return value, size, None, None
+    return value, size, np.array(canonical(lengths), np.int64), np.array(lengths, np.int64)
 
 
 def _get_code(bits: BitReader, size: int) -> dict[int, int]:
@@ -264,21 +275,41 @@ def _get_code(bits: BitReader, size: int) -> dict[int, int]:
     left = 2 + bits.get(2 + 2 * bits.get(3)) if bits.get(1) else size
     lengths: dict[int, int] = {}
     at, before = 0, 8
+    table, mask = reader.table, reader.mask
+    data, spot = bits.data, bits.at >> 3
+    word, have = int.from_bytes(data[spot : spot + 16], "little") >> (bits.at & 7), 128 - (bits.at & 7)
+    spot += 16
     while at < size and left:
         left -= 1
-        s = reader.read(bits)
+        if have < 32:
+            word |= int.from_bytes(data[spot : spot + 12], "little") << have
+            have += 96
+            spot += 12
+        hit = table[word & mask]
+        word >>= hit & 15
+        have -= hit & 15
+        s = hit >> 4
         if s < 16:
             if s:
                 lengths[at] = before = s
             at += 1
         elif s == 16:
-            for _ in range(3 + bits.get(2)):
+            for _ in range(3 + (word & 3)):
                 lengths[at] = before
                 at += 1
+            word >>= 2
+            have -= 2
+        elif s == 17:
+            at += 3 + (word & 7)
+            word >>= 3
+            have -= 3
         else:
-            at += 3 + bits.get(3) if s == 17 else 11 + bits.get(7)
-    if at > size:
-        raise ValueError("code lengths run past the alphabet")
+            at += 11 + (word & 127)
+            word >>= 7
+            have -= 7
+    bits.at = 8 * spot - have
+    if at > size or bits.at > bits.end:
+        raise ValueError("code lengths run past the alphabet or the stream")
     return lengths
 
 
@@ -289,20 +320,33 @@ def _divided(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+class _Head:
+    """What stands before an entropy image's symbols: its cache, prefix codes and their plan."""
+
+    def __init__(self, bits: BitReader, width: int, height: int, main: bool):
+        self.bits, self.width, self.height = bits, width, height
+        self.cache_bits = bits.get(4) if bits.get(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("a colour cache of more than 11 bits")
+        groups, self.tile, self.plan = 1, 0, None
+        if main and bits.get(1):
+            self.tile = bits.get(3) + 2
+            self.plan = (_entropy_image(bits, _divided(width, self.tile), _divided(height, self.tile), False) >> 8) & 0xFFFF
+            groups = int(self.plan.max()) + 1
+        sizes = (280 + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, 40)
+        self.codes = [[Code(_get_code(bits, n)) for n in sizes] for _ in range(groups)]
+
+
 def _entropy_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
-    cache_bits = bits.get(4) if bits.get(1) else 0
-    if cache_bits > 11:
-        raise ValueError("a colour cache of more than 11 bits")
-    groups, tile, plan = 1, 0, None
-    if main and bits.get(1):
-        tile = bits.get(3) + 2
-        plan = (_entropy_image(bits, _divided(width, tile), _divided(height, tile), False) >> 8) & 0xFFFF
-        groups = int(plan.max()) + 1
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[Code(_get_code(bits, n)) for n in sizes] for _ in range(groups)]
+    return _symbols(_Head(bits, width, height, main))
+
+
+def _symbols(head: _Head, out: list[int] | None = None, cache: list[int] | None = None) -> np.ndarray:
+    """The pixels of one entropy image, or its rest where some are there, with what the cache then holds."""
+    bits, width, height, plan, tile, codes, cache_bits = head.bits, head.width, head.height, head.plan, head.tile, head.codes, head.cache_bits
     total = width * height
-    out: list[int] = []
-    cache = [0] * (1 << cache_bits) if cache_bits else []
+    out = [] if out is None else out
+    cache = ([0] * (1 << cache_bits) if cache_bits else []) if cache is None else cache
     shift = 32 - cache_bits
     near = _near()
     green, red, blue, alpha, dist = codes[0]
@@ -312,7 +356,7 @@ def _entropy_image(bits: BitReader, width: int, height: int, main: bool) -> np.n
     data, spot, word, have = bits.data, bits.at >> 3, 0, 0  # the next ``have`` bits are in ``word``
     skip = bits.at & 7
     word, have, spot = int.from_bytes(data[spot : spot + 24], "little") >> skip, 192 - skip, spot + 24
-    at = cached = 0  # pixels made, and of these put into the cache
+    at = cached = len(out)  # pixels made, and of these put into the cache
     while at < total:
         if plan is not None:
             green, red, blue, alpha, dist = codes[plan[(at // width) >> tile, (at % width) >> tile]]
@@ -498,8 +542,134 @@ def _chunk(data: bytes) -> bytes:
     raise ValueError("no lossless image in this file")
 
 
+def _windows(numbers: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """At least 57 bits from each place of a bit stream on."""
+    return numbers[bit >> 3] >> (bit & 7)
+
+
+def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
+    """The pixels of many entropy images, one symbol of each a step."""
+    streams = [h.bits.data for h in heads]
+    where = np.cumsum([0, *map(len, streams)])
+    joined = b"".join(streams) + bytes(1024)
+    numbers = np.ndarray((len(joined) - 8,), "<i8", joined, 0, (1,))
+    # All groups' codes in one table of (symbol, bits): where each starts, and its mask.
+    arrays = [np.array(code.table, np.int32) for h in heads for group in h.codes for code in group]
+    table = np.concatenate(arrays)
+    starts = np.cumsum([0, *map(len, arrays)])[:-1].reshape(-1, 5)
+    masks = np.array([code.mask for h in heads for group in h.codes for code in group], np.int64).reshape(-1, 5)
+    fixed = (masks[:, 1:4] == 0).all(1)
+    symbol = table[starts] >> 4
+    base = symbol[:, 3].astype(np.int64) << 24 | symbol[:, 1] << 16 | symbol[:, 2]
+    first_group = np.cumsum([0, *(len(h.codes) for h in heads)])[:-1]
+    planned = any(h.plan is not None for h in heads)
+    plans = np.concatenate([np.zeros(1, np.int64) if h.plan is None else h.plan.ravel().astype(np.int64) for h in heads])
+    plan_at = np.cumsum([0, *(1 if h.plan is None else h.plan.size for h in heads)])[:-1]
+    sizes = np.array([h.width * h.height for h in heads], np.int64)
+    begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]  # a spare pixel behind each image
+    out = np.zeros(int((sizes + 1).sum()), np.int64)
+    caches = np.array([1 << h.cache_bits for h in heads], np.int64)
+    cache = np.zeros(int(caches.sum()), np.int64)
+    near_x, near_y = np.array(_near(), np.int64).T
+    lanes = {
+        "bit": np.array([8 * w + h.bits.at for w, h in zip(where, heads)], np.int64), "bound": 8 * where[1:], "at": begins.copy(), "begin": begins, "end": begins + sizes,
+        "width": np.array([h.width for h in heads], np.int64), "group": first_group, "first": first_group, "plan": plan_at, "tile": np.array([h.tile if h.plan is not None else 31 for h in heads], np.int64),
+        "across": np.array([_divided(h.width, h.tile) if h.plan is not None else 1 for h in heads], np.int64), "number": np.arange(len(heads)), "cache": np.cumsum(caches) - caches, "shift": np.array([32 - h.cache_bits for h in heads], np.int64),
+    }
+    rich = not fixed.all()
+
+    def slot(pixels: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        return (pixels * _CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift
+
+    turn = 0
+    while True:
+        if turn % 16 == 0:
+            live = lanes["at"] < lanes["end"]
+            if (lanes["bit"] > lanes["bound"]).any():
+                raise ValueError("the stream ends early")
+            if not live.all():
+                lanes = {k: v[live] for k, v in lanes.items()}
+            if len(lanes["at"]) < LANES:
+                for i, bit, at, home in zip(*(lanes[k].tolist() for k in ("number", "bit", "at", "cache"))):
+                    head, begin = heads[i], int(begins[i])
+                    head.bits.at = bit - 8 * int(where[i])
+                    held = cache[home : home + (1 << head.cache_bits)].tolist() if head.cache_bits else []
+                    out[begin : begin + sizes[i]] = _symbols(head, out[begin:at].tolist(), held).ravel()
+                break
+            bit, at, end, begin, width, group, homes, shift = (lanes[k] for k in ("bit", "at", "end", "begin", "width", "group", "cache", "shift"))
+            start, mask, colour = starts[group, 0], masks[group, 0], base[group]
+        turn += 1
+        open_ = at < end
+        if planned:
+            spot = at - begin
+            y, x = spot // width, spot % width
+            group = lanes["first"] + np.where(lanes["tile"] < 31, plans[lanes["plan"] + (y >> lanes["tile"]) * lanes["across"] + (x >> lanes["tile"])], 0)
+            group = np.where(open_, group, lanes["first"])
+            start, mask, colour = starts[group, 0], masks[group, 0], base[group]
+        hit = table[start + (_windows(numbers, bit) & mask)]
+        used = (hit & 15).astype(np.int64)
+        kind = (hit >> 4).astype(np.int64)
+        value = colour | (kind & 255) << 8
+        step = np.ones(len(at), np.int64)
+        if rich:
+            some = np.flatnonzero((kind < 256) & ~fixed[group])
+            if len(some):
+                b, own, pixel = bit[some] + used[some], group[some], (kind[some] << 8)
+                for k, place in ((1, 16), (2, 0), (3, 24)):
+                    h = table[starts[own, k] + (_windows(numbers, b) & masks[own, k])]
+                    b = b + (h & 15)
+                    pixel |= (h >> 4).astype(np.int64) << place
+                value[some], used[some] = pixel, b - bit[some]
+        cached = np.flatnonzero(kind >= 280)
+        if len(cached):
+            value[cached] = cache[homes[cached] + kind[cached] - 280]
+        copies = np.flatnonzero((kind >= 256) & (kind < 280) & open_)
+        if len(copies):
+            b, own = bit[copies] + used[copies], group[copies]
+            lengths, b = _number(numbers, b, kind[copies] - 256)
+            h = table[starts[own, 4] + (_windows(numbers, b) & masks[own, 4])]
+            back, b = _number(numbers, b + (h & 15), (h >> 4).astype(np.int64))
+            close = np.minimum(back, 120) - 1
+            back = np.where(back > 120, back - 120, np.maximum(1, near_x[close] + near_y[close] * width[copies]))
+            here = at[copies]
+            if (back > here - begin[copies]).any() or (here + lengths > end[copies]).any():
+                raise ValueError("a back-reference leaves the image")
+            value[copies], used[copies], step[copies] = out[here - back], b - bit[copies], lengths
+        out[at] = value
+        cache[homes + slot(value, shift)] = value
+        if len(copies):
+            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            from_ = np.repeat(here - back, lengths) + np.where(np.repeat(back < lengths, lengths), place % np.repeat(back, lengths), place)
+            pixels = out[from_]
+            out[np.repeat(here, lengths) + place] = pixels
+            cache[np.repeat(homes[copies], lengths) + slot(pixels, np.repeat(shift[copies], lengths))] = pixels
+        bit += np.where(open_, used, 0)
+        np.minimum(at + step, end, out=at)
+    return [out[a : a + n].astype(np.uint32).reshape(h.height, h.width) for a, n, h in zip(begins, sizes, heads)]
+
+
+def _number(numbers: np.ndarray, bit: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances by their prefixes and the extra bits at these places, and where those end."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    low = _windows(numbers, bit) & ((1 << extra) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + low + 1), bit + extra
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """ARGB pixels, (height, width) uint32, of lossless WebP files."""
+    opened = [_opened(data) for data in files]
+    heads = [head for head, _, _ in opened]
+    images = _side_by_side(heads) if len(heads) >= LANES else map(_symbols, heads)
+    return [_undone(pixels, undo, height) for pixels, (_, undo, height) in zip(images, opened)]
+
+
 def decode(data: bytes) -> np.ndarray:
     """ARGB pixels, (height, width) uint32, of one lossless WebP file."""
+    return decode_many([data])[0]
+
+
+def _opened(data: bytes) -> tuple[_Head, list[tuple], int]:
+    """A file up to its symbols: the head of its main image, the transforms to undo, and the height."""
     body = _chunk(data)
     if not body or body[0] != _SIGNATURE:
         raise ValueError("not a lossless bit stream")
@@ -508,7 +678,7 @@ def decode(data: bytes) -> np.ndarray:
     bits.get(1)
     if bits.get(3):
         raise ValueError("an unknown version")
-    undo = []
+    undo: list[tuple] = []
     across = width
     seen = set()
     while bits.get(1):
@@ -518,17 +688,19 @@ def decode(data: bytes) -> np.ndarray:
         seen.add(kind)
         if kind in (_PREDICTOR, _CROSS_COLOUR):
             tile = bits.get(3) + 2
-            image = _entropy_image(bits, _divided(across, tile), _divided(height, tile), False)
-            undo.append((kind, tile, image, across))
+            undo.append((kind, tile, _entropy_image(bits, _divided(across, tile), _divided(height, tile), False), across))
         elif kind == _PALETTE:
             n = bits.get(8) + 1
             steps = _planes(_entropy_image(bits, n, 1, False))
-            palette = _pixels(np.cumsum(steps, 2))[0]
-            undo.append((kind, 0, palette, across))
+            undo.append((kind, 0, _pixels(np.cumsum(steps, 2))[0], across))
             across = _divided(across, _bundle_bits(n))
         else:
             undo.append((kind, 0, None, across))
-    pixels = _entropy_image(bits, across, height, True)
+    return _Head(bits, across, height, True), undo, height
+
+
+def _undone(pixels: np.ndarray, undo: list[tuple], height: int) -> np.ndarray:
+    """Pixels with the transforms inverted, the last one first."""
     for kind, tile, image, wide in reversed(undo):
         if kind == _PALETTE:
             pixels = _unbundled(pixels, image, wide)
@@ -558,8 +730,12 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @lru_cache(64)
-def _near_codes(width: int) -> dict[int, int]:
-    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(_near())))}
+def _near_codes(width: int) -> np.ndarray:
+    """The code of each short distance, 0 where it has none."""
+    codes = {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(_near())))}
+    out = np.zeros(max(codes) + 1, np.int64)
+    out[list(codes)] = list(codes.values())
+    return out
 
 
 def _same_before(keys: np.ndarray) -> np.ndarray:
@@ -571,34 +747,54 @@ def _same_before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _copies(flat: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(place, length, distance code) of runs of three pixels or more that stood before, greedily."""
-    total = len(flat)
-    if total < 4:
-        return []
-    x = flat.astype(np.uint64)
-    before = memoryview(_same_before((x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]))
-    pixel, raw, near, out, at = memoryview(flat), flat.tobytes(), _near_codes(width), [], 0
-    while at < total - 2:
-        back = before[at]
-        if back >= 0:
-            length, most = 0, min(total - at, 4096)
-            while length + 32 <= most and raw[4 * (back + length) : 4 * (back + length + 32)] == raw[4 * (at + length) : 4 * (at + length + 32)]:
-                length += 32
-            while length < most and pixel[back + length] == pixel[at + length]:
-                length += 1
-            if length >= 3:
-                away = at - back
-                out.append((at, length, near.get(away, away + 120)))
-                at += length
-                continue
-        at += 1
-    return out
-
+def _copies(flat: np.ndarray, owner: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, lengths, distance codes) of runs of SHORTEST pixels or more that stood before in their image.
 
-def _put_entropy_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    flat = np.ascontiguousarray(pixels, np.uint32).ravel()
-    place, length, away = np.array(_copies(flat, pixels.shape[1]) if references else [], np.int64).reshape(-1, 3).T
+    Every place knows the last place before it with the same four pixels; neighbours
+    at one distance make a run, and a run begins where the one before it ends.
+    """
+    none = np.zeros(0, np.int64)
+    if len(flat) < SHORTEST:
+        return none, none, none
+    x = flat.astype(np.uint64)
+    key = owner[SHORTEST - 1 :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
+        key += x[k : len(x) - SHORTEST + 1 + k] * np.uint64(factor)
+    before = _same_before(key)
+    at = np.flatnonzero((before >= 0) & (owner[SHORTEST - 1 :] == owner[: 1 - SHORTEST]))
+    source = before[at]
+    equal = owner[at] == owner[source]
+    for k in range(SHORTEST):
+        equal &= flat[at + k] == flat[source + k]
+    at, away = at[equal], (at - source)[equal]
+    if not len(at):
+        return none, none, none
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (np.diff(at) != 1) | (np.diff(away) != 0) | (owner[at[1:]] != owner[at[:-1]])
+    first = np.flatnonzero(fresh)
+    stop = at[np.append(first[1:], len(at)) - 1] + SHORTEST
+    place, away = np.maximum(at[first], np.concatenate([[0], stop[:-1]])), away[first]
+    enough = stop - place >= SHORTEST
+    place, stop, away = place[enough], stop[enough], away[enough]
+    pieces = -(-(stop - place) // LONGEST)
+    turn = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    place, stop, away = np.repeat(place, pieces) + turn * LONGEST, np.repeat(stop, pieces), np.repeat(away, pieces)
+    code = away + 120
+    own = widths[owner[place]]
+    for width in np.unique(own):
+        near = _near_codes(int(width))
+        some = np.flatnonzero((own == width) & (away < len(near)))
+        close = near[away[some]]
+        code[some[close > 0]] = close[close > 0]
+    return place, np.minimum(stop - place, LONGEST), code
+
+
+def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: bool, cache_bits: int = 0, references: bool = False) -> None:
+    """Writes an entropy image to each stream; items of all images are made together."""
+    n = len(images)
+    flat = np.concatenate([np.ascontiguousarray(x, np.uint32).ravel() for x in images])
+    owner = np.repeat(np.arange(n), [x.size for x in images])
+    place, length, away = _copies(flat, owner, np.array([x.shape[1] for x in images])) if references else (np.zeros(0, np.int64),) * 3
     edge = np.zeros(len(flat) + 1, np.int64)
     edge[place] += 1
     edge[place + length] -= 1
@@ -606,13 +802,15 @@ def _put_entropy_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bit
     kept[place] = True
     at = np.flatnonzero(kept)  # where an item starts
     copy = np.searchsorted(at, place)
+    own = owner[at]
     # The four fields of an item: symbol, red, blue and alpha, or length, extra, distance and extra.
     values = np.stack([flat[at] >> s & 255 for s in (8, 16, 0, 24)], axis=1).astype(np.int64)
     is_pixel = np.ones(len(at), bool)
     is_pixel[copy] = False
     if cache_bits:
-        slot = ((flat.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.uint16)
-        before = _same_before(slot)
+        slot = ((flat.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        key = owner << cache_bits | slot
+        before = _same_before(key.astype(np.uint16) if n << cache_bits < 1 << 16 else key)
         hit = is_pixel & (before[at] >= 0) & (flat[before[at]] == flat[at])
         is_pixel &= ~hit
         values[hit, 0] = 280 + slot[at[hit]]
@@ -620,21 +818,31 @@ def _put_entropy_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bit
     far, far_extra, far_bits = _prefixes(away)
     values[copy] = np.stack([256 + long, long_extra, far, far_extra], axis=1)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    seen = [values[:, 0], *(values[is_pixel, k] for k in (1, 2, 3)), far]
-    out.put(1 if cache_bits else 0, 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
-    if main:
-        out.put(0, 1)
-    codes = [tuple(map(np.array, _put_code(out, np.bincount(x, minlength=n).tolist()))) for x, n in zip(seen, sizes)]
-    bits, widths = np.zeros_like(values), np.zeros_like(values)
-    bits[:, 0], widths[:, 0] = codes[0][0][values[:, 0]], codes[0][1][values[:, 0]]
+    seen = [(own, values[:, 0]), *((own[is_pixel], values[is_pixel, k]) for k in (1, 2, 3)), (own[copy], far)]
+    counts = [np.bincount(whose * size + x, minlength=n * size).reshape(n, size) for (whose, x), size in zip(seen, sizes)]
+    used = [np.where(c.any(1), c.shape[1] - (c[:, ::-1] > 0).argmax(1), 0).tolist() for c in counts]
+    codes = [np.zeros((n, size), np.int64) for size in sizes]
+    widths = [np.zeros((n, size), np.int64) for size in sizes]
+    for i, out in enumerate(outs):
+        out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+        if main:
+            out.put(0, 1)
+        for k in range(5):
+            value, size, code, taken = _code_of(counts[k][i, : used[k][i]].tobytes())
+            out.put(value, size)
+            if code is not None:
+                codes[k][i, : len(code)], widths[k][i, : len(code)] = code, taken
+    bits, wide = np.zeros_like(values), np.zeros_like(values)
+    bits[:, 0], wide[:, 0] = codes[0][own, values[:, 0]], widths[0][own, values[:, 0]]
     for k in (1, 2, 3):
-        if codes[k][1].any():
-            bits[is_pixel, k], widths[is_pixel, k] = codes[k][0][values[is_pixel, k]], codes[k][1][values[is_pixel, k]]
-    bits[copy, 1:] = np.stack([long_extra, codes[4][0][far], far_extra], axis=1)
-    widths[copy, 1:] = np.stack([long_bits, codes[4][1][far], far_bits], axis=1)
-    out.put_many(np.where(widths > 0, bits, 0).ravel(), widths.ravel())
+        if widths[k].any():
+            bits[is_pixel, k], wide[is_pixel, k] = codes[k][own[is_pixel], values[is_pixel, k]], widths[k][own[is_pixel], values[is_pixel, k]]
+    bits[copy, 1:] = np.stack([long_extra, codes[4][own[copy], far], far_extra], axis=1)
+    wide[copy, 1:] = np.stack([long_bits, widths[4][own[copy], far], far_bits], axis=1)
+    bits[wide == 0] = 0
+    stops = np.searchsorted(own, np.arange(n + 1))
+    for out, a, b in zip(outs, stops, stops[1:]):
+        out.put_many(bits[a:b].ravel(), wide[a:b].ravel())
 
 
 def _file(body: bytes) -> bytes:
@@ -667,45 +875,68 @@ def encode(
     ``predictor`` holds a mode (0 to 13) and ``cross_colour`` an element for each tile
     of 2**tile_bits pixels.  A palette takes at most 256 colours.
     """
-    pixels = np.asarray(pixels, np.uint32)
-    height, width = pixels.shape
-    out = BitWriter()
-    _header(out, width, height, bool((pixels >> 24 != 255).any()))
+    own = [None if image is None else [image] for image in (predictor, cross_colour)]
+    return encode_many([pixels], own[0], own[1], subtract_green, palette, tile_bits, cache_bits, references)[0]
+
+
+def encode_many(
+    images: list[np.ndarray],
+    predictors: list[np.ndarray] | None = None,
+    cross_colours: list[np.ndarray] | None = None,
+    subtract_green: bool = False,
+    palette: bool = False,
+    tile_bits: int = 2,
+    cache_bits: int = 0,
+    references: bool = True,
+) -> list[bytes]:
+    """Files of many images with the same transforms, as ``encode`` makes each."""
+    images = [np.asarray(x, np.uint32) for x in images]
+    outs = [BitWriter() for _ in images]
+    for out, x in zip(outs, images):
+        _header(out, x.shape[1], x.shape[0], bool((x >> 24 != 255).any()))
     if palette:
-        colours, index = np.unique(pixels, return_inverse=True)
-        if len(colours) > 256:
+        colours, indexes = zip(*(np.unique(x, return_inverse=True) for x in images))
+        if max(map(len, colours)) > 256:
             raise ValueError("more than 256 colours")
-        out.put(1, 1)
-        out.put(_PALETTE, 2)
-        out.put(len(colours) - 1, 8)
-        _put_entropy_image(out, _pixels(np.diff(_planes(colours[None]), axis=2, prepend=0)), False)
-        wide = _bundle_bits(len(colours))
-        index = index.reshape(height, width)
-        across = _divided(width, wide)
-        full = np.zeros((height, across << wide), np.int64)
-        full[:, :width] = index
-        shifts = np.arange(1 << wide) * (8 >> wide)
-        packed = (full.reshape(height, across, 1 << wide) << shifts).sum(2)
-        pixels = (np.uint32(_BLACK) | packed.astype(np.uint32) << np.uint32(8)).astype(np.uint32)
-    planes = _planes(pixels)
-    for kind, image in ((_PREDICTOR, predictor), (_CROSS_COLOUR, cross_colour)):
-        if image is not None:
-            out.put(1, 1)
-            out.put(kind, 2)
-            out.put(tile_bits - 2, 3)
+        for out, own in zip(outs, colours):
+            out.put(1 | _PALETTE << 1 | (len(own) - 1) << 3, 11)
+        _put_entropy_images(outs, [_pixels(np.diff(_planes(own[None]), axis=2, prepend=0)) for own in colours], False)
+        images = [_bundled(index.reshape(x.shape), len(own)) for x, index, own in zip(images, indexes, colours)]
+    if predictors is not None or cross_colours is not None or subtract_green:
+        planes = [_planes(x) for x in images]
+        for kind, tiles in ((_PREDICTOR, predictors), (_CROSS_COLOUR, cross_colours)):
+            if tiles is None:
+                continue
+            for out in outs:
+                out.put(1 | kind << 1 | (tile_bits - 2) << 3, 6)
             if kind == _PREDICTOR:
-                planes = _with_prediction(planes, image, tile_bits, -1)
-                image = np.uint32(_BLACK) | np.asarray(image, np.uint32) << np.uint32(8)
+                planes = [_with_prediction(x, t, tile_bits, -1) for x, t in zip(planes, tiles)]
+                tiles = [np.uint32(_BLACK) | np.asarray(t, np.uint32) << np.uint32(8) for t in tiles]
             else:
-                planes = _with_cross_colour(planes, np.asarray(image, np.uint32), tile_bits, -1)
-            _put_entropy_image(out, np.asarray(image, np.uint32), False)
-    if subtract_green:
-        out.put(1, 1)
-        out.put(_SUBTRACT_GREEN, 2)
-        planes = np.stack([planes[0], planes[1] - planes[2], planes[2], planes[3] - planes[2]])
-    out.put(0, 1)
-    _put_entropy_image(out, _pixels(planes), True, cache_bits, references)
-    return _file(out.take())
+                planes = [_with_cross_colour(x, np.asarray(t, np.uint32), tile_bits, -1) for x, t in zip(planes, tiles)]
+            _put_entropy_images(outs, [np.asarray(t, np.uint32) for t in tiles], False)
+        if subtract_green:
+            for out in outs:
+                out.put(1 | _SUBTRACT_GREEN << 1, 3)
+            planes = [np.stack([x[0], x[1] - x[2], x[2], x[3] - x[2]]) for x in planes]
+        images = [_pixels(x) for x in planes]
+    for out in outs:
+        out.put(0, 1)
+    _put_entropy_images(outs, images, True, cache_bits, references)
+    return [_file(out.take()) for out in outs]
+
+
+def _bundled(index: np.ndarray, colours: int) -> np.ndarray:
+    """Palette numbers as pixels, several in one where there are few colours."""
+    wide = _bundle_bits(colours)
+    if not wide:
+        return np.uint32(_BLACK) | index.astype(np.uint32) << np.uint32(8)
+    height, width = index.shape
+    across = _divided(width, wide)
+    full = np.zeros((height, across << wide), np.int64)
+    full[:, :width] = index
+    packed = (full.reshape(height, across, 1 << wide) << (np.arange(1 << wide) * (8 >> wide))).sum(2)
+    return np.uint32(_BLACK) | packed.astype(np.uint32) << np.uint32(8)
 
 
 # ----------------------------------------------------------- texts as grey images
@@ -714,8 +945,7 @@ def encode(
 def _sides(n: int) -> tuple[int, int]:
     """Width and height for n samples, n a multiple of ROW.
 
-    If no rectangle holds just n, the last row has spare samples; a height above
-    MAX_SIDE takes several images.
+    If no rectangle holds just n, the last row has spare samples.
     """
     widths = range(ROW, MAX_SIDE + 1, ROW)
     for width in widths:
@@ -733,7 +963,7 @@ def _strips(payload: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         parts.append(payload[a:b])
         if spare := width * height - (b - a):
             parts.append(np.full(spare, 255, np.uint8))
-        own = [(width, min(MAX_SIDE, height - y)) for y in range(0, height, MAX_SIDE)]
+        own = [(width, min(STRIP_ROWS, height - y)) for y in range(0, height, STRIP_ROWS)]
         sides += own
         counts.append(len(own))
     sizes = np.array([w * h for w, h in sides], np.int64)
@@ -743,14 +973,14 @@ def _strips(payload: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Grey image files, one behind the other, for each run ``payload[at[i]:at[i+1]]``, a positive multiple of ROW long.
 
-    One file is enough up to 264 million samples; a longer run has one for each MAX_SIDE rows.
+    A run has a file for each STRIP_ROWS rows.
     """
     if len(at) < 2:
         return []
     payload, at, sides, counts = _strips(payload, at)
     grey = payload * np.uint32(0x010101) | np.uint32(_BLACK)
     images = [grey[a:b].reshape(height, width) for a, b, (width, height) in zip(at, at[1:], sides)]
-    files = (encode(image, palette=True, cache_bits=CACHE_BITS) for image in images)
+    files = iter(encode_many(images, palette=True, cache_bits=CACHE_BITS))
     return [b"".join(islice(files, k)) for k in counts]
 
 
@@ -767,7 +997,7 @@ def _split(data: bytes) -> list[bytes]:
 def read_samples(media: list[bytes], sizes: list[int]) -> list[bytes]:
     """The first ``sizes[i]`` samples of the green channel of the i-th run's files."""
     split = [_split(data) for data in media]
-    found = ((decode(file) >> 8).astype(np.uint8).tobytes() for files in split for file in files)
+    found = ((pixels >> 8).astype(np.uint8).tobytes() for pixels in decode_many([file for files in split for file in files]))
     return [b"".join(islice(found, len(files)))[:n] for files, n in zip(split, sizes)]
 
 
@@ -799,8 +1029,8 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media:
     Returns the key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature and, ``with_media``, the file.  Null and empty texts are one
     row of bytes 255.  A payload that fills no rectangle of whole rows has spare samples
-of 255 behind it in the image, which are not read back; above 264 million bytes the
-media are several files, one behind the other.  No shuffle; equal texts give equal values.
+    of 255 behind it in the image, which are not read back; above STRIP_ROWS rows the
+    media are several files, one behind the other.  No shuffle; equal texts give equal values.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

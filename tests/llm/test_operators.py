@@ -216,34 +216,78 @@ def test_webp_columns(docs, none):
     for i, t in TEXTS:
         raw = (t or "").encode()
         full = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
-        pixels = webp.decode(bytes(got[i].media))
-        assert ((pixels >> 8) & 255).astype(np.uint8).tobytes() == full and got[i].n_bytes == len(raw) and got[i].payload_bytes == len(full)
+        pixels = b"".join(((webp.decode(file) >> 8) & 255).astype(np.uint8).tobytes() for file in webp._split(bytes(got[i].media)))
+        assert pixels == full and got[i].n_bytes == len(raw) and got[i].payload_bytes == len(full)
         assert got[i].payload_sha256 == hashlib.sha256(full).hexdigest() and got[i].tail_crc32 == zlib.crc32(full[-32:]) and got[i].media_bytes == len(got[i].media)
     assert got[5].media_sha256 == got[6].media_sha256 and webp.store(none).count() == 0
 
 
 def test_webp_stores_lengths_that_fill_no_rectangle(spark, monkeypatch):
-    rows = 16391  # a prime above the longest side
-    text = "".join(chr(97 + i * i % 23) for i in range(1000)) * (rows * 576 // 1000) + "end"
+    monkeypatch.setattr(webp, "MAX_SIDE", 1200)
+    rows = 1201  # a prime above the longest side
+    text = "".join(chr(97 + i * i % 23) for i in range(1000)) * (rows * 576 // 1000) + "the text's end" * 50
     full = text.encode() + b"\xff" * (rows * 576 - len(text))
     r = webp.store(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), rows * 576, hashlib.sha256(full).hexdigest())
-    assert r.feature.startswith("1152x8196;")
-    monkeypatch.setattr(webp, "MAX_SIDE", 1200)  # 2 widths; the longest image has 1,382,400 samples
-    for size in (576, 1201 * 576, 2399 * 576, 2401 * 576, 7201 * 576):
-        raw = np.frombuffer(full, np.uint8)[:size]
+    assert r.feature.startswith("576x1201;")
+    for size in (576, 1201 * 576, 2399 * 576, 2401 * 576):
+        raw = np.frombuffer(full * 2, np.uint8)[:size]
         media = webp.write_samples(raw, np.array([0, size]))
         assert webp.read_samples(media, [size]) == [raw.tobytes()]
 
 
 def test_webp_texts_go_through_the_whole_codec(monkeypatch):
-    raw = np.frombuffer((SHARED * 400).encode()[: 80 * 576], np.uint8)
-    media, calls, whole = webp.write_samples(raw, np.array([0, len(raw)])), [], webp.decode
-    monkeypatch.setattr(webp, "decode", lambda data: calls.append(len(data)) or whole(data))
-    assert webp.read_samples(media, [len(raw)]) == [raw.tobytes()] and calls == [len(media[0])]
+    raw = np.frombuffer((SHARED * 400).encode()[: 16 * 576], np.uint8)
+    media, calls, whole = webp.write_samples(raw, np.array([0, len(raw)])), [], webp.decode_many
+    monkeypatch.setattr(webp, "decode_many", lambda files: calls.append(list(map(len, files))) or whole(files))
+    assert webp.read_samples(media, [len(raw)]) == [raw.tobytes()] and calls == [[len(media[0])]]
     bits = webp.BitReader(webp._chunk(media[0])[1:])
-    assert [bits.get(n) for n in (14, 14, 1, 3, 1, 2)] == [575, 79, 0, 0, 1, 3]  # the palette transform
-    assert len(media[0]) < len(raw) / 16  # prefix codes alone take a bit a sample or more
+    assert [bits.get(n) for n in (14, 14, 1, 3, 1, 2)] == [575, 15, 0, 0, 1, 3]  # the palette transform
+    assert len(media[0]) < len(raw) / 10  # prefix codes alone take a bit a sample or more
+
+
+def test_webp_side_by_side_equals_one_by_one(monkeypatch):
+    g = np.random.default_rng(5)
+    images, ways = [], []
+    for i in range(120):
+        h, w = int(g.integers(1, 20)), int(g.integers(1, 30))
+        p = (g.integers(0, int(g.choice([2, 5, 60, 1 << 20])), (h, w)).astype(np.uint32) * np.uint32(0x01234567) | np.uint32(0xFF000000)).astype(np.uint32)
+        p[h // 2 :] = p[: h - h // 2] if i % 2 else p[h // 2 :]
+        tiles = (-(-h // 4), -(-w // 4))
+        ways.append([{}, {"cache_bits": 5}, {"subtract_green": True}, {"predictor": g.integers(0, 14, tiles)}, {"references": False, "cache_bits": 1}][i % 5])
+        images.append(p)
+    files = [webp.encode(p, **way) for p, way in zip(images, ways)]
+    monkeypatch.setattr(webp, "LANES", 1)
+    assert all((a == p).all() for a, p in zip(webp.decode_many(files), images))
+    monkeypatch.setattr(webp, "LANES", 60)
+    assert all((a == p).all() for a, p in zip(webp.decode_many(files), images))
+    same = webp.encode_many(images, cache_bits=3)
+    assert same == [webp.encode(p, cache_bits=3) for p in images]
+    with pytest.raises(ValueError):
+        webp.decode_many([f[:-40] if len(f) > 400 else f for f in files])
+
+
+def test_webp_reads_a_plan_of_several_codes():
+    """A stream put together bit by bit: two groups of prefix codes, chosen by tile, one of them with a single symbol."""
+    out = webp.BitWriter()
+    webp._header(out, 8, 4, False)
+    out.put(0, 1)  # no transform
+    out.put(0, 1)  # no cache
+    out.put(1, 1)  # a plan, of tiles of 4 by 4
+    out.put(0, 3)
+    out.put(0, 1)  # the plan's image: no cache; green is 0 or 1, all else one symbol
+    for value, size in ((1 | 1 << 1 | 0 << 2 | 0 << 3 | 1 << 4, 12), (1, 4), (1, 4), (1, 4), (1, 4)):
+        out.put(value, size)
+    out.put(0, 1)
+    out.put(1, 1)
+    for green in (7, 9):
+        out.put(1 | 1 << 2 | green << 3, 11)
+        for value in (1, 1):
+            out.put(value, 4)
+        out.put(1 | 1 << 2 | 255 << 3, 11)
+        out.put(1, 4)
+    pixels = webp.decode(webp._file(out.take()))
+    assert (pixels[:, :4] == 0xFF000700).all() and (pixels[:, 4:] == 0xFF000900).all()
 
 
 def test_secrets(spark, docs, none, tmp_path):
