@@ -30,7 +30,9 @@ from .arrays import rebatched, utf8
 ROW = 576
 MAX_SIDE = 16384
 CACHE_BITS = 4
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Samples that are encoded together.
+GROUP_SAMPLES = 1 << 20
 #: Rows of an image of a text; a longer text takes several.
 STRIP_ROWS = 16
 #: Fewer images than this are decoded one by one, and so are the last ones of many.
@@ -978,9 +980,10 @@ def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
     if len(at) < 2:
         return []
     payload, at, sides, counts = _strips(payload, at)
-    grey = payload * np.uint32(0x010101) | np.uint32(_BLACK)
-    images = [grey[a:b].reshape(height, width) for a, b, (width, height) in zip(at, at[1:], sides)]
-    files = iter(encode_many(images, palette=True, cache_bits=CACHE_BITS))
+    images = [payload[a:b].reshape(height, width) for a, b, (width, height) in zip(at, at[1:], sides)]
+    edges = np.flatnonzero(np.diff(at[:-1] // GROUP_SAMPLES, prepend=-1)).tolist()
+    groups = ([x * np.uint32(0x010101) | np.uint32(_BLACK) for x in images[a:b]] for a, b in zip(edges, [*edges[1:], len(images)]))
+    files = (file for group in groups for file in encode_many(group, palette=True, cache_bits=CACHE_BITS))
     return [b"".join(islice(files, k)) for k in counts]
 
 
