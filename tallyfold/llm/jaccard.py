@@ -306,14 +306,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """One document of each component of links, that with the smallest key, all its columns.
 
-    Of rows that repeat key and text one stays; rows that only share a key are judged each.
+    Of rows that repeat key and text one stays; rows that only share a key are judged
+    each, null keys first.  Texts without words are alike to none and stay; columns of
+    any name are carried along.
     """
+    whole = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    content = docs[text].cast("string")
+    rows = docs.select(whole.alias("row"), docs[key].alias("k"), content.alias("t"), F.xxhash64(F.coalesce(content, F.lit(""))).alias("tie"))
     if docs.filter(docs[key].isNull()).isEmpty() and docs.groupBy(key).count().filter("count > 1").isEmpty():
-        lead = join(docs, key, text, threshold, size).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("lead__"))
-        return docs.join(lead.hint("merge"), docs[key] == F.col("lead__"), "left_semi")
-    digest = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    numbered = docs.withColumn("tie__", digest).dropDuplicates([key, "tie__"])
-    order = kept(numbered.select(F.col(key).alias("k__"), F.col("tie__").alias("t__")).orderBy(F.col(key).asc_nulls_first(), "tie__").withColumn("id__", F.monotonically_increasing_id()))
-    numbered = numbered.join(order, F.col(key).eqNullSafe(F.col("k__")) & (F.col("tie__") == F.col("t__")))
-    lead = join(numbered.select("id__", F.col(text).alias("text__")), "id__", "text__", threshold, size).filter("id__ = class_id").select(F.col("id__").alias("lead__"))
-    return numbered.join(lead, F.col("id__") == F.col("lead__"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        lead = join(docs, key, text, threshold, size).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("lead"))
+        out = rows.join(lead.hint("merge"), F.col("k") == F.col("lead"), "left_semi")
+    else:
+        single = rows.dropDuplicates(["k", "tie"])
+        order = kept(single.select(F.col("k").alias("own"), F.col("tie").alias("mark")).orderBy(F.col("k").asc_nulls_first(), "tie").withColumn("n", F.monotonically_increasing_id()))
+        numbered = single.join(order, F.col("k").eqNullSafe(F.col("own")) & (F.col("tie") == F.col("mark")))
+        lead = join(numbered.select("n", "t"), "n", "t", threshold, size).filter("n = class_id").select(F.col("n").alias("lead"))
+        out = numbered.join(lead, F.col("n") == F.col("lead"), "left_semi")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

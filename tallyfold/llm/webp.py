@@ -8,7 +8,7 @@ transforms, into ARGB pixels.  ``encode`` writes them, with any of these.
 symbols of all are found in arrays, and bit streams are read side by side, a symbol of
 each image a step.
 
-``write_samples`` stores byte strings as grey images with a palette, back-references and
+``write_samples`` stores byte strings as green images with a palette, back-references and
 a colour cache, by ``encode_many``; ``read_samples`` takes them back by ``decode_many``.
 """
 
@@ -18,7 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -38,6 +38,8 @@ STRIP_ROWS = 16
 #: Fewer images than this are decoded one by one, and so are the last ones of many.
 LANES = 48
 SHORTEST, LONGEST = 4, 4096
+#: Bits of a code that the encoder writes; short tables are read faster.
+MOST_BITS = 11
 
 #: Fixed values of the format.
 _SIGNATURE = 0x2F
@@ -96,25 +98,23 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
     return out
 
 
-@lru_cache(1)
-def _mirror() -> list[int]:
-    return [int(f"{i:08b}"[::-1], 2) for i in range(256)]
-
-
-def _reversed_bits(value: int, n: int) -> int:
-    turned = _mirror()
-    return (turned[value & 255] << 8 | turned[value >> 8]) >> (16 - n)
+@lru_cache(16)
+def _mirror(n: int) -> np.ndarray:
+    """All numbers of n bits with their bits turned round."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
 
 
-def canonical(lengths: list[int]) -> list[int]:
+def canonical(lengths: list[int]) -> np.ndarray:
     """Each symbol's code with its first bit lowest, as the stream takes it."""
-    code, out = 0, [0] * len(lengths)
-    last = 0
-    for n, i in sorted((n, i) for i, n in enumerate(lengths) if n):
-        code <<= n - last
-        last = n
-        out[i] = _reversed_bits(code, n)
-        code += 1
+    n = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(n)
+    used = used[np.argsort(n[used], kind="stable")]
+    room = 1 << (15 - n[used])
+    out = np.zeros(len(n), np.int64)
+    out[used] = _mirror(15)[np.cumsum(room) - room]
     return out
 
 
@@ -174,23 +174,24 @@ class BitReader:
 
 
 class Code:
-    """A prefix code ready for reading: ``table`` has symbol and bits by the next ``mask`` bits."""
+    """A prefix code ready for reading: ``array`` has symbol and bits by the next ``mask`` bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        used = sorted((n, s) for s, n in lengths.items() if n)
-        if len(used) < 2:
-            self.table, self.mask = [used[0][1] << 4 if used else 0], 0
+        symbols, sizes = np.array(list(lengths), np.int64), np.array(list(lengths.values()), np.int64)
+        if len(symbols) < 2:
+            self.array, self.mask = np.array([int(symbols[0]) << 4 if len(symbols) else 0], np.int32), 0
             return
-        most = used[-1][0]
-        if sum(1 << (most - n) for n, _ in used) != 1 << most:
+        order = np.lexsort((symbols, sizes))
+        symbols, sizes = symbols[order], sizes[order]
+        most = int(sizes[-1])
+        room = 1 << (most - sizes)
+        if room.sum() != 1 << most:
             raise ValueError("an incomplete or overfull prefix code")
-        self.table, self.mask = [0] * (1 << most), (1 << most) - 1
-        code, last = 0, 0
-        for n, s in used:
-            code <<= n - last
-            last = n
-            self.table[_reversed_bits(code, n) :: 1 << n] = [s << 4 | n] * (1 << (most - n))
-            code += 1
+        self.array, self.mask = np.repeat(symbols << 4 | sizes, room)[_mirror(most)].astype(np.int32), (1 << most) - 1
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.array.tolist()
 
     def read(self, bits: BitReader) -> int:
         hit = self.table[bits.look() & self.mask]
@@ -199,7 +200,7 @@ class Code:
 
 
 @lru_cache(8)
-def _code_of(packed: bytes, most: int = 15) -> tuple[int, int, np.ndarray | None, np.ndarray | None]:
+def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, np.ndarray | None, np.ndarray | None]:
     """(header, its bits, codes, bits each takes) of a prefix code for packed 64-bit counts; no arrays where it takes no bits."""
     counts = np.frombuffer(packed, np.int64).tolist()
     used = [i for i, n in enumerate(counts) if n]
@@ -251,7 +252,7 @@ def _code_of(packed: bytes, most: int = 15) -> tuple[int, int, np.ndarray | None
         if not own[0]:
             raise ValueError("a code of one run")
     alone = sum(1 for x in own if x) == 1
-    codes = canonical(own)
+    codes = canonical(own).tolist()
     for s, extra, bits in runs:
         if not alone:
             value |= codes[s] << size
@@ -260,7 +261,7 @@ def _code_of(packed: bytes, most: int = 15) -> tuple[int, int, np.ndarray | None
         size += bits
     if len(used) == 1:
         return value, size, None, None
-    return value, size, np.array(canonical(lengths), np.int64), np.array(lengths, np.int64)
+    return value, size, canonical(lengths), np.array(lengths, np.int64)
 
 
 def _get_code(bits: BitReader, size: int) -> dict[int, int]:
@@ -354,7 +355,7 @@ def _symbols(head: _Head, out: list[int] | None = None, cache: list[int] | None
     green, red, blue, alpha, dist = codes[0]
     table, mask = green.table, green.mask
     plain = not (red.mask or blue.mask or alpha.mask)
-    base = alpha.table[0] >> 4 << 24 | red.table[0] >> 4 << 16 | blue.table[0] >> 4
+    base = (int(alpha.array[0]) >> 4 << 24 | int(red.array[0]) >> 4 << 16 | int(blue.array[0]) >> 4) if plain else 0
     data, spot, word, have = bits.data, bits.at >> 3, 0, 0  # the next ``have`` bits are in ``word``
     skip = bits.at & 7
     word, have, spot = int.from_bytes(data[spot : spot + 24], "little") >> skip, 192 - skip, spot + 24
@@ -556,7 +557,7 @@ def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
     joined = b"".join(streams) + bytes(1024)
     numbers = np.ndarray((len(joined) - 8,), "<i8", joined, 0, (1,))
     # All groups' codes in one table of (symbol, bits): where each starts, and its mask.
-    arrays = [np.array(code.table, np.int32) for h in heads for group in h.codes for code in group]
+    arrays = [code.array for h in heads for group in h.codes for code in group]
     table = np.concatenate(arrays)
     starts = np.cumsum([0, *map(len, arrays)])[:-1].reshape(-1, 5)
     masks = np.array([code.mask for h in heads for group in h.codes for code in group], np.int64).reshape(-1, 5)
@@ -941,7 +942,7 @@ def _bundled(index: np.ndarray, colours: int) -> np.ndarray:
     return np.uint32(_BLACK) | packed.astype(np.uint32) << np.uint32(8)
 
 
-# ----------------------------------------------------------- texts as grey images
+# ---------------------------------------------------------- texts as green images
 
 
 def _sides(n: int) -> tuple[int, int]:
@@ -973,7 +974,7 @@ def _strips(payload: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Grey image files, one behind the other, for each run ``payload[at[i]:at[i+1]]``, a positive multiple of ROW long.
+    """Files of green images, one behind the other, for each run ``payload[at[i]:at[i+1]]``, a positive multiple of ROW long.
 
     A run has a file for each STRIP_ROWS rows.
     """
@@ -982,7 +983,7 @@ def write_samples(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
     payload, at, sides, counts = _strips(payload, at)
     images = [payload[a:b].reshape(height, width) for a, b, (width, height) in zip(at, at[1:], sides)]
     edges = np.flatnonzero(np.diff(at[:-1] // GROUP_SAMPLES, prepend=-1)).tolist()
-    groups = ([x * np.uint32(0x010101) | np.uint32(_BLACK) for x in images[a:b]] for a, b in zip(edges, [*edges[1:], len(images)]))
+    groups = ([x.astype(np.uint32) << np.uint32(8) | np.uint32(_BLACK) for x in images[a:b]] for a, b in zip(edges, [*edges[1:], len(images)]))
     files = (file for group in groups for file in encode_many(group, palette=True, cache_bits=CACHE_BITS))
     return [b"".join(islice(files, k)) for k in counts]
 
