@@ -107,14 +107,24 @@ def _mirror(n: int) -> np.ndarray:
     return out
 
 
-def canonical(lengths: list[int]) -> np.ndarray:
+def canonical(lengths: list[int]) -> list[int]:
     """Each symbol's code with its first bit lowest, as the stream takes it."""
-    n = np.asarray(lengths, np.int64)
-    used = np.flatnonzero(n)
-    used = used[np.argsort(n[used], kind="stable")]
-    room = 1 << (15 - n[used])
-    out = np.zeros(len(n), np.int64)
-    out[used] = _mirror(15)[np.cumsum(room) - room]
+    out, at, mirror = [0] * len(lengths), 0, _mirror(15)
+    for n, i in sorted((n, i) for i, n in enumerate(lengths) if n):
+        out[i] = int(mirror[at])
+        at += 1 << (15 - n)
+    return out
+
+
+def _canonical_rows(lengths: np.ndarray) -> np.ndarray:
+    """``canonical`` of each row; a row is a complete code or has no lengths."""
+    row, symbol = np.nonzero(lengths)
+    size = lengths[row, symbol]
+    order = np.argsort(row << 4 | size, kind="stable")
+    room = 1 << (15 - size[order])
+    out = np.zeros_like(lengths)
+    # A complete code fills its 15 bits, so that the next row begins at 0 again.
+    out[row[order], symbol[order]] = _mirror(15)[(np.cumsum(room) - room) & 0x7FFF]
     return out
 
 
@@ -130,19 +140,8 @@ class BitWriter:
             self.value >>= 512
             self.size -= 512
 
-    def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Many values of at most 32 bits each."""
-        stop = np.cumsum(sizes)
-        total = int(stop[-1]) + self.size if len(stop) else self.size
-        spot = stop - sizes + self.size
-        values = values.astype(np.uint64) << (spot & 31).astype(np.uint64)
-        words = np.zeros(total // 512 * 16 + 18, np.uint64)
-        if len(spot):
-            word = spot >> 5
-            edge = np.flatnonzero(np.diff(word, prepend=-1))
-            words[word[edge]] += np.add.reduceat(values & np.uint64(0xFFFFFFFF), edge)
-            words[word[edge] + 1] += np.add.reduceat(values >> np.uint64(32), edge)
-        raw = words.astype("<u4").tobytes()
+    def join(self, raw: bytes, total: int) -> None:
+        """Bits that follow the ``size`` ones at hand, whose places in ``raw`` are left 0, up to ``total``."""
         raw = (int.from_bytes(raw[:64], "little") | self.value).to_bytes(64, "little") + raw[64:]
         full = total // 512 * 64
         if full:
@@ -154,6 +153,27 @@ class BitWriter:
         return b"".join([*self.done, self.value.to_bytes((self.size + 7) // 8, "little")])
 
 
+def _put_many(outs: list[BitWriter], own: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+    """Values of at most 32 bits each to the streams that ``own`` numbers in increasing order."""
+    held = np.array([out.size for out in outs], np.int64)
+    stop = np.concatenate([[0], np.cumsum(sizes)])
+    first = stop[np.searchsorted(own, np.arange(len(outs) + 1))]
+    total = np.diff(first) + held
+    room = total // 512 * 16 + 18
+    home = np.cumsum(room) - room
+    spot = stop[:-1] + (held + 32 * home - first[:-1])[own]
+    shifted = values.astype(np.uint64) << (spot & 31).astype(np.uint64)
+    words = np.zeros(int(room.sum()), np.uint64)
+    if len(spot):
+        word = spot >> 5
+        edge = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[edge]] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), edge)
+        words[word[edge] + 1] += np.add.reduceat(shifted >> np.uint64(32), edge)
+    raw = words.astype("<u4").tobytes()
+    for out, a, n, bits in zip(outs, (4 * home).tolist(), (4 * room).tolist(), total.tolist()):
+        out.join(raw[a : a + n], bits)
+
+
 class BitReader:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data, 0, 8 * len(data)
@@ -173,14 +193,20 @@ class BitReader:
         return word & ((1 << n) - 1)
 
 
+@lru_cache(1024)
+def _alone(symbol: int) -> np.ndarray:
+    """The table of a code with one symbol, which takes no bits."""
+    return np.array([symbol << 4], np.int32)
+
+
 class Code:
     """A prefix code ready for reading: ``array`` has symbol and bits by the next ``mask`` bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        symbols, sizes = np.array(list(lengths), np.int64), np.array(list(lengths.values()), np.int64)
-        if len(symbols) < 2:
-            self.array, self.mask = np.array([int(symbols[0]) << 4 if len(symbols) else 0], np.int32), 0
+        if len(lengths) < 2:
+            self.array, self.mask = _alone(next(iter(lengths), 0)), 0
             return
+        symbols, sizes = np.array(list(lengths), np.int64), np.array(list(lengths.values()), np.int64)
         order = np.lexsort((symbols, sizes))
         symbols, sizes = symbols[order], sizes[order]
         most = int(sizes[-1])
@@ -200,13 +226,18 @@ class Code:
 
 
 @lru_cache(8)
-def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, np.ndarray | None, np.ndarray | None]:
-    """(header, its bits, codes, bits each takes) of a prefix code for packed 64-bit counts; no arrays where it takes no bits."""
+def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, list[int] | None]:
+    """(header, its bits, code lengths) of a prefix code for packed 64-bit counts; no lengths where it takes no bits."""
     counts = np.frombuffer(packed, np.int64).tolist()
     used = [i for i, n in enumerate(counts) if n]
     if len(used) <= 1 and (not used or used[0] < 256):
         symbol = used[0] if used else 0
-        return (1 | symbol << 3, 4, None, None) if symbol < 2 else (1 | 1 << 2 | symbol << 3, 11, None, None)
+        return (1 | symbol << 3, 4, None) if symbol < 2 else (1 | 1 << 2 | symbol << 3, 11, None)
+    if len(used) == 2 and used[1] < 256:
+        lengths = [0] * (used[1] + 1)
+        lengths[used[0]] = lengths[used[1]] = 1
+        wide = 1 if used[0] < 2 else 8
+        return 1 | 1 << 1 | (wide == 8) << 2 | used[0] << 3 | used[1] << (3 + wide), 11 + wide, lengths
     lengths = code_lengths(counts, most)
     runs: list[tuple[int, int, int]] = []  # (symbol, extra, bits of extra)
     i, stop = 0, used[-1] + 1
@@ -252,7 +283,7 @@ def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, np.ndarray
         if not own[0]:
             raise ValueError("a code of one run")
     alone = sum(1 for x in own if x) == 1
-    codes = canonical(own).tolist()
+    codes = canonical(own)
     for s, extra, bits in runs:
         if not alone:
             value |= codes[s] << size
@@ -260,8 +291,8 @@ def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, np.ndarray
         value |= extra << size
         size += bits
     if len(used) == 1:
-        return value, size, None, None
-    return value, size, canonical(lengths), np.array(lengths, np.int64)
+        return value, size, None
+    return value, size, lengths
 
 
 def _get_code(bits: BitReader, size: int) -> dict[int, int]:
@@ -741,12 +772,22 @@ def _near_codes(width: int) -> np.ndarray:
     return out
 
 
-def _same_before(keys: np.ndarray) -> np.ndarray:
-    """For each place the last place before it with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    out = np.full(len(keys), -1, np.int64)
-    same = keys[order[1:]] == keys[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+def _same_before(keys: np.ndarray, bits: int) -> np.ndarray:
+    """For each place the last place before it with the same key of ``bits`` bits, or -1.
+
+    Keys too wide to stand beside their places in 64 bits lose their low bits.
+    """
+    n = len(keys)
+    room = max(1, (n - 1).bit_length())
+    if bits + room > 64:
+        keys = keys >> np.uint64(bits + room - 64)
+    packed = keys << np.uint64(room) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    place = (packed & np.uint64((1 << room) - 1)).astype(np.int64)
+    key = packed >> np.uint64(room)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    out = np.full(n, -1, np.int64)
+    out[place[same + 1]] = place[same]
     return out
 
 
@@ -763,7 +804,7 @@ def _copies(flat: np.ndarray, owner: np.ndarray, widths: np.ndarray) -> tuple[np
     key = owner[SHORTEST - 1 :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
         key += x[k : len(x) - SHORTEST + 1 + k] * np.uint64(factor)
-    before = _same_before(key)
+    before = _same_before(key, 64)
     at = np.flatnonzero((before >= 0) & (owner[SHORTEST - 1 :] == owner[: 1 - SHORTEST]))
     source = before[at]
     equal = owner[at] == owner[source]
@@ -807,13 +848,12 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
     copy = np.searchsorted(at, place)
     own = owner[at]
     # The four fields of an item: symbol, red, blue and alpha, or length, extra, distance and extra.
-    values = np.stack([flat[at] >> s & 255 for s in (8, 16, 0, 24)], axis=1).astype(np.int64)
+    values = flat[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].astype(np.int64)
     is_pixel = np.ones(len(at), bool)
     is_pixel[copy] = False
     if cache_bits:
         slot = ((flat.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
-        key = owner << cache_bits | slot
-        before = _same_before(key.astype(np.uint16) if n << cache_bits < 1 << 16 else key)
+        before = _same_before((owner << cache_bits | slot).astype(np.uint64), (n << cache_bits).bit_length())
         hit = is_pixel & (before[at] >= 0) & (flat[before[at]] == flat[at])
         is_pixel &= ~hit
         values[hit, 0] = 280 + slot[at[hit]]
@@ -824,17 +864,17 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
     seen = [(own, values[:, 0]), *((own[is_pixel], values[is_pixel, k]) for k in (1, 2, 3)), (own[copy], far)]
     counts = [np.bincount(whose * size + x, minlength=n * size).reshape(n, size) for (whose, x), size in zip(seen, sizes)]
     used = [np.where(c.any(1), c.shape[1] - (c[:, ::-1] > 0).argmax(1), 0).tolist() for c in counts]
-    codes = [np.zeros((n, size), np.int64) for size in sizes]
     widths = [np.zeros((n, size), np.int64) for size in sizes]
     for i, out in enumerate(outs):
         out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
         if main:
             out.put(0, 1)
         for k in range(5):
-            value, size, code, taken = _code_of(counts[k][i, : used[k][i]].tobytes())
+            value, size, lengths = _code_of(counts[k][i, : used[k][i]].tobytes())
             out.put(value, size)
-            if code is not None:
-                codes[k][i, : len(code)], widths[k][i, : len(code)] = code, taken
+            if lengths is not None:
+                widths[k][i, : len(lengths)] = lengths
+    codes = [_canonical_rows(x) for x in widths]
     bits, wide = np.zeros_like(values), np.zeros_like(values)
     bits[:, 0], wide[:, 0] = codes[0][own, values[:, 0]], widths[0][own, values[:, 0]]
     for k in (1, 2, 3):
@@ -842,10 +882,8 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
             bits[is_pixel, k], wide[is_pixel, k] = codes[k][own[is_pixel], values[is_pixel, k]], widths[k][own[is_pixel], values[is_pixel, k]]
     bits[copy, 1:] = np.stack([long_extra, codes[4][own[copy], far], far_extra], axis=1)
     wide[copy, 1:] = np.stack([long_bits, widths[4][own[copy], far], far_bits], axis=1)
-    bits[wide == 0] = 0
-    stops = np.searchsorted(own, np.arange(n + 1))
-    for out, a, b in zip(outs, stops, stops[1:]):
-        out.put_many(bits[a:b].ravel(), wide[a:b].ravel())
+    some = np.flatnonzero(wide)
+    _put_many(outs, own[some >> 2], bits.ravel()[some], wide.ravel()[some])
 
 
 def _file(body: bytes) -> bytes:
