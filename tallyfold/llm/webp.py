@@ -30,9 +30,9 @@ from .arrays import rebatched, utf8
 ROW = 576
 MAX_SIDE = 16384
 CACHE_BITS = 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 #: Samples that are encoded together.
-GROUP_SAMPLES = 1 << 20
+GROUP_SAMPLES = 1 << 18
 #: Rows of an image of a text; a longer text takes several.
 STRIP_ROWS = 16
 #: Fewer images than this are decoded one by one, and so are the last ones of many.
@@ -182,14 +182,16 @@ class BitReader:
         a = self.at >> 3
         return int.from_bytes(self.data[a : a + 8], "little") >> (self.at & 7)
 
-    def get(self, n: int) -> int:
-        if not n:
-            return 0
-        a = self.at >> 3
-        word = int.from_bytes(self.data[a : a + 8], "little") >> (self.at & 7)
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > self.end + 64:
             raise ValueError("the stream ends early")
+
+    def get(self, n: int) -> int:
+        if not n:
+            return 0
+        word = self.look()
+        self.skip(n)
         return word & ((1 << n) - 1)
 
 
@@ -199,6 +201,22 @@ def _alone(symbol: int) -> np.ndarray:
     return np.array([symbol << 4], np.int32)
 
 
+def _short_table(lengths: dict[int, int]) -> tuple[list[int], int]:
+    """``Code``'s table of a small code, and its mask."""
+    if len(lengths) < 2:
+        return [next(iter(lengths), 0) << 4], 0
+    most = max(lengths.values())
+    table, at = [-1] * (1 << most), 0
+    for n, symbol in sorted((n, symbol) for symbol, n in lengths.items()):
+        if at >= 1 << 15:
+            raise ValueError("an overfull prefix code")
+        table[int(_mirror(15)[at]) :: 1 << n] = [symbol << 4 | n] * (1 << (most - n))
+        at += 1 << (15 - n)
+    if at != 1 << 15:
+        raise ValueError("an incomplete prefix code")
+    return table, (1 << most) - 1
+
+
 class Code:
     """A prefix code ready for reading: ``array`` has symbol and bits by the next ``mask`` bits."""
 
@@ -297,19 +315,24 @@ def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, list[int]
 
 def _get_code(bits: BitReader, size: int) -> dict[int, int]:
     """Code lengths by symbol."""
-    if bits.get(1):
-        n = bits.get(1) + 1
-        first = bits.get(8 if bits.get(1) else 1)
-        return {first: 1} if n == 1 else {first: 1, bits.get(8): 1}
-    own = {}
-    for s in _LENGTH_ORDER[: 4 + bits.get(4)]:
-        if n := bits.get(3):
-            own[s] = n
-    reader = Code(own)
+    word = bits.look()
+    if word & 1:
+        wide = 8 if word & 4 else 1
+        lengths = {word >> 3 & (1 << wide) - 1: 1}
+        bits.skip(3 + wide)
+        if word & 2:
+            lengths[word >> (3 + wide) & 255] = 1
+            bits.skip(8)
+        return lengths
+    shown = 4 + (word >> 1 & 15)
+    bits.skip(5)
+    word = bits.look()
+    bits.skip(3 * shown)
+    own = {s: n for k, s in enumerate(_LENGTH_ORDER[:shown]) if (n := word >> 3 * k & 7)}
     left = 2 + bits.get(2 + 2 * bits.get(3)) if bits.get(1) else size
     lengths: dict[int, int] = {}
     at, before = 0, 8
-    table, mask = reader.table, reader.mask
+    table, mask = _short_table(own)
     data, spot = bits.data, bits.at >> 3
     word, have = int.from_bytes(data[spot : spot + 16], "little") >> (bits.at & 7), 128 - (bits.at & 7)
     spot += 16
@@ -848,11 +871,13 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
     copy = np.searchsorted(at, place)
     own = owner[at]
     # The four fields of an item: symbol, red, blue and alpha, or length, extra, distance and extra.
-    values = flat[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].astype(np.int64)
+    channels = flat.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]]
+    varied = [k for k in range(4) if (channels[:, k] != channels[0, k]).any()]
+    values = channels[at].astype(np.int64)
     is_pixel = np.ones(len(at), bool)
     is_pixel[copy] = False
     if cache_bits:
-        slot = ((flat.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        slot = (flat * np.uint32(_CACHE_MULTIPLIER) >> np.uint32(32 - cache_bits)).astype(np.int64)
         before = _same_before((owner << cache_bits | slot).astype(np.uint64), (n << cache_bits).bit_length())
         hit = is_pixel & (before[at] >= 0) & (flat[before[at]] == flat[at])
         is_pixel &= ~hit
@@ -861,8 +886,11 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
     far, far_extra, far_bits = _prefixes(away)
     values[copy] = np.stack([256 + long, long_extra, far, far_extra], axis=1)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    seen = [(own, values[:, 0]), *((own[is_pixel], values[is_pixel, k]) for k in (1, 2, 3)), (own[copy], far)]
-    counts = [np.bincount(whose * size + x, minlength=n * size).reshape(n, size) for (whose, x), size in zip(seen, sizes)]
+    pixel = np.flatnonzero(is_pixel)
+    symbol = own * sizes[0] + values[:, 0]
+    rest = [(own[pixel], values[pixel, k] if k in varied else int(channels[0, k])) for k in (1, 2, 3)] + [(own[copy], far)]
+    places = [symbol, *(whose * size + x for (whose, x), size in zip(rest, sizes[1:]))]
+    counts = [np.bincount(x, minlength=n * size).reshape(n, size) for x, size in zip(places, sizes)]
     used = [np.where(c.any(1), c.shape[1] - (c[:, ::-1] > 0).argmax(1), 0).tolist() for c in counts]
     widths = [np.zeros((n, size), np.int64) for size in sizes]
     for i, out in enumerate(outs):
@@ -875,15 +903,21 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
             if lengths is not None:
                 widths[k][i, : len(lengths)] = lengths
     codes = [_canonical_rows(x) for x in widths]
-    bits, wide = np.zeros_like(values), np.zeros_like(values)
-    bits[:, 0], wide[:, 0] = codes[0][own, values[:, 0]], widths[0][own, values[:, 0]]
-    for k in (1, 2, 3):
-        if widths[k].any():
-            bits[is_pixel, k], wide[is_pixel, k] = codes[k][own[is_pixel], values[is_pixel, k]], widths[k][own[is_pixel], values[is_pixel, k]]
-    bits[copy, 1:] = np.stack([long_extra, codes[4][own[copy], far], far_extra], axis=1)
-    wide[copy, 1:] = np.stack([long_bits, widths[4][own[copy], far], far_bits], axis=1)
-    some = np.flatnonzero(wide)
-    _put_many(outs, own[some >> 2], bits.ravel()[some], wide.ravel()[some])
+    # What an item writes: one number, or four where its other fields take bits.
+    entries = np.ones(len(at), np.int64)
+    entries[copy] = 4
+    told = [k for k in (1, 2, 3) if widths[k].any()]
+    if told:
+        entries[pixel] = 4
+    spot = np.cumsum(entries) - entries
+    bits, wide = np.zeros((2, int(entries.sum())), np.int64)
+    both = (codes[0] << 4 | widths[0]).ravel()[symbol]
+    bits[spot], wide[spot] = both >> 4, both & 15
+    for k in told:
+        bits[spot[pixel] + k], wide[spot[pixel] + k] = codes[k][own[pixel], values[pixel, k]], widths[k][own[pixel], values[pixel, k]]
+    for k, (x, n_bits) in enumerate(((long_extra, long_bits), (codes[4][own[copy], far], widths[4][own[copy], far]), (far_extra, far_bits)), 1):
+        bits[spot[copy] + k], wide[spot[copy] + k] = x, n_bits
+    _put_many(outs, np.repeat(own, entries), bits, wide)
 
 
 def _file(body: bytes) -> bytes:
@@ -936,7 +970,8 @@ def encode_many(
     for out, x in zip(outs, images):
         _header(out, x.shape[1], x.shape[0], bool((x >> 24 != 255).any()))
     if palette:
-        colours, indexes = zip(*(np.unique(x, return_inverse=True) for x in images))
+        colours = [np.unique(x) for x in images]
+        indexes = [np.searchsorted(own, x.ravel()) for own, x in zip(colours, images)]
         if max(map(len, colours)) > 256:
             raise ValueError("more than 256 colours")
         for out, own in zip(outs, colours):
