@@ -149,3 +149,37 @@ def test_stages_take_hard_rows_and_none(spark, stage):
         assert not any("abcdef123456" in t for t in texts) and sum(t.startswith("clean") for t in texts) == 2
     else:
         assert any("password" in t for t in texts)
+
+
+def test_top_k_over_many_shards_with_copies_lengths_and_repeated_ids(spark):
+    import numpy as np
+
+    from tallyfold.llm import kdtree
+
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.integers(-8, 9, 6) / 4], "a") for i in range(900)]
+    rows += [(i, [0.5, -0.25, 1.0, 0.0, 0.0, 2.0], "copy") for i in range(900, 1400)]
+    rows += [(i, [float(x) for x in draw.integers(-8, 9, 3) / 4], "b") for i in range(1400, 1500)]
+    rows += [(50, [2.0] * 6, "again"), (7, None, "c"), (8, [None] * 6, "d"), (None, [1.0] * 6, "e"), (9, [float("nan")] * 6, "f")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string").repartition(7)
+    got = kdtree.top_k(frame, frame.filter("vec_id % 50 = 0"), shard_rows=64).collect()
+    found: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and not np.isnan(v).any()]
+    for query in range(0, 1500, 50):
+        if query == 50:
+            continue  # two vectors of one id are two queries under one name
+        vector = next(v for i, v in whole if i == query)
+        scores = sorted((-int(v @ vector), i) for i, v in whole if i != query and len(v) == len(vector))[:5]
+        assert found[query] == [(-s, i) for s, i in scores]
+
+
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    import pytest
+
+    from tallyfold.llm import kdtree
+
+    frame = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        kdtree.top_k(frame, frame).collect()
