@@ -277,7 +277,9 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     def found(wanted: DataFrame, everywhere: bool) -> DataFrame:
         routed = wanted.mapInArrow(lambda b: route(b, everywhere), "shard long, id long, v array<long>, floor long")
         both = trees.select("shard", "tree").unionByName(routed, allowMissingColumns=True)
-        lined = both.repartition("shard").sortWithinPartitions("shard", F.col("tree").isNull())
+        # A few shards a task, so that few trees come in one Arrow batch.
+        tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(cells.shards) // 4)
+        lined = both.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("tree").isNull())
         return lined.mapInArrow(search, "query_id long, vec_id long, score long")
 
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)))
