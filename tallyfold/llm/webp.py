@@ -17,9 +17,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import cached_property, lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -195,12 +195,6 @@ class BitReader:
         return word & ((1 << n) - 1)
 
 
-@lru_cache(1024)
-def _alone(symbol: int) -> np.ndarray:
-    """The table of a code with one symbol, which takes no bits."""
-    return np.array([symbol << 4], np.int32)
-
-
 def _short_table(lengths: dict[int, int]) -> tuple[list[int], int]:
     """``Code``'s table of a small code, and its mask."""
     if len(lengths) < 2:
@@ -218,20 +212,18 @@ def _short_table(lengths: dict[int, int]) -> tuple[list[int], int]:
 
 
 class Code:
-    """A prefix code ready for reading: ``array`` has symbol and bits by the next ``mask`` bits."""
+    """A prefix code: ``array`` has symbol and bits by the next ``mask`` bits; both are made when asked for."""
 
     def __init__(self, lengths: dict[int, int]):
-        if len(lengths) < 2:
-            self.array, self.mask = _alone(next(iter(lengths), 0)), 0
-            return
-        symbols, sizes = np.array(list(lengths), np.int64), np.array(list(lengths.values()), np.int64)
-        order = np.lexsort((symbols, sizes))
-        symbols, sizes = symbols[order], sizes[order]
-        most = int(sizes[-1])
-        room = 1 << (most - sizes)
-        if room.sum() != 1 << most:
-            raise ValueError("an incomplete or overfull prefix code")
-        self.array, self.mask = np.repeat(symbols << 4 | sizes, room)[_mirror(most)].astype(np.int32), (1 << most) - 1
+        self.lengths = lengths
+
+    @cached_property
+    def array(self) -> np.ndarray:
+        return _tables([self])[0]
+
+    @cached_property
+    def mask(self) -> int:
+        return (1 << max(self.lengths.values())) - 1 if len(self.lengths) > 1 else 0
 
     @cached_property
     def table(self) -> list[int]:
@@ -243,6 +235,30 @@ class Code:
         return hit >> 4
 
 
+def _tables(codes: list[Code]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All codes' tables one behind the other, where each starts, and their masks."""
+    held = [c.lengths or {0: 1} for c in codes]
+    many = np.array([len(x) for x in held], np.int64)
+    n = int(many.sum())
+    symbols = np.fromiter(chain.from_iterable(held), np.int64, n)
+    sizes = np.fromiter(chain.from_iterable(x.values() for x in held), np.int64, n)
+    sizes[np.repeat(many == 1, many)] = 0  # a lone symbol takes no bits
+    owner = np.repeat(np.arange(len(codes)), many)
+    line = owner << 16 | sizes << 12 | symbols
+    line.sort()
+    symbols, sizes = line & 0xFFF, line >> 12 & 15
+    first = np.cumsum(many) - many
+    most = sizes[first + many - 1]
+    room = 1 << (most[owner] - sizes)
+    whole = 1 << most
+    if (np.add.reduceat(room, first) != whole).any():
+        raise ValueError("an incomplete or overfull prefix code")
+    start = np.cumsum(whole) - whole
+    place = np.arange(whole.sum()) - np.repeat(start, whole)
+    by_code = np.repeat((symbols << 4 | sizes).astype(np.int32), room)
+    return by_code[np.repeat(start, whole) + (_mirror(15)[place] >> np.repeat(15 - most, whole))], start, whole - 1
+
+
 @lru_cache(8)
 def _code_of(packed: bytes, most: int = MOST_BITS) -> tuple[int, int, list[int] | None]:
     """(header, its bits, code lengths) of a prefix code for packed 64-bit counts; no lengths where it takes no bits."""
@@ -611,32 +627,31 @@ def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
     joined = b"".join(streams) + bytes(1024)
     numbers = np.ndarray((len(joined) - 8,), "<i8", joined, 0, (1,))
     # All groups' codes in one table of (symbol, bits): where each starts, and its mask.
-    arrays = [code.array for h in heads for group in h.codes for code in group]
-    table = np.concatenate(arrays)
-    starts = np.cumsum([0, *map(len, arrays)])[:-1].reshape(-1, 5)
-    masks = np.array([code.mask for h in heads for group in h.codes for code in group], np.int64).reshape(-1, 5)
+    table, starts, masks = _tables([code for h in heads for group in h.codes for code in group])
+    starts, masks = starts.reshape(-1, 5), masks.reshape(-1, 5)
     fixed = (masks[:, 1:4] == 0).all(1)
     symbol = table[starts] >> 4
-    base = symbol[:, 3].astype(np.int64) << 24 | symbol[:, 1] << 16 | symbol[:, 2]
+    symbol = symbol.astype(np.uint32)
+    base = symbol[:, 3] << np.uint32(24) | symbol[:, 1] << np.uint32(16) | symbol[:, 2]
     first_group = np.cumsum([0, *(len(h.codes) for h in heads)])[:-1]
     planned = any(h.plan is not None for h in heads)
     plans = np.concatenate([np.zeros(1, np.int64) if h.plan is None else h.plan.ravel().astype(np.int64) for h in heads])
     plan_at = np.cumsum([0, *(1 if h.plan is None else h.plan.size for h in heads)])[:-1]
     sizes = np.array([h.width * h.height for h in heads], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]  # a spare pixel behind each image
-    out = np.zeros(int((sizes + 1).sum()), np.int64)
+    out = np.zeros(int((sizes + 1).sum()), np.uint32)
     caches = np.array([1 << h.cache_bits for h in heads], np.int64)
-    cache = np.zeros(int(caches.sum()), np.int64)
+    cache = np.zeros(int(caches.sum()), np.uint32)
     near_x, near_y = np.array(_near(), np.int64).T
     lanes = {
         "bit": np.array([8 * w + h.bits.at for w, h in zip(where, heads)], np.int64), "bound": 8 * where[1:], "at": begins.copy(), "begin": begins, "end": begins + sizes,
         "width": np.array([h.width for h in heads], np.int64), "group": first_group, "first": first_group, "plan": plan_at, "tile": np.array([h.tile if h.plan is not None else 31 for h in heads], np.int64),
-        "across": np.array([_divided(h.width, h.tile) if h.plan is not None else 1 for h in heads], np.int64), "number": np.arange(len(heads)), "cache": np.cumsum(caches) - caches, "shift": np.array([32 - h.cache_bits for h in heads], np.int64),
+        "across": np.array([_divided(h.width, h.tile) if h.plan is not None else 1 for h in heads], np.int64), "number": np.arange(len(heads)), "cache": np.cumsum(caches) - caches, "shift": np.array([32 - h.cache_bits for h in heads], np.uint32),
     }
     rich = not fixed.all()
 
     def slot(pixels: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        return (pixels * _CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift
+        return pixels * np.uint32(_CACHE_MULTIPLIER) >> shift
 
     turn = 0
     while True:
@@ -645,6 +660,8 @@ def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
             if (lanes["bit"] > lanes["bound"]).any():
                 raise ValueError("the stream ends early")
             if not live.all():
+                for i, bit in zip(lanes["number"][~live].tolist(), lanes["bit"][~live].tolist()):
+                    heads[i].bits.at = bit - 8 * int(where[i])
                 lanes = {k: v[live] for k, v in lanes.items()}
             if len(lanes["at"]) < LANES:
                 for i, bit, at, home in zip(*(lanes[k].tolist() for k in ("number", "bit", "at", "cache"))):
@@ -665,17 +682,17 @@ def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
             start, mask, colour = starts[group, 0], masks[group, 0], base[group]
         hit = table[start + (_windows(numbers, bit) & mask)]
         used = (hit & 15).astype(np.int64)
-        kind = (hit >> 4).astype(np.int64)
-        value = colour | (kind & 255) << 8
+        kind = hit >> 4
+        value = colour | ((kind & 255) << 8).view(np.uint32)
         step = np.ones(len(at), np.int64)
         if rich:
             some = np.flatnonzero((kind < 256) & ~fixed[group])
             if len(some):
-                b, own, pixel = bit[some] + used[some], group[some], (kind[some] << 8)
+                b, own, pixel = bit[some] + used[some], group[some], (kind[some] << 8).view(np.uint32)
                 for k, place in ((1, 16), (2, 0), (3, 24)):
                     h = table[starts[own, k] + (_windows(numbers, b) & masks[own, k])]
                     b = b + (h & 15)
-                    pixel |= (h >> 4).astype(np.int64) << place
+                    pixel |= (h >> 4).view(np.uint32) << np.uint32(place)
                 value[some], used[some] = pixel, b - bit[some]
         cached = np.flatnonzero(kind >= 280)
         if len(cached):
@@ -683,7 +700,7 @@ def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
         copies = np.flatnonzero((kind >= 256) & (kind < 280) & open_)
         if len(copies):
             b, own = bit[copies] + used[copies], group[copies]
-            lengths, b = _number(numbers, b, kind[copies] - 256)
+            lengths, b = _number(numbers, b, kind[copies].astype(np.int64) - 256)
             h = table[starts[own, 4] + (_windows(numbers, b) & masks[own, 4])]
             back, b = _number(numbers, b + (h & 15), (h >> 4).astype(np.int64))
             close = np.minimum(back, 120) - 1
@@ -702,7 +719,7 @@ def _side_by_side(heads: list[_Head]) -> list[np.ndarray]:
             cache[np.repeat(homes[copies], lengths) + slot(pixels, np.repeat(shift[copies], lengths))] = pixels
         bit += np.where(open_, used, 0)
         np.minimum(at + step, end, out=at)
-    return [out[a : a + n].astype(np.uint32).reshape(h.height, h.width) for a, n, h in zip(begins, sizes, heads)]
+    return [out[a : a + n].reshape(h.height, h.width) for a, n, h in zip(begins, sizes, heads)]
 
 
 def _number(numbers: np.ndarray, bit: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -713,11 +730,23 @@ def _number(numbers: np.ndarray, bit: np.ndarray, prefix: np.ndarray) -> tuple[n
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """ARGB pixels, (height, width) uint32, of lossless WebP files."""
-    opened = [_opened(data) for data in files]
-    heads = [head for head, _, _ in opened]
-    images = _side_by_side(heads) if len(heads) >= LANES else map(_symbols, heads)
-    return [_undone(pixels, undo, height) for pixels, (_, undo, height) in zip(images, opened)]
+    """ARGB pixels, (height, width) uint32, of lossless WebP files.
+
+    Every file reads itself up to its next entropy image; these are decoded side by side.
+    """
+    readers = [_reading(data) for data in files]
+    out: list[np.ndarray] = [None] * len(files)
+    asked = [(i, next(reader)) for i, reader in enumerate(readers)]
+    while asked:
+        heads = [head for _, head in asked]
+        images = _side_by_side(heads) if len(heads) >= LANES else [_symbols(head) for head in heads]
+        numbers, asked = [i for i, _ in asked], []
+        for i, pixels in zip(numbers, images):
+            try:
+                asked.append((i, readers[i].send(pixels)))
+            except StopIteration as done:
+                out[i] = done.value
+    return out
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -725,8 +754,8 @@ def decode(data: bytes) -> np.ndarray:
     return decode_many([data])[0]
 
 
-def _opened(data: bytes) -> tuple[_Head, list[tuple], int]:
-    """A file up to its symbols: the head of its main image, the transforms to undo, and the height."""
+def _reading(data: bytes) -> Generator[_Head, np.ndarray, np.ndarray]:
+    """Gives the head of each entropy image of a file, takes its pixels, and returns the picture."""
     body = _chunk(data)
     if not body or body[0] != _SIGNATURE:
         raise ValueError("not a lossless bit stream")
@@ -745,15 +774,16 @@ def _opened(data: bytes) -> tuple[_Head, list[tuple], int]:
         seen.add(kind)
         if kind in (_PREDICTOR, _CROSS_COLOUR):
             tile = bits.get(3) + 2
-            undo.append((kind, tile, _entropy_image(bits, _divided(across, tile), _divided(height, tile), False), across))
+            undo.append((kind, tile, (yield _Head(bits, _divided(across, tile), _divided(height, tile), False)), across))
         elif kind == _PALETTE:
             n = bits.get(8) + 1
-            steps = _planes(_entropy_image(bits, n, 1, False))
-            undo.append((kind, 0, _pixels(np.cumsum(steps, 2))[0], across))
+            steps = np.ascontiguousarray((yield _Head(bits, n, 1, False)), "<u4").view(np.uint8).reshape(n, 4)
+            undo.append((kind, 0, np.cumsum(steps, 0, np.uint8).view("<u4")[:, 0], across))
             across = _divided(across, _bundle_bits(n))
         else:
             undo.append((kind, 0, None, across))
-    return _Head(bits, across, height, True), undo, height
+    pixels = yield _Head(bits, across, height, True)
+    return _undone(pixels, undo, height)
 
 
 def _undone(pixels: np.ndarray, undo: list[tuple], height: int) -> np.ndarray:
@@ -870,10 +900,11 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
     at = np.flatnonzero(kept)  # where an item starts
     copy = np.searchsorted(at, place)
     own = owner[at]
-    # The four fields of an item: symbol, red, blue and alpha, or length, extra, distance and extra.
-    channels = flat.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]]
-    varied = [k for k in range(4) if (channels[:, k] != channels[0, k]).any()]
-    values = channels[at].astype(np.int64)
+    # The fields of an item: symbol, red, blue and alpha, or length, extra, distance and extra.
+    change = int(np.bitwise_or.reduce(flat ^ flat[0]))
+    fields = [(flat >> np.uint32(place) & np.uint32(255)).astype(np.int64) if change >> place & 255 else None for place in (8, 16, 0, 24)]
+    alike = [int(flat[0]) >> place & 255 for place in (8, 16, 0, 24)]
+    kinds = np.full(len(at), alike[0]) if fields[0] is None else fields[0][at]
     is_pixel = np.ones(len(at), bool)
     is_pixel[copy] = False
     if cache_bits:
@@ -881,14 +912,14 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
         before = _same_before((owner << cache_bits | slot).astype(np.uint64), (n << cache_bits).bit_length())
         hit = is_pixel & (before[at] >= 0) & (flat[before[at]] == flat[at])
         is_pixel &= ~hit
-        values[hit, 0] = 280 + slot[at[hit]]
+        kinds[hit] = 280 + slot[at[hit]]
     long, long_extra, long_bits = _prefixes(length)
     far, far_extra, far_bits = _prefixes(away)
-    values[copy] = np.stack([256 + long, long_extra, far, far_extra], axis=1)
+    kinds[copy] = 256 + long
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     pixel = np.flatnonzero(is_pixel)
-    symbol = own * sizes[0] + values[:, 0]
-    rest = [(own[pixel], values[pixel, k] if k in varied else int(channels[0, k])) for k in (1, 2, 3)] + [(own[copy], far)]
+    symbol = own * sizes[0] + kinds
+    rest = [(own[pixel], alike[k] if fields[k] is None else fields[k][at[pixel]]) for k in (1, 2, 3)] + [(own[copy], far)]
     places = [symbol, *(whose * size + x for (whose, x), size in zip(rest, sizes[1:]))]
     counts = [np.bincount(x, minlength=n * size).reshape(n, size) for x, size in zip(places, sizes)]
     used = [np.where(c.any(1), c.shape[1] - (c[:, ::-1] > 0).argmax(1), 0).tolist() for c in counts]
@@ -914,7 +945,7 @@ def _put_entropy_images(outs: list[BitWriter], images: list[np.ndarray], main: b
     both = (codes[0] << 4 | widths[0]).ravel()[symbol]
     bits[spot], wide[spot] = both >> 4, both & 15
     for k in told:
-        bits[spot[pixel] + k], wide[spot[pixel] + k] = codes[k][own[pixel], values[pixel, k]], widths[k][own[pixel], values[pixel, k]]
+        bits[spot[pixel] + k], wide[spot[pixel] + k] = codes[k][rest[k - 1]], widths[k][rest[k - 1]]
     for k, (x, n_bits) in enumerate(((long_extra, long_bits), (codes[4][own[copy], far], widths[4][own[copy], far]), (far_extra, far_bits)), 1):
         bits[spot[copy] + k], wide[spot[copy] + k] = x, n_bits
     _put_many(outs, np.repeat(own, entries), bits, wide)
@@ -970,13 +1001,12 @@ def encode_many(
     for out, x in zip(outs, images):
         _header(out, x.shape[1], x.shape[0], bool((x >> 24 != 255).any()))
     if palette:
-        colours = [np.unique(x) for x in images]
-        indexes = [np.searchsorted(own, x.ravel()) for own, x in zip(colours, images)]
+        colours, indexes = _palettes(images)
         if max(map(len, colours)) > 256:
             raise ValueError("more than 256 colours")
         for out, own in zip(outs, colours):
             out.put(1 | _PALETTE << 1 | (len(own) - 1) << 3, 11)
-        _put_entropy_images(outs, [_pixels(np.diff(_planes(own[None]), axis=2, prepend=0)) for own in colours], False)
+        _put_entropy_images(outs, [_steps(own) for own in colours], False)
         images = [_bundled(index.reshape(x.shape), len(own)) for x, index, own in zip(images, indexes, colours)]
     if predictors is not None or cross_colours is not None or subtract_green:
         planes = [_planes(x) for x in images]
@@ -1002,6 +1032,27 @@ def encode_many(
     return [_file(out.take()) for out in outs]
 
 
+def _palettes(images: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each image's colours in increasing order, and its pixels' places among them."""
+    flat = np.concatenate([x.ravel() for x in images])
+    if ((flat ^ flat[0]) & np.uint32(0xFFFF00FF)).any():
+        colours = [np.unique(x) for x in images]
+        return colours, [np.searchsorted(own, x.ravel()) for own, x in zip(colours, images)]
+    # Only greens differ: a table of 256 for each image.
+    sizes = [x.size for x in images]
+    spot = np.repeat(np.arange(len(images)) << 8, sizes) | (flat >> np.uint32(8) & np.uint32(255))
+    here = np.bincount(spot, minlength=len(images) << 8).reshape(-1, 256) > 0
+    rank = (here.cumsum(1) - 1).ravel()
+    rest = flat[0] & np.uint32(0xFFFF00FF)
+    return [rest | np.flatnonzero(x).astype(np.uint32) << np.uint32(8) for x in here], np.split(rank[spot], np.cumsum(sizes)[:-1])
+
+
+def _steps(colours: np.ndarray) -> np.ndarray:
+    """A palette as an image of one row: each channel less that of the colour before."""
+    channels = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.diff(channels, axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(1, -1)
+
+
 def _bundled(index: np.ndarray, colours: int) -> np.ndarray:
     """Palette numbers as pixels, several in one where there are few colours."""
     wide = _bundle_bits(colours)
