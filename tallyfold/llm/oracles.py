@@ -60,5 +60,49 @@ FROM (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id) c LEFT JOIN
 """
 
 
+def op13(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds by plain distances, one pair of tables a round."""
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS j, e
+  FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT i, min(struct_pack(d := d, j := j)) AS m
+  FROM (
+    SELECT v.i, c.j,
+      CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM v CROSS JOIN c{r} c)
+  GROUP BY i
+)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS MATERIALIZED (
+  SELECT j, list(CAST(x AS BIGINT) ORDER BY t) AS e
+  FROM (
+    SELECT j, t, (s - ((s % n) + n) % n) // n AS x
+    FROM (
+      SELECT m.j AS j, t, sum(e[t]) AS s, count(*) AS n
+      FROM a{r} JOIN v USING (i), generate_series(1, 64) g(t) GROUP BY 1, 2))
+  GROUP BY j
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(s.e, c.e) AS e FROM c{r} c LEFT JOIN s{r} s USING (j)
+)""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT vec_id, CAST(m.j AS INTEGER) AS cluster, m.d AS distance,
+  CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (i) JOIN c{rounds} c ON c.j = m.j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2, "op7_top_k": OP7, "op9_jaccard": OP9}
+    return {"op2_substrings": OP2, "op7_top_k": OP7, "op9_jaccard": OP9, "op13_centroids": op13()}

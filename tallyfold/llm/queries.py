@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kdtree, language, ngrams, packing, secrets, substrings, toxicity, webp
+from . import bpe, drake, jaccard, kdtree, language, ngrams, packing, secrets, substrings, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,5 +75,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op3_language_model, op4_webp, op5_secrets, op6_toxicity, op7_top_k, op8_language, op9_jaccard, op10_packing)}
+    listed = (
+        op1_byte_bpe, op2_substrings, op3_language_model, op4_webp, op5_secrets, op6_toxicity, op7_top_k,
+        op8_language, op9_jaccard, op10_packing, op13_centroids,
+    )
+    return {f.__name__: f for f in listed}
