@@ -60,6 +60,44 @@ FROM (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id) c LEFT JOIN
 """
 
 
+OP12 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(x, '[\x20\x09]'), lambda y: y <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM t)
+), g AS MATERIALIZED (
+  SELECT lang, k, s, count(*) AS f
+  FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+    FROM p, generate_series(1, 5) AS x(k) WHERE len(w) >= k)
+  GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, k, s, f AS a FROM g WHERE k >= 2 AND f >= 100
+), gone AS (
+  SELECT DISTINCT c.lang, c.s
+  FROM c JOIN c d ON c.lang = d.lang AND d.k > c.k AND contains(' ' || d.s || ' ', ' ' || c.s || ' ') AND 100 * d.a >= 100 * c.a
+), cuts AS (
+  SELECT lang, s, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y
+  FROM (SELECT lang, k, s, a, string_split(s, ' ') AS w, unnest(range(1, k)) AS j FROM c ANTI JOIN gone USING (lang, s))
+), scored AS (
+  SELECT u.lang, u.s, u.a, l.f AS l, r.f AS r, n.n, j,
+    (1000 * CAST(u.a AS HUGEINT) * CAST(n.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score
+  FROM cuts u JOIN g l ON l.lang = u.lang AND l.s = u.x JOIN g r ON r.lang = u.lang AND r.s = u.y JOIN n ON n.lang = u.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase,
+  a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest
+QUALIFY rank <= 2000
+"""
+
+
 def op13(k: int = 40, rounds: int = 5) -> str:
     """Lloyd's rounds by plain distances, one pair of tables a round."""
     parts = [f"""
@@ -105,4 +143,4 @@ FROM a{rounds} JOIN v USING (i) JOIN c{rounds} c ON c.j = m.j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2, "op7_top_k": OP7, "op9_jaccard": OP9, "op13_centroids": op13()}
+    return {"op2_substrings": OP2, "op7_top_k": OP7, "op9_jaccard": OP9, "op12_collocations": OP12, "op13_centroids": op13()}

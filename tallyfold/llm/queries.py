@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, drake, jaccard, kdtree, language, multiprobe, ngrams, packing, secrets, substrings, toxicity, webp
+from . import bpe, collocations, drake, jaccard, kdtree, language, multiprobe, ngrams, packing, secrets, substrings, toxicity, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiprobe.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"), least=100, cover=100, best=2000)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drake.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
 
@@ -87,6 +91,6 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_byte_bpe, op2_substrings, op3_language_model, op4_webp, op5_secrets, op6_toxicity, op7_top_k,
-        op8_language, op9_jaccard, op10_packing, op11_neighbours, op13_centroids,
+        op8_language, op9_jaccard, op10_packing, op11_neighbours, op12_collocations, op13_centroids,
     )
     return {f.__name__: f for f in listed}
