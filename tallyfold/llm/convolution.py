@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Text that a training task takes at most, besides the bound on its rows.
@@ -22,16 +23,18 @@ SAMPLE_BYTES = 64 << 20
 def trained(sample: DataFrame, order: list[str], train: Callable[[list[dict]], object], column: str, most: int = SAMPLE_BYTES) -> object:
     """What ``train`` makes of a bounded sample, in one task and in the given order; only the model comes back.
 
-    Rows are taken while their values of ``column`` stay within ``most`` bytes together.
+    A row whose value of ``column`` does not fit into what is left of ``most`` bytes is passed
+    over, and the next ones are tried.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist() if size < most else ():
-                size += len(row[column] or "")
-                if size <= most:
-                    rows.append(row)
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            for i, own in enumerate(sizes):
+                if size + own <= most:
+                    size += own
+                    rows.append({name: batch.column(name)[i].as_py() for name in batch.schema.names})
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
 
     found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
