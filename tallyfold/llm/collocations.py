@@ -38,6 +38,7 @@ MOST_BUCKETS = 8192
 #: Tasks that rank a language's candidates before its best ones meet.
 SPREAD = 16
 
+_GRAMS = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 # Kinds of bytes: part of a word, blank, end of a piece.
@@ -107,8 +108,8 @@ class Slice:
         own, bounds = utf8(coded.dictionary)
         langs = batch.column("lang").dictionary_encode()
         self.langs, self.lang = langs.dictionary, langs.indices.to_numpy()[row].astype(np.int64)
-        seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs.to_pylist()], np.uint64)
-        self.single = mix64(span_hash(prefix_sums(own), bounds[:-1], bounds[1:])[self.word] ^ seeds[self.lang])
+        self.seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs.to_pylist()], np.uint64)
+        self.single = mix64(span_hash(prefix_sums(own), bounds[:-1], bounds[1:])[self.word] ^ self.seeds[self.lang])
         self.weight = batch.column("m").to_numpy()[row]
         self.follows = np.zeros(len(row), bool)
         self.follows[:-1] = row[1:] == row[:-1]
@@ -174,8 +175,8 @@ def frequent_bits(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> I
     yield pa.RecordBatch.from_arrays(rows, names=["bucket", "bitmap"])
 
 
-def grams(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(lang, n, phrase, c): n-grams of runs whose words and pairs are all in the filter."""
+def grams(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(hash, and lang, n, phrase, c) a slice: n-grams of runs whose words and pairs are all in the filter."""
 
     def in_filter(keys: np.ndarray) -> np.ndarray:
         place = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -185,6 +186,7 @@ def grams(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.
         s = Slice(batch)
         if not len(s.word):
             continue
+        sums, keys, tables = prefix_sums(s.raw), [], []
         key, at = (s.lang << 32) | s.word, np.flatnonzero(in_filter(s.single))
         names = np.full(len(s.word), -1, np.int64)
         for n in range(1, LONGEST + 1):
@@ -203,8 +205,39 @@ def grams(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.
             counts = np.zeros(len(first), np.int64)
             np.add.at(counts, name, s.weight[at])
             spot = at[first]
+            keys.append(span_hash(sums, s.starts[spot], s.ends[spot + n - 1]) ^ s.seeds[s.lang[spot]])
             columns = [s.langs.take(pa.array(s.lang[spot])), pa.array(np.full(len(spot), n, np.int32)), _cut(s.raw, s.starts[spot], s.ends[spot + n - 1]).cast(pa.string()), pa.array(counts)]
-            yield from pa.table(columns, names=["lang", "n", "phrase", "c"]).to_batches(1 << 15)
+            tables.append(pa.table(columns, schema=_GRAMS))
+        if tables:
+            yield np.concatenate(keys), pa.concat_tables(tables)
+
+
+def packed(slices: Iterator[tuple[np.ndarray, pa.Table]], bits: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block): a slice's n-grams of one bucket as one block of rows."""
+    for keys, table in slices:
+        bucket = (mix64(keys) >> np.uint64(64 - bits)).astype(np.int64)
+        order = bucket.argsort(kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        there, first = np.unique(bucket[order], return_index=True)
+        blocks = []
+        for a, b in zip(first, [*first[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _GRAMS) as out:
+                out.write_table(table.slice(a, b - a))
+            blocks.append(sink.getvalue().to_pybytes())
+        for a in range(0, len(there), 256):  # few large rows a batch
+            yield pa.RecordBatch.from_arrays([pa.array(there[a : a + 256]), pa.array(blocks[a : a + 256], pa.binary())], names=["bucket", "block"])
+
+
+def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, n, phrase, f): the n-grams of a task's buckets that occur ``least`` times."""
+
+    def unpacked() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block"):
+                yield from pa.ipc.open_stream(block.as_buffer())
+
+    return _counted(unpacked(), _GRAMS, f"SELECT lang, n, phrase, CAST(sum(c) AS BIGINT) AS f FROM rows GROUP BY ALL HAVING sum(c) >= {least}")
 
 
 def frequent(pieces_: DataFrame, least: int) -> DataFrame:
@@ -221,10 +254,8 @@ def frequent(pieces_: DataFrame, least: int) -> DataFrame:
     for row in found:
         bitmap[row["bucket"] * share : (row["bucket"] + 1) * share] |= np.frombuffer(row["bitmap"], np.uint8)
     filter_ = spark.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
-    sql = f"SELECT lang, n, phrase, CAST(sum(c) AS BIGINT) AS f FROM rows GROUP BY ALL HAVING sum(c) >= {least}"
-    sent = rows.mapInArrow(lambda b: grams(b, filter_.value), "lang string, n int, phrase string, c long").repartition(tasks, "lang", "phrase")
-    return sent.mapInArrow(lambda b: _counted(b, schema, sql), "lang string, n int, phrase string, f long")
+    sent = rows.mapInArrow(lambda b: packed(grams(b, filter_.value), bits), "bucket long, block binary").repartition(tasks, "bucket")
+    return sent.mapInArrow(lambda b: counted(b, least), "lang string, n int, phrase string, f long")
 
 
 def mine(docs: DataFrame, least: int = 100, cover: int = 100, best: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -80,5 +80,5 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
 
     pieces = [pa.RecordBatch.from_pydict({"lang": ["en"] * 3, "piece": ["a b c", "a b d", "a b c d"], "m": pa.array([5, 1, 2], pa.int64())})]
     full = np.full(1 << (collocations.FILTER_BITS - 3), 255, np.uint8)
-    out = {(r["n"], r["phrase"]): r["c"] for b in collocations.grams(pieces, full) for r in b.to_pylist()}
+    out = {(r["n"], r["phrase"]): r["c"] for _, b in collocations.grams(pieces, full) for r in b.to_pylist()}
     assert out[2, "a b"] == 8 and out[3, "a b c"] == 7 and out[4, "a b c d"] == 2 and out[1, "d"] == 3
