@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,12 +10,11 @@ from pyspark.sql import functions as F
 from ..operators import analytics as an
 from ..operators import commands as cm
 from ..operators import context, documents, feed, folds
-from ..operators import projections as pj
 from ..operators import refinery as rf
 from ..sources import files, shared
 from ..sources.dossier import DOSSIER_SQL, dossier_log
 from ..sources.ledger import ACTIVITY_SQL, CASE_SQL, activity_log, case_log, table
-from ..streaming import views
+from ..streaming import dossier_views, keyed
 from .dossier_queries import _AGENTS_SQL, _EPOCH_SQL, _fold_sql
 from .ledger_queries import AS_OF, DAYS, query
 
@@ -141,43 +141,77 @@ def command_integrity_runs(spark, sf_dir):
 # ------------------------------------------------------- streamed projections
 
 
-def _streamed(spark, sf_dir, fold, keys, columns):
-    """A projection kept up by a stream of the dossier log's files, a few batches; folded anew by key."""
+def _streamed(spark, sf_dir, projections, **more):
+    """Projections kept up by one stream of the dossier log's files, a few batches."""
     folder = f"{shared.folder(spark)}/streams/{uuid.uuid4().hex}"
     dossier_log(spark, sf_dir).repartition(3, "application_id").write.parquet(f"{folder}/log")
-    log = spark.read.parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
-    named = lambda frame: frame.withColumns(columns) if columns else frame
-    view = views.View(spark, f"{folder}/view", fold(log.limit(0)).schema)
-    delta, merge = views.refold(named(log), fold, keys)
-    views.keep_up(stream, view, lambda batch: delta(named(batch)), merge, f"{folder}/checkpoint").awaitTermination()
-    return view.read()
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/log").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    views = keyed.Views(spark, f"{folder}/views", projections)
+    views.keep_up(stream, **more).awaitTermination()
+    return views
+
+
+def _application(view):
+    return view.withColumn("application_id", F.col("key").cast("long")).drop("key")
 
 
 @query(_fold_sql("log", "f_") + " SELECT * EXCLUDE (compliance, agents) FROM f_", DOSSIER_SQL)
 def streamed_applications(spark, sf_dir):
-    return _streamed(spark, sf_dir, folds.application_fold, ["application_id"], None)
+    view = _application(_streamed(spark, sf_dir, [dossier_views.applications()]).read("applications"))
+    return view.withColumn("current_state", F.coalesce("current_state", F.lit("UNKNOWN"))).drop("seen")
+
 
+_COMPLIANCE_SQL = " SELECT application_id, max_by(status, global_position) AS status, max(global_position) AS last_global_position FROM timeline GROUP BY 1"
 
-@query(_EPOCH_SQL + " SELECT application_id, max_by(status, global_position) AS status, max(global_position) AS last_global_position FROM timeline GROUP BY 1", DOSSIER_SQL)
+
+@query(_EPOCH_SQL + _COMPLIANCE_SQL, DOSSIER_SQL)
 def streamed_compliance(spark, sf_dir):
-    now = lambda log: pj.compliance_timeline(log).groupBy("application_id").agg(F.max_by("status", "global_position").alias("status"), F.max("global_position").alias("last_global_position"))
-    return _streamed(spark, sf_dir, now, ["application_id"], None)
+    return _application(_streamed(spark, sf_dir, [dossier_views.compliance()]).read("compliance"))
 
 
 @query(
-    """ SELECT application_id, min(recorded_at) FILTER (WHERE event_type = 'ApplicationSubmitted') AS submitted_at, min(recorded_at) FILTER (WHERE event_type IN ('ApplicationApproved', 'ApplicationDeclined')) AS finalized_at,
-  any_value(CASE event_type WHEN 'ApplicationApproved' THEN 'APPROVED' WHEN 'ApplicationDeclined' THEN 'DECLINED' END) AS final_decision FROM log WHERE event_type IN ('ApplicationSubmitted', 'DecisionGenerated', 'ApplicationApproved', 'ApplicationDeclined') GROUP BY 1""",
+    """ SELECT application_id, min(recorded_at) FILTER (WHERE event_type = 'ApplicationSubmitted') AS submitted_at,
+  min(recorded_at) FILTER (WHERE event_type IN ('ApplicationApproved', 'ApplicationDeclined')) AS finalized_at,
+  any_value(CASE event_type WHEN 'ApplicationApproved' THEN 'APPROVED' WHEN 'ApplicationDeclined' THEN 'DECLINED' END) AS final_decision
+FROM log WHERE event_type IN ('ApplicationSubmitted', 'DecisionGenerated', 'ApplicationApproved', 'ApplicationDeclined') GROUP BY 1""",
     DOSSIER_SQL,
 )
 def streamed_clients(spark, sf_dir):
-    return _streamed(spark, sf_dir, pj.client_analytics, ["application_id"], None).select("application_id", "submitted_at", "finalized_at", "final_decision")
+    view = _application(_streamed(spark, sf_dir, [dossier_views.clients()]).read("clients"))
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return view.select("application_id", at("submitted_at"), at("finalized_at"), "final_decision")
 
 
 @query(_AGENTS_SQL + " SELECT * FROM agents", DOSSIER_SQL)
 def streamed_agents(spark, sf_dir):
-    agent = F.when(pj.is_type("DecisionGenerated"), F.col("orchestrator")).when(pj.is_type("HumanReviewCompleted"), F.col("reviewer")).otherwise(F.col("agent_id"))
-    return _streamed(spark, sf_dir, pj.agent_performance, ["agent_id"], {"agent_id": agent})
+    return dossier_views.agent_view(_streamed(spark, sf_dir, [dossier_views.agents()]).read("agents"))
+
+
+_FLOORS = {"applications": 0, "clients": 20_000, "agents": 5_000, "compliance": 50_000}
+
+
+@query(
+    f""", touched AS (
+  SELECT 'applications' AS projection, CAST(application_id AS VARCHAR) AS key, global_position FROM log
+  UNION ALL SELECT 'clients', CAST(application_id AS VARCHAR), global_position FROM log
+    WHERE event_type IN ('ApplicationSubmitted', 'DecisionGenerated', 'ApplicationApproved', 'ApplicationDeclined')
+  UNION ALL SELECT 'compliance', CAST(application_id AS VARCHAR), global_position FROM log WHERE event_type LIKE 'Compliance%'
+  UNION ALL SELECT 'agents', a || '/' || m, global_position FROM (
+    SELECT global_position, CASE event_type WHEN 'DecisionGenerated' THEN orchestrator WHEN 'HumanReviewCompleted' THEN reviewer ELSE agent_id END AS a,
+      CASE event_type WHEN 'DecisionGenerated' THEN coalesce(decision_model, 'unknown') WHEN 'HumanReviewCompleted' THEN 'human-review' ELSE model_version END AS m
+    FROM log WHERE event_type IN ('AgentContextLoaded', 'CreditAnalysisCompleted', 'FraudScreeningCompleted', 'DecisionGenerated', 'HumanReviewCompleted'))
+), floors AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {f})" for n, f in _FLOORS.items())}) AS f(projection, floor))
+SELECT projection, count(DISTINCT key) AS keys, max(global_position) AS position
+FROM touched JOIN floors USING (projection) WHERE global_position > floor GROUP BY projection""",
+    DOSSIER_SQL,
+)
+def streamed_views(spark, sf_dir):
+    """Four views of different floors kept up by one stream: their keys and positions."""
+    kinds = [dossier_views.applications(), dossier_views.clients(), dossier_views.agents(), dossier_views.compliance()]
+    views = _streamed(spark, sf_dir, kinds, floors=_FLOORS)
+    sizes = [views.read(p.name).select(F.lit(p.name).alias("projection"), "key") for p in kinds]
+    keys = functools.reduce(lambda a, b: a.unionByName(b), sizes).groupBy("projection").agg(F.count("*").alias("keys"))
+    return keys.join(views.positions(), "projection")
 
 
 # ------------------------------------------------------- context, documents

@@ -108,20 +108,6 @@ def keep_up(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def refold(log: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str]) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame, DataFrame], DataFrame]]:
-    """(delta, merge) for ``keep_up`` of a projection that isn't a sum: what a batch touches is folded anew from the log (T-09).
-
-    The log may hold later events already; their batches fold the same rows again.
-    """
-    delta = lambda batch: batch.select(*keys).distinct()
-
-    def merge(old: DataFrame, touched: DataFrame) -> DataFrame:
-        fresh = fold(log.join(touched, keys, "left_semi"))
-        return old.join(touched, keys, "left_anti").unionByName(fresh.select(*old.columns))
-
-    return delta, merge
-
-
 def lowest(views: list[View]) -> int:
     """The position that all these views have reached (T-01)."""
     return min(((v.pointer() or {}).get("position") or 0 for v in views), default=0)
