@@ -11,46 +11,135 @@ from .ledger_queries import query
 
 # -------------------------------------------------------------- integrity
 
-_CHAIN_SQL = CASE_SQL + """, b AS (
-  SELECT stream_id, application_id, stream_position, concat_ws('|', stream_id, stream_position, event_type, coalesce(agent_id, ''), coalesce(rule_id, '')) AS body FROM log
+#: Envelopes of the case log in canonical text, cut at the previous hash by a tab.
+_CHAIN_SQL = CASE_SQL + r""", b AS (
+  SELECT stream_id, application_id, stream_position,
+    '{"event_type":"' || event_type || '","event_version":1,"metadata":{"actor":"svc"},"payload":{"agent":' || coalesce('"' || agent_id || '"', 'null') || ',"n":' || (application_id % 7)
+      || CASE WHEN application_id % 50 = 0 THEN '.5,"note":"caf\u00e9 | x"' ELSE '' END || ',"rule":' || coalesce('"' || rule_id || '"', 'null')
+      || CASE WHEN application_id % 97 = 0 AND stream_position = 3 THEN ',"tampered":true' ELSE '' END || '},"previous_hash":"' || chr(9) ||
+      '","stream_id":"' || stream_id || '","stream_position":' || stream_position || '}' AS body
+  FROM log
 )"""
+_LINK_SQL = "sha256(split_part(x, chr(9), 1) || {link} || split_part(x, chr(9), 2))"
 
 
-def _bodies(spark, sf_dir):
+def _envelopes(spark, sf_dir):
+    """The case log with payloads in other orders, some with fractions and letters beyond ASCII."""
     log = case_log(spark, sf_dir)
-    return log.select("stream_id", "application_id", "stream_position", integrity.body("stream_id", "stream_position", "event_type", "agent_id", "rule_id").alias("body"))
-
-
-@query(" SELECT stream_id, count(*) AS n, list_reduce(list_prepend('GENESIS', list(body ORDER BY stream_position)), lambda acc, x: sha256(acc || '|' || x)) AS tail_hash FROM b GROUP BY stream_id", _CHAIN_SQL)
-def hash_chain_tail(spark, sf_dir):
-    return integrity.chain_tail(_bodies(spark, sf_dir))
+    shown = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    rare = F.when(F.col("application_id") % 50 == 0, '.50, "note": "caf\u00e9 | x"').otherwise("")
+    payload = F.concat(F.lit('{"rule":'), shown("rule_id"), F.lit(',"n":'), (F.col("application_id") % 7).cast("string"), rare, F.lit(',"agent":'), shown("agent_id"), F.lit("}"))
+    return log.select(
+        "stream_id", "application_id", "stream_position", F.concat_ws("/", "stream_id", "stream_position").alias("event_id"), "event_type", F.lit(1).alias("event_version"),
+        payload.alias("payload"), F.lit('{"actor":"svc"}').alias("metadata"),
+    )
 
 
-def _tampered():
-    return (F.col("application_id") % 97 == 0) & (F.col("stream_position") == 3)
+def _tampered(log):
+    """After the links were stored: a payload of every 97th application is changed."""
+    changed = (F.col("application_id") % 97 == 0) & (F.col("stream_position") == 3)
+    more = F.concat(F.lit('{"tampered":true,'), F.substring("payload", F.lit(2), F.length("payload")))
+    return log.withColumn("payload", F.when(changed, more).otherwise(F.col("payload")))
 
 
-@query(""" SELECT stream_id, count(*) AS events_verified, CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN count(*) - 2 ELSE 0 END AS violations,
-  CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN CAST(3 AS BIGINT) END AS first_violation, NOT (application_id % 97 = 0 AND count(*) >= 3) AS chain_valid FROM b GROUP BY stream_id, application_id""", _CHAIN_SQL)
+@query(
+    f""" SELECT stream_id, count(*) AS n,
+  list_reduce(list_prepend('GENESIS', list(replace(body, ',"tampered":true', '') ORDER BY stream_position)), lambda acc, x: {_LINK_SQL.format(link="acc")}) AS tail_hash
+FROM b GROUP BY stream_id""",
+    _CHAIN_SQL,
+)
+def hash_chain_tail(spark, sf_dir):
+    return integrity.chain_tail(_envelopes(spark, sf_dir))
+
+
+@query(
+    f""" SELECT stream_id, count(*) AS events_verified, CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN count(*) - 2 ELSE 0 END AS violations,
+  CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN CAST(3 AS BIGINT) END AS first_violation,
+  CASE WHEN application_id % 97 = 0 AND count(*) >= 3 THEN 'integrity_hash_mismatch' END AS first_reason,
+  split_part(list_reduce(list_prepend('GENESIS|GENESIS', list(body ORDER BY stream_position)), lambda acc, x: {_LINK_SQL.format(link="split_part(acc, '|', 1)")} || '|' ||
+    sha256(split_part(acc, '|', 2) || {_LINK_SQL.format(link="split_part(acc, '|', 1)")})), '|', 2) AS final_hash,
+  NOT (application_id % 97 = 0 AND count(*) >= 3) AS chain_valid, application_id % 97 = 0 AND count(*) >= 3 AS tamper_detected
+FROM b GROUP BY stream_id, application_id""",
+    _CHAIN_SQL,
+)
 def integrity_verify(spark, sf_dir):
-    stored = integrity.with_links(_bodies(spark, sf_dir), out="stored_hash")
-    return integrity.verify(stored.withColumn("body", F.when(_tampered(), F.concat("body", F.lit("!"))).otherwise(F.col("body"))))
+    """Links of the events as they were written, checked after some payloads changed."""
+    return integrity.verify(_tampered(integrity.attached(_envelopes(spark, sf_dir))))
+
+
+@query(
+    """ SELECT stream_id, stream_position, stream_id || '/' || stream_position AS event_id,
+  CASE WHEN stream_position = 3 THEN 'integrity_hash_mismatch' ELSE 'previous_hash_mismatch,integrity_hash_mismatch' END AS reason
+FROM b WHERE application_id % 97 = 0 AND stream_position >= 3""",
+    _CHAIN_SQL,
+)
+def integrity_violations(spark, sf_dir):
+    found = integrity.violations(_tampered(integrity.attached(_envelopes(spark, sf_dir))))
+    return found.select("stream_id", "stream_position", "event_id", "reason")
+
+
+@query(
+    """, s AS (SELECT stream_id, application_id, count(*) AS n, count(*) FILTER (WHERE application_id % 10 = 0 AND stream_position % 5 = 0) AS gone FROM b GROUP BY ALL
+), t AS (SELECT *, CASE WHEN application_id % 97 = 0 AND n >= 3 THEN n - 2 - (CASE WHEN application_id % 10 = 0 THEN n // 5 ELSE 0 END) ELSE 0 END AS left_ FROM s)
+SELECT true AS dry_run, 'missing' AS mode, count(*) + count(*) FILTER (WHERE application_id % 4 = 0) AS streams_scanned, count(*) AS streams_with_events,
+  count(*) FILTER (WHERE gone > 0) AS streams_with_repairs, CAST(sum(n) AS BIGINT) AS events_scanned, CAST(sum(gone) AS BIGINT) AS events_repaired,
+  count(*) FILTER (WHERE application_id % 3 = 0 OR application_id % 97 = 0 AND n >= 3) AS streams_metadata_repaired,
+  CAST(sum(gone + left_) AS BIGINT) AS violations_detected, CAST(sum(left_) AS BIGINT) AS unresolved_violations FROM t""",
+    _CHAIN_SQL,
+)
+def integrity_backfill(spark, sf_dir):
+    """Every fifth event of some applications has lost its links, every third stream its last one; some streams are empty."""
+    log = integrity.attached(_envelopes(spark, sf_dir))
+    tails = log.groupBy("stream_id", "application_id").agg(F.max_by("link", "stream_position").alias("tail"))
+    held = F.when(F.col("application_id") % 3 != 0, F.to_json(F.struct(F.col("tail").alias("last_integrity_hash"))))
+    none = tails.filter("application_id % 4 = 0").select(F.concat(F.lit("empty-"), "application_id").alias("stream_id"), F.lit(None).cast("string").alias("metadata"))
+    streams = tails.select("stream_id", held.alias("metadata")).unionByName(none)
+    gone = (F.col("application_id") % 10 == 0) & (F.col("stream_position") % 5 == 0)
+    log = _tampered(log).withColumn("metadata", F.when(gone, '{"actor":"svc"}').otherwise(F.col("metadata")))
+    repaired = integrity.backfilled(log.drop("link"), "missing", dry_run=True)
+    return integrity.backfill_summary(integrity.stream_tails(streams, repaired), "missing", True)
+
+
+@query(
+    """ SELECT 'audit-application-' || application_id AS stream_id, CAST(CASE WHEN application_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS stream_position,
+  application_id % 97 = 0 AND count(*) >= 3 AS tampered, CASE WHEN application_id % 2 = 0 THEN 'h' || application_id END AS previous_hash, count(*) AS verified
+FROM b GROUP BY application_id""",
+    _CHAIN_SQL,
+)
+def integrity_audits(spark, sf_dir):
+    """The events that checks append; every other application has been checked before."""
+    log = _envelopes(spark, sf_dir).withColumn("stream_id", F.concat(F.lit("loan-"), "application_id"))
+    before = log.filter("stream_position = 1 and application_id % 2 = 0").select(
+        F.concat(F.lit("audit-application-"), "application_id").alias("stream_id"), "stream_position", F.lit("AuditIntegrityCheckRun").alias("event_type"),
+        F.concat(F.lit('{"integrity_hash":"h'), "application_id", F.lit('"}')).alias("payload"),
+    )
+    verified = integrity.verify(_tampered(integrity.attached(log)))
+    made = integrity.audit_events(verified, before, "2024-01-01T00:00:00")
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return made.select(
+        "stream_id", "stream_position", field("tamper_detected").cast("boolean").alias("tampered"), field("previous_hash").alias("previous_hash"),
+        field("events_verified_count").cast("long").alias("verified"),
+    )
 
 
-@query(""", s AS (SELECT stream_id, application_id, count(*) AS n, count(*) FILTER (WHERE application_id % 10 = 0 AND stream_position % 5 = 0) AS missing FROM b GROUP BY ALL)
-SELECT count(*) AS streams, count(*) FILTER (WHERE missing > 0) AS streams_repaired, CAST(sum(n) AS BIGINT) AS events, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(missing) AS BIGINT) AS repaired,
-  CAST(sum(CASE WHEN application_id % 97 = 0 AND n >= 3 THEN n - 2 - (CASE WHEN application_id % 10 = 0 THEN n // 5 ELSE 0 END) ELSE 0 END) AS BIGINT) AS unresolved,
-  CAST(sum(missing + CASE WHEN application_id % 97 = 0 AND n >= 3 THEN n - 2 - (CASE WHEN application_id % 10 = 0 THEN n // 5 ELSE 0 END) ELSE 0 END) AS BIGINT) AS violations FROM s""", _CHAIN_SQL)
-def integrity_backfill(spark, sf_dir):
-    stored = integrity.with_links(_bodies(spark, sf_dir), out="stored_hash")
-    stored = stored.withColumn("stored_hash", F.when(~((F.col("application_id") % 10 == 0) & (F.col("stream_position") % 5 == 0)), F.col("stored_hash")))
-    tampered = stored.withColumn("body", F.when(_tampered(), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    return integrity.backfill_summary(integrity.backfilled(tampered, "missing"))
+_HARD = (
+    '{"b":[1,{"z":null,"a":"|"}],"a":', ',"f":1.50,"e":1e2,"u":"\u00e9\U0001F600","q":"\\"\\n"}',
+)
 
 
-@query(" SELECT event_id, '{\"k\":' || json_extract_string(payload, '$.k') || '}' AS canonical FROM activity", ACTIVITY_SQL)
+@query(
+    """ SELECT event_id, CASE WHEN event_id::BIGINT % 5 = 0 THEN NULL WHEN event_id::BIGINT % 5 = 1 THEN
+    '{"a":"' || json_extract_string(payload, '$.k') || '","b":[1,{"a":"|","z":null}],"e":100.0,"f":1.5,"q":"' || chr(92) || '"' || chr(92) || 'n","u":"' || chr(92) || 'u00e9' || chr(92) || 'ud83d' || chr(92) || 'ude00"}'
+  ELSE '{"k":' || json_extract_string(payload, '$.k') || '}' END AS canonical FROM activity""",
+    ACTIVITY_SQL,
+)
 def canonical_payload(spark, sf_dir):
-    return integrity.canonical_json("payload", activity_log(spark, sf_dir)).select("event_id", "canonical")
+    """Payloads as they are, every fifth cut off, every fifth nested with fractions, escapes and other letters."""
+    k = F.get_json_object("payload", "$.k")
+    turn = F.col("event_id").cast("long") % 5
+    hard = F.concat(F.lit(_HARD[0]), F.lit('"'), k, F.lit('"'), F.lit(_HARD[1]))
+    text = F.when(turn == 0, F.lit('{"k":')).when(turn == 1, hard).otherwise(F.col("payload"))
+    return activity_log(spark, sf_dir).select("event_id", integrity.canonical(text).alias("canonical"))
 
 
 # --------------------------------------------------------------- upcasting

@@ -166,11 +166,7 @@ class EventLog:
     @staticmethod
     def _chained(placed: DataFrame) -> DataFrame:
         """Events with their own and the previous link in the metadata (K-01, A-25)."""
-        named = ("stream_id", "stream_position", "event_type", "event_version", "payload", "metadata")
-        linked = integrity.with_links(placed.withColumn("body", integrity.body(*named)), out="link", start="last_hash")
-        before = F.coalesce(F.lag("link").over(Window.partitionBy("stream_id").orderBy("stream_position")), "last_hash", F.lit(integrity.GENESIS))
-        links = F.to_json(F.struct(before.alias("previous_hash"), F.col("link").alias("integrity_hash")))
-        return linked.withColumn("metadata", js.merged(F.col("metadata"), links))
+        return integrity.attached(placed, "last_hash")
 
     @staticmethod
     def _numbered(placed: DataFrame, base: int) -> DataFrame:

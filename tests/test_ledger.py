@@ -75,20 +75,6 @@ def test_lifecycle_names_the_first_violation(spark):
     assert got == {1: ("SUBMITTED", 2), 2: ("EMPTY", 4)}
 
 
-def test_tampering_shows_from_its_position_on(spark):
-    rows = spark.createDataFrame([("s", i, f"b{i}") for i in range(1, 6)], "stream_id string, stream_position long, body string")
-    stored = integrity.with_links(rows, out="stored_hash")
-    assert integrity.verify(stored).first().chain_valid
-    bad = stored.withColumn("body", F.when(F.col("stream_position") == 2, "x").otherwise(F.col("body")))
-    r = integrity.verify(bad).first()
-    assert (r.violations, r.first_violation) == (4, 2)
-    gone = stored.withColumn("stored_hash", F.lit(None).cast("string"))
-    fixed = integrity.backfilled(gone).drop("stored_hash", "expected_hash", "repaired", "unresolved").withColumnRenamed("new_hash", "stored_hash")
-    assert integrity.verify(fixed).first().chain_valid
-    with pytest.raises(ValueError):
-        integrity.backfilled(stored, "other")
-
-
 def test_upcast_registry_rejects_duplicates():
     registry = upcast.Upcasters()
     registry.register("A", 1, 2)(lambda: F.col("payload"))
