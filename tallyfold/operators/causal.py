@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 from . import folds
+from .integrity import body
 from .projections import column_of, is_type
 
 
@@ -171,8 +172,8 @@ def model_metadata(log: DataFrame) -> DataFrame:
 def package(log: DataFrame, moment: str, chain: DataFrame, key: str = "application_id") -> DataFrame:
     """The regulatory package of each application at a moment (C-06): folds, chain, story, models and a hash over them.
 
-    ``chain`` has (key, stream_position, stored_hash, expected_hash) of the loan streams;
-    as much of it is verified as lay before the moment.
+    ``chain`` has (key, stream_position, reason, rolling_hash) of the loan streams as checked;
+    as much of it is verified as lay before the moment, and its rolling hash is the final one.
     """
     at = log.filter(F.col("recorded_at") <= F.lit(moment).cast("timestamp_ntz"))
     in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("global_position", name))), lambda s: s[name])
@@ -180,17 +181,16 @@ def package(log: DataFrame, moment: str, chain: DataFrame, key: str = "applicati
     shown = F.concat_ws(":", "event_id", "agent_id", F.coalesce("model_version", F.lit("None")), F.coalesce(F.col("score").cast("string"), F.lit("None")))
     models = model_metadata(at).withColumn("shown", shown).groupBy(key).agg(F.array_join(in_order("shown"), ",").alias("models"))
     counts = at.groupBy(key).agg(F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.max(F.when(F.startswith("stream_id", F.lit("loan-")), F.col("stream_position"))).alias("upto"))
-    bad = F.col("stored_hash").isNull() | (F.col("stored_hash") != F.col("expected_hash"))
+    bad = F.col("reason").isNotNull()
     verified = chain.join(counts.select(key, "upto"), key).filter("stream_position <= upto").groupBy(key).agg(
-        F.count("*").alias("events_verified"), F.count_if(bad).cast("long").alias("violations"), F.max_by("expected_hash", "stream_position").alias("final_hash")
+        F.count("*").alias("events_verified"), F.count_if(bad).cast("long").alias("violations"), F.max_by("rolling_hash", "stream_position").alias("final_hash")
     )
     out = counts.drop("upto").join(folds.outcome(at, key), key).join(verified, key, "left").join(story, key, "left").join(models, key, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("narrative", "models")})
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("events_verified", "violations")})
     out = out.withColumn("chain_valid", (F.col("events_verified") > 0) & (F.col("violations") == 0))
     whole = [key, "events", "current_state", "compliance", "agents", "events_verified", "violations", "final_hash", "narrative", "models"]
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in whole])
-    return out.withColumn("package_hash", F.sha2(text, 256))
+    return out.withColumn("package_hash", F.sha2(body(*whole), 256))
 
 
 def examination(log: DataFrame, moment: str, key: str = "application_id") -> DataFrame:
@@ -199,5 +199,4 @@ def examination(log: DataFrame, moment: str, key: str = "application_id") -> Dat
     told = narrative(at).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_position", "sentence"))), lambda s: s["sentence"]), " ").alias("narrative"))
     state = at.groupBy(key).agg(F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.max_by("event_type", "global_position").alias("last_event_type"))
     joined = state.join(told, key, "left").withColumn("narrative", F.coalesce("narrative", F.lit("")))
-    package = F.concat_ws("|", F.col(key).cast("string"), F.col("events").cast("string"), "last_event_type", "narrative")
-    return joined.withColumn("package_hash", F.sha2(package, 256))
+    return joined.withColumn("package_hash", F.sha2(body(key, "events", "last_event_type", "narrative"), 256))

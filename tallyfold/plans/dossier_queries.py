@@ -163,20 +163,28 @@ _TOLD = """CASE event_type WHEN 'ApplicationSubmitted' THEN 'Application ' || ap
 ), m AS (SELECT application_id, string_agg(event_id || ':' || CASE event_type WHEN 'DecisionGenerated' THEN orchestrator ELSE agent_id END || ':' || coalesce(CASE event_type WHEN 'DecisionGenerated' THEN decision_model ELSE model_version END, 'None') || ':' ||
     coalesce(CAST(CASE event_type WHEN 'FraudScreeningCompleted' THEN fraud_score ELSE confidence END AS VARCHAR), 'None'), ',' ORDER BY global_position) AS models FROM at_ WHERE event_type IN ('CreditAnalysisCompleted', 'FraudScreeningCompleted', 'DecisionGenerated') GROUP BY 1
 ), v AS (SELECT application_id, count(*) AS events_verified, CAST(CASE WHEN application_id % 97 = 0 AND count(*) >= 2 THEN 1 ELSE 0 END AS BIGINT) AS violations,
-    list_reduce(list_prepend('GENESIS', list(concat_ws('|', stream_id, stream_position, event_type) ORDER BY stream_position)), lambda acc, x: sha256(acc || '|' || x)) AS final_hash
+    split_part(list_reduce(list_prepend('GENESIS|GENESIS', list(struct_pack(a := '{{"event_type":"' || event_type || '","event_version":1,"metadata":{{}},"payload":{{"seq":' || seq || '}},"previous_hash":"',
+      b := '","stream_id":"' || stream_id || '","stream_position":' || stream_position || '}}') ORDER BY stream_position).list_transform(lambda e: e.a || chr(9) || e.b)),
+      lambda acc, x: sha256(split_part(x, chr(9), 1) || split_part(acc, '|', 1) || split_part(x, chr(9), 2)) || '|' ||
+        sha256(split_part(acc, '|', 2) || sha256(split_part(x, chr(9), 1) || split_part(acc, '|', 1) || split_part(x, chr(9), 2)))), '|', 2) AS final_hash
   FROM log JOIN c USING (application_id) WHERE stream_id LIKE 'loan-%' AND stream_position <= upto GROUP BY 1
 ), p AS (SELECT c.application_id, events, last_position, current_state, decision_recommendation, final_decision, approved_amount, compliance, agents, events_verified, violations, final_hash, coalesce(narrative, '') AS narrative, coalesce(models, '') AS models, violations = 0 AS chain_valid
   FROM c JOIN f_ USING (application_id) JOIN v USING (application_id) LEFT JOIN n USING (application_id) LEFT JOIN m USING (application_id))
-SELECT *, sha256(concat_ws('|', application_id, events, current_state, compliance, agents, events_verified, violations, final_hash, narrative, models)) AS package_hash FROM p""",
+SELECT *, sha256(to_json([CAST(application_id AS VARCHAR), CAST(events AS VARCHAR), current_state, compliance, agents, CAST(events_verified AS VARCHAR),
+  CAST(violations AS VARCHAR), final_hash, narrative, models])) AS package_hash FROM p""",
     DOSSIER_SQL,
 )
 def regulatory_packages(spark, sf_dir):
     """Packages as of a moment; the stored chain of every 97th application has a wrong second link."""
     log = dossier_log(spark, sf_dir)
-    loans = log.filter(F.startswith("stream_id", F.lit("loan-"))).select("application_id", "stream_id", "stream_position", integrity.body("stream_id", "stream_position", "event_type").alias("body"))
-    chain = integrity.with_links(loans, out="expected_hash")
+    loans = log.filter(F.startswith("stream_id", F.lit("loan-"))).select(
+        "application_id", "stream_id", "stream_position", "event_type", F.lit(1).alias("event_version"), F.to_json(F.struct("seq")).alias("payload"), F.lit("{}").alias("metadata"),
+    )
+    stored = integrity.attached(loans).drop("link")
     wrong = (F.col("application_id") % 97 == 0) & (F.col("stream_position") == 2)
-    return causal.package(log, _MOMENT, chain.withColumn("stored_hash", F.when(wrong, "x").otherwise(F.col("expected_hash"))))
+    other = F.replace("metadata", F.lit('"integrity_hash":"'), F.lit('"integrity_hash":"x'))
+    chain = integrity.checked(stored.withColumn("metadata", F.when(wrong, other).otherwise(F.col("metadata"))), 1, None, "application_id")
+    return causal.package(log, _MOMENT, chain)
 
 
 # -------------------------------------------------------------- scopes, feeds

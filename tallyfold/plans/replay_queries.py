@@ -268,7 +268,7 @@ def narrative(spark, sf_dir):
 
 @query(f""", at_ AS (SELECT *, {_SENTENCE} AS sentence FROM log WHERE recorded_at <= TIMESTAMP '1996-06-01'
 ), p AS (SELECT application_id, count(*) AS events, max(global_position) AS last_position, max_by(event_type, global_position) AS last_event_type, coalesce(string_agg(sentence, ' ' ORDER BY global_position), '') AS narrative FROM at_ GROUP BY 1)
-SELECT *, sha256(concat_ws('|', application_id, events, last_event_type, narrative)) AS package_hash FROM p""")
+SELECT *, sha256(to_json([CAST(application_id AS VARCHAR), CAST(events AS VARCHAR), last_event_type, narrative])) AS package_hash FROM p""")
 def regulatory_as_of(spark, sf_dir):
     return causal.examination(case_log(spark, sf_dir), "1996-06-01")
 
