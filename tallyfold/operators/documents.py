@@ -202,20 +202,6 @@ def ask(index: DataFrame, chunks: DataFrame, question: str, facts: DataFrame | N
     return out.select(key, answer.alias("answer"), F.coalesce("supporting", F.lit("")).alias("supporting"), F.coalesce("citations", F.lit("")).alias("citations"))
 
 
-def attempts(profiles: DataFrame) -> DataFrame:
-    """Profiles that went through ``refinery.routed`` with the strategies tried, in order, and a vision pass's cost (C-12, F-30)."""
-    chain = F.array(F.lit("fast_text"), F.lit("layout"), F.lit("vision"))
-    first = F.when(F.col("cost") == "fast_text_sufficient", 1).when(F.col("cost") == "needs_layout_model", 2).otherwise(3)
-    last = F.array_position(chain, F.col("strategy")).cast("int")
-    pages = F.col("pages") if "pages" in profiles.columns else F.lit(1)
-    cost = F.when(F.col("strategy") == "vision", F.least(F.lit(VISION_BUDGET), F.greatest(F.lit(0.05), F.lit(0.08) * pages))).otherwise(F.lit(0.0))
-    tried = F.array_join(F.slice(chain, first, F.greatest(last - first + 1, F.lit(1))), ",")
-    return profiles.withColumn("attempted", tried).withColumn("cost_usd", cost.cast("double"))
-
-
-VISION_BUDGET = 0.5
-
-
 def package_events(documents: DataFrame, key: str = "application_id") -> DataFrame:
     """The events of each application's document package, in order (C-21).
 

@@ -6,8 +6,13 @@ is set the rest is skipped, as a strict replay would stop there.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .projections import is_type
 
@@ -120,11 +125,38 @@ def accepted_commands(commands: DataFrame, heads: DataFrame, key: str = "stream_
     return joined.withColumn("won", won).select("command_id", key, "expected_version", "actual_version", F.when(F.col("won"), "ACCEPTED").otherwise("CONFLICT").alias("outcome"), F.when(F.col("won"), F.col("actual_version") + 1).alias("new_version"))
 
 
-def rate_limited(calls: DataFrame, key: str, at: str = "recorded_at", seconds: int = 60) -> DataFrame:
-    """Calls with ``allowed``: none within ``seconds`` after the call of the key before it (M-06)."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, "global_position"))
-    gap = F.timestamp_diff("SECOND", before, F.col(at))
-    return calls.withColumn("allowed", before.isNull() | (gap >= seconds))
+def rate_limited(calls: DataFrame, key: str, at: str = "recorded_at", order: str = "global_position", seconds: int = 60) -> DataFrame:
+    """Calls with ``allowed``: none within ``seconds`` after the last allowed call of its key (M-06).
+
+    A refused call opens no window.  A call that comes a window or more after the one before it is
+    allowed whatever was before, so that runs between such calls are judged side by side,
+    a hot key's too; within a run one ordered pass carries the last allowed call.
+    Calls without a key or time are refused; ties go by ``order``.
+    """
+    turn = Window.partitionBy(key).orderBy(at, order)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    apart = micros - F.lag(micros).over(turn) >= seconds * 1_000_000
+    rows = calls.withColumn("_at", micros).withColumn("_run", F.sum(F.coalesce(apart, F.lit(False)).cast("long")).over(turn))
+    names = [key, "_run", "_at", order]
+    rows = rows.repartition(key, "_run").sortWithinPartitions(*names)
+    window = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, until = None, None
+        for batch in batches:
+            keys, runs = (batch.column(c).to_pylist() for c in names[:2])
+            allowed = np.zeros(batch.num_rows, bool)
+            for i, (name, part, time) in enumerate(zip(keys, runs, batch.column("_at").to_pylist())):
+                if name is None or time is None:
+                    continue
+                if (name, part) != now:
+                    now, until = (name, part), time
+                if time >= until:
+                    allowed[i], until = True, time + window
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed)], names=[*batch.schema.names, "allowed"])
+
+    shape = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return rows.mapInArrow(run, shape).drop("_at", "_run")
 
 
 def session_readiness(log: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -44,40 +44,94 @@ def domain(text: Column) -> Column:
     return out
 
 
+#: File types that are read as text, those that are forms, and layouts that need more than text.
+TEXT_TYPES = (".txt", ".md", ".csv", ".json")
+FORM_TYPES = (".csv", ".xlsx")
+COMPLEX = ("multi_column", "table_heavy", "mixed")
+LARGE_PAGES = 20
+
+
+def _commas(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+
+
 def triage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Signals and classes of each text (C-11): density, layout, origin, domain, cost."""
+    """Signals and classes of each document (C-11): density, layout, origin, domain, cost tier.
+
+    ``docs`` may bring suffix (``.txt`` where it has none), page_count (1) and
+    image_area_ratio (0).  Density is by line for text files, by page for ``.pdf`` and the
+    whole length for others.  A null text is an empty one.
+    """
+    given = lambda name, default: F.coalesce(F.col(name), default) if name in docs.columns else default
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
     count = lambda test: F.size(F.filter("lines", test))
-    out = docs.select(key, t.alias("t"), lines.alias("lines"))
-    commas = lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
+    pages = F.greatest(given("page_count", F.lit(1)).cast("int"), F.lit(1))
+    out = docs.select(
+        key, t.alias("t"), lines.alias("lines"), F.lower(given("suffix", F.lit(".txt"))).alias("suffix"), pages.alias("page_count"),
+        given("image_area_ratio", F.lit(0.0)).cast("double").alias("image_area_ratio"),
+    )
     n = F.size("lines")
-    table = count(lambda x: (commas(x) >= 3) | F.contains(x, F.lit("|"))) / n
+    table = count(lambda x: (_commas(x) >= 3) | F.contains(x, F.lit("|"))) / n
     figure = count(lambda x: F.lower(x).rlike(r"\b(figure|chart)\b")) / n
     header = count(lambda x: F.trim(x).rlike(r"^(\d+(\.\d+)*)\s+"))
     layout = F.when(n == 0, "mixed").when(table > 0.2, "table_heavy").when(figure > 0.1, "figure_heavy").when(header > 8, "multi_column").otherwise("single_column")
-    origin = F.when(F.length(F.trim("t")) < 40, "mixed").otherwise("native_digital")
+    is_pdf, is_text = F.col("suffix") == ".pdf", F.col("suffix").isin(*TEXT_TYPES)
     breaks = F.greatest(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))), F.lit(1))
-    density = F.round(F.length("t") / breaks, 4)
-    out = out.select(key, density.alias("char_density"), layout.alias("layout"), origin.alias("origin"), domain(F.col("t")).alias("domain"), F.length(F.trim("t")).alias("visible"))
-    cost = F.when(F.col("layout").isin("multi_column", "table_heavy", "mixed") | (F.col("origin") == "mixed"), "needs_layout_model").otherwise("fast_text_sufficient")
-    return out.withColumn("cost", cost)
-
-
-#: Confidence that each strategy's result must reach (fixed values).
-GATES = {"fast_text": 0.90, "layout": 0.88, "vision": 0.72}
-
-
-def routed(profiles: DataFrame) -> DataFrame:
-    """The first strategy from the cost tier on whose confidence passes its gate, else the last (C-12)."""
-    fast = F.lit(0.5) + F.when(F.col("visible") > 300, 0.25).otherwise(0.0) + F.when(F.col("char_density") > 120, 0.15).otherwise(0.0)
-    layout = F.least(F.lit(1.0), fast + F.when(F.col("layout").isin("table_heavy", "multi_column"), 0.05).otherwise(0.0))
-    vision = F.least(F.lit(1.0), layout + 0.1)
-    rows = profiles.withColumns({"fast": F.round(fast, 4), "lay": F.round(layout, 4), "vis": F.round(vision, 4)})
-    start = F.col("cost") == "fast_text_sufficient"
-    strategy = F.when(start & (F.col("fast") >= GATES["fast_text"]), "fast_text").when(F.col("lay") >= GATES["layout"], "layout").otherwise("vision")
-    confidence = F.when(strategy == "fast_text", F.col("fast")).when(strategy == "layout", F.col("lay")).otherwise(F.col("vis"))
-    return rows.withColumn("strategy", strategy).withColumn("confidence", confidence).drop("fast", "lay", "vis")
+    density = F.round(F.length("t") / F.when(is_pdf, F.col("page_count")).when(is_text, breaks).otherwise(F.lit(1)), 4)
+    out = out.withColumns({"char_density": density, "layout": layout, "domain": domain(F.col("t")), "visible": F.length(F.trim("t"))})
+    scanned = (F.col("char_density") < 30) & (F.col("image_area_ratio") > 0.6)
+    of_pdf = F.when(scanned, "scanned_image").when(F.col("image_area_ratio") > 0.3, "mixed").otherwise("native_digital")
+    origin = F.when(is_pdf, of_pdf).when(F.col("suffix").isin(*FORM_TYPES), "form_fillable").when(F.col("visible") < 40, "mixed").otherwise("native_digital")
+    large = (F.col("page_count") >= LARGE_PAGES) & F.col("layout").isin("multi_column", "table_heavy")
+    # A text is a table where it is a file of rows, or has two lines of three fields.
+    rows = count(lambda x: _commas(F.trim(x)) >= 2)
+    tables = F.when((F.col("suffix") == ".csv") & (F.length("t") > 0), 1).when(rows >= 2, 1).otherwise(0)
+    blocks = F.size(F.filter(F.split("t", r"\n\s*\n"), lambda x: F.trim(x) != ""))
+    out = out.withColumns({"origin": origin, "large_complex": large, "tables": tables, "blocks": blocks})
+    vision = (F.col("origin") == "scanned_image") | F.col("large_complex")
+    some = F.col("layout").isin(*COMPLEX) | (F.col("origin") == "mixed")
+    cost = F.when(vision, "needs_vision_model").when(some, "needs_layout_model").otherwise("fast_text_sufficient")
+    return out.withColumn("cost", cost).drop("t", "lines")
+
+
+#: Confidence that each strategy's result must reach, in hundredths.
+GATES = {"fast_text": 90, "layout_aware": 88, "vision_augmented": 72}
+STRATEGIES = tuple(GATES)
+#: Dollars of a fast and a layout pass, of a page's vision pass, its least, and its budget.
+FAST_USD, LAYOUT_USD, PAGE_USD, LEAST_USD, VISION_BUDGET = 0.001, 0.01, 0.08, 0.05, 1.5
+
+
+def confidences(profiles: DataFrame) -> DataFrame:
+    """The confidence of each strategy's result, in hundredths (F-28, C-15)."""
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    fast = F.lit(35) + points(F.col("visible") > 300, 25) + points(F.col("char_density") > 120, 15) + points(F.col("image_area_ratio") < 0.25, 15) + points(F.col("tables") > 0, 10)
+    lost = points(F.col("origin").isin("mixed", "scanned_image"), 12) + points(F.col("image_area_ratio") >= 0.5, 8) + points(F.col("large_complex"), 35)
+    raised = F.least(F.lit(100), F.greatest(F.lit(0), F.least(F.lit(100), fast) + F.when(F.col("layout").isin(*COMPLEX), 20).otherwise(10) - lost))
+    layout = F.when(F.col("large_complex"), F.least(F.lit(84), raised)).otherwise(raised)
+    rows = profiles.withColumns({"c_fast_text": F.least(F.lit(100), fast), "c_layout_aware": layout})
+    return rows.withColumn("c_vision_augmented", F.least(F.lit(100), F.col("c_layout_aware") + 10))
+
+
+def routed(profiles: DataFrame, gate: float | None = None) -> DataFrame:
+    """The first strategy from the cost tier on whose confidence passes its gate, else the last; attempts and costs (C-12, F-30).
+
+    ``gate`` stands in for every strategy's own.
+    """
+    gates = {s: GATES[s] if gate is None else round(gate * 100) for s in STRATEGIES}
+    rows = confidences(profiles)
+    first = F.when(F.col("cost") == "fast_text_sufficient", 1).when(F.col("cost") == "needs_layout_model", 2).otherwise(3)
+    strategy = F.lit(STRATEGIES[-1])
+    for turn, name in reversed(list(enumerate(STRATEGIES[:-1], 1))):
+        strategy = F.when((first <= turn) & (F.col(f"c_{name}") >= gates[name]), name).otherwise(strategy)
+    rows = rows.withColumn("strategy", strategy)
+    chain = F.array(*map(F.lit, STRATEGIES))
+    last = F.array_position(chain, F.col("strategy")).cast("int")
+    held = F.when(F.col("strategy") == STRATEGIES[0], F.col("c_fast_text")).when(F.col("strategy") == STRATEGIES[1], F.col("c_layout_aware")).otherwise(F.col("c_vision_augmented"))
+    vision = F.least(F.lit(VISION_BUDGET), F.greatest(F.lit(LEAST_USD), F.round(F.lit(PAGE_USD) * F.col("page_count"), 4)))
+    cost = F.when(F.col("strategy") == STRATEGIES[0], FAST_USD).when(F.col("strategy") == STRATEGIES[1], LAYOUT_USD).otherwise(vision)
+    rows = rows.withColumn("attempted", F.array_join(F.slice(chain, first, last - first + 1), ","))
+    return rows.withColumns({"confidence": held / 100, "cost_usd": cost}).drop(*[f"c_{s}" for s in STRATEGIES])
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS) -> DataFrame:

@@ -299,12 +299,6 @@ def package_events(spark, sf_dir):
     return documents.package_events(rows.select("application_id", "d.*")).select("application_id", "stream_position", "event_type")
 
 
-@query()
-def extraction_attempts(spark, sf_dir):
-    """Every document's strategies in turn and the cost of a vision pass; follows ``routed_extraction``."""
-    return documents.attempts(rf.routed(rf.triage(table(spark, sf_dir, "documents")))).select("doc_id", "strategy", "attempted", "cost_usd")
-
-
 # -------------------------------------------------------------------- the rest
 
 

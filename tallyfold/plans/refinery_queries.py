@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extractors
 from ..operators import refinery as rf
 from ..sources.ledger import table
 from .ledger_queries import query
@@ -14,26 +15,105 @@ def _kw(domain: str) -> str:
 
 
 _DOMAIN = "CASE " + " ".join(f"WHEN greatest({', '.join('s_' + d for d in rf.DOMAINS)}) > 0 AND s_{d} = greatest({', '.join('s_' + d for d in rf.DOMAINS)}) THEN '{d}'" for d in rf.DOMAINS) + " ELSE 'general' END"
-_TRIAGE = f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r'), lambda x: trim(x) <> '') AS lines FROM documents
-), b AS (SELECT *, {', '.join(f'{_kw(d)} AS s_{d}' for d in rf.DOMAINS)}, len(lines) AS n,
-  len(list_filter(lines, lambda x: length(x) - length(replace(x, ',', '')) >= 3 OR contains(x, '|'))) AS tl, len(list_filter(lines, lambda x: regexp_matches(lower(x), '\\b(figure|chart)\\b'))) AS fl, len(list_filter(lines, lambda x: regexp_matches(trim(x), '^(\\d+(\\.\\d+)*)\\s+'))) AS hl FROM a
-), c AS (SELECT doc_id, round(length(t) / greatest(length(t) - length(replace(t, chr(10), '')), 1), 4) AS char_density,
-  CASE WHEN n = 0 THEN 'mixed' WHEN tl / n > 0.2 THEN 'table_heavy' WHEN fl / n > 0.1 THEN 'figure_heavy' WHEN hl > 8 THEN 'multi_column' ELSE 'single_column' END AS layout,
-  CASE WHEN length(trim(t)) < 40 THEN 'mixed' ELSE 'native_digital' END AS origin, {_DOMAIN} AS domain, CAST(length(trim(t)) AS INTEGER) AS visible FROM b
-), d AS (SELECT *, CASE WHEN layout IN ('multi_column', 'table_heavy', 'mixed') OR origin = 'mixed' THEN 'needs_layout_model' ELSE 'fast_text_sufficient' END AS cost FROM c)"""
-
-
-@query(_TRIAGE + " SELECT * FROM d", "")
+#: Documents as files: a type, pages and a share of images that follow from the source and the id.
+_FILES_SQL = """WITH files AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(regexp_extract(coalesce(source, ''), '[0-9]+') AS INTEGER) AS s,
+    CASE s % 5 WHEN 1 THEN '.csv' WHEN 2 THEN '.pdf' WHEN 3 THEN '.md' WHEN 4 THEN '.bin' ELSE '.txt' END AS suffix,
+    CAST(CASE WHEN suffix = '.pdf' THEN 1 + doc_id % 30 ELSE 1 END AS INTEGER) AS page_count,
+    CASE WHEN suffix = '.pdf' THEN (doc_id % 8) / 8.0 ELSE 0.0 END AS image_area_ratio
+  FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN replace(text, ' ', chr(10) || '1.2 ') WHEN doc_id % 9 = 1 THEN replace(text, ' ', ',') WHEN doc_id % 9 = 2 THEN replace(text, ' ', chr(10) || 'Chart ') ELSE text END AS text, source FROM documents)
+)"""
+
+
+def _files(spark, sf_dir):
+    """The files of the SQL; of nine documents one is made of numbered lines, one of fields, one of captions."""
+    key, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    spread = lambda by: F.replace("text", F.lit(" "), F.lit(by))
+    text = F.when(key % 9 == 0, spread("\n1.2 ")).when(key % 9 == 1, spread(",")).when(key % 9 == 2, spread("\nChart ")).otherwise(F.col("text"))
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "[0-9]+", 0).try_cast("int")
+    suffix = F.when(number % 5 == 1, ".csv").when(number % 5 == 2, ".pdf").when(number % 5 == 3, ".md").when(number % 5 == 4, ".bin").otherwise(".txt")
+    rows = docs.select("doc_id", text.alias("text"), suffix.alias("suffix"))
+    pdf = F.col("suffix") == ".pdf"
+    return rows.withColumn("page_count", F.when(pdf, 1 + key % 30).otherwise(1)).withColumn("image_area_ratio", F.when(pdf, (key % 8) / 8.0).otherwise(0.0))
+
+
+_TRIAGE = _FILES_SQL + f""", a AS (
+  SELECT *, lower(t) AS low, list_filter(string_split_regex(t, '\\r\\n|\\n|\\r'), lambda x: trim(x) <> '') AS lines FROM files
+), b AS (
+  SELECT *, {", ".join(f"{_kw(d)} AS s_{d}" for d in rf.DOMAINS)}, len(lines) AS n,
+    len(list_filter(lines, lambda x: length(x) - length(replace(x, ',', '')) >= 3 OR contains(x, '|'))) AS tl,
+    len(list_filter(lines, lambda x: regexp_matches(lower(x), '\\b(figure|chart)\\b'))) AS fl,
+    len(list_filter(lines, lambda x: regexp_matches(trim(x), '^(\\d+(\\.\\d+)*)\\s+'))) AS hl,
+    len(list_filter(lines, lambda x: length(x) - length(replace(x, ',', '')) >= 2)) AS il
+  FROM a
+), c AS (
+  SELECT doc_id, t, suffix, page_count, image_area_ratio, il,
+    round(length(t) / CASE WHEN suffix = '.pdf' THEN page_count WHEN suffix = '.bin' THEN 1 ELSE greatest(length(t) - length(replace(t, chr(10), '')), 1) END, 4) AS char_density,
+    CASE WHEN n = 0 THEN 'mixed' WHEN tl / n > 0.2 THEN 'table_heavy' WHEN fl / n > 0.1 THEN 'figure_heavy' WHEN hl > 8 THEN 'multi_column' ELSE 'single_column' END AS layout,
+    {_DOMAIN} AS domain, CAST(length(trim(t)) AS INTEGER) AS visible
+  FROM b
+), d AS (
+  SELECT doc_id, suffix, page_count, CAST(image_area_ratio AS DOUBLE) AS image_area_ratio, char_density, layout, domain, visible,
+    CASE WHEN suffix = '.pdf' THEN CASE WHEN char_density < 30 AND image_area_ratio > 0.6 THEN 'scanned_image' WHEN image_area_ratio > 0.3 THEN 'mixed' ELSE 'native_digital' END
+      WHEN suffix = '.csv' THEN 'form_fillable' WHEN visible < 40 THEN 'mixed' ELSE 'native_digital' END AS origin,
+    page_count >= 20 AND layout IN ('multi_column', 'table_heavy') AS large_complex,
+    CAST(CASE WHEN suffix = '.csv' AND t <> '' OR il >= 2 THEN 1 ELSE 0 END AS INTEGER) AS tables,
+    CAST(len(list_filter(string_split_regex(t, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS INTEGER) AS blocks
+  FROM c
+), p AS (
+  SELECT *, CASE WHEN origin = 'scanned_image' OR large_complex THEN 'needs_vision_model'
+    WHEN layout IN ('multi_column', 'table_heavy', 'mixed') OR origin = 'mixed' THEN 'needs_layout_model' ELSE 'fast_text_sufficient' END AS cost
+  FROM d
+)"""
+_ROUTED = _TRIAGE + """, e AS (
+  SELECT *, 35 + 25 * CAST(visible > 300 AS INT) + 15 * CAST(char_density > 120 AS INT) + 15 * CAST(image_area_ratio < 0.25 AS INT) + 10 * tables AS f0 FROM p
+), g AS (
+  SELECT *, least(CASE WHEN large_complex THEN 84 ELSE 100 END, greatest(0, f0 + CASE WHEN layout IN ('multi_column', 'table_heavy', 'mixed') THEN 20 ELSE 10 END
+    - 12 * CAST(origin IN ('mixed', 'scanned_image') AS INT) - 8 * CAST(image_area_ratio >= 0.5 AS INT) - 35 * CAST(large_complex AS INT))) AS l0 FROM e
+), h AS (
+  SELECT *, CASE WHEN cost = 'fast_text_sufficient' AND f0 >= 90 THEN 1 WHEN cost <> 'needs_vision_model' AND l0 >= 88 THEN 2 ELSE 3 END AS last_,
+    CASE cost WHEN 'fast_text_sufficient' THEN 1 WHEN 'needs_layout_model' THEN 2 ELSE 3 END AS first_ FROM g
+)"""
+
+
+@query(_TRIAGE + " SELECT * FROM p", "")
 def triage_profile(spark, sf_dir):
-    return rf.triage(table(spark, sf_dir, "documents"))
+    return rf.triage(_files(spark, sf_dir))
 
 
-@query(_TRIAGE + """, e AS (SELECT *, round(0.5 + CASE WHEN visible > 300 THEN 0.25 ELSE 0 END + CASE WHEN char_density > 120 THEN 0.15 ELSE 0 END, 4) AS f0 FROM d
-), g AS (SELECT *, round(least(1.0, f0 + CASE WHEN layout IN ('table_heavy', 'multi_column') THEN 0.05 ELSE 0 END), 4) AS l0 FROM e)
-SELECT doc_id, cost, CASE WHEN cost = 'fast_text_sufficient' AND f0 >= 0.9 THEN 'fast_text' WHEN l0 >= 0.88 THEN 'layout' ELSE 'vision' END AS strategy,
-  CASE WHEN cost = 'fast_text_sufficient' AND f0 >= 0.9 THEN CAST(f0 AS DOUBLE) WHEN l0 >= 0.88 THEN CAST(l0 AS DOUBLE) ELSE CAST(round(least(1.0, l0 + 0.1), 4) AS DOUBLE) END AS confidence FROM g""", "")
+@query(
+    _ROUTED + """ SELECT doc_id, cost, CASE last_ WHEN 1 THEN 'fast_text' WHEN 2 THEN 'layout_aware' ELSE 'vision_augmented' END AS strategy,
+  CAST(CASE last_ WHEN 1 THEN f0 WHEN 2 THEN l0 ELSE least(100, l0 + 10) END / 100 AS DOUBLE) AS confidence FROM h""",
+    "",
+)
 def routed_extraction(spark, sf_dir):
-    return rf.routed(rf.triage(table(spark, sf_dir, "documents"))).select("doc_id", "cost", "strategy", "confidence")
+    return rf.routed(rf.triage(_files(spark, sf_dir))).select("doc_id", "cost", "strategy", "confidence")
+
+
+@query(
+    _ROUTED + """ SELECT doc_id, array_to_string((['fast_text', 'layout_aware', 'vision_augmented'])[first_:last_], ',') AS attempted, blocks, tables,
+  CAST(CASE last_ WHEN 1 THEN 0.001 WHEN 2 THEN 0.01 ELSE least(1.5, greatest(0.05, round(0.08 * page_count, 4))) END AS DOUBLE) AS cost_usd FROM h""",
+    "",
+)
+def extraction_attempts(spark, sf_dir):
+    """Every document's strategies in turn with what they found and what the last one costs."""
+    return rf.routed(rf.triage(_files(spark, sf_dir))).select("doc_id", "attempted", "blocks", "tables", "cost_usd")
+
+
+@query(
+    _ROUTED + """, tries AS (
+  SELECT doc_id, unnest(range(first_, last_ + 1)) AS s, first_, f0, l0, blocks, tables FROM h
+)
+SELECT doc_id, CAST(s - first_ + 1 AS INTEGER) AS attempt, (['fast_text', 'layout_aware', 'vision_augmented'])[s] AS strategy,
+  CAST((CASE s WHEN 1 THEN f0 WHEN 2 THEN l0 ELSE least(100, l0 + 10) END) / 100 AS DOUBLE) AS confidence,
+  CASE s WHEN 1 THEN f0 >= 90 WHEN 2 THEN l0 >= 88 ELSE least(100, l0 + 10) >= 72 END AS passed, blocks AS text_blocks, tables
+FROM tries""",
+    "",
+)
+def extraction_log(spark, sf_dir):
+    """Every strategy tried on every document, run by the table function."""
+    files = _files(spark, sf_dir)
+    return extractors.attempted(files, rf.confidences(rf.triage(files))).drop("sections")
 
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')"

@@ -225,9 +225,20 @@ def command_accept_reject(spark, sf_dir):
     return lifecycle.accepted_commands(commands, heads)
 
 
-@query(" SELECT event_id, stream_id, coalesce(date_diff('microsecond', lag(recorded_at) OVER w, recorded_at) >= 3600000000, true) AS allowed FROM activity WINDOW w AS (PARTITION BY stream_id ORDER BY recorded_at, global_position)", ACTIVITY_SQL)
+@query(
+    """, o AS MATERIALIZED (
+  SELECT event_id, stream_id, recorded_at, row_number() OVER (PARTITION BY stream_id ORDER BY recorded_at, global_position) AS n FROM activity
+), times AS (SELECT stream_id, recorded_at, min(n) AS n FROM o GROUP BY ALL
+), following AS MATERIALIZED (
+  SELECT a.stream_id, a.n, b.n AS next_n FROM o a ASOF JOIN times b ON a.stream_id = b.stream_id AND a.recorded_at + INTERVAL 30 HOUR <= b.recorded_at
+), allowed AS (
+  SELECT stream_id, n FROM o WHERE n = 1
+  UNION ALL SELECT f.stream_id, f.next_n FROM allowed w JOIN following f ON f.stream_id = w.stream_id AND f.n = w.n)
+SELECT o.event_id, o.stream_id, w.n IS NOT NULL AS allowed FROM o LEFT JOIN allowed w USING (stream_id, n)""",
+    "RECURSIVE " + ACTIVITY_SQL,
+)
 def rate_limit(spark, sf_dir):
-    return lifecycle.rate_limited(activity_log(spark, sf_dir), "stream_id", seconds=3600).select("event_id", "stream_id", "allowed")
+    return lifecycle.rate_limited(activity_log(spark, sf_dir), "stream_id", seconds=108_000).select("event_id", "stream_id", "allowed")
 
 
 # ----------------------------------------------------------------- causality
