@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import command_queries, decision_queries, dossier_queries, ledger_queries, refinery_queries, replay_queries, stream_queries, structure_queries  # noqa: F401  (registration)
+from . import (  # noqa: F401  (registration)
+    command_queries, decision_queries, dossier_queries, ledger_queries, payload_queries, refinery_queries, replay_queries, stream_queries, structure_queries,
+)
 
 
 def queries() -> dict:
