@@ -18,8 +18,8 @@ def due(outbox: DataFrame, now: str) -> DataFrame:
 
 
 def claim(outbox: DataFrame, now: str, batch: int = BATCH, lease: int = LEASE_SECONDS) -> DataFrame:
-    """The oldest due messages, with one attempt more and invisible for the lease (T-10, O-09)."""
-    taken = due(outbox, now).orderBy("outbox_id").limit(batch)
+    """The oldest due messages, with one attempt more, no error and invisible for the lease (T-10, O-09)."""
+    taken = due(outbox, now).orderBy("outbox_id").limit(batch).withColumn("last_error", F.lit(None).cast("string"))
     return taken.withColumn("attempts", F.col("attempts") + 1).withColumn("next_attempt_at", F.lit(now).cast("timestamp_ntz") + F.expr(f"interval '{int(lease)}' second"))
 
 
@@ -29,7 +29,8 @@ def delay_seconds(attempts, base: float = BASE_SECONDS, cap: float = CAP_SECONDS
 
 
 def truncated(error, most: int = ERROR_LENGTH):
-    return F.when(F.length(error) > most, F.concat(F.substring(error, 1, most), F.lit("..."))).otherwise(error)
+    """Errors of at most ``most`` characters, the last three of a longer one dots."""
+    return F.when(F.length(error) > most, F.concat(F.substring(error, 1, most - 3), F.lit("..."))).otherwise(error)
 
 
 def settle(claimed: DataFrame, outcomes: DataFrame, now: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import json as js
 from ..sources import shared
 from ..sources.ledger import ACTIVITY_SQL, activity_log
-from ..streaming import views
+from ..streaming import relay, views
 from .ledger_queries import query
 
 
@@ -52,3 +52,39 @@ def metadata_merge(spark, sf_dir):
 def payload_violations(spark, sf_dir):
     checks = {"value": F.col("value") > 100, "type": F.col("event_type").isin("view", "click")}
     return activity_log(spark, sf_dir).select("event_id", F.array_join(js.violations(checks), ",").alias("violations"))
+
+
+@query(
+    """ SELECT event_id::BIGINT AS outbox_id, CASE WHEN event_id::BIGINT % 7 = 0 THEN 'dead_letter' WHEN event_id::BIGINT % 7 = 6 THEN 'pending' ELSE 'published' END AS status,
+  CAST(CASE event_id::BIGINT % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 3 END AS INTEGER) AS attempts,
+  CASE WHEN event_id::BIGINT % 7 = 0 THEN 'down' END AS last_error FROM activity""",
+    ACTIVITY_SQL,
+)
+def relayed_messages(spark, sf_dir):
+    """Deliveries over a stream of messages, outcomes and ticks, three attempts at most.
+
+    Of seven messages one always fails, three are published at the first to third attempt, one loses its
+    first claim and one its outcomes, so that leases end; one is told twice.
+    """
+    folder = f"{shared.folder(spark)}/streams/{uuid.uuid4().hex}"
+    log = activity_log(spark, sf_dir)
+    n = F.col("event_id").cast("long")
+    turn = n % 7
+
+    def rows(frame, kind, seconds, attempt=0, error=None):
+        at = F.timestamp_seconds(F.lit(1_704_067_200 + seconds))
+        return frame.select(n.alias("outbox_id"), F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), (F.lit(error).cast("string") if error is None else error).alias("error"), at.alias("at"))
+
+    fails = lambda *turns: F.when(turn.isin(*turns) if turns else F.lit(False), "down")
+    tick = lambda seconds: rows(log.limit(1), "tick", seconds)
+    first = rows(log.filter(~turn.isin(4, 6)), "outcome", 1, 1, fails(0, 2, 3)).unionByName(rows(log.filter(turn == 5), "outcome", 2, 1, fails(5)))
+    files = [
+        rows(log, "message", 0), first, tick(10), rows(log.filter(turn.isin(0, 2, 3)), "outcome", 11, 2, fails(0, 3)), tick(20), tick(21),
+        rows(log.filter(turn.isin(0, 3)), "outcome", 22, 3, fails(0)), tick(100), tick(101), rows(log.filter(turn == 4), "outcome", 102, 2, fails()), tick(200), tick(201),
+    ]
+    for i, part in enumerate(files):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/log/{i:02}")
+    stream = spark.readStream.schema(relay.INPUT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log/*")
+    changes = relay.deliveries(stream, max_attempts=3)
+    relay.start(changes, folder).awaitTermination()
+    return relay.states(relay.changes_of(spark, folder)).select("outbox_id", "status", "attempts", "last_error")

@@ -122,7 +122,7 @@ def test_outbox_dies_at_its_last_attempt(spark):
     taken = outbox.claim(box, "2025-01-02 00:00:00")
     done = outbox.settle(taken, spark.createDataFrame([(1, "x" * 2000), (2, "down")], "outbox_id long, error string"), "2025-01-02 00:00:00", max_attempts=2)
     got = {r.outbox_id: r for r in outbox.applied(box, done).collect()}
-    assert got[1].status == "pending" and got[2].status == "dead_letter" and len(got[1].last_error) == 1003
+    assert got[1].status == "pending" and got[2].status == "dead_letter" and len(got[1].last_error) == 1000
     assert outbox.delivery_summary(outbox.applied(box, done), "2025-01-02 00:00:00").first().health == "dead_letter"
 
 
