@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .projections import is_type
+from .quantiles import continuous
 
 WINDOWS = (7, 30, 90)
 
@@ -71,7 +73,10 @@ def turnaround(log: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     final = log.filter(is_type("ApplicationApproved", "ApplicationDeclined")).groupBy("application_id").agg(F.min("recorded_at").alias("decided_at"))
     asked = recent(log, as_of, days).filter(is_type("ApplicationSubmitted")).groupBy("application_id").agg(F.min("recorded_at").alias("submitted_at"))
     pairs = asked.join(final, "application_id").filter("decided_at >= submitted_at").select(F.expr("timestampdiff(SECOND, submitted_at, decided_at)").alias("s"))
-    return pairs.agg(F.count("*").alias("n"), F.round(F.sum("s") / F.count("s") / 3600.0, 4).alias("mean_hours"), F.round(F.percentile("s", 0.5) / 3600.0, 4).alias("median_hours"))
+    pairs = kept(pairs)
+    (median,) = continuous(pairs, "s", [0.5])
+    mean = F.round(F.sum("s") / F.count("s") / 3600.0, 4)
+    return pairs.agg(F.count("*").alias("n"), mean.alias("mean_hours"), F.round(F.lit(median).cast("double") / 3600.0, 4).alias("median_hours"))
 
 
 def funnel(log: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:

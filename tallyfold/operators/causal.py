@@ -23,35 +23,41 @@ def with_causes(log: DataFrame) -> DataFrame:
     return out.withColumn("causation_id", F.when(F.lag("phase").over(order) != F.col("phase"), before))
 
 
-def _walked(links: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
+def _walked(links: DataFrame, start: DataFrame, rounds: int | None = None, turns: list | None = None) -> DataFrame:
     """(root_id, event_id, depth): ``start`` and all that follows from it by (event_id, causation_id) links, at least depth.
 
-    The frontier is joined with its children round by round; an event that a root has
-    reached before is not walked again, so that cycles end.  With ``rounds``, events left
-    beyond them are an error.
+    Links double: after k turns one link spans 2**k causes, and everything less deep than that has
+    been reached, so that a chain of depth d takes log d turns of two joins.  What a root has
+    reached is not reached again: a turn that finds nothing new ends the walk, cycles too.
+    With ``rounds``, anything deeper is an error.  ``turns`` receives what each turn found.
     """
-    links = kept(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), "causation_id").distinct())
-    front = seen = kept(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
+    step = kept(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), F.col("causation_id").alias("parent")).distinct())
+    seen = kept(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))
+    span = 1
     while True:
-        depth += 1
-        reached = front.join(links, F.col("event_id") == F.col("causation_id")).select("root_id", F.col("child").alias("event_id")).distinct()
-        front = kept(reached.join(seen, ["root_id", "event_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return seen
-        if rounds is not None and depth > rounds:
-            raise RuntimeError(f"causal chains go on beyond {rounds} rounds")
-        seen = kept(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
-
-
-def descendants(log: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
+        found = seen.join(step, F.col("event_id") == F.col("parent")).select("root_id", F.col("child").alias("event_id"), (F.col("depth") + span).alias("depth"))
+        fresh = kept(found.groupBy("root_id", "event_id").agg(F.min("depth").alias("depth")).join(seen, ["root_id", "event_id"], "left_anti"))
+        if turns is not None:
+            turns.append(span)
+        if fresh.isEmpty():
+            break
+        seen = kept(seen.unionByName(fresh))
+        above = step.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
+        step = kept(step.join(above, "parent").select("child", F.col("grand").alias("parent")).distinct())
+        span *= 2
+    if rounds is not None and not seen.filter(F.col("depth") > rounds).isEmpty():
+        raise RuntimeError(f"causal chains go on beyond {rounds} rounds")
+    return seen
+
+
+def descendants(log: DataFrame, roots: DataFrame, rounds: int | None = None, turns: list | None = None) -> DataFrame:
     """(root_id, event_id, depth) of all events that a root led to, by cause (J-09).
 
     Chains are followed to their ends, with ``rounds`` as far as that and an error beyond;
     cycles end, and an event counts once at its least depth.
     """
     start = roots.select("root_id", F.col("root_id").alias("event_id"))
-    return _walked(log.select("event_id", "causation_id"), start, rounds).filter("depth > 0")
+    return _walked(log.select("event_id", "causation_id"), start, rounds, turns).filter("depth > 0")
 
 
 def branches(log: DataFrame, event_type: str, key: str = "application_id") -> DataFrame:
@@ -60,21 +66,31 @@ def branches(log: DataFrame, event_type: str, key: str = "application_id") -> Da
     return log.filter(is_type(event_type)).groupBy(key).agg(F.min("global_position").alias("branch_position"), first("event_id", "branch_id"), first("stream_id", "branch_stream"), first("stream_position", "branch_stream_position"))
 
 
-def divergence(log: DataFrame, event_type: str, key: str = "application_id") -> DataFrame:
-    """Events that a change of the branch event undoes (C-05).
+def _undone(log: DataFrame, event_type: str, key: str) -> DataFrame:
+    """The events of all applications with a branch event, with ``branch`` and whether they are ``undone`` (C-05).
 
-    They are the branch event, the later ones of its stream, and what these led to by
-    cause within the application, as far as it lies behind the branch.
+    Undone are the branch event, the later ones of its stream, and what these led to by
+    cause within the application, as far as it lies behind the branch.  The log is made
+    once, by application; all that follows joins on that.
     """
-    joined = log.join(branches(log, event_type, key), key)
-    own = (F.col("stream_id") == F.col("branch_stream")) & (F.col("stream_position") >= F.col("branch_stream_position"))
+    first = F.when(is_type(event_type), F.struct("global_position", "event_id", "stream_id", "stream_position"))
+    rows = log.repartition(key).withColumn("branch", F.min(first).over(Window.partitionBy(key))).filter(F.col("branch").isNotNull())
+    once = kept(rows)
+    own = (F.col("stream_id") == F.col("branch.stream_id")) & (F.col("stream_position") >= F.col("branch.stream_position"))
     # An event counts under its application alone; a cause outside the application ends a chain.
-    name = lambda c: F.when(F.col(c).isNotNull(), F.struct(key, F.col(c).alias("id")))
-    links = joined.select(name("event_id").alias("event_id"), name("causation_id").alias("causation_id"))
-    start = joined.filter(own).select(name("branch_id").alias("root_id"), name("event_id").alias("event_id"))
-    gone = _walked(links, start).select(F.col(f"event_id.{key}").alias(key), F.col("event_id.id").alias("event_id")).distinct()
-    undone = joined.filter("global_position >= branch_position").join(gone, [key, "event_id"], "left_semi")
-    return undone.select(key, "global_position", "event_type", (F.col("global_position") == F.col("branch_position")).alias("is_branch"))
+    name = lambda c: F.when(c.isNotNull(), F.struct(F.col(key), c.alias("id")))
+    links = once.select(name(F.col("event_id")).alias("event_id"), name(F.col("causation_id")).alias("causation_id"))
+    start = once.filter(own).select(name(F.col("branch.event_id")).alias("root_id"), name(F.col("event_id")).alias("event_id"))
+    gone = _walked(links, start).select(F.col(f"event_id.{key}").alias(key), F.col("event_id.id").alias("event_id")).distinct().withColumn("reached", F.lit(True))
+    met = once.join(gone, [key, "event_id"], "left")
+    undone = F.coalesce(F.col("reached"), F.lit(False)) & (F.col("global_position") >= F.col("branch.global_position"))
+    return met.withColumn("undone", undone).drop("reached")
+
+
+def divergence(log: DataFrame, event_type: str, key: str = "application_id") -> DataFrame:
+    """Events that a change of the branch event undoes (C-05)."""
+    rows = _undone(log, event_type, key).filter("undone")
+    return rows.select(key, "global_position", "event_type", (F.col("global_position") == F.col("branch.global_position")).alias("is_branch"))
 
 
 def what_if(log: DataFrame, event_type: str, decision: str, key: str = "application_id") -> DataFrame:
@@ -84,15 +100,16 @@ def what_if(log: DataFrame, event_type: str, decision: str, key: str = "applicat
     later events that do not depend on the branch stay behind it.
     """
     final = F.when(is_type("ApplicationApproved"), "FINAL_APPROVED").when(is_type("ApplicationDeclined"), "FINAL_DECLINED").when(is_type("ApplicationSubmitted"), "SUBMITTED")
-    fold = lambda rows, name: rows.groupBy(key).agg(F.coalesce(F.max_by(final, F.when(final.isNotNull(), F.col("global_position"))), F.lit("UNKNOWN")).alias(name))
-    at, gone = branches(log, event_type, key), kept(divergence(log, event_type, key))
-    related = log.join(at, key, "left_semi")
-    stays = related.join(gone, [key, "global_position"], "left_anti").select(key, "event_type", "global_position")
-    injected = at.select(key, F.lit("ApplicationApproved" if decision == "APPROVE" else "ApplicationDeclined").alias("event_type"), F.col("branch_position").alias("global_position"))
-    real = fold(related, "real_outcome")
-    other = fold(stays.unionByName(injected), "counterfactual_outcome")
-    undone = gone.groupBy(key).agg(F.count("*").alias("events_undone"))
-    return real.join(other, key).join(undone, key).withColumn("diverges", F.col("real_outcome") != F.col("counterfactual_outcome"))
+    needed = log.select(key, "event_id", "causation_id", "stream_id", "stream_position", "global_position", "event_type")
+    rows = _undone(needed, event_type, key).withColumn("final", final)
+    at = F.when(F.col("final").isNotNull(), F.col("global_position"))
+    later = F.when(~F.col("undone") & (F.col("global_position") > F.col("branch.global_position")), at)
+    out = rows.groupBy(key).agg(
+        F.coalesce(F.max_by("final", at), F.lit("UNKNOWN")).alias("real_outcome"), F.max_by("final", later).alias("stayed"), F.count_if("undone").cast("long").alias("events_undone"),
+    )
+    given = F.lit("FINAL_APPROVED" if decision == "APPROVE" else "FINAL_DECLINED")
+    out = out.withColumn("counterfactual_outcome", F.coalesce("stayed", given)).withColumn("diverges", F.col("real_outcome") != F.col("counterfactual_outcome"))
+    return out.select(key, "real_outcome", "counterfactual_outcome", "events_undone", "diverges")
 
 
 def counterfactual(log: DataFrame, event_type: str, injected: list[dict], key: str = "application_id") -> DataFrame:
@@ -104,9 +121,13 @@ def counterfactual(log: DataFrame, event_type: str, injected: list[dict], key: s
     """
     if not injected:
         raise ValueError("at least one event takes the branch's place")
-    at, gone = branches(log, event_type, key), kept(divergence(log, event_type, key))
-    related = log.join(at.select(key), key, "left_semi")
-    stays = related.join(gone, [key, "global_position"], "left_anti")
+    whole = kept(_undone(log, event_type, key))
+    at = whole.groupBy(key).agg(
+        F.min("branch.global_position").alias("branch_position"), F.min("branch.stream_id").alias("branch_stream"), F.min("branch.stream_position").alias("branch_stream_position"),
+        F.count_if("undone").cast("long").alias("events_undone"),
+    )
+    related = whole.drop("branch", "undone")
+    stays = whole.filter("not undone").drop("branch", "undone")
     kinds = {f.name: f.dataType for f in log.schema}
     rows = [F.struct(F.lit(i + 1).alias("turn"), *[F.lit(event.get(c)).cast(kinds[c]).alias(c) for c in sorted({c for e in injected for c in e})]) for i, event in enumerate(injected)]
     news = at.select(key, F.col("branch_stream").alias("stream_id"), "branch_position", "branch_stream_position", F.explode(F.array(*rows)).alias("e"))
@@ -117,7 +138,7 @@ def counterfactual(log: DataFrame, event_type: str, injected: list[dict], key: s
     stays = stays.withColumn("global_position", F.col("global_position") * room)
     other = stays.unionByName(news, allowMissingColumns=True)
     named = lambda frame, prefix: frame.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in frame.columns if c != key])
-    undone = gone.groupBy(key).agg(F.count("*").alias("events_undone"))
+    undone = at.select(key, "events_undone")
     simulated = other.groupBy(key).agg(F.count("*").alias("simulated_events"))
     joined = named(folds.outcome(related, key), "real").join(named(folds.outcome(other, key), "other"), key)
     return joined.join(undone, key).join(simulated, key)

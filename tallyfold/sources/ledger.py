@@ -21,9 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _event(frame: DataFrame, kind: str | Column, at: Column, seq: int, rn: Column, **payload: Column) -> DataFrame:
+def _event(kind: str | Column, at: Column, seq: int, rn: Column, occurs: Column | None = None, **payload: Column) -> Column:
+    """One event of a row as a struct; null where it doesn't occur."""
     columns = [payload.get(name, F.lit(None)).cast(typ).alias(name) for name, typ in PAYLOAD.items()]
-    return frame.select("application_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("event_type"), at.alias("recorded_at"), F.lit(seq).alias("seq"), rn.cast("int").alias("rn"), *columns)
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    whole = F.struct(kind.alias("event_type"), at.alias("recorded_at"), F.lit(seq).alias("seq"), rn.cast("int").alias("rn"), *columns)
+    return whole if occurs is None else F.when(occurs, whole)
+
+
+def _exploded(frame: DataFrame, *events: Column) -> DataFrame:
+    """All events of a table's rows by one pass over it."""
+    return frame.select("application_id", F.explode(F.array_compact(F.array(*events))).alias("e")).select("application_id", "e.*")
 
 
 def case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,23 +46,27 @@ def case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = orders.join(last, "application_id", "left").withColumn("last", F.coalesce("last_item", "o_orderdate")).withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
     zero, day = F.lit(0), F.expr("interval '1' day")
     status = F.col("o_orderstatus")
-    final = cases.filter(status.isin("F", "O"))
-    events = [
-        _event(cases, "ApplicationSubmitted", F.col("o_orderdate"), 10, zero, requested_amount=F.col("o_totalprice")),
-        _event(cases, "ComplianceCheckRequested", F.col("o_orderdate"), 20, zero, mandatory=F.col("rules"), regulation_set=F.concat(F.lit("reg-"), F.year("o_orderdate"))),
-        _event(items, "CreditAnalysisCompleted", F.col("at"), 30, F.col("rn"), agent_id=F.concat(F.lit("agent-"), F.col("l_suppkey")),
-               model_version=F.concat(F.lit("credit-"), F.col("l_linestatus")), confidence=F.round(F.col("l_discount") * 10, 2), limit_amount=F.col("l_extendedprice")),
-        _event(items, F.when(F.col("l_returnflag") == "R", "ComplianceRuleFailed").otherwise("ComplianceRulePassed"), F.col("at"), 40, F.col("rn"), rule_id=F.col("rule"),
-               failure_reason=F.when(F.col("l_returnflag") == "R", F.concat(F.lit("returned by supplier "), F.col("l_suppkey")))),
-        _event(cases, "DecisionGenerated", F.col("last") + day, 50, zero, recommendation=F.when(status == "F", "APPROVE").when(status == "O", "DECLINE").otherwise("REFER"),
+    final, at, rn = status.isin("F", "O"), F.col("at"), F.col("rn")
+    of_cases = _exploded(
+        cases,
+        _event("ApplicationSubmitted", F.col("o_orderdate"), 10, zero, requested_amount=F.col("o_totalprice")),
+        _event("ComplianceCheckRequested", F.col("o_orderdate"), 20, zero, mandatory=F.col("rules"), regulation_set=F.concat(F.lit("reg-"), F.year("o_orderdate"))),
+        _event("DecisionGenerated", F.col("last") + day, 50, zero, recommendation=F.when(status == "F", "APPROVE").when(status == "O", "DECLINE").otherwise("REFER"),
                orchestrator=F.concat(F.lit("orchestrator-"), F.substring("o_orderpriority", 1, 1))),
-        _event(final, "HumanReviewCompleted", F.col("last") + F.expr("interval '36' hour"), 60, zero, reviewer=F.concat(F.lit("reviewer-"), F.col("o_custkey") % 10),
+        _event("HumanReviewCompleted", F.col("last") + F.expr("interval '36' hour"), 60, zero, final, reviewer=F.concat(F.lit("reviewer-"), F.col("o_custkey") % 10),
                override=F.col("o_orderpriority") == "1-URGENT", final_decision=F.when(status == "F", "APPROVE").otherwise("DECLINE")),
-        _event(final, F.when(status == "F", "ApplicationApproved").otherwise("ApplicationDeclined"), F.col("last") + F.expr("interval '2' day"), 70, zero, approved_amount=F.when(status == "F", F.col("o_totalprice"))),
-    ]
-    log = events[0]
-    for more in events[1:]:
-        log = log.unionByName(more)
+        _event(F.when(status == "F", "ApplicationApproved").otherwise("ApplicationDeclined"), F.col("last") + F.expr("interval '2' day"), 70, zero, final,
+               approved_amount=F.when(status == "F", F.col("o_totalprice"))),
+    )
+    returned = F.col("l_returnflag") == "R"
+    of_items = _exploded(
+        items,
+        _event("CreditAnalysisCompleted", at, 30, rn, agent_id=F.concat(F.lit("agent-"), F.col("l_suppkey")), model_version=F.concat(F.lit("credit-"), F.col("l_linestatus")),
+               confidence=F.round(F.col("l_discount") * 10, 2), limit_amount=F.col("l_extendedprice")),
+        _event(F.when(returned, "ComplianceRuleFailed").otherwise("ComplianceRulePassed"), at, 40, rn, rule_id=F.col("rule"),
+               failure_reason=F.when(returned, F.concat(F.lit("returned by supplier "), F.col("l_suppkey")))),
+    )
+    log = of_cases.unionByName(of_items)
     order = Window.partitionBy("application_id").orderBy("recorded_at", "seq", "rn")
     log = log.withColumn("stream_position", F.row_number().over(order).cast("long"))
     return log.select(

@@ -99,6 +99,21 @@ def test_causal_descendants_of_long_chains(spark):
         causal.descendants(rows, root, rounds=8)
 
 
+def test_a_long_chain_takes_few_turns(spark):
+    n, turns = 10_000, []
+    rows = spark.range(n).select(F.concat(F.lit("e"), "id").alias("event_id"), F.when(F.col("id") > 0, F.concat(F.lit("e"), F.col("id") - 1)).alias("causation_id"))
+    found = causal.descendants(rows, spark.createDataFrame([("e0",), ("e9000",)], "root_id string"), turns=turns)
+    assert found.filter("root_id = 'e0'").count() == n - 1 and found.filter("root_id = 'e9000'").count() == 999
+    assert found.filter("root_id = 'e0' and event_id = 'e9999'").first().depth == 9999 and len(turns) < 20
+
+
+def test_a_cycle_and_two_causes_of_one_event(spark):
+    links = [("a", "c"), ("b", "a"), ("c", "b"), ("d", "a"), ("d", "c"), ("e", "d"), ("x", None), ("y", "gone")]
+    rows = spark.createDataFrame(links, "event_id string, causation_id string")
+    found = causal.descendants(rows, spark.createDataFrame([("a",), ("x",)], "root_id string")).collect()
+    assert sorted((r.root_id, r.event_id, r.depth) for r in found) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("a", "e", 2)]
+
+
 def test_what_if_keeps_independent_events_of_other_streams(spark):
     # (position, event, cause, stream, its position, type): the branch is b, of stream s.
     log = [(1, "a", None, "s", 1, "ApplicationSubmitted"), (2, "b", "a", "s", 2, "DecisionGenerated"), (3, "c", "b", "t", 1, "ApplicationDeclined"), (4, "d", None, "s", 3, "HumanReviewCompleted"),
