@@ -102,9 +102,14 @@ def rebatched(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterato
             yield _joined(held)
     finally:
         held = []
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker serves many tasks, beside another one."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import kept
-from .arrays import mix64, prefix_sums, rebatched, span_hash, utf8, word_bounds
+from .arrays import give_back, mix64, prefix_sums, rebatched, span_hash, utf8, word_bounds
 from .elias_fano import COUNTS, SUCCESSOR_BITS, TrieLevel, scratch
 from .substrings import pack, unpack
 
@@ -148,6 +148,9 @@ def _answers(table: pa.Table) -> pa.Table:
     else:
         level = scratch(TrieLevel.build(keys[seen], total[seen]))
         answers = [pack(level.look_up(x)) for x in asked]
+        del level
+    del keys, place, total, counts
+    give_back()
     return pa.table(
         {"batch": table.column("batch"), "shard": table.column("shard"), "codes": pa.array(answers, pa.binary()), "distinct": pa.array([int(seen.sum()) if i == 0 else 0 for i in range(len(asked))], pa.int64())}
     )
