@@ -203,7 +203,7 @@ def _scores(left: pa.Table, right: pa.Table, shards: int, orders: int, total: in
     return pa.table(
         {
             key: pa.array(row["keys"], kind), "held_out": pa.array(held), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base),
-            "cells": pa.array([x.astype(np.float32) for x in flat], pa.list_(pa.float32())),
+            "cells": pa.array(list(flat), pa.list_(pa.float64())),
             "out": pa.array([out_cells.ravel() if i == 0 else None for i in range(n)], pa.list_(pa.float64())),
         }
     )
@@ -231,7 +231,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     distinct = answers.filter("shard % 8 = 1").agg(F.sum("distinct")).first()[0] or 0
     arrow_kind = to_arrow_type(kind)
     shape = T.StructType().add(key, kind).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double")
-    shape = shape.add("cells", T.ArrayType(T.FloatType())).add("out", T.ArrayType(T.DoubleType()))
+    shape = shape.add("cells", T.ArrayType(T.DoubleType())).add("out", T.ArrayType(T.DoubleType()))
     documents = _trained_documents(encoded)
     pairs = encoded.select("batch", "keys", "sizes", "held", "tokens", "vocabulary").groupBy("batch").cogroup(answers.select("batch", "shard", "codes").groupBy("batch"))
     scored = kept(pairs.applyInArrow(lambda left, right: _scores(left, right, shards, orders, total, distinct, documents, key, arrow_kind), shape))
@@ -239,7 +239,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     row = scored.filter("out is not null").agg(*[F.sum(F.col("out")[i]).alias(f"c{i}") for i in range(width)]).first()
     likelihood = np.array([row[i] or 0.0 for i in range(width)]).reshape(-1, len(WEIGHTS))
     best = likelihood.argmax(1)
-    cell = [F.col("cells")[int(i * len(WEIGHTS) + k)].cast("double") for i, k in enumerate(best)]
+    cell = [F.col("cells")[int(i * len(WEIGHTS) + k)] for i, k in enumerate(best)]
     value = cell[0]
     for x in cell[1:]:
         value = value + x

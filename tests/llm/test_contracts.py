@@ -57,7 +57,7 @@ def test_op3_scores_equal_a_plain_model(spark):
     got = {r.doc_id: r.score for r in ngrams.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = plain_scores(rows)
     assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-3 * max(1, abs(want[k])) for k in got)
+    assert all(abs(got[k] - want[k]) < 1e-9 * max(1, abs(want[k])) for k in got)
 
 
 def test_op3_repeated_rows_and_null_keys(spark):
