@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .refinery import summary_sentences, tokens, words
+from .structure import cross_references
 
 #: Order of chunk types within a page.
 PRIORITY = {"paragraph": 0, "list": 1, "table": 2, "figure": 3, "section": 4}
@@ -118,6 +119,44 @@ def table_chunks(tables: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS)
     return _hashed(rows).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
 
 
+def inline_tables(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, table, page, headers, rows) of texts' lines of three fields and more, where there are two, and of whole ``.csv`` files (C-13)."""
+    csv = F.lower(F.coalesce(F.col("suffix"), F.lit(""))) == ".csv" if "suffix" in files.columns else F.lit(False)
+    fields = lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
+    lines = F.filter(stripped_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: (fields(x) >= 2) | csv)
+    found = files.select(key, F.transform(lines, lambda x: F.split(x, ",")).alias("r"), csv.alias("csv")).filter((F.size("r") >= 2) | (F.col("csv") & (F.size("r") >= 1)))
+    return found.select(key, F.lit(1).alias("table"), F.lit(1).alias("page"), F.col("r")[0].alias("headers"), F.slice("r", 2, F.size("r")).alias("rows"))
+
+
+def figure_chunks(figures: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One chunk a figure's caption; ``figures`` have the key, figure, page and caption (C-16)."""
+    rows = figures.select(
+        key, F.concat_ws("-", F.col(key).cast("string"), F.lit("figure"), F.col("figure").cast("string")).alias("chunk_id"), F.lit("figure").alias("chunk_type"), "page",
+        F.lit("Figure").alias("parent_section"), F.coalesce("caption", F.lit("")).alias("content"),
+    )
+    return _hashed(rows).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
+
+
+def captions(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, figure, page, caption) of the lines that begin as a figure's or chart's caption does."""
+    lines = F.filter(stripped_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x.rlike(r"(?i)^(figure|chart)\b"))
+    return files.select(key, F.posexplode(lines).alias("i", "caption")).select(key, (F.col("i") + 1).alias("figure"), F.lit(1).alias("page"), "caption")
+
+
+def refined(files: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> DataFrame:
+    """A document's chunks as one result: tables, figures and text, with ``relationships`` to the tables that they name (C-16, C-19).
+
+    ``files`` have the key, text and maybe suffix.  A chunk that mentions ``table N`` is related to the first
+    chunk of the document's Nth table.
+    """
+    of_tables = table_chunks(inline_tables(files, key), key, most)
+    chunks = of_tables.unionByName(figure_chunks(captions(files, key), key)).unionByName(text_chunks(titled_blocks(paragraphs(files, key), key), key, most))
+    ordinal = F.regexp_extract("chunk_id", r"-table-([0-9]+)-1$", 1)
+    first = of_tables.withColumn("ordinal", ordinal.try_cast("int")).filter("ordinal is not null").select(key, "ordinal", F.col("chunk_id").alias("table_chunk_id"))
+    links = cross_references(chunks, first, key)
+    return chunks.join(links, [key, "chunk_id"], "left").withColumn("relationships", F.coalesce("relationships", F.lit("")))
+
+
 def invalid_chunks(chunks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     """Tables and lists over the budget, and tables without their header, with the reason (the validator of C-16)."""
     over = (F.col("token_count") > most) & F.col("chunk_type").isin("table", "list")

@@ -179,7 +179,18 @@ def entities(spark, sf_dir):
     return rf.entities(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
 
 
-@query("""SELECT id, value, CAST(number AS DOUBLE) AS number FROM (VALUES (1, '(1,250.5)', -1250.5), (2, '$3.2 billion', 3200000000.0), (3, '45m', 45000000.0), (4, '12k', 12000.0), (5, 'n/a', NULL), (6, '-7', -7.0), (7, 'abc', NULL)) t(id, value, number)""", "")
+@query(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '(1,' || n || '.5)' WHEN 1 THEN '$' || n || '.25 billion' WHEN 2 THEN n || 'm' WHEN 3 THEN ' ' || n || 'K ' WHEN 4 THEN 'n/a' WHEN 5 THEN '-' || n ELSE 'abc' END AS value,
+  CAST(CASE o_orderkey % 7 WHEN 0 THEN -(CAST('1' || n AS DOUBLE) + 0.5) WHEN 1 THEN (n + 0.25) * 1e9 WHEN 2 THEN n * 1e6 WHEN 3 THEN n * 1e3 WHEN 5 THEN -CAST(n AS DOUBLE) END AS DOUBLE) AS number
+FROM (SELECT o_orderkey, o_custkey AS n FROM orders)""",
+    "",
+)
 def coerced_values(spark, sf_dir):
-    rows = [(1, "(1,250.5)"), (2, "$3.2 billion"), (3, "45m"), (4, "12k"), (5, "n/a"), (6, "-7"), (7, "abc")]
-    return spark.createDataFrame(rows, "id int, value string").withColumn("number", rf.coerced(F.col("value")))
+    """Customer numbers written in seven ways, and read again."""
+    n, turn = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 7
+    value = (
+        F.when(turn == 0, F.concat(F.lit("(1,"), n, F.lit(".5)"))).when(turn == 1, F.concat(F.lit("$"), n, F.lit(".25 billion"))).when(turn == 2, F.concat(n, F.lit("m")))
+        .when(turn == 3, F.concat(F.lit(" "), n, F.lit("K "))).when(turn == 4, "n/a").when(turn == 5, F.concat(F.lit("-"), n)).otherwise("abc")
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), value.alias("value"))
+    return rows.withColumn("number", rf.coerced(F.col("value")))

@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import json as js
+from ..operators import projections as pj
+from ..operators import stored
 from ..sources import shared
+from ..sources.dossier import DOSSIER_SQL, dossier_log
 from ..sources.ledger import ACTIVITY_SQL, activity_log
 from ..streaming import relay, views
+from .dossier_queries import _EPOCH_SQL
 from .ledger_queries import query
 
 
@@ -54,6 +58,21 @@ def payload_violations(spark, sf_dir):
     return activity_log(spark, sf_dir).select("event_id", F.array_join(js.violations(checks), ",").alias("violations"))
 
 
+@query(
+    _EPOCH_SQL + """ SELECT o_orderkey AS application_id, o_orderdate + to_hours(CAST(o_orderkey % 60 AS INTEGER)) AS as_of, t.global_position, t.event_type, t.status
+FROM orders ASOF JOIN (SELECT application_id, recorded_at, max_by(struct_pack(global_position := global_position, event_type := event_type, status := status), global_position) AS t
+    FROM timeline GROUP BY ALL) x ON x.application_id = o_orderkey AND o_orderdate + to_hours(CAST(o_orderkey % 60 AS INTEGER)) >= x.recorded_at""",
+    DOSSIER_SQL,
+)
+def stored_compliance(spark, sf_dir):
+    """The stored compliance timeline asked for each application at a moment of its own."""
+    timeline = stored.intervals(pj.compliance_timeline(dossier_log(spark, sf_dir)))
+    view = stored.stored(timeline, f"stored/{uuid.uuid4().hex}", "application_id", ("valid_from",), buckets=16)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    moments = orders.select(F.col("o_orderkey").alias("application_id"), (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 60).cast("int"))).alias("as_of"))
+    return stored.as_of(view.all(), moments).select("application_id", "as_of", "global_position", "event_type", "status")
+
+
 @query(
     """ SELECT event_id::BIGINT AS outbox_id, CASE WHEN event_id::BIGINT % 7 = 0 THEN 'dead_letter' WHEN event_id::BIGINT % 7 = 6 THEN 'pending' ELSE 'published' END AS status,
   CAST(CASE event_id::BIGINT % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 3 END AS INTEGER) AS attempts,

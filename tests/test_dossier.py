@@ -216,8 +216,9 @@ def test_a_failing_merge_is_tried_again(spark, tmp_path):
 
 
 def test_rules_files_and_appends(spark, tmp_path):
-    (tmp_path / "r.yaml").write_text("fast_text_gate: 0.5\n# note\nother: x\n")
-    assert files.rules(spark, str(tmp_path / "r.yaml"))["fast_text_gate"] == 0.5
+    (tmp_path / "r.yaml").write_text("fast_text_confidence_gate: 0.5\n# note\nother: 'x'\nflag: True\nn: 7\nbudget:\n  usd: 1.5\n  deep:\n    a: b\nlast: -1\nempty:\n")
+    got = files.rules(spark, str(tmp_path / "r.yaml"))
+    assert got == files.DEFAULT_RULES | {"fast_text_confidence_gate": 0.5, "other": "x", "flag": True, "n": 7, "budget": {"usd": 1.5, "deep": {"a": "b"}}, "last": "-1"}
     rows = spark.range(2)
     for _ in range(2):
         files.insert_facts(rows, str(tmp_path / "facts"))
@@ -230,3 +231,18 @@ def test_shared_tables_are_released(spark):
     assert shared.written(spark.range(3)).count() == 3 and shared.tables() == before + 1
     shared.release(spark, before)
     assert shared.tables() == before
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    with pytest.raises(FileNotFoundError):
+        files.text_files(spark, str(folder))
+    (folder / "b.txt").write_bytes("é ok".encode())
+    (folder / "deep" / "a.CSV").write_bytes(b"a,b\n1,\xff2")
+    (folder / "none").write_bytes(b"")
+    rows = files.text_files(spark, [str(folder), str(folder / "b.txt")]).collect()
+    assert [(r.path, r.suffix, r.text) for r in rows] == [(str(folder / "b.txt"), ".txt", "é ok"), (str(folder / "deep" / "a.CSV"), ".csv", "a,b\n1,2")]
+    assert len({r.doc_id for r in rows}) == 2 and all(len(r.doc_id) == 16 for r in rows)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.text_files(spark, str(tmp_path / "gone"))
