@@ -330,18 +330,25 @@ class Codec:
         if not texts:
             return []
         joined, starts, first = boundaries(texts)
-        cuts = starts.tolist()
-        pieces = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
-        found = list(map(self.new.get, pieces))
-        first = first.tolist()
-        for mark in first[1:]:
-            found[mark - 1] = b""
+        # Each distinct piece is looked up once; ids are then copied for all places at once.
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(joined)])
+        coded = pieces.dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = list(map(self.new.get, distinct))
         gaps = [i for i, ids in enumerate(found) if ids is None]
         if gaps:
-            got = self._learn(list({pieces[i] for i in gaps}))
+            got = self._learn([distinct[i] for i in gaps])
             for i in gaps:
-                found[i] = got[pieces[i]]
-        return [b"".join(found[a:b]) for a, b in zip(first, first[1:])]
+                found[i] = got[distinct[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes.take(code)
+        marks = first[1:] - 1
+        n[marks] = 0  # separators
+        ends = np.cumsum(n)
+        ids = flat.take(np.repeat(at.take(code) - ends + n, n) + np.arange(ends[-1])).tobytes()
+        stops = [0, *(4 * ends[marks]).tolist()]
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes that the ids stand for."""
