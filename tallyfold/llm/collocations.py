@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
-from .arrays import mix64, prefix_sums, rebatched, span_hash, utf8
+from .arrays import give_back, mix64, prefix_sums, rebatched, span_hash, utf8
 
 LONGEST = 5
 FILTER_BITS = 25
 #: Bytes of text that a task holds at once, and what DuckDB may hold before it spills.
-SLICE, MEMORY = 4 << 20, "192MB"
+SLICE, MEMORY = 3 << 20, "160MB"
 MOST_BUCKETS = 8192
 #: Tasks that rank a language's candidates before its best ones meet.
 SPREAD = 16
@@ -154,6 +154,7 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: str) ->
             rows = pa.RecordBatchReader.from_batches(schema, batches)
             con.register("rows", rows)
             yield from con.sql(sql).to_arrow_reader(1 << 16)
+    give_back()
 
 
 def frequent_bits(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[pa.RecordBatch]:
