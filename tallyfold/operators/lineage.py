@@ -60,3 +60,68 @@ def narrowed(rows: DataFrame, now: str, event_type: str | None = None, actor: st
         end = F.lit(now).cast("timestamp_ntz")
         rows = rows.filter((F.col("recorded_at") <= end) & (F.col("recorded_at") >= end - F.make_dt_interval(hours=F.lit(hours))))
     return rows
+
+
+#: Lane, checkpoint and phase of event types; a name that ends in a star stands for all that begin so.
+LANES = {
+    "ApplicationSubmitted": "Intake", "DocumentUploadRequested": "Document Intake", "DocumentUploaded": "Document Intake", "AgentSessionStarted": "Agent Session",
+    "AgentSessionRecovered": "Agent Session", "AgentContextLoaded": "Agent Session", "Credit*": "CreditAnalysis", "Fraud*": "FraudDetection", "Compliance*": "ComplianceAgent",
+    "DecisionRequested": "DecisionOrchestrator", "DecisionGenerated": "DecisionOrchestrator", "HumanReviewRequested": "DecisionOrchestrator", "HumanReviewCompleted": "Human Review",
+    "ApplicationApproved": "Final Decision", "ApplicationDeclined": "Final Decision", "AuditIntegrityCheckRun": "Integrity", "*": "Ledger",
+}
+CHECKPOINTS = {
+    "DecisionRequested": "Machine checkpoint", "DecisionGenerated": "Machine checkpoint", "HumanReviewRequested": "Awaiting binding review", "HumanReviewCompleted": "Binding review",
+    "ApplicationApproved": "Final disposition", "ApplicationDeclined": "Final disposition", "Compliance*": "Regulatory evidence", "AuditIntegrityCheckRun": "Hash-chain attestation",
+    "*": "Operational event",
+}
+PHASES = {
+    "ApplicationSubmitted": "Intake", "Document*": "Intake", "Credit*": "Analysis", "Fraud*": "Analysis", "AgentSession*": "Analysis", "AgentContextLoaded": "Analysis",
+    "Compliance*": "Compliance", "DecisionRequested": "Decision", "DecisionGenerated": "Decision", "HumanReviewRequested": "Decision", "*": "Final Outcome",
+}
+#: The payload keys that name an event's actor, in turn, and the name where none does.
+ACTORS = {
+    "DocumentUploadRequested": ("requested_by", "uploaded_by", "=Document Intake"), "DocumentUploaded": ("requested_by", "uploaded_by", "=Document Intake"), "Compliance*": ("=ComplianceAgent",),
+    "AgentSessionStarted": ("agent_id", "=Agent Session"), "AgentSessionRecovered": ("agent_id", "=Agent Session"), "AgentContextLoaded": ("agent_id", "=Agent Session"),
+    "Credit*": ("agent_id", "assigned_agent_id", "=CreditAnalysis"), "Fraud*": ("agent_id", "assigned_agent_id", "=FraudDetection"),
+    "DecisionRequested": ("requested_by", "=DecisionOrchestrator"), "DecisionGenerated": ("orchestrator_agent_id", "=DecisionOrchestrator"),
+    "HumanReviewRequested": ("requested_by", "=DecisionOrchestrator"), "HumanReviewCompleted": ("reviewer_id", "=Loan Officer"), "ApplicationApproved": ("approved_by", "=Loan Officer"),
+    "ApplicationDeclined": ("declined_by", "=Loan Officer"), "ApplicationSubmitted": ("=Loan Intake",), "AuditIntegrityCheckRun": ("=Compliance Service",), "*": ("=Ledger Control",),
+}
+#: Parts of a text that set its tone, the first tone that has one.
+TONES = {
+    "critical": ("critical", "failed", "decline", "denied"), "warning": ("warning", "pending", "lag", "review", "refer"), "info": ("live", "progress", "requested", "running", "sync"),
+    "ok": ("ok", "healthy", "cleared", "approve", "verified"),
+}
+
+
+def _by_type(values: dict[str, Column | str]) -> Column:
+    """The value of the first name that fits the row's type."""
+    out = None
+    for name, value in values.items():
+        fits = F.startswith("event_type", F.lit(name[:-1])) if name.endswith("*") else F.col("event_type") == name
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out
+
+
+def tone(text: Column) -> Column:
+    """How a word reads: critical, warning, info, ok or neutral (F-35)."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit("neutral")
+    for name, parts in reversed(TONES.items()):
+        has = F.lit(False)
+        for part in parts:
+            has = has | F.contains(low, F.lit(part))
+        out = F.when(has, name).otherwise(out)
+    return out
+
+
+def annotated(log: DataFrame) -> DataFrame:
+    """Events with actor, lane, checkpoint, phase and tone (F-35, C-22).
+
+    ``log`` has payload and metadata as JSON texts; an actor in the metadata goes before those that
+    the payload names.  Blank names count as none.
+    """
+    read = lambda column, key: F.when(F.trim(F.get_json_object(column, f"$.{key}")) != "", F.get_json_object(column, f"$.{key}"))
+    named = {t: F.coalesce(*[F.lit(k[1:]) if k.startswith("=") else read("payload", k) for k in keys]) for t, keys in ACTORS.items()}
+    return log.withColumns({
+        "actor": F.coalesce(read("metadata", "actor_id"), _by_type(named)), "lane": _by_type(LANES), "checkpoint": _by_type(CHECKPOINTS), "phase": _by_type(PHASES), "tone": tone(F.col("event_type")),
+    })

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import commands as cm
-from ..operators import lineage, outbox
+from ..operators import lineage, outbox, scans
 from ..operators import projections as pj
 from ..operators import refinery as rf
+from ..sources.dossier import DOSSIER_SQL, dossier_log
 from ..sources.ledger import ACTIVITY_SQL, CASE_SQL, activity_log, case_log
 from .ledger_queries import SUMMARY_SQL, TIMELINE_SQL, query
 from .refinery_queries import _REPORTS, _reports
@@ -72,3 +73,61 @@ def fact_provenance(spark, sf_dir):
     reports = _reports(spark, sf_dir).withColumn("chunk_id", F.concat(F.lit("r"), "doc_id"))
     found = rf.facts(reports).withColumn("source_chunk_id", F.concat(F.lit("doc:"), "source_chunk_id"))
     return rf.provenance(found, reports).select("doc_id", "source_chunk_id", "metric_name", "excerpt")
+
+
+_LANE_SQL = """ CASE WHEN event_type = 'ApplicationSubmitted' THEN 'Intake' WHEN event_type = 'AgentContextLoaded' THEN 'Agent Session' WHEN event_type LIKE 'Credit%' THEN 'CreditAnalysis'
+    WHEN event_type LIKE 'Fraud%' THEN 'FraudDetection' WHEN event_type LIKE 'Compliance%' THEN 'ComplianceAgent' WHEN event_type = 'DecisionGenerated' THEN 'DecisionOrchestrator'
+    WHEN event_type = 'HumanReviewCompleted' THEN 'Human Review' ELSE 'Final Decision' END AS lane,
+  CASE WHEN event_type LIKE 'Compliance%' THEN 'Regulatory evidence' WHEN event_type = 'DecisionGenerated' THEN 'Machine checkpoint' WHEN event_type = 'HumanReviewCompleted' THEN 'Binding review'
+    WHEN event_type IN ('ApplicationApproved', 'ApplicationDeclined') THEN 'Final disposition' ELSE 'Operational event' END AS checkpoint,
+  CASE WHEN event_type = 'ApplicationSubmitted' THEN 'Intake' WHEN event_type LIKE 'Credit%' OR event_type LIKE 'Fraud%' OR event_type = 'AgentContextLoaded' THEN 'Analysis'
+    WHEN event_type LIKE 'Compliance%' THEN 'Compliance' WHEN event_type = 'DecisionGenerated' THEN 'Decision' ELSE 'Final Outcome' END AS phase,
+  CASE WHEN event_type IN ('ComplianceRuleFailed', 'ApplicationDeclined') THEN 'critical' WHEN event_type LIKE '%Review%' THEN 'warning' WHEN event_type LIKE '%Requested' THEN 'info'
+    WHEN event_type = 'ApplicationApproved' THEN 'ok' ELSE 'neutral' END AS tone"""
+
+
+@query(
+    f""" SELECT event_id, CASE WHEN application_id % 6 = 0 THEN 'clerk' WHEN event_type LIKE 'Compliance%' THEN 'ComplianceAgent' WHEN event_type = 'ApplicationSubmitted' THEN 'Loan Intake'
+    WHEN event_type = 'DecisionGenerated' THEN orchestrator WHEN event_type = 'HumanReviewCompleted' THEN reviewer WHEN event_type IN ('ApplicationApproved', 'ApplicationDeclined') THEN 'Loan Officer'
+    WHEN event_type = 'CreditAnalysisRequested' THEN 'CreditAnalysis' ELSE agent_id END AS actor, {_LANE_SQL} FROM log""",
+    DOSSIER_SQL,
+)
+def lineage_annotated(spark, sf_dir):
+    """Every event with who acted, its lane, checkpoint, phase and tone; some carry their actor in the metadata, some a blank one."""
+    log = dossier_log(spark, sf_dir)
+    payload = F.to_json(F.struct("agent_id", F.col("orchestrator").alias("orchestrator_agent_id"), F.col("reviewer").alias("reviewer_id")))
+    metadata = F.when(F.col("application_id") % 6 == 0, '{"actor_id":"clerk"}').when(F.col("application_id") % 6 == 1, '{"actor_id":" "}').otherwise("{}")
+    rows = lineage.annotated(log.select("event_id", "event_type", payload.alias("payload"), metadata.alias("metadata")))
+    return rows.select("event_id", "actor", "lane", "checkpoint", "phase", "tone")
+
+
+def _versioned(spark, sf_dir):
+    """The dossier log with analyses of the first version, whose payload lacks what the second has."""
+    log = dossier_log(spark, sf_dir)
+    payload = F.to_json(F.struct(F.col("application_id").cast("string").alias("application_id"), "agent_id", F.col("confidence").alias("confidence_score")))
+    return log.select("stream_id", "stream_position", "global_position", "event_type", F.lit(1).alias("event_version"), "recorded_at", payload.alias("payload"), F.lit("{}").alias("metadata"))
+
+
+_UPCAST_SQL = """CASE WHEN event_type IN ('CreditAnalysisCompleted', 'DecisionGenerated') THEN 2 ELSE 1 END AS event_version,
+  CASE WHEN event_type = 'CreditAnalysisCompleted' THEN 'credit-v1' END AS model, CASE WHEN event_type = 'DecisionGenerated' THEN 'LEGACY_EVENT_NO_SUMMARY' END AS summary"""
+
+
+def _shown(rows):
+    of = lambda k: F.get_json_object("payload", f"$.{k}")
+    return rows.select("stream_id", "stream_position", "global_position", "event_type", "event_version", of("model_version").alias("model"), of("decision_basis_summary").alias("summary"))
+
+
+@query(f" SELECT stream_id, stream_position, global_position, event_type, {_UPCAST_SQL} FROM log WHERE stream_id = 'loan-7' AND stream_position BETWEEN 2 AND 9 ORDER BY stream_position LIMIT 3", DOSSIER_SQL)
+def stream_scan_latest(spark, sf_dir):
+    """A stream within bounds, as the latest versions of its types say."""
+    return _shown(scans.stream(_versioned(spark, sf_dir), "loan-7", 2, 9, 3))
+
+
+@query(
+    f""" SELECT stream_id, stream_position, global_position, event_type, {_UPCAST_SQL} FROM log WHERE global_position > 30000 AND event_type IN ('CreditAnalysisCompleted', 'DecisionGenerated', 'ApplicationApproved')
+ORDER BY global_position LIMIT 500""",
+    DOSSIER_SQL,
+)
+def global_scan_latest(spark, sf_dir):
+    """Events behind a position of three types, as their latest versions say."""
+    return _shown(scans.after(_versioned(spark, sf_dir), 30000, ["CreditAnalysisCompleted", "DecisionGenerated", "ApplicationApproved"], 500))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json as js
-from ..operators import integrity
+from ..operators import integrity, scans
 from ..operators.upcast import default_upcasters
 
 SCHEMA = (
@@ -105,18 +105,11 @@ class EventLog:
 
     def stream(self, stream_id: str, start: int = 1, stop: int | None = None, limit: int | None = None) -> DataFrame:
         """A stream's events by position, at their latest versions (S-01)."""
-        if start < 1 or stop is not None and stop < start or limit is not None and limit < 1:
-            raise ValueError("start >= 1, stop >= start and limit >= 1 are needed")
-        rows = self.current().filter((F.col("stream_id") == stream_id) & (F.col("stream_position") >= start))
-        rows = rows.filter(F.col("stream_position") <= stop) if stop is not None else rows
-        rows = rows.orderBy("stream_position")
-        return rows.limit(limit) if limit is not None else rows
+        return scans.stream(self.read(), stream_id, start, stop, limit)
 
     def after(self, position: int, event_types: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Events behind a position, of some types, at their latest versions (S-02)."""
-        rows = self.current().filter(F.col("global_position") > position)
-        rows = (rows.filter(F.col("event_type").isin(event_types)) if event_types else rows).orderBy("global_position")
-        return rows.limit(limit) if limit is not None else rows
+        return scans.after(self.read(), position, event_types, limit)
 
     def version(self, stream_id: str) -> int:
         return self.read().filter(F.col("stream_id") == stream_id).agg(F.coalesce(F.max("stream_position"), F.lit(0))).first()[0]
