@@ -1,7 +1,9 @@
 """Replay state machines and batch commands.
 
-A stream is folded in order with an accumulator (state, ..., first error); once an error
-is set the rest is skipped, as a strict replay would stop there.
+A strict replay stops at its first error.  Up to there every event was valid, so that what the
+machine holds before an event is the last value that an earlier one set: running windows over
+a stream find each event's error as if none came before, and the least position with one is
+the stream's.  No stream stands in one row.
 """
 
 from __future__ import annotations
@@ -20,8 +22,15 @@ OPEN = ("AWAITING_ANALYSIS", "PENDING_DECISION", "APPROVED_PENDING_HUMAN", "DECL
 REVIEWABLE = OPEN[1:]
 
 
-def _events(log: DataFrame, key: str, *columns: str) -> DataFrame:
-    return log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("global_position", "event_type", *columns))).alias("e"))
+def _strict(rows: DataFrame, key: str, error: Column, before: Column, after: Column, start: str) -> DataFrame:
+    """(key, end_state, first_error, error_position) from each row's error and its states before and after."""
+    rows = rows.withColumns({"_error": error, "_before": before, "_after": after})
+    at = F.when(F.col("_error").isNotNull(), F.col("global_position"))
+    out = rows.groupBy(key).agg(
+        F.min_by("_error", at).alias("first_error"), F.min(at).alias("error_position"), F.min_by("_before", at).alias("stopped"), F.max_by("_after", "global_position").alias("ended"),
+    )
+    state = F.coalesce(F.when(F.col("error_position").isNotNull(), F.col("stopped")).otherwise(F.col("ended")), F.lit(start))
+    return out.select(key, state.alias("end_state"), "first_error", "error_position")
 
 
 def loan_lifecycle(log: DataFrame, key: str = "application_id", decide_from: tuple[str, ...] = OPEN) -> DataFrame:
@@ -33,80 +42,74 @@ def loan_lifecycle(log: DataFrame, key: str = "application_id", decide_from: tup
     """
     known = is_type("ApplicationSubmitted", "CreditAnalysisRequested", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined")
     has = {c: c in log.columns for c in ("compliance_status", "limit_amount", "override_reason")}
-    carried = ["recommendation", "confidence", "requested_amount", "override", "approved_amount", *[c for c, there in has.items() if there]]
-    streams = _events(log.filter(known), key, *carried)
-    ruled, text, amount = has["compliance_status"], F.lit(None).cast("string"), F.lit(None).cast("double")
-
-    def held(state: Column, reviewed: Column, cleared: Column, limit: Column, error: Column, at: Column) -> Column:
-        return F.struct(state.alias("state"), reviewed.alias("reviewed"), cleared.alias("cleared"), limit.alias("limit"), error.alias("error"), at.alias("at"))
-
-    start = held(F.lit("EMPTY"), F.lit(False), F.lit(False), amount, text, F.lit(None).cast("long"))
-
-    def step(s: Column, e: Column) -> Column:
-        kind, said = e["event_type"], F.upper(e["recommendation"])
-        decides, reviews = kind == "DecisionGenerated", kind == "HumanReviewCompleted"
-        approves, final = kind == "ApplicationApproved", kind.isin("ApplicationApproved", "ApplicationDeclined")
-        named = F.nullif(F.upper(e["compliance_status"]), F.lit("")) if ruled else text
-        cleared = F.when(decides & named.isNotNull(), named == "CLEARED").otherwise(s["cleared"])
-        limit = F.when(decides, F.coalesce(e["limit_amount"], s["limit"])).otherwise(s["limit"]) if has["limit_amount"] else s["limit"]
-        allowed = (
-            F.when(kind == "ApplicationSubmitted", s["state"] == "EMPTY")
-            .when(kind == "CreditAnalysisRequested", s["state"].isin("SUBMITTED", "AWAITING_ANALYSIS"))
-            .when(decides, s["state"].isin(*decide_from))
-            .otherwise(s["state"].isin(*REVIEWABLE))
-        )
-        error = (
-            F.when(~allowed, F.concat(kind, F.lit(" invalid in "), s["state"]))
-            .when((kind == "ApplicationSubmitted") & ~F.coalesce(e["requested_amount"] > 0, F.lit(False)), "requested amount must be positive")
-            .when(decides & ~F.coalesce(said.isin("APPROVE", "DECLINE", "REFER"), F.lit(False)), "unknown recommendation")
-            .when(decides & (e["confidence"] < 0.6) & (said != "REFER"), "low confidence must refer")
-            .when(F.lit(ruled) & decides & (said == "APPROVE") & ~cleared, "approval needs cleared compliance")
-        )
-        if has["override_reason"]:
-            error = error.when(reviews & F.coalesce(e["override"], F.lit(False)) & (F.coalesce(e["override_reason"], F.lit("")) == ""), "override needs a reason")
-        error = error.when(final & ~s["reviewed"], "no human review before final event")
-        error = error.when(F.lit(ruled) & approves & ~s["cleared"], "compliance is not cleared").when(approves & (e["approved_amount"] > s["limit"]), "amount exceeds the assessed limit")
-        state = (
-            F.when(kind == "ApplicationSubmitted", "SUBMITTED")
-            .when(kind == "CreditAnalysisRequested", "AWAITING_ANALYSIS")
-            .when(decides, F.when(said == "APPROVE", "APPROVED_PENDING_HUMAN").when(said == "DECLINE", "DECLINED_PENDING_HUMAN").otherwise("PENDING_DECISION"))
-            .when(approves, "FINAL_APPROVED")
-            .when(final, "FINAL_DECLINED")
-            .otherwise(s["state"])
-        )
-        moved = held(state, s["reviewed"] | reviews, cleared, limit, text, F.lit(None).cast("long"))
-        stopped = held(s["state"], s["reviewed"], s["cleared"], s["limit"], error, e["global_position"])
-        return F.when(s["error"].isNotNull(), s).when(error.isNotNull(), stopped).otherwise(moved)
-
-    end = streams.select(key, F.aggregate("e", start, step).alias("s"))
-    return end.select(key, F.col("s.state").alias("end_state"), F.col("s.error").alias("first_error"), F.col("s.at").alias("error_position"))
+    rows, said = log.filter(known), F.upper("recommendation")
+    earlier = Window.partitionBy(key).orderBy("global_position").rowsBetween(Window.unboundedPreceding, -1)
+    decides, reviews = is_type("DecisionGenerated"), is_type("HumanReviewCompleted")
+    approves, final = is_type("ApplicationApproved"), is_type("ApplicationApproved", "ApplicationDeclined")
+    sets = (
+        F.when(is_type("ApplicationSubmitted"), "SUBMITTED").when(is_type("CreditAnalysisRequested"), "AWAITING_ANALYSIS")
+        .when(decides, F.when(said == "APPROVE", "APPROVED_PENDING_HUMAN").when(said == "DECLINE", "DECLINED_PENDING_HUMAN").otherwise("PENDING_DECISION"))
+        .when(approves, "FINAL_APPROVED").when(final, "FINAL_DECLINED")
+    )
+    rows = rows.withColumn("sets", sets)
+    held = {"state": F.coalesce(F.last("sets", ignorenulls=True).over(earlier), F.lit("EMPTY")), "reviewed": F.coalesce(F.max(reviews).over(earlier), F.lit(False))}
+    named = F.when(decides, F.nullif(F.upper("compliance_status"), F.lit(""))) if has["compliance_status"] else None
+    if named is not None:
+        rows = rows.withColumn("named", named)
+        held["cleared"] = F.coalesce(F.last("named", ignorenulls=True).over(earlier) == "CLEARED", F.lit(False))
+    if has["limit_amount"]:
+        rows = rows.withColumn("decided_limit", F.when(decides, F.col("limit_amount")))
+        held["limit"] = F.last("decided_limit", ignorenulls=True).over(earlier)
+    rows = rows.withColumns(held)
+    state = F.col("state")
+    allowed = (
+        F.when(is_type("ApplicationSubmitted"), state == "EMPTY").when(is_type("CreditAnalysisRequested"), state.isin("SUBMITTED", "AWAITING_ANALYSIS"))
+        .when(decides, state.isin(*decide_from)).otherwise(state.isin(*REVIEWABLE))
+    )
+    error = (
+        F.when(~allowed, F.concat("event_type", F.lit(" invalid in "), state))
+        .when(is_type("ApplicationSubmitted") & ~F.coalesce(F.col("requested_amount") > 0, F.lit(False)), "requested amount must be positive")
+        .when(decides & ~F.coalesce(said.isin("APPROVE", "DECLINE", "REFER"), F.lit(False)), "unknown recommendation")
+        .when(decides & (F.col("confidence") < 0.6) & (said != "REFER"), "low confidence must refer")
+    )
+    if named is not None:
+        error = error.when(decides & (said == "APPROVE") & ~F.coalesce(F.col("named") == "CLEARED", F.col("cleared")), "approval needs cleared compliance")
+    if has["override_reason"]:
+        error = error.when(reviews & F.coalesce("override", F.lit(False)) & (F.coalesce("override_reason", F.lit("")) == ""), "override needs a reason")
+    error = error.when(final & ~F.col("reviewed"), "no human review before final event")
+    if named is not None:
+        error = error.when(approves & ~F.col("cleared"), "compliance is not cleared")
+    if has["limit_amount"]:
+        error = error.when(approves & (F.col("approved_amount") > F.col("limit")), "amount exceeds the assessed limit")
+    return _strict(rows, key, error, state, F.coalesce("sets", state), "EMPTY")
 
 
 def compliance_record(log: DataFrame, key: str = "application_id") -> DataFrame:
     """Strict compliance replay (M-03): requested once, mandatory rules only, no pass after a failure."""
-    streams = _events(log.filter(is_type("ComplianceCheckRequested", "ComplianceRulePassed", "ComplianceRuleFailed")), key, "mandatory", "rule_id")
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit("NOT_STARTED").alias("status"), none.alias("mandatory"), none.alias("passed"), none.alias("failed"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("at"))
-
-    def step(s: Column, e: Column) -> Column:
-        kind, rule = e["event_type"], e["rule_id"]
-        request, passes = kind == "ComplianceCheckRequested", kind == "ComplianceRulePassed"
-        error = (
-            F.when(request & (s["status"] != "NOT_STARTED"), "check requested twice").when(request & (F.coalesce(F.size(e["mandatory"]), F.lit(0)) <= 0), "no checks required")
-            .when(~request & (s["status"] == "NOT_STARTED"), "stream not initialized").when(~request & ~F.array_contains(s["mandatory"], rule), "rule is not mandatory")
-            .when(passes & F.array_contains(s["failed"], rule), "rule has failed already")
-        )
-        mandatory = F.when(request, F.array_sort(e["mandatory"])).otherwise(s["mandatory"])
-        passed = F.when(passes, F.array_union(s["passed"], F.array(rule))).when(request, s["passed"]).otherwise(F.array_remove(s["passed"], rule))
-        failed = F.when(~request & ~passes, F.array_union(s["failed"], F.array(rule))).otherwise(s["failed"])
-        status = F.when(request, "PENDING").when(F.size(failed) > 0, "FAILED").when(F.size(F.array_except(mandatory, passed)) == 0, "CLEARED").otherwise("PENDING")
-        field = lambda c, n: c.alias(n)
-        moved = F.struct(field(status, "status"), field(mandatory, "mandatory"), field(passed, "passed"), field(failed, "failed"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("at"))
-        stopped = F.struct(s["status"].alias("status"), s["mandatory"].alias("mandatory"), s["passed"].alias("passed"), s["failed"].alias("failed"), error.alias("error"), e["global_position"].alias("at"))
-        return F.when(s["error"].isNotNull(), s).when(error.isNotNull(), stopped).otherwise(moved)
-
-    end = streams.select(key, F.aggregate("e", start, step).alias("s"))
-    return end.select(key, F.col("s.status").alias("status"), F.size("s.passed").alias("passed"), F.size("s.failed").alias("failed"), F.col("s.error").alias("first_error"), F.col("s.at").alias("error_position"))
+    rows = log.filter(is_type("ComplianceCheckRequested", "ComplianceRulePassed", "ComplianceRuleFailed")).select(key, "global_position", "event_type", "mandatory", "rule_id")
+    request, passes, fails = (is_type(t) for t in ("ComplianceCheckRequested", "ComplianceRulePassed", "ComplianceRuleFailed"))
+    earlier = Window.partitionBy(key).orderBy("global_position").rowsBetween(Window.unboundedPreceding, -1)
+    of_rule = Window.partitionBy(key, "rule_id").orderBy("global_position").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("failed_before", F.coalesce(F.max(fails).over(of_rule), F.lit(False)))
+    rows = rows.withColumn("checks", F.first(F.when(request, F.coalesce("mandatory", F.array().cast("array<string>"))), ignorenulls=True).over(earlier))
+    error = (
+        F.when(request & F.col("checks").isNotNull(), "check requested twice").when(request & (F.coalesce(F.size("mandatory"), F.lit(0)) <= 0), "no checks required")
+        .when(~request & F.col("checks").isNull(), "stream not initialized")
+        .when(~request & ~F.coalesce(F.array_contains("checks", F.col("rule_id")), F.lit(False)), "rule is not mandatory")
+        .when(passes & F.col("failed_before"), "rule has failed already")
+    )
+    rows = rows.withColumn("error", error)
+    at = F.when(F.col("error").isNotNull(), F.col("global_position"))
+    ends = rows.groupBy(key).agg(F.min_by("error", at).alias("first_error"), F.min(at).alias("error_position"))
+    # What came before the first error: a rule that has failed has not passed.
+    valid = rows.join(ends, key).filter(F.col("error_position").isNull() | (F.col("global_position") < F.col("error_position")))
+    rules = valid.groupBy(key, "rule_id").agg(F.max(fails).alias("failed"), F.max(passes).alias("passed"), F.max(F.when(request, F.size(F.array_distinct("mandatory")))).alias("wanted"))
+    counts = rules.groupBy(key).agg(
+        F.count_if("failed").cast("int").alias("failed"), F.count_if(F.col("passed") & ~F.col("failed")).cast("int").alias("passed"), F.max("wanted").alias("wanted"),
+    )
+    out = ends.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("failed", "passed")})
+    status = F.when(F.col("wanted").isNull(), "NOT_STARTED").when(F.col("failed") > 0, "FAILED").when(F.col("passed") == F.col("wanted"), "CLEARED").otherwise("PENDING")
+    return out.select(key, status.alias("status"), "passed", "failed", "first_error", "error_position")
 
 
 def accepted_commands(commands: DataFrame, heads: DataFrame, key: str = "stream_id") -> DataFrame:
