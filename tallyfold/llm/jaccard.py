@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .arrays import mix64, rebatched, utf8, window_hash
+from .arrays import give_back, mix64, rebatched, utf8, window_hash
 from .components import components
 from .substrings import _word_hashes, ranked
 
@@ -164,6 +164,7 @@ def _propose(batches: Iterator[pa.RecordBatch], likely: int) -> Iterator[pa.Reco
         if edges:
             x, y = zip(*edges)
             yield pa.RecordBatch.from_arrays([pa.array(ids[list(x)]), pa.array(ids[list(y)])], names=["a", "b"])
+    give_back()
 
 
 def _tasks(rows: DataFrame, group: str, limit: int, block: int) -> DataFrame:
@@ -260,6 +261,7 @@ def _compare(batches: Iterator[pa.RecordBatch], size: int, threshold: float) ->
             ],
             names=["id", "links", "link"],
         )
+    give_back()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
