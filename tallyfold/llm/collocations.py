@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import duckdb
@@ -272,9 +273,12 @@ def mine(docs: DataFrame, least: int = 100, cover: int = 100, best: int = 2000,
         raise ValueError("least and best are at least 1, cover is a percentage")
     rows = docs.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))
     cut = rows.mapInArrow(pieces, "lang string, piece string, words long, m long")
-    distinct = shared.written(cut.groupBy("lang", "piece").agg(F.max("words").alias("words"), F.sum("m").alias("m")), "pieces")
-    totals = distinct.groupBy("lang").agg(F.sum(F.col("m") * F.col("words")).alias("n"))
+    spark, path = docs.sparkSession, f"{shared.folder(docs.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    cut.groupBy("lang", "piece").agg(F.max("words").alias("words"), F.sum("m").alias("m")).write.parquet(path)
+    distinct = spark.read.parquet(path)
+    totals = shared.kept(distinct.groupBy("lang").agg(F.sum(F.col("m") * F.col("words")).alias("n")))
     counts = shared.written(frequent(distinct, least), "grams")
+    shared.delete(spark, path)  # what follows reads counts and totals alone
 
     words = F.split("phrase", " ", -1)
     span = lambda a, n: F.array_join(F.slice(words, a, n), " ")
