@@ -76,3 +76,16 @@ def test_the_first_error_of_a_call_holds(spark):
     }
     assert got[11][1] == "use_unique_application_id" and got[5][1] == "review_preconditions_and_retry" and got[7][1] == "retry_after_cooldown" and got[6][1] is None
     assert refusals.judged(calls.limit(0), F.col("why")).count() == 0
+
+
+def test_truth_of_texts(spark):
+    rows = spark.createDataFrame([("true",), ("TRUE",), ("false",), ("1",), (None,)], "t string")
+    assert [r.x for r in rows.select(js.truthy(F.col("t")).alias("x")).collect()] == [True, True, False, False, False]
+
+
+def test_applications_that_wait(spark):
+    from tallyfold.operators import feed
+
+    rows = [(1, "DecisionGenerated"), (2, "DecisionGenerated"), (2, "ApplicationDeclined"), (3, "ApplicationSubmitted")]
+    log = spark.createDataFrame(rows, "application_id int, event_type string")
+    assert [r.application_id for r in feed.approvals_waiting(log).collect()] == [1]
