@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import kept, large
 from . import folds
 from .integrity import body
 from .projections import column_of, is_type
@@ -82,7 +82,7 @@ def _undone(log: DataFrame, event_type: str, key: str) -> DataFrame:
     links = once.select(name(F.col("event_id")).alias("event_id"), name(F.col("causation_id")).alias("causation_id"))
     start = once.filter(own).select(name(F.col("branch.event_id")).alias("root_id"), name(F.col("event_id")).alias("event_id"))
     gone = _walked(links, start).select(F.col(f"event_id.{key}").alias(key), F.col("event_id.id").alias("event_id")).distinct().withColumn("reached", F.lit(True))
-    met = once.join(gone, [key, "event_id"], "left")
+    met = once.join(large(gone), [key, "event_id"], "left")
     undone = F.coalesce(F.col("reached"), F.lit(False)) & (F.col("global_position") >= F.col("branch.global_position"))
     return met.withColumn("undone", undone).drop("reached")
 
@@ -140,8 +140,8 @@ def counterfactual(log: DataFrame, event_type: str, injected: list[dict], key: s
     named = lambda frame, prefix: frame.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in frame.columns if c != key])
     undone = at.select(key, "events_undone")
     simulated = other.groupBy(key).agg(F.count("*").alias("simulated_events"))
-    joined = named(folds.outcome(related, key), "real").join(named(folds.outcome(other, key), "other"), key)
-    return joined.join(undone, key).join(simulated, key)
+    joined = named(folds.outcome(related, key), "real").join(large(named(folds.outcome(other, key), "other")), key)
+    return joined.join(large(undone), key).join(large(simulated), key)
 
 
 SIGNIFICANT = ("ApplicationSubmitted", "CreditAnalysisCompleted", "FraudScreeningCompleted", "ComplianceRuleFailed", "ComplianceCheckCompleted", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined")
@@ -203,10 +203,10 @@ def package(log: DataFrame, moment: str, chain: DataFrame, key: str = "applicati
     models = model_metadata(at).withColumn("shown", shown).groupBy(key).agg(F.array_join(in_order("shown"), ",").alias("models"))
     counts = at.groupBy(key).agg(F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.max(F.when(F.startswith("stream_id", F.lit("loan-")), F.col("stream_position"))).alias("upto"))
     bad = F.col("reason").isNotNull()
-    verified = chain.join(counts.select(key, "upto"), key).filter("stream_position <= upto").groupBy(key).agg(
+    verified = chain.join(large(counts.select(key, "upto")), key).filter("stream_position <= upto").groupBy(key).agg(
         F.count("*").alias("events_verified"), F.count_if(bad).cast("long").alias("violations"), F.max_by("rolling_hash", "stream_position").alias("final_hash")
     )
-    out = counts.drop("upto").join(folds.outcome(at, key), key).join(verified, key, "left").join(story, key, "left").join(models, key, "left")
+    out = counts.drop("upto").join(large(folds.outcome(at, key)), key).join(large(verified), key, "left").join(large(story), key, "left").join(large(models), key, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("narrative", "models")})
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("events_verified", "violations")})
     out = out.withColumn("chain_valid", (F.col("events_verified") > 0) & (F.col("violations") == 0))
@@ -219,5 +219,5 @@ def examination(log: DataFrame, moment: str, key: str = "application_id") -> Dat
     at = log.filter(F.col("recorded_at") <= F.lit(moment).cast("timestamp_ntz"))
     told = narrative(at).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_position", "sentence"))), lambda s: s["sentence"]), " ").alias("narrative"))
     state = at.groupBy(key).agg(F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.max_by("event_type", "global_position").alias("last_event_type"))
-    joined = state.join(told, key, "left").withColumn("narrative", F.coalesce("narrative", F.lit("")))
+    joined = state.join(large(told), key, "left").withColumn("narrative", F.coalesce("narrative", F.lit("")))
     return joined.withColumn("package_hash", F.sha2(body(key, "events", "last_event_type", "narrative"), 256))

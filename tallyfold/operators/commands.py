@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import large
+
 RECOMMENDATIONS = ("APPROVE", "DECLINE", "REFER")
 LEAST_CONFIDENCE = 0.6
 
@@ -13,7 +15,7 @@ def case_state(log: DataFrame, summary: DataFrame, compliance: DataFrame) -> Dat
     """What decisions depend on: state, compliance status, and the largest limit any analysis gave (A-23)."""
     limits = log.filter(F.col("event_type") == "CreditAnalysisCompleted").groupBy("application_id").agg(F.max("limit_amount").alias("assessed_limit"))
     state = summary.select("application_id", "current_state")
-    return state.join(compliance.select("application_id", F.col("status").alias("compliance")), "application_id", "left").join(limits, "application_id", "left")
+    return state.join(large(compliance.select("application_id", F.col("status").alias("compliance"))), "application_id", "left").join(large(limits), "application_id", "left")
 
 
 def _with_reasons(joined: DataFrame, reasons: list[tuple[Column, str]]) -> DataFrame:
@@ -29,7 +31,7 @@ def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
 
     A confidence under 0.6 turns the recommendation into REFER before the rules apply.
     """
-    joined = commands.join(state, "application_id", "left")
+    joined = commands.join(large(state), "application_id", "left")
     said = F.upper("recommendation")
     joined = joined.withColumn("said", F.when(F.col("confidence") < LEAST_CONFIDENCE, "REFER").otherwise(said))
     approve = F.col("said") == "APPROVE"
@@ -48,7 +50,7 @@ def decide(commands: DataFrame, state: DataFrame) -> DataFrame:
 
 def review(commands: DataFrame, state: DataFrame) -> DataFrame:
     """Reviews (command_id, application_id, final_decision, override, override_reason, approved_amount) as one or two events, or a refusal."""
-    joined = commands.join(state, "application_id", "left").withColumn("said", F.upper("final_decision"))
+    joined = commands.join(large(state), "application_id", "left").withColumn("said", F.upper("final_decision"))
     approve = F.col("said") == "APPROVE"
     ruled = _with_reasons(
         joined,
@@ -69,7 +71,7 @@ def submit(commands: DataFrame, state: DataFrame) -> DataFrame:
 
     Each document is asked for and uploaded; analysis and screening are asked for at the end.
     """
-    joined = commands.join(state.select("application_id", "current_state"), "application_id", "left")
+    joined = commands.join(large(state.select("application_id", "current_state")), "application_id", "left")
     ruled = _with_reasons(
         joined,
         [(F.col("current_state").isNotNull(), "application exists"), (~F.coalesce(F.col("requested_amount") > 0, F.lit(False)), "requested amount must be positive")],
@@ -92,7 +94,7 @@ def start_session(commands: DataFrame, sessions: DataFrame) -> DataFrame:
 
     A context that replays an earlier session is a recovery as well.
     """
-    joined = commands.join(sessions.select("stream_id", "context_loaded"), "stream_id", "left")
+    joined = commands.join(large(sessions.select("stream_id", "context_loaded")), "stream_id", "left")
     ruled = _with_reasons(joined, [(F.col("context_loaded"), "session has its context"), (~F.coalesce(F.col("context_tokens") > 0, F.lit(False)), "a context has tokens")])
     source = F.trim(F.regexp_extract(F.coalesce("context_source", F.lit("")), "^prior_session_replay:(.*)$", 1))
     event = lambda kind, origin: F.struct(F.lit(kind).alias("event_type"), origin.cast("string").alias("recovered_from"))
@@ -109,7 +111,7 @@ def record_output(commands: DataFrame, state: DataFrame, sessions: DataFrame, ki
     input_hash and, for analyses, limit_amount and duration_ms.
     """
     loaded = sessions.select("stream_id", "context_loaded", F.col("model_version").alias("expected_model"))
-    joined = commands.join(state.select("application_id", "current_state"), "application_id", "left").join(loaded, "stream_id", "left")
+    joined = commands.join(large(state.select("application_id", "current_state")), "application_id", "left").join(large(loaded), "stream_id", "left")
     absent = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
     rules = [
@@ -136,7 +138,7 @@ def check(commands: DataFrame, state: DataFrame) -> DataFrame:
     """
     of = lambda name: F.col(name).alias(f"s_{name}")
     known = state.select("application_id", *[of(c) for c in ("status", "regulation_set", "mandatory", "passed", "failed")])
-    joined = commands.join(known, "application_id", "left").withColumn("s_status", F.coalesce("s_status", F.lit("NOT_STARTED")))
+    joined = commands.join(large(known), "application_id", "left").withColumn("s_status", F.coalesce("s_status", F.lit("NOT_STARTED")))
     absent = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     new = F.col("s_status") == "NOT_STARTED"
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
@@ -171,7 +173,7 @@ def integrity_runs(commands: DataFrame, verified: DataFrame, now: str, seconds:
 
     ``verified`` has entity, events_verified, chain_valid and final_hash; an entity is checked once in ``seconds``.
     """
-    joined = commands.join(verified, "entity", "left")
+    joined = commands.join(large(verified), "entity", "left")
     gap = F.timestamp_diff("SECOND", F.col("last_run"), F.lit(now).cast("timestamp_ntz"))
     ruled = _with_reasons(joined, [(F.col("events_verified").isNull(), "entity has no events"), (gap < seconds, "checked a moment ago")])
     ok = F.col("reason").isNull()

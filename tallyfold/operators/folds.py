@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import large
 from .projections import column_of, is_type, last
 
 OUTPUTS = ("CreditAnalysisCompleted", "FraudScreeningCompleted")
@@ -47,7 +48,7 @@ def compliance_fold(log: DataFrame, key: str = "application_id") -> DataFrame:
     rules = named.groupBy(key, "rule_id").agg(F.max_by("event_type", "global_position").alias("said"))
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("said") == kind, F.col("rule_id"))))
     rules = rules.groupBy(key).agg(of("ComplianceRulePassed").alias("passed"), of("ComplianceRuleFailed").alias("failed"))
-    joined = checks.join(rules, key, "left").withColumns({"passed": F.coalesce("passed", none), "failed": F.coalesce("failed", none)})
+    joined = checks.join(large(rules), key, "left").withColumns({"passed": F.coalesce("passed", none), "failed": F.coalesce("failed", none)})
     missing = F.size(F.array_except("checks", "passed"))
     status = F.when(F.size("failed") > 0, "FAILED").when(F.size("checks") == 0, "NOT_STARTED").when(missing == 0, "CLEARED").otherwise("PENDING")
     listed = lambda c: F.array_join(c, ",").alias(c)
@@ -68,7 +69,7 @@ def outcome(log: DataFrame, key: str = "application_id") -> DataFrame:
     """The three folds of each application in one row; its agents are a text in order."""
     shown = F.concat_ws(":", "agent_id", "model_version", "credit_analyses", "fraud_screenings")
     agents = agent_fold(log, key).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(shown)), ",").alias("agents"))
-    joined = application_fold(log, key).join(compliance_fold(log, key).select(key, "compliance"), key, "left").join(agents, key, "left")
+    joined = application_fold(log, key).join(large(compliance_fold(log, key).select(key, "compliance")), key, "left").join(large(agents), key, "left")
     return joined.withColumns({"compliance": F.coalesce("compliance", F.lit("NOT_STARTED")), "agents": F.coalesce("agents", F.lit(""))})
 
 
@@ -110,7 +111,7 @@ def audit_ledger(log: DataFrame, stream: str = "stream_id", position: str = "str
     number of events verified isn't negative and a hash is there.
     """
     known = log.groupBy(F.col(stream).alias("s"), F.col("event_id").alias("known")).agg(F.min(position).alias("at"))
-    joined = log.join(known, (F.col(stream) == F.col("s")) & (F.col("causation_id") == F.col("known")), "left")
+    joined = log.join(large(known), (F.col(stream) == F.col("s")) & (F.col("causation_id") == F.col("known")), "left")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     reason = (
         F.when(empty("correlation_id"), "a correlation is required")
@@ -130,7 +131,7 @@ def contributing_sessions(decisions: DataFrame, log: DataFrame, sessions: str =
     named = decisions.select(key, F.posexplode_outer(sessions).alias("turn", "stream_id"))
     streams = log.groupBy("stream_id").agg(F.bool_or(is_type("AgentContextLoaded")).alias("context"))
     outputs = log.filter(is_type(*OUTPUTS)).select("stream_id", F.col(key).alias("for")).distinct().withColumn("output", F.lit(True))
-    joined = named.join(streams, "stream_id", "left").join(outputs, (named["stream_id"] == outputs["stream_id"]) & (F.col(key) == F.col("for")), "left")
+    joined = named.join(large(streams), "stream_id", "left").join(large(outputs), (named["stream_id"] == outputs["stream_id"]) & (F.col(key) == F.col("for")), "left")
     joined = joined.select(key, "turn", named["stream_id"], "context", "output")
     fault: Column = (
         F.when(F.col("stream_id").isNull(), "no session")

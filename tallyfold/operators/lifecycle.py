@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import large
 from .projections import is_type
 
 OPEN = ("AWAITING_ANALYSIS", "PENDING_DECISION", "APPROVED_PENDING_HUMAN", "DECLINED_PENDING_HUMAN")
@@ -102,12 +103,12 @@ def compliance_record(log: DataFrame, key: str = "application_id") -> DataFrame:
     at = F.when(F.col("error").isNotNull(), F.col("global_position"))
     ends = rows.groupBy(key).agg(F.min_by("error", at).alias("first_error"), F.min(at).alias("error_position"))
     # What came before the first error: a rule that has failed has not passed.
-    valid = rows.join(ends, key).filter(F.col("error_position").isNull() | (F.col("global_position") < F.col("error_position")))
+    valid = rows.join(large(ends), key).filter(F.col("error_position").isNull() | (F.col("global_position") < F.col("error_position")))
     rules = valid.groupBy(key, "rule_id").agg(F.max(fails).alias("failed"), F.max(passes).alias("passed"), F.max(F.when(request, F.size(F.array_distinct("mandatory")))).alias("wanted"))
     counts = rules.groupBy(key).agg(
         F.count_if("failed").cast("int").alias("failed"), F.count_if(F.col("passed") & ~F.col("failed")).cast("int").alias("passed"), F.max("wanted").alias("wanted"),
     )
-    out = ends.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("failed", "passed")})
+    out = ends.join(large(counts), key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("failed", "passed")})
     status = F.when(F.col("wanted").isNull(), "NOT_STARTED").when(F.col("failed") > 0, "FAILED").when(F.col("passed") == F.col("wanted"), "CLEARED").otherwise("PENDING")
     return out.select(key, status.alias("status"), "passed", "failed", "first_error", "error_position")
 
@@ -120,7 +121,7 @@ def accepted_commands(commands: DataFrame, heads: DataFrame, key: str = "stream_
     version.  -1 and 0 both mean a new stream.
     """
     version = F.coalesce("version", F.lit(0)).cast("long")
-    joined = commands.join(heads, key, "left").withColumn("actual_version", version)
+    joined = commands.join(large(heads), key, "left").withColumn("actual_version", version)
     expected = F.greatest(F.col("expected_version"), F.lit(0))
     fits = expected == F.col("actual_version")
     turn = F.row_number().over(Window.partitionBy(key, fits).orderBy("command_id"))
@@ -165,5 +166,5 @@ def rate_limited(calls: DataFrame, key: str, at: str = "recorded_at", order: str
 def session_readiness(log: DataFrame, decisions: DataFrame) -> DataFrame:
     """For each decision whether its analyses exist and came before it (J-11, M-02)."""
     analyses = log.filter(is_type("CreditAnalysisCompleted")).groupBy("application_id").agg(F.count("*").alias("analyses"), F.max("limit_amount").alias("assessed_limit"), F.max("global_position").alias("last_analysis"))
-    joined = decisions.join(analyses, "application_id", "left")
+    joined = decisions.join(large(analyses), "application_id", "left")
     return joined.select("application_id", F.coalesce("analyses", F.lit(0)).alias("analyses"), "assessed_limit", (F.coalesce(F.col("last_analysis") < F.col("global_position"), F.lit(False))).alias("ready"))

@@ -38,7 +38,7 @@ def holds(moment: Column) -> Column:
 def as_of(rows: DataFrame, moments: DataFrame, key: str = "application_id", at: str = "as_of") -> DataFrame:
     """For each (key, moment) the row of ``intervals`` that holds it; moments before a key's first row find none."""
     asked = moments.select(F.col(key).alias("k"), F.col(at).alias("m"))
-    met = asked.join(rows, (F.col("k") == F.col(key)) & holds(F.col("m")))
+    met = asked.join(shared.large(rows), (F.col("k") == F.col(key)) & holds(F.col("m")))
     return met.select(F.col(key), F.col("m").alias(at), *[c for c in rows.columns if c not in (key, "valid_from", "valid_to")])
 
 
