@@ -5,10 +5,12 @@ Events carry ``event_id`` and ``causation_id`` besides the envelope.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept, large
+from ..sources.shared import delete, kept, large, table_at
 from . import folds
 from .integrity import body
 from .projections import column_of, is_type
@@ -31,20 +33,35 @@ def _walked(links: DataFrame, start: DataFrame, rounds: int | None = None, turns
     reached is not reached again: a turn that finds nothing new ends the walk, cycles too.
     With ``rounds``, anything deeper is an error.  ``turns`` receives what each turn found.
     """
-    step = kept(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), F.col("causation_id").alias("parent")).distinct())
-    seen = kept(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))
+    made = []
+
+    def table(frame: DataFrame) -> DataFrame:
+        # Parquet instead of a checkpoint: rows as they lie in memory take several times the disk.
+        out, path = table_at(frame, "walk")
+        made.append(path)
+        return out
+
+    spark = links.sparkSession
+    step = table(links.filter("causation_id is not null").select(F.col("event_id").alias("child"), F.col("causation_id").alias("parent")).distinct())
+    links_at = made[-1]
+    # What a turn finds is a table of its own and never written again.
+    found_so_far = [table(start.select("root_id", "event_id").distinct().withColumn("depth", F.lit(0)))]
     span = 1
     while True:
-        found = seen.join(step, F.col("event_id") == F.col("parent")).select("root_id", F.col("child").alias("event_id"), (F.col("depth") + span).alias("depth"))
-        fresh = kept(found.groupBy("root_id", "event_id").agg(F.min("depth").alias("depth")).join(seen, ["root_id", "event_id"], "left_anti"))
+        seen = functools.reduce(DataFrame.unionByName, found_so_far)
+        found = seen.join(large(step), F.col("event_id") == F.col("parent")).select("root_id", F.col("child").alias("event_id"), (F.col("depth") + span).alias("depth"))
+        fresh = table(found.groupBy("root_id", "event_id").agg(F.min("depth").alias("depth")).join(large(seen), ["root_id", "event_id"], "left_anti"))
         if turns is not None:
             turns.append(span)
         if fresh.isEmpty():
             break
-        seen = kept(seen.unionByName(fresh))
+        found_so_far.append(fresh)
         above = step.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        step = kept(step.join(above, "parent").select("child", F.col("grand").alias("parent")).distinct())
+        step = table(step.join(large(above), "parent").select("child", F.col("grand").alias("parent")).distinct())
+        delete(spark, links_at)
+        links_at = made[-1]
         span *= 2
+    delete(spark, links_at)
     if rounds is not None and not seen.filter(F.col("depth") > rounds).isEmpty():
         raise RuntimeError(f"causal chains go on beyond {rounds} rounds")
     return seen

@@ -24,3 +24,41 @@ def test_columns_that_nobody_reads_are_not_made(spark, name):
     """Only numbers of events are exploded, not rows of all payload columns."""
     text = plan(entry.queries()[name](spark, SF))
     assert "Generate explode" in text and "failure_reason" not in text and "lambda" not in text
+
+
+def test_envelopes_are_sealed_by_one_pass_of_python(spark):
+    """Texts were parsed as variants several times an event before, and once more in Python."""
+    from tallyfold.operators import integrity
+
+    text = plan(integrity.sealed(spark.sql("select 'loan-1' stream_id, 1L stream_position, 'A' event_type, 1 event_version, '{\"b\":1,\"a\":2}' payload, '{}' metadata from range(3)")))
+    assert "try_parse_json" not in text and text.count("ArrowEvalPython") == 1
+
+
+def test_a_walk_leaves_each_pair_on_disk_once(spark, tmp_path):
+    """Checkpoints of all that had been reached were written again each turn, as rows lie in memory, and stayed."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import causal
+    from tallyfold.sources import shared
+
+    def used():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared.folder(spark)) for f in files)
+
+    log = spark.range(20_000).select(F.concat(F.lit("e"), "id").alias("event_id"), F.when(F.col("id") % 8 > 0, F.concat(F.lit("e"), F.col("id") - 1)).alias("causation_id"))
+    before = used()
+    out = causal.descendants(log, log.filter("causation_id is null").select(F.col("event_id").alias("root_id")))
+    left = used() - before
+    assert out.count() == 17_500 and left < 1_000_000
+
+
+def test_thousands_are_parted_as_the_text_says(spark, duck, tmp_path):
+    """Beyond a million the query and its SQL differed."""
+    k = [1, 999, 1000, 999_999, 1_000_000, 1_000_007, 12_345_678]
+    rows = [(i, 1, "F", 1.0, None, "1") for i in k]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    sql = entry.oracle_sql()["formatted"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {r[0]: r for r in duck.execute(sql).fetchall()}
+    got = {r.k: tuple(r) for r in entry.queries()["formatted"](spark, str(tmp_path)).collect()}
+    assert got == want
