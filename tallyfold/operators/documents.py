@@ -10,33 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from .refinery import summary_sentences, tokens, words
 from .structure import cross_references
 
 #: Order of chunk types within a page.
 PRIORITY = {"paragraph": 0, "list": 1, "table": 2, "figure": 3, "section": 4}
 MAX_TOKENS = 450
+#: What ``\\s`` matches.
+WHITE = " \t\n\x0b\f\r"
 
 
 def stripped_lines(text: Column) -> Column:
     """Lines that hold more than white space, without it at their ends."""
-    return F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, block, page, text) of blank-line paragraphs; a text without any is one empty block (C-13)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    parts = F.filter(F.transform(F.split(whole, r"\n\s*\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(whole, r"\n\s*\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
     some = F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
     return docs.select(key, F.posexplode(some).alias("i", "text")).select(key, (F.col("i") + 1).alias("block"), F.lit(1).alias("page"), "text")
 
 
+def _bare(line: Column) -> Column:
+    """A line with single spaces and without marks at its ends; one too long for a heading even then stays as it is."""
+    long = (F.length(line) > 90) & ~line.rlike(r"\s\s|^[\-|]|[\-|]$")
+    return F.when(long, line).otherwise(F.btrim(F.regexp_replace(line, r"\s+", " "), F.lit(" -|")))
+
+
 def inferred_title(text: Column) -> Column:
     """The first of eight lines that reads as a heading, else null (C-14).
 
     A heading is numbered, or has at most twelve words of which most begin in upper case.
     """
-    clean = F.transform(F.slice(stripped_lines(text), 1, 8), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ \-|]+|[ \-|]+$", ""))
+    clean = F.transform(F.slice(stripped_lines(text), 1, 8), _bare)
 
     def heading(x: Column) -> Column:
         spoken = F.filter(F.split(x, " "), lambda w: w.rlike(r"\p{L}"))
@@ -56,9 +65,31 @@ def titled_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return blocks.withColumn("own", own).withColumn("section_title", F.coalesce(F.last("own", ignorenulls=True).over(order), F.lit("Document"))).drop("own")
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
+def titled_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``titled_blocks`` of ``paragraphs`` within each row: no text is sorted or moved.
+
+    A row is one document.  Its paragraphs are cut into runs at those that have a title of
+    their own, so that the work grows with the text alone.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    rows = docs.select(key, parts.alias("p")).select(key, F.when(F.size("p") == 0, F.array(F.lit(""))).otherwise(F.col("p")).alias("p"))
+    place = lambda i, title: F.struct(i.alias("i"), title.alias("title"))
+    own = F.filter(F.transform("p", lambda x, i: place(i, inferred_title(x))), lambda s: s["title"].isNotNull())
+    rows = rows.withColumn("starts", F.concat(F.array(place(F.lit(0), F.lit("Document"))), own))
+    until = lambda j: F.coalesce(F.get("starts", j + 1)["i"], F.size("p"))
+    runs = F.transform("starts", lambda s, j: F.struct(s["i"].alias("i"), s["title"].alias("title"), F.slice("p", s["i"] + 1, until(j) - s["i"]).alias("texts")))
+    # Outer explodes: plain ones put a filter before them that computes their arrays once more.
+    rows = rows.select(key, F.explode_outer(runs).alias("r")).select(key, "r.i", "r.title", F.posexplode_outer("r.texts").alias("k", "text")).filter("k is not null")
+    return rows.select(key, (F.col("i") + F.col("k") + 1).alias("block"), F.lit(1).alias("page"), "text", F.col("title").alias("section_title"))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
     text = F.concat_ws("|", "chunk_id", "chunk_type", F.coalesce("parent_section", F.lit("None")), "content")
-    return rows.withColumn("token_count", F.size(words(F.col("content")))).withColumn("content_hash", F.sha2(text, 256))
+    return rows.withColumn("content_hash", F.sha2(text, 256))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return _marked(rows.withColumn("token_count", F.size(words(F.col("content")))))
 
 
 def text_chunks(blocks: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> DataFrame:
@@ -66,17 +97,22 @@ def text_chunks(blocks: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS)
 
     A block of no more than that is one chunk, unchanged.
     """
-    lines = stripped_lines(F.col("text"))
-    rows = blocks.withColumn("lines", lines).withColumn("w", words(F.col("text")))
+    # Only a text that begins as a numbered line does is cut into lines.
+    lines = F.when(F.col("text").rlike(r"^\s*\d+[).]"), stripped_lines(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    rows = blocks.withColumn("lines", lines).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
     numbered = (F.size("lines") > 1) & F.forall("lines", lambda x: x.rlike(r"^\d+[).]"))
-    listed = numbered & (F.size("w") <= most)
-    last = F.greatest(F.floor((F.size("w") - 1) / most).cast("int"), F.lit(0))
-    slices = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * most + 1, most), " "))
-    parts = F.when(listed, F.array(F.array_join("lines", "\n"))).when(F.size("w") <= most, F.array(F.col("text"))).otherwise(slices)
+    listed = numbered & (F.col("n") <= most)
+    last = F.greatest(F.floor((F.col("n") - 1) / most).cast("int"), F.lit(0))
+    # The words of a part are counted with it, once.
+    part = lambda content, n: F.struct(content.alias("content"), n.alias("n"))
+    left = lambda i: F.col("n") - i * most
+    slices = F.transform(F.sequence(F.lit(0), last), lambda i: part(F.array_join(F.slice("w", i * most + 1, most), " "), F.when(left(i) >= most, most).otherwise(left(i))))
+    parts = F.when(listed, F.array(part(F.array_join("lines", "\n"), F.col("n")))).when(F.col("n") <= most, F.array(part(F.col("text"), F.col("n")))).otherwise(slices)
     kind = F.when(listed, "list").otherwise("paragraph")
-    rows = rows.select(key, "block", "page", F.col("section_title").alias("parent_section"), kind.alias("chunk_type"), F.posexplode(parts).alias("part", "content"))
+    rows = rows.select(key, "block", "page", F.col("section_title").alias("parent_section"), kind.alias("chunk_type"), F.posexplode_outer(parts).alias("part", "c"))
+    rows = rows.select(key, "block", "page", "parent_section", "chunk_type", "part", F.col("c.content").alias("content"), F.col("c.n").alias("token_count"))
     name = F.concat_ws("-", F.col(key).cast("string"), "chunk_type", F.col("block").cast("string"), F.when(F.col("chunk_type") == "paragraph", (F.col("part") + 1).cast("string")))
-    return _hashed(rows.withColumn("chunk_id", name)).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
+    return _marked(rows.withColumn("chunk_id", name)).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
 
 
 def table_chunks(tables: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> DataFrame:
@@ -150,7 +186,7 @@ def refined(files: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> Da
     chunk of the document's Nth table.
     """
     of_tables = table_chunks(inline_tables(files, key), key, most)
-    chunks = of_tables.unionByName(figure_chunks(captions(files, key), key)).unionByName(text_chunks(titled_blocks(paragraphs(files, key), key), key, most))
+    chunks = of_tables.unionByName(figure_chunks(captions(files, key), key)).unionByName(text_chunks(titled_paragraphs(files, key), key, most))
     ordinal = F.regexp_extract("chunk_id", r"-table-([0-9]+)-1$", 1)
     first = of_tables.withColumn("ordinal", ordinal.try_cast("int")).filter("ordinal is not null").select(key, "ordinal", F.col("chunk_id").alias("table_chunk_id"))
     links = cross_references(chunks, first, key)
@@ -173,7 +209,7 @@ def in_reading_order(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 def section_of(parent: Column, content: Column) -> Column:
     """A chunk's section: its parent but for ``Document``, else a heading among its first lines, else General (C-17)."""
     named = F.trim(F.coalesce(parent, F.lit("")))
-    clean = F.transform(F.slice(stripped_lines(content), 1, 3), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ \-|]+|[ \-|]+$", ""))
+    clean = F.transform(F.slice(stripped_lines(content), 1, 3), _bare)
 
     def title(x: Column) -> Column:
         said = F.split(x, " ")
@@ -188,7 +224,7 @@ def section_of(parent: Column, content: Column) -> Column:
 
 def sections(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Page index (C-17): runs of chunks of one section, with pages, types and a summary of the first four."""
-    rows = in_reading_order(chunks, key).withColumn("title", section_of(F.col("parent_section"), F.col("content")))
+    rows = in_reading_order(chunks.withColumn("title", section_of(F.col("parent_section"), F.col("content"))), key)
     by = Window.partitionBy(key).orderBy("place")
     before, page_before = F.lag("title").over(by), F.lag("page").over(by)
     starts = before.isNull() | (before != F.col("title")) | ((F.col("title") == "General") & (F.col("page") > page_before))
@@ -205,7 +241,7 @@ def sections(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 def overlap(question: str, text: Column) -> Column:
     """Share of the question's tokens that a text holds."""
     asked = tokens(F.lit(question))
-    return F.when((F.size(asked) > 0) & (F.size(tokens(text)) > 0), F.round(F.size(F.array_intersect(asked, tokens(text))) / F.size(asked), 6)).otherwise(F.lit(0.0))
+    return F.when(F.size(asked) > 0, F.coalesce(F.round(F.size(F.array_intersect(asked, tokens(text))) / F.size(asked), 6), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def navigate(index: DataFrame, topic: str, k: int = 3, key: str = "doc_id") -> DataFrame:
@@ -222,23 +258,24 @@ def ask(index: DataFrame, chunks: DataFrame, question: str, facts: DataFrame | N
     three are cited; without such chunks the whole document is searched.  A question on
     revenue is answered by the last total that was extracted, if there is one.
     """
-    best = navigate(index, question, 2, key).select(key, F.lower("title").alias("t")).distinct()
-    rows = in_reading_order(chunks, key).withColumn("score", overlap(question, F.col("content"))).withColumn("t", F.lower(F.coalesce("parent_section", F.lit(""))))
-    rows = rows.join(best.withColumn("scoped", F.lit(True)), [key, "t"], "left").withColumn("scoped", F.coalesce("scoped", F.lit(False)))
-    rows = rows.withColumn("any", F.max("scoped").over(Window.partitionBy(key))).filter("scoped or (not any and score > 0)")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "place"))
-    top = rows.withColumn("rank", rank).filter("rank <= 4")
-    of = lambda name, most: F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", name)))), lambda x: x[name])
-    found = top.groupBy(key).agg(of("content", 2).alias("sample"), F.array_join(of("chunk_id", 4), ",").alias("supporting"), F.array_join(of("content_hash", 3), ",").alias("citations"))
+    best = navigate(index, question, 2, key).groupBy(key).agg(F.collect_set(F.lower("title")).alias("best"))
+    # Sides are joined by the key alone and grow with the documents: chunks that lie by key stay where they are.
+    rows = in_reading_order(chunks.withColumn("score", overlap(question, F.col("content"))).withColumn("t", F.lower(F.coalesce("parent_section", F.lit("")))), key)
+    rows = rows.join(shared.large(best), key, "left").withColumn("scoped", F.coalesce(F.array_contains("best", F.col("t")), F.lit(False)))
+    rows = rows.withColumn("any", F.max("scoped").over(Window.partitionBy(key))).withColumn("kept", F.col("scoped") | (~F.col("any") & (F.col("score") > 0)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("kept"), F.desc("score"), "place"))
+    # A document without such chunks keeps one row.
+    top = rows.withColumn("rank", rank).filter("rank <= 4 and (kept or rank = 1)")
+    of = lambda name, most: F.transform(F.array_sort(F.collect_list(F.when(F.col("kept") & (F.col("rank") <= most), F.struct("rank", name)))), lambda x: x[name])
+    out = top.groupBy(key).agg(F.max("kept").alias("kept"), of("content", 2).alias("sample"), F.array_join(of("chunk_id", 4), ",").alias("supporting"), F.array_join(of("content_hash", 3), ",").alias("citations"))
     said = F.trim(F.array_join(F.slice(F.split(F.array_join("sample", " "), r"(?<=[.!?])\s+"), 1, 2), " "))
-    answer = F.when(said != "", said).otherwise(F.substring(F.col("sample")[0], 1, 280))
-    out = chunks.select(key).distinct().join(found, key, "left")
+    answer = F.when(said != "", said).otherwise(F.substring(F.get("sample", F.lit(0)), 1, 280))
     if facts is not None and "revenue" in question.lower():
         total = facts.filter("metric_name = 'total_revenue'").groupBy(key).agg(F.max_by("metric_value", "source_chunk_id").alias("total"))
-        out = out.join(total, key, "left")
+        out = out.join(shared.large(total), key, "left")
         answer = F.when(F.col("total").isNotNull(), F.concat(F.lit("Latest extracted total revenue is "), F.format_string("%.2f", "total"), F.lit(" USD."))).otherwise(answer)
-    answer = F.when(F.col("supporting").isNull(), "No supporting evidence found in the document.").otherwise(answer)
-    return out.select(key, answer.alias("answer"), F.coalesce("supporting", F.lit("")).alias("supporting"), F.coalesce("citations", F.lit("")).alias("citations"))
+    answer = F.when(~F.col("kept"), "No supporting evidence found in the document.").otherwise(answer)
+    return out.select(key, answer.alias("answer"), "supporting", "citations")
 
 
 def package_events(documents: DataFrame, key: str = "application_id") -> DataFrame:

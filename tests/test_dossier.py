@@ -246,3 +246,24 @@ def test_files_of_any_bytes(spark, tmp_path):
     assert len({r.doc_id for r in rows}) == 2 and all(len(r.doc_id) == 16 for r in rows)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.text_files(spark, str(tmp_path / "gone"))
+
+
+def test_titled_paragraphs_equal_titled_blocks_without_moving_text(spark):
+    texts = ["Alpha Beta\n\nplain text that ends.\n\nGAMMA\n\nmore text, that ends.\n \n\n\tlast one.", "no title here, it ends.\n\nDelta\r\nnext", "", None, " \n\n ", "One\n\nTwo", "a\x0b b \r\r1) c\n\n1) x\r2) y\n\n" + "w\t" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got, want = documents.titled_paragraphs(docs), documents.titled_blocks(documents.paragraphs(docs))
+    columns = ("doc_id", "block", "page", "text", "section_title")
+    of = lambda frame: sorted(tuple(r[c] for c in columns) for r in frame.collect())
+    assert of(got) == of(want) and len(of(got)) == 15
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    chunks = documents.text_chunks(got)
+    assert chunks.filter(F.col("token_count") != F.size(F.expr("filter(split(content, '\\\\s+'), w -> w <> '')"))).count() == 0
+
+
+def test_papers_are_dealt_out_before_their_text_is_made(spark):
+    from conftest import SF
+    from tallyfold.plans import decision_queries
+
+    plan = decision_queries.document_answers(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # Every exchange is the one of keys alone.
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") > 0
