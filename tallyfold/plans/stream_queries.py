@@ -73,6 +73,10 @@ def stored_compliance(spark, sf_dir):
     return stored.as_of(view.all(), moments).select("application_id", "as_of", "global_position", "event_type", "status")
 
 
+#: Files of a part of the relay's log.
+LOG_FILES = 16
+
+
 @query(
     """ SELECT event_id::BIGINT AS outbox_id, CASE WHEN event_id::BIGINT % 7 = 0 THEN 'dead_letter' WHEN event_id::BIGINT % 7 = 6 THEN 'pending' ELSE 'published' END AS status,
   CAST(CASE event_id::BIGINT % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 3 END AS INTEGER) AS attempts,
@@ -95,15 +99,19 @@ def relayed_messages(spark, sf_dir):
         return frame.select(n.alias("outbox_id"), F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), (F.lit(error).cast("string") if error is None else error).alias("error"), at.alias("at"))
 
     fails = lambda *turns: F.when(turn.isin(*turns) if turns else F.lit(False), "down")
-    tick = lambda seconds: rows(log.limit(1), "tick", seconds)
+    slots = F.explode(F.sequence(F.lit(0), F.lit(LOG_FILES - 1))).alias("slot")
+    tick = lambda seconds: rows(spark.range(1).select(F.lit(-1).alias("event_id")), "tick", seconds)
     first = rows(log.filter(~turn.isin(4, 6)), "outcome", 1, 1, fails(0, 2, 3)).unionByName(rows(log.filter(turn == 5), "outcome", 2, 1, fails(5)))
     files = [
         rows(log, "message", 0), first, tick(10), rows(log.filter(turn.isin(0, 2, 3)), "outcome", 11, 2, fails(0, 3)), tick(20), tick(21),
         rows(log.filter(turn.isin(0, 3)), "outcome", 22, 3, fails(0)), tick(100), tick(101), rows(log.filter(turn == 4), "outcome", 102, 2, fails()), tick(200), tick(201),
     ]
     for i, part in enumerate(files):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/log/{i:02}")
-    stream = spark.readStream.schema(relay.INPUT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log/*")
+        # A tick at the part's own time in each slot, so that each part is LOG_FILES files and a batch.
+        own = (0, 1, 10, 11, 20, 21, 22, 100, 101, 102, 200, 201)[i]
+        dealt = part.withColumn("slot", F.pmod(F.xxhash64("outbox_id"), F.lit(LOG_FILES)).cast("int")).unionByName(tick(own).select("*", slots))
+        dealt.repartition(LOG_FILES, "slot").write.partitionBy("slot").parquet(f"{folder}/log/{i:02}")
+    stream = spark.readStream.schema(relay.INPUT).option("maxFilesPerTrigger", LOG_FILES).parquet(f"{folder}/log/*/slot=*")
     changes = relay.deliveries(stream, max_attempts=3)
     relay.start(changes, folder).awaitTermination()
     return relay.states(relay.changes_of(spark, folder)).select("outbox_id", "status", "attempts", "last_error")

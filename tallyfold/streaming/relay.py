@@ -1,9 +1,10 @@
 """A relay over an outbox: a state machine of deliveries, and a sink that publishes with commit and abort.
 
-``deliveries`` keeps one state a message in Spark's state store.  A new message is claimed at once
+``deliveries`` keeps messages in Spark's state store, the messages of a bucket as columns of one value, so
+that Python is called once a bucket and batch.  A new message is claimed at once
 and leased; an outcome publishes it, sends it back with a doubling pause, or buries it after the
-last attempt.  A lease or pause that ends is a timer of the message's own, so that time is that of
-the stream's watermark: a virtual clock in tests, and no scan of what is due.
+last attempt.  A lease or pause that ends is noticed by its bucket's timer, so that time is that of
+the stream's watermark: a virtual clock in tests.
 
 ``Outbox`` is the sink for claims.  Its tasks publish each message by a publisher of the user's own and
 stage outcomes as files; ``commit`` moves a batch's files to where ``deliveries`` reads
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
@@ -33,6 +35,9 @@ from .keyed import ROCKS
 
 CHANGES = "outbox_id long, change string, attempts int, due_ms long, error string, at_ms long"
 INPUT = "outbox_id long, kind string, attempt int, error string, at timestamp"
+#: Messages are dealt out over so many values of the state store.
+BUCKETS = 1024
+PENDING, PUBLISHED, DEAD = 0, 1, 2
 OUTCOMES = "outbox_id long, attempt int, error string, at timestamp"
 
 
@@ -50,79 +55,129 @@ def pause_ms(attempts: int, base: float = BASE_SECONDS, cap: float = CAP_SECONDS
     return int(1000 * min(base * 2 ** max(0, min(attempts - 1, 40)), cap))
 
 
+class Held:
+    """The deliveries of one bucket of messages in columns, sorted by outbox_id; ``due`` is -1 where none is."""
+
+    def __init__(self, value: tuple | None):
+        kinds = (np.int64, np.int8, np.int32, np.int64)
+        parts = (b"",) * 4 if value is None else value[:4]
+        self.ids, self.status, self.attempts, self.due = (np.frombuffer(p, k).copy() for p, k in zip(parts, kinds))
+        self.timer = None if value is None else value[4]
+
+    def value(self) -> tuple:
+        return (*(c.tobytes() for c in (self.ids, self.status, self.attempts, self.due)), self.timer)
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids stand or would stand, and whether they are there."""
+        at = np.searchsorted(self.ids, ids)
+        there = at < len(self.ids)
+        there[there] = self.ids[at[there]] == ids[there]
+        return at, there
+
+    def add(self, ids: np.ndarray, due: np.ndarray) -> None:
+        """New ids in ascending order, claimed for the first time."""
+        at = np.searchsorted(self.ids, ids)
+        self.ids, self.due = np.insert(self.ids, at, ids), np.insert(self.due, at, due)
+        self.status, self.attempts = np.insert(self.status, at, PENDING), np.insert(self.attempts, at, 1)
+
+
 class Delivery(StatefulProcessor):
-    """pending -> (published | dead_letter), by outcomes and timers."""
+    """pending -> (published | dead_letter), by outcomes and timers, for all messages of a bucket at once.
+
+    A bucket has one timer, that of its next lease or pause.
+    """
 
     def __init__(self, max_attempts: int, base: float, cap: float, lease: float):
-        self.max_attempts, self.base, self.cap, self.lease_ms = max_attempts, base, cap, int(1000 * lease)
+        self.max_attempts, self.lease_ms = max_attempts, int(1000 * lease)
+        self.pauses = np.array([pause_ms(n, base, cap) for n in range(42)], np.int64)  # the later ones are equal
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("delivery", "status string, attempts int, due_ms long")
-
-    def _kept(self, status: str, attempts: int, due: int | None) -> None:
-        held = self.state.get() if self.state.exists() else None
-        if held is not None and held[2] is not None:
-            self.handle.deleteTimer(held[2])
-        if due is not None:
-            self.handle.registerTimer(due)
-        self.state.update((status, attempts, due))
-
-    def _claim(self, key: int, attempts: int, at: int) -> tuple:
-        due = at + self.lease_ms
-        self._kept("pending", attempts + 1, due)
-        return (key, "claimed", attempts + 1, due, None, at)
+        self.state = handle.getValueState("deliveries", "ids binary, status binary, attempts binary, due binary, timer long")
+
+    def _keep(self, held: Held) -> None:
+        waits = held.due[held.due >= 0]
+        due = int(waits.min()) if len(waits) else None
+        if due != held.timer:
+            if held.timer is not None:
+                self.handle.deleteTimer(held.timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+            held.timer = due
+        self.state.update(held.value())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for chunk in rows:
-            for kind, attempt, error, at in zip(chunk["kind"].tolist(), chunk["attempt"].tolist(), chunk["error"].tolist(), chunk["at"].tolist()):
-                now = int(pd.Timestamp(at).value // 1_000_000)
-                held = self.state.get() if self.state.exists() else None
-                if kind == "message":
-                    if held is None:  # a message that comes again is the same
-                        out.append(self._claim(key[0], 0, now))
-                elif kind == "outcome" and held is not None and held[0] == "pending" and held[1] == attempt:
-                    error = None if error is None or pd.isna(error) else shortened(str(error).strip() or "Error")
-                    if error is None:
-                        self._kept("published", attempt, None)
-                        out.append((key[0], "published", attempt, None, None, now))
-                    elif attempt >= self.max_attempts:
-                        self._kept("dead_letter", attempt, None)
-                        out.append((key[0], "dead_letter", attempt, None, error, now))
-                    else:
-                        due = now + pause_ms(attempt, self.base, self.cap)
-                        self._kept("pending", attempt, due)
-                        out.append((key[0], "retried", attempt, due, error, now))
-        yield self._frame(out)
+        chunks = [c for c in (chunk[chunk["kind"] != "tick"] for chunk in rows) if len(c)]
+        if not chunks:
+            return
+        # What is told of one message is taken in the order of time, its message first.
+        told = pd.concat(chunks)
+        told = told.iloc[np.lexsort(((told["kind"] != "message").to_numpy(), told["at_ms"].to_numpy(), told["outbox_id"].to_numpy()))]
+        turn = told.groupby("outbox_id", sort=False).cumcount().to_numpy()
+        held, out = Held(self.state.get()), []
+        for n in range(int(turn.max()) + 1):
+            out += self._taken(held, told[turn == n])
+        if out:
+            self._keep(held)
+            yield pd.concat(out)
+
+    def _taken(self, held: Held, told: pd.DataFrame) -> list[pd.DataFrame]:
+        """Changes by rows of distinct messages, in their order."""
+        out, message = [], (told["kind"] == "message").to_numpy()
+        ids, now = told["outbox_id"].to_numpy(np.int64), told["at_ms"].to_numpy(np.int64)
+        at, there = held.places(ids)
+        new = message & ~there  # a message that comes again is the same
+        settled = (told["kind"] == "outcome").to_numpy() & there
+        attempt = told["attempt"].to_numpy()
+        settled[settled] = (held.status[at[settled]] == PENDING) & (held.attempts[at[settled]] == attempt[settled])
+        failed = told["error"].notna().to_numpy()
+        last = attempt >= self.max_attempts
+        for which, change, status in ((settled & ~failed, "published", PUBLISHED), (settled & failed & last, "dead_letter", DEAD), (settled & failed & ~last, "retried", PENDING)):
+            if which.any():
+                due = now[which] + self.pauses[np.clip(attempt[which], 0, 41).astype(int)] if change == "retried" else np.full(which.sum(), -1)
+                held.status[at[which]], held.due[at[which]] = status, due
+                errors = None if change == "published" else [shortened(str(e).strip() or "Error") for e in told["error"][which]]
+                out.append(self._frame(ids[which], change, attempt[which], due, errors, now[which]))
+        if new.any():
+            held.add(ids[new], now[new] + self.lease_ms)
+            out.append(self._frame(ids[new], "claimed", 1, now[new] + self.lease_ms, None, now[new]))
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, held, out = expiredTimerInfo.getExpiryTimeInMs(), self.state.get() if self.state.exists() else None, []
-        if held is not None and held[0] == "pending" and held[2] == at:
-            self.state.update((held[0], held[1], None))  # the timer is gone already
-            # Claimed when it is noticed, as a poll would.
-            out.append(self._claim(key[0], held[1], max(at, timerValues.getCurrentWatermarkInMs())))
-        yield self._frame(out)
+        at, mark, held = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), Held(self.state.get())
+        held.timer = None  # it is gone already
+        ended = (held.due >= 0) & ((held.due <= at) | (held.due < mark))
+        # Claimed when it is noticed, as a poll would.
+        now = np.maximum(held.due[ended], mark)
+        held.attempts[ended] += 1
+        held.due[ended] = now + self.lease_ms
+        self._keep(held)
+        yield self._frame(held.ids[ended], "claimed", held.attempts[ended], now + self.lease_ms, None, now)
 
     @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in CHANGES.split(", ")]
-        frame = pd.DataFrame(rows, columns=names)
-        return frame.astype({"outbox_id": "int64", "change": object, "attempts": "int32", "due_ms": "Int64", "error": object, "at_ms": "int64"})
+    def _frame(ids: np.ndarray, change: str, attempts, due: np.ndarray, errors: list | None, now: np.ndarray) -> pd.DataFrame:
+        due = pd.array(due, "Int64")
+        due[due < 0] = pd.NA
+        frame = pd.DataFrame({"outbox_id": ids, "change": change, "attempts": attempts, "due_ms": due, "error": pd.Series(errors, dtype=object) if errors else None, "at_ms": now})
+        return frame.astype({"change": object, "attempts": "int32", "error": object})
 
     def close(self) -> None:
         pass
 
 
-def deliveries(stream: DataFrame, max_attempts: int = MAX_ATTEMPTS, base: float = BASE_SECONDS, cap: float = CAP_SECONDS, lease: float = LEASE_SECONDS) -> DataFrame:
+def deliveries(
+    stream: DataFrame, max_attempts: int = MAX_ATTEMPTS, base: float = BASE_SECONDS, cap: float = CAP_SECONDS, lease: float = LEASE_SECONDS, buckets: int = BUCKETS
+) -> DataFrame:
     """Changes of messages' states (T-10, T-11): claimed, published, retried or dead_letter, with attempts and when they are due.
 
     ``stream`` has INPUT's columns: messages, outcomes of attempts, and ticks, whose only use is their time.
     An outcome of an attempt that has been given up is ignored, as is one of a message that is done.
-    Ticks are the messages of outbox_id -1.
+    What a batch tells of one message is taken in the order of time.
+    Ticks are in a bucket of their own.
     """
-    timed = stream.withWatermark("at", "0 seconds").withColumn("outbox_id", F.when(F.col("kind") == "tick", F.lit(-1)).otherwise(F.col("outbox_id")).cast("long"))
-    return timed.groupBy("outbox_id").transformWithStateInPandas(Delivery(max_attempts, base, cap, lease), CHANGES, "Update", "EventTime")
+    bucket = F.when(F.col("kind") == "tick", F.lit(-1)).otherwise(F.pmod(F.xxhash64("outbox_id"), F.lit(buckets)).cast("int"))
+    timed = stream.withWatermark("at", "0 seconds").select(bucket.alias("bucket"), "outbox_id", "kind", "attempt", "error", F.unix_millis("at").alias("at_ms"), "at")
+    return timed.groupBy("bucket").transformWithStateInPandas(Delivery(max_attempts, base, cap, lease), CHANGES, "Update", "EventTime")
 
 
 def start(changes: DataFrame, folder: str, trigger: dict | None = None):

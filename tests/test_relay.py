@@ -114,3 +114,16 @@ def test_a_run_that_dies_before_its_commit_delivers_again(spark, tmp_path, publi
     assert sorted(r.outbox_id for r in outcomes(spark, folder).collect()) == [1, 2, 4]
     writer.abort([staged, None], 0)
     assert os.listdir(f"{folder}/staged") == []
+
+
+def test_states_are_those_of_buckets(spark, tmp_path):
+    """A state and a timer a message made each batch call Python once a message."""
+    folder = str(tmp_path)
+    append(rows(spark, range(200), "message", 1), f"{folder}/log")
+    late = rows(spark, range(0, 200, 2), "outcome", 3, 1, "late").unionByName(rows(spark, range(200), "outcome", 2, 1)).unionByName(rows(spark, [500], "outcome", 4, 1))
+    append(late.unionByName(rows(spark, [500], "message", 3)), f"{folder}/log")
+    stream = spark.readStream.schema(relay.INPUT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    query = relay.start(relay.deliveries(stream, buckets=4), folder)
+    query.awaitTermination()
+    assert {r.status for r in relay.states(relay.changes_of(spark, folder)).collect()} == {"published"}
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 4
