@@ -47,3 +47,23 @@ def test_a_long_text_first_does_not_empty_the_sample(spark):
     docs, labels = tables(spark, [(ids[0], "padding " * 50000), *((i, f"{words[i % 2]} {words[i % 2]}") for i in ids[1:])])
     chosen = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 6000, most=100_000)
     assert chosen.count() == len(ids) - 1
+
+
+def test_toxicity_trains_on_every_labelled_row(spark):
+    """At most 6,000 rows and 64 MB were taken before, in one task."""
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('word', id % 7, if(id % 3 = 0, ' vile', ' kind'), ' end') as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic")
+    want = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "toxic")
+    assert want > 6000 and rows.count() == want
+    few = docs.limit(1200)
+    nets = [toxicity.fit(few, labels, task_rows=300) for _ in range(2)]
+    assert all((nets[0][0].parts[k] == nets[1][0].parts[k]).all() for k in nets[0][0].parts) and nets[0][1] == nets[1][1]
+    scored = toxicity.score(docs, *nets[0])
+    assert scored.filter("toxic_predicted <> int(doc_id % 3 = 0)").count() == 0
+
+
+def test_thresholds_part_by_counts():
+    counts = [("en", 100, 50, 0), ("en", 400, 5, 1), ("en", 800, 0, 30), (None, 900, 1, 0), ("fr", 700, 0, 3)]
+    cuts = toxicity.thresholds(counts)
+    assert set(cuts) == {None, "en"} and 0.4 < cuts["en"] < 0.8
