@@ -122,22 +122,30 @@ def _status(failed: Column, passed: Column, mandatory: Column) -> Column:
 def compliance_timeline(log: DataFrame) -> DataFrame:
     """Compliance status after every compliance event (W-02, W-03), by running sums of changes."""
     rows = log.filter(is_type(*COMPLIANCE))
-    by = Window.partitionBy("application_id").orderBy("global_position")
-    rows = rows.withColumn("epoch", F.sum(is_type("ComplianceCheckRequested").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    epoch = Window.partitionBy("application_id", "epoch").orderBy("global_position")
-    so_far = epoch.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("checks", F.coalesce(F.first("mandatory", ignorenulls=True).over(so_far), F.array().cast("array<string>")))
-    named = F.coalesce("rule_id", F.lit("")) != ""
-    ruled = is_type("ComplianceRulePassed", "ComplianceRuleFailed") & named
+    requested = is_type("ComplianceCheckRequested")
+    ruled = is_type("ComplianceRulePassed", "ComplianceRuleFailed") & (F.coalesce("rule_id", F.lit("")) != "")
     state = F.when(ruled, F.when(is_type("ComplianceRuleFailed"), "F").otherwise("P"))
     # A row without a rule has a partition of its own, so that it never is another row's predecessor.
     rule = F.when(ruled, F.col("rule_id")).otherwise(F.concat(F.lit("#"), F.col("global_position")))
     rows = rows.withColumn("state", state).withColumn("rule", rule)
-    rows = rows.withColumn("was", F.lag("state").over(Window.partitionBy("application_id", "epoch", "rule").orderBy("global_position")))
+    # All windows but this one have one order, and an epoch is told from its start, so that rows are sorted twice only.
+    of_rule = Window.partitionBy("application_id", "rule").orderBy("global_position")
+    rows = rows.withColumn("before", F.lag(F.struct("state", "global_position")).over(of_rule))
+    so_far = Window.partitionBy("application_id").orderBy("global_position").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("epoch", F.sum(requested.cast("long")).over(so_far)).withColumn("start", F.max(F.when(requested, F.col("global_position"))).over(so_far))
+    named = F.when(F.col("mandatory").isNotNull(), F.struct((-F.col("epoch")).alias("epoch"), "global_position", "mandatory"))
+    rows = rows.withColumn("named", F.min(named).over(so_far))
+    checks = F.coalesce(F.when(F.col("named.epoch") == -F.col("epoch"), F.col("named.mandatory")), F.array().cast("array<string>"))
+    rows = rows.withColumn("checks", checks).withColumn("was", F.when(F.col("start").isNull() | (F.col("before.global_position") >= F.col("start")), F.col("before.state")))
     flag = lambda column, value: F.coalesce(F.col(column) == value, F.lit(False)).cast("long")
     needed = F.array_contains("checks", F.col("rule")).cast("long")
-    rows = rows.withColumn("failed", F.sum(F.when(F.col("state").isNotNull(), flag("state", "F") - flag("was", "F")).otherwise(0)).over(so_far))
-    rows = rows.withColumn("passed", F.sum(F.when(F.col("state").isNotNull(), (flag("state", "P") - flag("was", "P")) * needed).otherwise(0)).over(so_far))
+    changes = {"failed": flag("state", "F") - flag("was", "F"), "passed": (flag("state", "P") - flag("was", "P")) * needed}
+    for name, change in changes.items():
+        rows = rows.withColumn(name, F.sum(F.when(F.col("state").isNotNull(), change).otherwise(0)).over(so_far))
+    for name in changes:
+        at_start = F.last(F.when(requested, F.col(name)), ignorenulls=True).over(so_far)
+        rows = rows.withColumn(f"{name}_before", F.coalesce(at_start, F.lit(0)))
+    rows = rows.select("*", *[(F.col(n) - F.col(f"{n}_before")).alias(f"{n}_now") for n in changes]).drop(*changes).withColumnsRenamed({f"{n}_now": n for n in changes})
     status = _status(F.col("failed"), F.col("passed"), F.size("checks"))
     if "overall_verdict" in log.columns:
         verdict = F.upper("overall_verdict")

@@ -67,12 +67,16 @@ FROM orders ASOF JOIN (SELECT application_id, recorded_at, max_by(struct_pack(gl
 def stored_compliance(spark, sf_dir):
     """The stored compliance timeline asked for each application at a moment of its own."""
     timeline = stored.intervals(pj.compliance_timeline(dossier_log(spark, sf_dir)))
-    view = stored.stored(timeline, f"stored/{uuid.uuid4().hex}", "application_id", ("valid_from",), buckets=16)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    # A bucket is written by one task: there are more of them where there are more applications.
+    buckets = max(16, -(-orders.count() // APPLICATIONS))
+    view = stored.stored(timeline, f"stored/{uuid.uuid4().hex}", "application_id", ("valid_from",), buckets=buckets)
     moments = orders.select(F.col("o_orderkey").alias("application_id"), (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 60).cast("int"))).alias("as_of"))
     return stored.as_of(view.all(), moments).select("application_id", "as_of", "global_position", "event_type", "status")
 
 
+#: Applications of a bucket of the stored compliance timeline.
+APPLICATIONS = 50_000
 #: Files of a part of the relay's log.
 LOG_FILES = 16
 

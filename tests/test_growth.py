@@ -62,3 +62,20 @@ def test_thousands_are_parted_as_the_text_says(spark, duck, tmp_path):
     want = {r[0]: r for r in duck.execute(sql).fetchall()}
     got = {r.k: tuple(r) for r in entry.queries()["formatted"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_a_timeline_sorts_its_rows_twice(spark):
+    """Four orders and more in one task each held their rows at the same time."""
+    text = plan(entry.queries()["dossier_compliance_timeline"](spark, SF))
+    assert 0 < text.count("Sort [application_id") <= 2
+
+
+def test_stored_timelines_have_more_buckets_where_there_are_more_applications(spark, monkeypatch):
+    from tallyfold.operators import stored
+    from tallyfold.plans import stream_queries
+
+    seen, write = [], stored.write
+    monkeypatch.setattr(stream_queries, "APPLICATIONS", 50)
+    monkeypatch.setattr(stored, "write", lambda *a, **k: (seen.append(k.get("buckets", a[-1])), write(*a, **k)))
+    assert entry.queries()["stored_compliance"](spark, SF).count() > 0
+    assert seen == [-(-spark.read.parquet(f"{SF}/orders.parquet").count() // 50)] and seen[0] > 16
