@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is made once a row: a column used in several places is made in each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text(column: str | Column, key: str) -> Column:
     return F.get_json_object(column, f"$.{key}")
 

@@ -79,3 +79,10 @@ def test_stored_timelines_have_more_buckets_where_there_are_more_applications(sp
     monkeypatch.setattr(stored, "write", lambda *a, **k: (seen.append(k.get("buckets", a[-1])), write(*a, **k)))
     assert entry.queries()["stored_compliance"](spark, SF).count() > 0
     assert seen == [-(-spark.read.parquet(f"{SF}/orders.parquet").count() // 50)] and seen[0] > 16
+
+
+@pytest.mark.parametrize("name", ["upcast_decision_v1_v2", "upcast_credit_v1_v2"])
+def test_a_rewrite_parses_each_text_once(spark, name):
+    """A payload was parsed for each key that a rewrite reads, and for each session once more."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert text.count("parseJson") <= 2 and "get_json_object(payload" not in text
