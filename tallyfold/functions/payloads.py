@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json import bound
+
 #: The fields of each event's payload.
 EVENTS = {
     "ApplicationSubmitted": "application_id str, requested_amount_usd float >0, applicant_id str?, loan_purpose str?, submission_channel str?, submitted_at str?",
@@ -111,47 +113,56 @@ def _error(loc: Column, code: Column | str) -> Column:
     return F.struct(loc.alias("loc"), (F.lit(code) if isinstance(code, str) else code).alias("code"))
 
 
-def _number_code(x: Column, t: Column, kind: str) -> tuple[Column, Column]:
-    """(value, code) of a number; numeric texts and truth values count as numbers."""
+def _number(x: Column, t: Column) -> Column:
+    """(text, value) of a number; numeric texts and truth values count as numbers."""
     text = F.trim(F.try_variant_get(x, "$", "string"))
     value = F.when(t == "STRING", text.try_cast("double")).when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double")).otherwise(F.try_variant_get(x, "$", "double"))
+    return F.struct(text.alias("text"), value.alias("value"))
+
+
+def _number_code(n: Column, t: Column, kind: str) -> Column:
+    """Why a value is no number, by its ``_number``."""
+    value = n["value"]
     scalar = (t == "STRING") | (t == "BOOLEAN") | t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     code = F.when(~scalar, f"{kind}_type").when(value.isNull() | F.isnan(value), f"{kind}_parsing")
     if kind == "int":
-        code = code.when((t == "STRING") & ~text.rlike(r"^[+-]?[0-9]+(\.0*)?$"), "int_parsing").when(value != F.floor(value), "int_from_float")
-    return value, code
+        code = code.when((t == "STRING") & ~n["text"].rlike(r"^[+-]?[0-9]+(\.0*)?$"), "int_parsing").when(value != F.floor(value), "int_from_float")
+    return code
 
 
 def _value_errors(x: Column, t: Column, f: Column) -> Column:
     """Errors of a value that is there and isn't null."""
     kind, loc = f["kind"], f["name"]
-    number, float_code = _number_code(x, t, "float")
-    _, int_code = _number_code(x, t, "int")
-    bounds = (
-        F.when(f["above"].isNotNull() & ~(number > f["above"]), "greater_than").when(f["least"].isNotNull() & (number < f["least"]), "greater_than_equal")
-        .when(f["most"].isNotNull() & (number > f["most"]), "less_than_equal")
-    )
-    text = F.lower(F.trim(F.try_variant_get(x, "$", "string")))
-    truth = F.when(t == "BOOLEAN", None).when(t == "STRING", F.when(~text.isin(*TRUTH), "bool_parsing"))
-    truth = truth.when(t.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.when(~number.isin(0.0, 1.0), "bool_parsing")).otherwise("bool_type")
+
+    def of_number(n: Column) -> Column:
+        number = n["value"]
+        bounds = (
+            F.when(f["above"].isNotNull() & ~(number > f["above"]), "greater_than").when(f["least"].isNotNull() & (number < f["least"]), "greater_than_equal")
+            .when(f["most"].isNotNull() & (number > f["most"]), "less_than_equal")
+        )
+        truth = F.when(t == "BOOLEAN", None).when(t == "STRING", F.when(~F.lower(n["text"]).isin(*TRUTH), "bool_parsing"))
+        truth = truth.when(t.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.when(~number.isin(0.0, 1.0), "bool_parsing")).otherwise("bool_type")
+        return (
+            F.when(kind == "float", F.coalesce(_number_code(n, t, "float"), bounds)).when(kind == "int", F.coalesce(_number_code(n, t, "int"), bounds)).otherwise(truth)
+        )
+
     moment = F.when(t != "STRING", "datetime_type").when(F.try_to_timestamp(F.try_variant_get(x, "$", "string")).isNull(), "datetime_from_date_parsing")
     code = (
-        F.when(kind == "str", F.when(t != "STRING", "string_type")).when(kind == "float", F.coalesce(float_code, bounds)).when(kind == "int", F.coalesce(int_code, bounds))
-        .when(kind == "bool", truth).when(kind == "time", moment).when(kind == "list", F.when(~F.startswith(t, F.lit("ARRAY")), "list_type"))
+        F.when(kind == "str", F.when(t != "STRING", "string_type")).when(kind.isin("float", "int", "bool"), bound(_number(x, t), of_number))
+        .when(kind == "time", moment).when(kind == "list", F.when(~F.startswith(t, F.lit("ARRAY")), "list_type"))
         .when(kind == "dict", F.when(~F.startswith(t, F.lit("OBJECT")), "dict_type"))
     )
-    own = F.when(code.isNotNull(), F.array(_error(loc, code)))
     items = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda v, i: F.when(F.schema_of_variant(v) != "STRING", _error(F.concat(loc, F.lit("."), i.cast("string")), "string_type")))
     pairs = F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
 
     def pair_code(v: Column) -> Column:
-        kind_of = F.schema_of_variant(v)
-        return F.when((f["of"] == "str") & (kind_of != "STRING"), "string_type").when(f["of"] == "float", _number_code(v, kind_of, "float")[1])
+        of_kind = lambda t: F.when((f["of"] == "str") & (t != "STRING"), "string_type").when(f["of"] == "float", bound(_number(v, t), lambda n: _number_code(n, t, "float")))
+        return bound(F.schema_of_variant(v), of_kind)
 
-    values = F.transform(pairs, lambda e: F.when(pair_code(e["value"]).isNotNull(), _error(F.concat(loc, F.lit("."), e["key"]), pair_code(e["value"]))))
+    values = F.transform(pairs, lambda e: bound(pair_code(e["value"]), lambda c: F.when(c.isNotNull(), _error(F.concat(loc, F.lit("."), e["key"]), c))))
     inner = F.when(kind == "list", items).when((kind == "dict") & f["of"].isNotNull(), values)
     none = F.array().cast("array<struct<loc:string,code:string>>")
-    return F.coalesce(own, F.array_compact(F.coalesce(inner, none)))
+    return bound(code, lambda c: F.when(c.isNotNull(), F.array(_error(loc, c))).otherwise(F.array_compact(F.coalesce(inner, none))))
 
 
 def violations(kind: str | Column, payload: str | Column, models: dict[str, str] = EVENTS) -> Column:
@@ -161,25 +172,28 @@ def violations(kind: str | Column, payload: str | Column, models: dict[str, str]
     """
     kind, payload = (F.col(c) if isinstance(c, str) else c for c in (kind, payload))
     table = F.from_json(F.lit(json.dumps({name: fields(text) for name, text in models.items()})), f"map<string,{_ENTRY}>")
-    wanted = F.try_element_at(table, kind)
-    held = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    none = F.array().cast("array<struct<loc:string,code:string>>")
 
-    def of_field(f: Column) -> Column:
-        x = F.try_element_at(held, f["name"])
-        there = F.coalesce(F.array_contains(F.map_keys(held), f["name"]), F.lit(False))
-        t = F.schema_of_variant(x)
-        # A null value is null after the cast to a map, or a null variant.
-        null = x.isNull() | (t == "VOID")
+    def of_field(f: Column, held: Column, keys: Column) -> Column:
+        there = F.coalesce(F.array_contains(keys, f["name"]), F.lit(False))
         wrong_null = F.when(
             f["lax"] != "?", F.array(_error(f["name"], F.when(f["kind"] == "str", "string_type").when(f["kind"] == "time", "datetime_type").otherwise(F.concat(f["kind"], F.lit("_type")))))
         )
-        none = F.array().cast("array<struct<loc:string,code:string>>")
-        return F.when(~there, F.when(f["lax"] == "", F.array(_error(f["name"], "missing"))).otherwise(none)).when(null, F.coalesce(wrong_null, none)).otherwise(_value_errors(x, t, f))
+        # A null value is null after the cast to a map, or a null variant.
+        of_value = lambda y: F.when(y["x"].isNull() | (y["t"] == "VOID"), F.coalesce(wrong_null, none)).otherwise(_value_errors(y["x"], y["t"], f))
+        value = bound(F.try_element_at(held, f["name"]), lambda x: bound(F.struct(x.alias("x"), F.schema_of_variant(x).alias("t")), of_value))
+        return F.when(~there, F.when(f["lax"] == "", F.array(_error(f["name"], "missing"))).otherwise(none)).otherwise(value)
+
+    def of_payload(p: Column) -> Column:
+        wanted, held = p["wanted"], p["held"]
+        extra = F.transform(F.array_sort(F.array_except(p["keys"], wanted["name"])), lambda k: _error(k, "extra_forbidden"))
+        whole = F.concat(F.flatten(F.transform(wanted, lambda f: of_field(f, held, p["keys"]))), extra)
+        return F.when(wanted.isNull(), F.array(_error(F.lit("event_type"), "unknown_type"))).when(held.isNull(), F.array(_error(F.lit(""), "model_type"))).otherwise(whole)
 
-    named = F.transform(wanted, lambda f: f["name"])
-    extra = F.transform(F.array_sort(F.array_except(F.map_keys(held), named)), lambda k: _error(k, "extra_forbidden"))
-    whole = F.concat(F.flatten(F.transform(wanted, of_field)), extra)
-    return F.when(wanted.isNull(), F.array(_error(F.lit("event_type"), "unknown_type"))).when(held.isNull(), F.array(_error(F.lit(""), "model_type"))).otherwise(whole)
+    # The text is parsed once, and a value taken out of it once.
+    held = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    keyed = lambda h: F.struct(F.try_element_at(table, kind).alias("wanted"), h.alias("held"), F.map_keys(h).alias("keys"))
+    return bound(bound(held, keyed), of_payload)
 
 
 def example(text: str) -> dict:

@@ -30,7 +30,7 @@ def judged(calls: DataFrame, precondition: Column | None = None, action: Column
     a minute after the last one that passed on the same entity are refused.
     """
     known = F.col("tool").isin(*payloads.COMMANDS)
-    errors = F.when(known, payloads.violations("tool", "arguments", payloads.COMMANDS))
+    calls, errors = calls.withColumn("_errors", F.when(known, payloads.violations("tool", "arguments", payloads.COMMANDS))), F.col("_errors")
     shown = F.array_join(F.transform(errors, lambda e: F.concat(e["loc"], F.lit(":"), e["code"])), ",")
     limited = {c for own in ROLES.values() for c in own}
     allowed = ~F.col("tool").isin(*limited) | js.permitted(js.text("arguments", "role"), F.col("tool"), ROLES)
@@ -40,12 +40,12 @@ def judged(calls: DataFrame, precondition: Column | None = None, action: Column
     )
     entity = F.concat_ws(":", js.text("arguments", "entity_type"), js.text("arguments", "entity_id"))
     rows = calls.withColumns({"error_type": stage, "validation_errors": F.when(F.size(errors) > 0, shown), "_said": F.lit(None).cast("string") if action is None else action})
-    # Calls that are no checks, or have failed already, take no part in the limit.
-    rows = rows.withColumn("_entity", F.when((F.col("tool") == "run_integrity_check") & F.col("error_type").isNull(), entity))
-    checks = rate_limited(rows.filter(F.col("_entity").isNotNull()), "_entity", seconds=SECONDS)
-    checks = checks.withColumn("error_type", F.when(~F.col("allowed"), "RateLimitExceeded")).drop("allowed")
-    rows = rows.filter(F.col("_entity").isNull()).unionByName(checks)
+    # Calls that are no checks, or have failed already, take no part in the limit: each has a key of its own, so that all calls are judged by one pass.
+    checked = (F.col("tool") == "run_integrity_check") & F.col("error_type").isNull()
+    rows = rows.withColumn("_checked", F.coalesce(checked, F.lit(False))).withColumn("_entity", F.when(F.col("_checked"), F.concat(F.lit("c"), entity)).otherwise(F.concat(F.lit("n"), "global_position")))
+    rows = rate_limited(rows, "_entity", seconds=SECONDS)
+    rows = rows.withColumn("error_type", F.when(F.col("_checked") & ~F.col("allowed"), "RateLimitExceeded").otherwise(F.col("error_type")))
     told = F.when(F.col("error_type") == "PreconditionFailed", F.coalesce("_said", F.lit(ACTIONS["DomainError"])))
     for name, what in ACTIONS.items():
         told = told.when(F.col("error_type") == name, what)
-    return rows.withColumn("suggested_action", told).drop("_said", "_entity")
+    return rows.withColumn("suggested_action", told).drop("_said", "_entity", "_checked", "_errors", "allowed")
