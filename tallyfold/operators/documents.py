@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 from .refinery import summary_sentences, tokens, words
-from .structure import cross_references
 
 #: Order of chunk types within a page.
 PRIORITY = {"paragraph": 0, "list": 1, "table": 2, "figure": 3, "section": 4}
@@ -65,22 +64,22 @@ def titled_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return blocks.withColumn("own", own).withColumn("section_title", F.coalesce(F.last("own", ignorenulls=True).over(order), F.lit("Document"))).drop("own")
 
 
-def titled_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``titled_blocks`` of ``paragraphs`` within each row: no text is sorted or moved.
+def titled_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``titled_blocks`` of ``paragraphs`` within each row: no text is sorted or moved; columns in ``more`` stay.
 
     A row is one document.  Its paragraphs are cut into runs at those that have a title of
     their own, so that the work grows with the text alone.
     """
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
-    rows = docs.select(key, parts.alias("p")).select(key, F.when(F.size("p") == 0, F.array(F.lit(""))).otherwise(F.col("p")).alias("p"))
+    rows = docs.select(key, *more, parts.alias("p")).select(key, *more, F.when(F.size("p") == 0, F.array(F.lit(""))).otherwise(F.col("p")).alias("p"))
     place = lambda i, title: F.struct(i.alias("i"), title.alias("title"))
     own = F.filter(F.transform("p", lambda x, i: place(i, inferred_title(x))), lambda s: s["title"].isNotNull())
     rows = rows.withColumn("starts", F.concat(F.array(place(F.lit(0), F.lit("Document"))), own))
     until = lambda j: F.coalesce(F.get("starts", j + 1)["i"], F.size("p"))
     runs = F.transform("starts", lambda s, j: F.struct(s["i"].alias("i"), s["title"].alias("title"), F.slice("p", s["i"] + 1, until(j) - s["i"]).alias("texts")))
     # Outer explodes: plain ones put a filter before them that computes their arrays once more.
-    rows = rows.select(key, F.explode_outer(runs).alias("r")).select(key, "r.i", "r.title", F.posexplode_outer("r.texts").alias("k", "text")).filter("k is not null")
-    return rows.select(key, (F.col("i") + F.col("k") + 1).alias("block"), F.lit(1).alias("page"), "text", F.col("title").alias("section_title"))
+    rows = rows.select(key, *more, F.explode_outer(runs).alias("r")).select(key, *more, "r.i", "r.title", F.posexplode_outer("r.texts").alias("k", "text")).filter("k is not null")
+    return rows.select(key, *more, (F.col("i") + F.col("k") + 1).alias("block"), F.lit(1).alias("page"), "text", F.col("title").alias("section_title"))
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return _marked(rows.withColumn("token_count", F.size(words(F.col("content")))))
 
 
-def text_chunks(blocks: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> DataFrame:
+def text_chunks(blocks: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS, more: tuple[str, ...] = ()) -> DataFrame:
     """A numbered list that fits stays whole; other blocks are slices of at most ``most`` words (C-16).
 
     A block of no more than that is one chunk, unchanged.
@@ -109,13 +108,13 @@ def text_chunks(blocks: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS)
     slices = F.transform(F.sequence(F.lit(0), last), lambda i: part(F.array_join(F.slice("w", i * most + 1, most), " "), F.when(left(i) >= most, most).otherwise(left(i))))
     parts = F.when(listed, F.array(part(F.array_join("lines", "\n"), F.col("n")))).when(F.col("n") <= most, F.array(part(F.col("text"), F.col("n")))).otherwise(slices)
     kind = F.when(listed, "list").otherwise("paragraph")
-    rows = rows.select(key, "block", "page", F.col("section_title").alias("parent_section"), kind.alias("chunk_type"), F.posexplode_outer(parts).alias("part", "c"))
-    rows = rows.select(key, "block", "page", "parent_section", "chunk_type", "part", F.col("c.content").alias("content"), F.col("c.n").alias("token_count"))
+    rows = rows.select(key, *more, "block", "page", F.col("section_title").alias("parent_section"), kind.alias("chunk_type"), F.posexplode_outer(parts).alias("part", "c"))
+    rows = rows.select(key, *more, "block", "page", "parent_section", "chunk_type", "part", F.col("c.content").alias("content"), F.col("c.n").alias("token_count"))
     name = F.concat_ws("-", F.col(key).cast("string"), "chunk_type", F.col("block").cast("string"), F.when(F.col("chunk_type") == "paragraph", (F.col("part") + 1).cast("string")))
-    return _marked(rows.withColumn("chunk_id", name)).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
+    return _marked(rows.withColumn("chunk_id", name)).select(key, *more, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
 
 
-def table_chunks(tables: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> DataFrame:
+def table_chunks(tables: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS, more: tuple[str, ...] = ()) -> DataFrame:
     """Each table's rows under its header, a new part where the budget would be passed (C-16, W-11).
 
     Rows that do not fit beside the header are continued; a header that fills the budget
@@ -147,50 +146,61 @@ def table_chunks(tables: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS)
         return F.struct(done.alias("done"), text.alias("open"), (F.when(over, F.col("head")).otherwise(s["used"]) + n).alias("used"))
 
     parts = F.aggregate("lines", start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
-    rows = rows.select(key, "table", "page", "header", F.posexplode(parts).alias("part", "body"))
+    rows = rows.select(key, *more, "table", "page", "header", F.posexplode(parts).alias("part", "body"))
     name = F.concat_ws("-", F.col(key).cast("string"), F.lit("table"), F.col("table").cast("string"), (F.col("part") + 1).cast("string"))
     rows = rows.withColumns({
         "chunk_id": name, "chunk_type": F.lit("table"), "content": F.concat_ws("\n", "header", "body"), "parent_section": F.concat(F.lit("Table "), F.col("table").cast("string")),
     })
-    return _hashed(rows).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
+    return _hashed(rows).select(key, *more, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
 
 
-def inline_tables(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, table, page, headers, rows) of texts' lines of three fields and more, where there are two, and of whole ``.csv`` files (C-13)."""
+def _table_lines(files: DataFrame, text: str) -> tuple[Column, Column]:
+    """The lines of a text that are a table's, and how many there must be."""
     csv = F.lower(F.coalesce(F.col("suffix"), F.lit(""))) == ".csv" if "suffix" in files.columns else F.lit(False)
     fields = lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
-    lines = F.filter(stripped_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: (fields(x) >= 2) | csv)
-    found = files.select(key, F.transform(lines, lambda x: F.split(x, ",")).alias("r"), csv.alias("csv")).filter((F.size("r") >= 2) | (F.col("csv") & (F.size("r") >= 1)))
-    return found.select(key, F.lit(1).alias("table"), F.lit(1).alias("page"), F.col("r")[0].alias("headers"), F.slice("r", 2, F.size("r")).alias("rows"))
+    return F.filter(stripped_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: (fields(x) >= 2) | csv), F.when(csv, 1).otherwise(2)
+
+
+def inline_tables(files: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, table, page, headers, rows) of texts' lines of three fields and more, where there are two, and of whole ``.csv`` files (C-13)."""
+    lines, least = _table_lines(files, text)
+    found = files.select(key, *more, F.transform(lines, lambda x: F.split(x, ",")).alias("r"), least.alias("least")).filter(F.size("r") >= F.col("least"))
+    return found.select(key, *more, F.lit(1).alias("table"), F.lit(1).alias("page"), F.col("r")[0].alias("headers"), F.slice("r", 2, F.size("r")).alias("rows"))
 
 
-def figure_chunks(figures: DataFrame, key: str = "doc_id") -> DataFrame:
+def figure_chunks(figures: DataFrame, key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
     """One chunk a figure's caption; ``figures`` have the key, figure, page and caption (C-16)."""
     rows = figures.select(
-        key, F.concat_ws("-", F.col(key).cast("string"), F.lit("figure"), F.col("figure").cast("string")).alias("chunk_id"), F.lit("figure").alias("chunk_type"), "page",
+        key, *more, F.concat_ws("-", F.col(key).cast("string"), F.lit("figure"), F.col("figure").cast("string")).alias("chunk_id"), F.lit("figure").alias("chunk_type"), "page",
         F.lit("Figure").alias("parent_section"), F.coalesce("caption", F.lit("")).alias("content"),
     )
-    return _hashed(rows).select(key, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
+    return _hashed(rows).select(key, *more, "chunk_id", "chunk_type", "page", "parent_section", "content", "token_count", "content_hash")
 
 
-def captions(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def captions(files: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """(key, figure, page, caption) of the lines that begin as a figure's or chart's caption does."""
     lines = F.filter(stripped_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x.rlike(r"(?i)^(figure|chart)\b"))
-    return files.select(key, F.posexplode(lines).alias("i", "caption")).select(key, (F.col("i") + 1).alias("figure"), F.lit(1).alias("page"), "caption")
+    return files.select(key, *more, F.posexplode(lines).alias("i", "caption")).select(key, *more, (F.col("i") + 1).alias("figure"), F.lit(1).alias("page"), "caption")
 
 
 def refined(files: DataFrame, key: str = "doc_id", most: int = MAX_TOKENS) -> DataFrame:
     """A document's chunks as one result: tables, figures and text, with ``relationships`` to the tables that they name (C-16, C-19).
 
     ``files`` have the key, text and maybe suffix.  A chunk that mentions ``table N`` is related to the first
-    chunk of the document's Nth table.
+    chunk of the document's Nth table.  A row is one document; its tables' names go with its chunks, so
+    that chunks are made once and no text moves.
     """
-    of_tables = table_chunks(inline_tables(files, key), key, most)
-    chunks = of_tables.unionByName(figure_chunks(captions(files, key), key)).unionByName(text_chunks(titled_paragraphs(files, key), key, most))
-    ordinal = F.regexp_extract("chunk_id", r"-table-([0-9]+)-1$", 1)
-    first = of_tables.withColumn("ordinal", ordinal.try_cast("int")).filter("ordinal is not null").select(key, "ordinal", F.col("chunk_id").alias("table_chunk_id"))
-    links = cross_references(chunks, first, key)
-    return chunks.join(links, [key, "chunk_id"], "left").withColumn("relationships", F.coalesce("relationships", F.lit("")))
+    lines, least = _table_lines(files, "text")
+    named = F.lower(F.coalesce(F.col("text"), F.lit(""))).rlike(r"table\s+[0-9]")
+    first = F.array(F.concat(F.col(key).cast("string"), F.lit("-table-1-1")))
+    # Only a text that names a table is looked through for one.
+    files, more = files.withColumn("_tables", F.when(named, F.when(F.size(lines) >= least, first))), ("_tables",)
+    chunks = table_chunks(inline_tables(files, key, more=more), key, most, more).unionByName(figure_chunks(captions(files, key, more=more), key, more))
+    chunks = chunks.unionByName(text_chunks(titled_paragraphs(files, key, more=more), key, most, more))
+    mentions = F.regexp_extract_all(F.lower("content"), F.lit(r"table\s+([0-9]+)"), F.lit(1))
+    found = F.array_compact(F.transform(mentions, lambda m: F.get("_tables", m.try_cast("int") - 1)))
+    related = F.when(F.col("_tables").isNotNull(), F.array_join(F.array_sort(F.array_distinct(found)), ",")).otherwise("")
+    return chunks.withColumn("relationships", related).drop("_tables")
 
 
 def invalid_chunks(chunks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:

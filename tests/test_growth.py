@@ -92,3 +92,22 @@ def test_a_rewrite_parses_each_text_once(spark, name):
 def test_a_payload_is_checked_by_one_parse(spark, name):
     """A payload was parsed for every use of each of its fields, and again for the calls that are limited."""
     assert plan(entry.queries()[name](spark, SF)).count("parseJson") == 1
+
+
+@pytest.mark.parametrize("name", ["refined_texts", "refined_tables"])
+def test_chunks_are_made_once_where_their_text_lies(spark, name):
+    """Chunks were made four times and joined by key, texts and all."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert "Join" not in text and "Exchange" not in text
+
+
+def test_a_scope_reads_the_log_once(spark):
+    """The log was made three times, and its events dealt out by position to drop doubles."""
+    text = plan(entry.queries()["case_events_scope"](spark, SF))
+    assert text.count("explode") == 2 and "global_position" in text and "HashAggregate(keys=[global_position" not in text
+
+
+def test_annotations_fit_methods_that_the_machine_compiles(spark):
+    """A method of more than 8,000 bytes is never compiled: the whole expression was one of 12,021."""
+    stages = entry.queries()["lineage_annotated"](spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+    assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
