@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import bound
 from .projections import is_type
 
 #: The event types that a complete ledger has.
@@ -120,7 +121,7 @@ def annotated(log: DataFrame) -> DataFrame:
     ``log`` has payload and metadata as JSON texts; an actor in the metadata goes before those that
     the payload names.  Blank names count as none.
     """
-    read = lambda column, key: F.when(F.trim(F.get_json_object(column, f"$.{key}")) != "", F.get_json_object(column, f"$.{key}"))
+    read = lambda column, key: bound(F.get_json_object(column, f"$.{key}"), lambda x: F.when(F.trim(x) != "", x))
     named = {t: F.coalesce(*[F.lit(k[1:]) if k.startswith("=") else read("payload", k) for k in keys]) for t, keys in ACTORS.items()}
     return log.withColumns({
         "actor": F.coalesce(read("metadata", "actor_id"), _by_type(named)), "lane": _by_type(LANES), "checkpoint": _by_type(CHECKPOINTS), "phase": _by_type(PHASES), "tone": tone(F.col("event_type")),
