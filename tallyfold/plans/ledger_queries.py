@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as an
@@ -101,9 +102,9 @@ def streams_by_prefix(spark, sf_dir):
 WHERE l.application_id IN (SELECT DISTINCT application_id FROM log WHERE agent_id = 'agent-3') OR (l.requested_amount > 400000)""")
 def case_events_scope(spark, sf_dir):
     log = case_log(spark, sf_dir)
-    scope = log.filter(F.col("agent_id") == "agent-3").select("application_id").distinct()
-    columns = ["global_position", "stream_id", "event_type"]
-    return log.join(scope, "application_id", "left_semi").select(*columns).unionByName(log.filter("requested_amount > 400000").select(*columns)).dropDuplicates(["global_position"])
+    # Whether an application is meant is told by one window over the rows as the log sorts them; no log is made for it.
+    meant = F.max(F.col("agent_id") == "agent-3").over(Window.partitionBy("application_id"))
+    return log.withColumn("meant", meant).filter("meant or requested_amount > 400000").select("global_position", "stream_id", "event_type")
 
 
 # ------------------------------------------------------------ projections
