@@ -6,11 +6,14 @@ Events carry ``event_id`` and ``causation_id`` besides the envelope.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import delete, kept, large, table_at
+from ..sources.shared import delete, large, table_at
 from . import folds
 from .integrity import body
 from .projections import column_of, is_type
@@ -83,34 +86,86 @@ def branches(log: DataFrame, event_type: str, key: str = "application_id") -> Da
     return log.filter(is_type(event_type)).groupBy(key).agg(F.min("global_position").alias("branch_position"), first("event_id", "branch_id"), first("stream_id", "branch_stream"), first("stream_position", "branch_stream_position"))
 
 
+def _parted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[list[pa.Array]]:
+    """The same rows in parts that end where a value of the first column does; its equal values lie together."""
+    held: list[tuple[pa.Array, ...]] = []
+    whole = lambda parts: [pa.concat_arrays(c) for c in zip(*parts)]
+    for batch in batches:
+        name = batch[0]
+        if not len(name):
+            continue
+        starts = np.flatnonzero(_changes(name))
+        if held and held[-1][0][-1] != name[0]:
+            yield whole(held)
+            held = []
+        if len(starts):
+            cut = int(starts[-1]) + 1
+            yield whole([*held, tuple(c.slice(0, cut) for c in batch)])
+            held = [tuple(c.slice(cut) for c in batch)]
+        else:
+            held.append(tuple(batch))
+    if held:
+        yield whole(held)
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    codes = values.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return codes[1:] != codes[:-1]
+
+
+def _reached(name: pa.Array, event: pa.Array, cause: pa.Array, own: pa.Array) -> np.ndarray:
+    """Whether each event is one of its name's ``own`` or follows from one by causes within the name, in whatever order they stand."""
+    n = len(name)
+    ids = pa.concat_arrays([event, cause]).dictionary_encode()
+    code = ids.indices.fill_null(-1).to_numpy().astype(np.int64)
+    turn = np.concatenate([[0], np.cumsum(_changes(name))])
+    there = code >= 0
+    node = np.full(2 * n, -1, np.int64)
+    found, node[there] = np.unique((np.concatenate([turn, turn]) * len(ids.dictionary) + code)[there], return_inverse=True)
+    child, parent, own = node[:n], node[n:], np.asarray(own.fill_null(False).to_numpy(zero_copy_only=False), bool)
+    gone = np.zeros(len(found) + 1, bool)
+    gone[child[own & (child >= 0)]] = True
+    free = ~own & (child >= 0) & (parent >= 0)
+    child_of, parent_of = child[free], parent[free]
+    order = np.argsort(parent_of, kind="stable")
+    child_of, parent_of = child_of[order], parent_of[order]
+    fresh = np.flatnonzero(gone)
+    while len(fresh):
+        lo, hi = np.searchsorted(parent_of, fresh), np.searchsorted(parent_of, fresh, side="right")
+        sizes = hi - lo
+        links = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        met = np.unique(child_of[links])
+        fresh = met[~gone[met]]
+        gone[fresh] = True
+    return gone[child] & (child >= 0)
+
+
+def _followed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of rows that lie together by name: 1 where an event is reached, and 2 added at the first row of a name."""
+    for name, event, cause, own in _parted(batches):
+        marks = _reached(name, event, cause, own).astype(np.int32)
+        marks[np.concatenate([[True], _changes(name)])] += 2
+        yield pa.array(marks)
+
+
 def _undone(log: DataFrame, event_type: str, key: str, fields: tuple[str, ...] = ("global_position",)) -> DataFrame:
-    """The events of all applications with a branch event, with the branch's ``fields`` and whether they are ``undone`` (C-05).
+    """The events of all applications with a branch event, with the branch's ``fields``, whether they are ``undone``, and whether an application ``begins`` (C-05).
 
     Undone are the branch event, the later ones of its stream, and what these led to by
-    cause within the application, as far as it lies behind the branch.  The log is made
-    once, by application.  Only what the stream itself does not undo is looked for by cause, and
-    links are followed only where one leads there.
+    cause within the application, as far as it lies behind the branch.  An event counts under its
+    application alone, and an application's events lie together behind the window, so that causes are
+    followed where the events lie: none is written down or moved again.
     """
     first = F.when(is_type(event_type), F.struct("global_position", "stream_id", "stream_position"))
     rows = log.withColumn("branch", F.min(first).over(Window.partitionBy(key))).filter(F.col("branch").isNotNull())
     own = (F.col("stream_id") == F.col("branch.stream_id")) & (F.col("stream_position") >= F.col("branch.stream_position")) & F.col("event_id").isNotNull()
     rows = rows.withColumn("own", F.coalesce(own, F.lit(False))).withColumn("branch", F.struct(*[F.col(f"branch.{f}") for f in fields]))
-    once = kept(rows)
-    # An event counts under its application alone; a cause outside the application ends a chain.
-    free = once.filter("not own and causation_id is not null").select(key, "event_id", "causation_id")
-    causes = once.filter("own").select(key, F.col("event_id").alias("causation_id"))
-    fresh, path = table_at(free.join(large(causes), [key, "causation_id"], "left_semi").select(key, "event_id").distinct(), "walk")
-    behind = F.col("global_position") >= F.col("branch.global_position")
-    if fresh.isEmpty():
-        delete(log.sparkSession, path)
-        return once.withColumn("undone", F.col("own") & behind).drop("own")
-    name = lambda c: F.when(c.isNotNull(), F.struct(F.col(key), c.alias("id")))
-    links = free.select(name(F.col("event_id")).alias("event_id"), name(F.col("causation_id")).alias("causation_id"))
-    gone = _walked(links, fresh.select(F.col(key).alias("root_id"), name(F.col("event_id")).alias("event_id")))
-    gone = gone.select(F.col(f"event_id.{key}").alias(key), F.col("event_id.id").alias("event_id")).distinct().withColumn("reached", F.lit(True))
-    met = once.join(large(gone), [key, "event_id"], "left")
-    undone = (F.col("own") | F.coalesce(F.col("reached"), F.lit(False))) & behind
-    return met.withColumn("undone", undone).drop("reached", "own")
+    # Not deterministic to the planner: nothing may be filtered out or sorted anew before it.
+    rows = rows.withColumn("marks", F.arrow_udf(_followed, "int").asNondeterministic()(key, "event_id", "causation_id", "own"))
+    reached = (F.col("marks") % 2 == 1) & F.col(key).isNotNull()
+    undone = (F.col("own") | reached) & (F.col("global_position") >= F.col("branch.global_position"))
+    return rows.withColumn("undone", undone).withColumn("begins", F.col("marks") >= 2).drop("own", "marks")
 
 
 def divergence(log: DataFrame, event_type: str, key: str = "application_id") -> DataFrame:
@@ -148,27 +203,25 @@ def counterfactual(log: DataFrame, event_type: str, injected: list[dict], key: s
     """
     if not injected:
         raise ValueError("at least one event takes the branch's place")
-    whole = kept(_undone(log, event_type, key, ("global_position", "stream_id", "stream_position")))
-    at = whole.groupBy(key).agg(
-        F.min("branch.global_position").alias("branch_position"), F.min("branch.stream_id").alias("branch_stream"), F.min("branch.stream_position").alias("branch_stream_position"),
-        F.count_if("undone").cast("long").alias("events_undone"),
-    )
-    related = whole.drop("branch", "undone")
-    stays = whole.filter("not undone").drop("branch", "undone")
-    kinds = {f.name: f.dataType for f in log.schema}
-    rows = [F.struct(F.lit(i + 1).alias("turn"), *[F.lit(event.get(c)).cast(kinds[c]).alias(c) for c in sorted({c for e in injected for c in e})]) for i, event in enumerate(injected)]
-    news = at.select(key, F.col("branch_stream").alias("stream_id"), "branch_position", "branch_stream_position", F.explode(F.array(*rows)).alias("e"))
+    needed = log.select(key, "event_id", "causation_id", "stream_id", "stream_position", "global_position", *folds.OUTCOME_FIELDS)
+    rows = _undone(needed, event_type, key)
+    # The first row of an application brings the new events; its other rows stand for themselves.
+    turns = F.when(F.col("begins"), F.sequence(F.lit(0), F.lit(len(injected)))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("turn", F.explode(turns))
+
+    def told(name: str):
+        kind, out = log.schema[name].dataType, F.when(F.col("turn") == 0, F.col(name))
+        for i, event in enumerate(injected, 1):
+            out = out.when(F.col("turn") == i, F.lit(event[name]).cast(kind)) if event.get(name) is not None else out
+        return out.alias(name)
+
     # Between the branch and the next event there is room for the turns.
     room = 1000
-    place = {"global_position": F.col("branch_position") * room + F.col("e.turn"), "stream_position": F.col("branch_stream_position") + F.col("e.turn")}
-    news = news.withColumns(place).select(key, "stream_id", "global_position", "stream_position", *[F.col(f"e.{c}") for c in sorted({c for e in injected for c in e})])
-    stays = stays.withColumn("global_position", F.col("global_position") * room)
-    other = stays.unionByName(news, allowMissingColumns=True)
-    named = lambda frame, prefix: frame.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in frame.columns if c != key])
-    undone = at.select(key, "events_undone")
-    simulated = other.groupBy(key).agg(F.count("*").alias("simulated_events"))
-    joined = named(folds.outcome(related, key), "real").join(large(named(folds.outcome(other, key), "other")), key)
-    return joined.join(large(undone), key).join(large(simulated), key)
+    real = F.col("turn") == 0
+    place = F.when(real, F.col("global_position") * room).otherwise(F.col("branch.global_position") * room + F.col("turn"))
+    rows = rows.select(key, place.alias("place"), real.alias("real"), (real & F.col("undone")).alias("gone"), *[told(c) for c in folds.OUTCOME_FIELDS])
+    sides = {"real": F.col("real"), "other": ~F.col("gone")}
+    return folds.outcomes(rows, sides, key, "place", {"events_undone": F.col("gone"), "simulated_events": ~F.col("gone")})
 
 
 SIGNIFICANT = ("ApplicationSubmitted", "CreditAnalysisCompleted", "FraudScreeningCompleted", "ComplianceRuleFailed", "ComplianceCheckCompleted", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined")

@@ -65,12 +65,65 @@ def agent_fold(log: DataFrame, key: str = "application_id") -> DataFrame:
     return rows.groupBy(key, "agent_id", "model_version").agg(count(OUTPUTS[0]).alias("credit_analyses"), count(OUTPUTS[1]).alias("fraud_screenings"), mean.alias("avg_confidence"))
 
 
+#: What ``outcomes`` reads of an event besides its key and position.
+OUTCOME_FIELDS = ("event_type", "recommendation", "approved_amount", "mandatory", "rule_id", "agent_id", "model_version")
+
+
 def outcome(log: DataFrame, key: str = "application_id") -> DataFrame:
     """The three folds of each application in one row; its agents are a text in order."""
-    shown = F.concat_ws(":", "agent_id", "model_version", "credit_analyses", "fraud_screenings")
-    agents = agent_fold(log, key).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(shown)), ",").alias("agents"))
-    joined = application_fold(log, key).join(large(compliance_fold(log, key).select(key, "compliance")), key, "left").join(large(agents), key, "left")
-    return joined.withColumns({"compliance": F.coalesce("compliance", F.lit("NOT_STARTED")), "agents": F.coalesce("agents", F.lit(""))})
+    return outcomes(log, {"": F.lit(True)}, key)
+
+
+def outcomes(log: DataFrame, sides: dict[str, Column], key: str = "application_id", order: str = "global_position", more: dict[str, Column] | None = None) -> DataFrame:
+    """``application_fold``, ``compliance_fold`` and ``agent_fold`` of several choices of a log's events by one pass over it.
+
+    ``sides`` are conditions by the prefix of their columns, ``more`` counts of rows by name.  An event is
+    reduced within its rule, or its agent and model, and those within the application: a log that
+    is dealt out by application is not moved, and no two folds are joined.
+    """
+    at, more = F.col(order), more or {}
+    asks, ruled, gives = is_type("ComplianceCheckRequested"), is_type("ComplianceRulePassed", "ComplianceRuleFailed"), is_type(*OUTPUTS)
+    named = ruled & (F.coalesce("rule_id", F.lit("")) != "")
+    said = F.upper(F.coalesce("recommendation", F.lit("")))
+    waits = F.when(said == "APPROVE", "APPROVED_PENDING_HUMAN").when(said == "DECLINE", "DECLINED_PENDING_HUMAN").otherwise("PENDING_DECISION")
+    fold = {
+        "current_state": F.when(is_type("ApplicationSubmitted"), "SUBMITTED").when(is_type("DecisionGenerated"), waits).when(is_type("ApplicationApproved"), "FINAL_APPROVED").when(is_type("ApplicationDeclined"), "FINAL_DECLINED"),
+        "decision_recommendation": F.when(is_type("DecisionGenerated"), said),
+        "final_decision": F.when(is_type("ApplicationApproved"), "APPROVE").when(is_type("ApplicationDeclined"), "DECLINE"),
+        "approved_amount": F.when(is_type("ApplicationApproved"), F.col("approved_amount")),
+    }
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    part = F.when(named, 1).when(gives, 2).otherwise(0)
+    rows = log.select(key, at.alias("o"), "event_type", "mandatory", part.alias("part"), F.when(named, F.col("rule_id")).when(gives, known("agent_id")).alias("a"), F.when(gives, known("model_version")).alias("b"),
+                      *[v.alias(f"v_{n}") for n, v in fold.items()], *[c.alias(f"on_{i}") for i, c in enumerate(sides.values())], *[c.alias(f"n_{n}") for n, c in more.items()])
+    # The last request of each side opens the epoch whose rules count.
+    of = range(len(sides))
+    rows = rows.withColumns({f"at_{i}": F.max(F.when(F.col(f"on_{i}") & asks, F.col("o"))).over(Window.partitionBy(key)) for i in of})
+    seen = lambda i, c, v: F.when(F.col(f"on_{i}") & c, F.struct("o", v.alias("v")))
+    since = lambda i: F.col(f"at_{i}").isNull() | (F.col("o") >= F.col(f"at_{i}"))
+    reduced = []
+    for i in of:
+        reduced += [F.max(seen(i, F.col(f"v_{n}").isNotNull(), F.col(f"v_{n}"))).alias(f"{n}_{i}") for n in fold]
+        reduced += [F.max(seen(i, (F.col("part") == 1) & since(i), F.col("event_type"))).alias(f"said_{i}"), F.min(seen(i, (asks | ruled) & since(i) & F.col("mandatory").isNotNull(), F.col("mandatory"))).alias(f"checks_{i}")]
+        reduced += [F.count_if(F.col(f"on_{i}") & is_type(kind)).alias(f"{kind}_{i}") for kind in OUTPUTS]
+    inner = rows.groupBy(key, "part", "a", "b").agg(*reduced, *[F.count_if(f"n_{n}").alias(f"n_{n}") for n in more])
+    none = F.array().cast("array<string>")
+    whole = []
+    for i in of:
+        whole += [F.max(f"{n}_{i}")["v"].alias(f"{n}_{i}") for n in fold]
+        credit, fraud = (F.col(f"{kind}_{i}") for kind in OUTPUTS)
+        shown = F.when((F.col("part") == 2) & (credit + fraud > 0), F.concat_ws(":", "a", "b", credit, fraud))
+        whole += [F.array_join(F.array_sort(F.collect_list(shown)), ",").alias(f"agents_{i}"), F.count_if(F.col(f"said_{i}")["v"] == "ComplianceRuleFailed").alias(f"failed_{i}")]
+        whole += [F.collect_list(F.when(F.col(f"said_{i}")["v"] == "ComplianceRulePassed", F.col("a"))).alias(f"passed_{i}"), F.coalesce(F.min(f"checks_{i}")["v"], none).alias(f"checks_{i}")]
+    out = inner.groupBy(key).agg(*whole, *[F.sum(f"n_{n}").cast("long").alias(n) for n in more])
+    columns = []
+    for i, name in enumerate(sides):
+        missing = F.size(F.array_except(f"checks_{i}", f"passed_{i}"))
+        status = F.when(F.col(f"failed_{i}") > 0, "FAILED").when(F.size(f"checks_{i}") == 0, "NOT_STARTED").when(missing == 0, "CLEARED").otherwise("PENDING")
+        prefix = f"{name}_" if name else ""
+        columns += [F.coalesce(f"current_state_{i}", F.lit("UNKNOWN")).alias(f"{prefix}current_state"), *[F.col(f"{n}_{i}").alias(f"{prefix}{n}") for n in list(fold)[1:]]]
+        columns += [status.alias(f"{prefix}compliance"), F.col(f"agents_{i}").alias(f"{prefix}agents")]
+    return out.select(key, *columns, *more)
 
 
 def agent_sessions(log: DataFrame, stream: str = "stream_id", position: str = "stream_position") -> DataFrame:

@@ -125,3 +125,47 @@ def test_strategies_meet_a_text_once(spark):
     """Texts were joined with their profiles, and went to Python and back for each strategy."""
     text = plan(entry.queries()["extraction_log"](spark, SF))
     assert "Join" not in text and "Exchange" not in text and text.count("EvalPythonUDTF") == 1
+
+
+def test_a_counterfactual_writes_no_log_down(spark):
+    """The whole log was checkpointed twice, and each round of causes written as tables."""
+    import os
+
+    from tallyfold.sources import shared
+
+    def used():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared.folder(spark)) for f in files)
+
+    before = used()
+    out = entry.queries()["counterfactual_outcomes"](spark, SF)
+    assert out.count() > 0 and used() == before
+    text = plan(out)
+    assert "Join" not in text and "Scan ExistingRDD" not in text
+
+
+def test_causes_are_followed_in_any_order_and_within_an_application(spark):
+    """Against a plain walk: causes behind their effects, cycles, ids of other applications, parts that end within an application."""
+    import random
+
+    from tallyfold.operators import causal
+
+    draw, rows, want = random.Random(5), [], {}
+    for app in range(40):
+        n = 3000 if app == 7 else draw.randint(1, 12)
+        events = [(app, 100_000 * app + i, f"e{i}", f"e{draw.randrange(n)}" if draw.random() < 0.8 else None, draw.choice("st")) for i in range(n)]
+        at = draw.randrange(n)
+        stream, gone = events[at][4], {e[2] for e in events[at:] if e[4] == events[at][4]}
+        while True:
+            more = {e[2] for e in events if e[3] in gone} - gone
+            if not more:
+                break
+            gone |= more
+        want |= {e[1]: e[2] in gone and e[1] >= events[at][1] for e in events}
+        rows += [(*e, e[1], "Branch" if i == at else "Other") for i, e in enumerate(events)]
+    frame = spark.createDataFrame(rows, "application_id long, global_position long, event_id string, causation_id string, stream_id string, stream_position long, event_type string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r.global_position for r in causal.divergence(frame.repartition(5), "Branch").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {p for p, undone in want.items() if undone}
