@@ -10,6 +10,14 @@ from .keyed import Ordered, Reduced
 STATES = {"ApplicationSubmitted": "SUBMITTED", "ApplicationApproved": "FINAL_APPROVED", "ApplicationDeclined": "FINAL_DECLINED"}
 WAITING = {"APPROVE": "APPROVED_PENDING_HUMAN", "DECLINE": "DECLINED_PENDING_HUMAN"}
 
+#: What each projection reads of an event besides its ids, position and time.
+COLUMNS = {
+    "applications": ("event_type", "recommendation", "approved_amount"),
+    "clients": ("event_type",),
+    "agents": ("event_type", "agent_id", "model_version", "orchestrator", "decision_model", "reviewer", "override", "confidence"),
+    "compliance": ("event_type", "rule_id", "mandatory", "overall_verdict"),
+}
+
 
 def _said():
     return F.upper(F.coalesce("recommendation", F.lit("")))
