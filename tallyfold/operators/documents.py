@@ -7,11 +7,15 @@ token_count and content_hash.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import bound
 from ..sources import shared
-from .refinery import summary_sentences, tokens, words
+from .refinery import METRICS, summary_sentences, words
 
 #: Order of chunk types within a page.
 PRIORITY = {"paragraph": 0, "list": 1, "table": 2, "figure": 3, "section": 4}
@@ -20,22 +24,31 @@ MAX_TOKENS = 450
 WHITE = " \t\n\x0b\f\r"
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space at its ends; only a text that has some is trimmed, which goes over all its characters."""
+    loose = F.lit(False)
+    for c in WHITE:
+        loose = loose | F.startswith(text, F.lit(c)) | F.endswith(text, F.lit(c))
+    return F.when(loose, F.btrim(text, F.lit(WHITE))).otherwise(text)
+
+
 def stripped_lines(text: Column) -> Column:
     """Lines that hold more than white space, without it at their ends."""
-    return F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), _stripped), lambda x: x != "")
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, block, page, text) of blank-line paragraphs; a text without any is one empty block (C-13)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    parts = F.filter(F.transform(F.split(whole, r"\n\s*\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(whole, r"\n\s*\n"), _stripped), lambda x: x != "")
     some = F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
     return docs.select(key, F.posexplode(some).alias("i", "text")).select(key, (F.col("i") + 1).alias("block"), F.lit(1).alias("page"), "text")
 
 
 def _bare(line: Column) -> Column:
     """A line with single spaces and without marks at its ends; one too long for a heading even then stays as it is."""
-    long = (F.length(line) > 90) & ~line.rlike(r"\s\s|^[\-|]|[\-|]$")
+    marked = F.startswith(line, F.lit("-")) | F.startswith(line, F.lit("|")) | F.endswith(line, F.lit("-")) | F.endswith(line, F.lit("|"))
+    long = (F.length(line) > 90) & ~(marked | line.rlike(r"\s\s"))
     return F.when(long, line).otherwise(F.btrim(F.regexp_replace(line, r"\s+", " "), F.lit(" -|")))
 
 
@@ -70,7 +83,7 @@ def titled_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     A row is one document.  Its paragraphs are cut into runs at those that have a title of
     their own, so that the work grows with the text alone.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), _stripped), lambda x: x != "")
     rows = docs.select(key, *more, parts.alias("p")).select(key, *more, F.when(F.size("p") == 0, F.array(F.lit(""))).otherwise(F.col("p")).alias("p"))
     place = lambda i, title: F.struct(i.alias("i"), title.alias("title"))
     own = F.filter(F.transform("p", lambda x, i: place(i, inferred_title(x))), lambda s: s["title"].isNotNull())
@@ -232,26 +245,37 @@ def section_of(parent: Column, content: Column) -> Column:
     return F.when((named != "") & (F.lower(named) != "document"), named).otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("General")))
 
 
-def sections(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Page index (C-17): runs of chunks of one section, with pages, types and a summary of the first four."""
+def _sectioned(chunks: DataFrame, key: str) -> DataFrame:
+    """Chunks in reading order with the ``title`` and number of their ``section`` and their ``turn`` within it."""
     rows = in_reading_order(chunks.withColumn("title", section_of(F.col("parent_section"), F.col("content"))), key)
     by = Window.partitionBy(key).orderBy("place")
     before, page_before = F.lag("title").over(by), F.lag("page").over(by)
     starts = before.isNull() | (before != F.col("title")) | ((F.col("title") == "General") & (F.col("page") > page_before))
     rows = rows.withColumn("starts", starts.cast("int")).withColumn("section", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(key, "section").orderBy("place")))
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(key, "section").orderBy("place")))
+
+
+def _body() -> Column:
+    """The first four chunks of a section, as an aggregate over it."""
     few = F.array_sort(F.collect_list(F.when(F.col("turn") <= 4, F.struct("turn", "content"))))
-    out = rows.groupBy(key, "section").agg(
+    return F.array_join(F.transform(few, lambda x: x["content"]), "\n")
+
+
+def sections(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Page index (C-17): runs of chunks of one section, with pages, types and a summary of the first four."""
+    out = _sectioned(chunks, key).groupBy(key, "section").agg(
         F.first("title").alias("title"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("chunks"),
-        F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types"), F.array_join(F.transform(few, lambda x: x["content"]), "\n").alias("body"),
+        F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types"), _body().alias("body"),
     )
     return out.withColumn("summary", summary_sentences(F.col("body"))).drop("body")
 
 
 def overlap(question: str, text: Column) -> Column:
-    """Share of the question's tokens that a text holds."""
-    asked = tokens(F.lit(question))
-    return F.when(F.size(asked) > 0, F.coalesce(F.round(F.size(F.array_intersect(asked, tokens(text))) / F.size(asked), 6), F.lit(0.0))).otherwise(F.lit(0.0))
+    """Share of the question's tokens that a text holds; the text's own are not cut out, as most are not asked for."""
+    asked = list(dict.fromkeys(re.findall("[a-z0-9]+", question.lower())))
+    has = lambda low, t: F.contains(low, F.lit(t)) & F.rlike(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))
+    held = lambda low: functools.reduce(Column.__add__, [F.when(has(low, t), 1).otherwise(0) for t in asked])
+    return F.coalesce(F.round(bound(F.lower(text), held) / len(asked), 6), F.lit(0.0)) if asked else F.lit(0.0)
 
 
 def navigate(index: DataFrame, topic: str, k: int = 3, key: str = "doc_id") -> DataFrame:
@@ -270,19 +294,62 @@ def ask(index: DataFrame, chunks: DataFrame, question: str, facts: DataFrame | N
     """
     best = navigate(index, question, 2, key).groupBy(key).agg(F.collect_set(F.lower("title")).alias("best"))
     # Sides are joined by the key alone and grow with the documents: chunks that lie by key stay where they are.
-    rows = in_reading_order(chunks.withColumn("score", overlap(question, F.col("content"))).withColumn("t", F.lower(F.coalesce("parent_section", F.lit("")))), key)
-    rows = rows.join(shared.large(best), key, "left").withColumn("scoped", F.coalesce(F.array_contains("best", F.col("t")), F.lit(False)))
+    rows = _scored(in_reading_order(chunks, key), question).join(shared.large(best), key, "left")
+    out = _supported(rows, key)
+    if facts is not None and "revenue" in question.lower():
+        total = facts.filter("metric_name = 'total_revenue'").groupBy(key).agg(F.max_by("metric_value", "source_chunk_id").alias("total"))
+        out = out.join(shared.large(total), key, "left")
+    return _answered(out, key)
+
+
+def ask_own(chunks: DataFrame, question: str, key: str = "doc_id") -> DataFrame:
+    """``ask`` of the documents' own ``sections`` and extracted totals, by one pass over the chunks.
+
+    Sections are scored by windows over their chunks: chunks are made once, and no side is joined.
+    """
+    rows = _scored(_sectioned(chunks, key), question)
+    # A section is scored at its first chunk, the place that stands for it.
+    opens = F.col("turn") == 1
+    rows = rows.withColumn("body", F.when(opens, _body_ahead(key)))
+    rows = rows.withColumn("fits", F.when(opens, overlap(question, F.concat_ws(" ", "title", summary_sentences(F.col("body")))))).drop("body")
+    by = Window.partitionBy(key)
+    nth = F.row_number().over(by.orderBy(F.desc_nulls_last("fits"), "section"))
+    rows = rows.withColumn("best", F.when((F.col("fits") > 0) & (nth <= 2), F.lower("title")))
+    rows = rows.withColumn("best", F.collect_set("best").over(by))
+    if "revenue" not in question.lower():
+        return _answered(_supported(rows, key), key)
+    raw = F.regexp_extract(F.lower("content"), METRICS["total_revenue"], 1)
+    rows = rows.withColumn("raw", F.when(raw != "", raw))
+    value = F.replace("raw", F.lit(","), F.lit("")).try_cast("double")
+    return _answered(_supported(rows, key, total=F.max_by(value, F.when(F.col("raw").isNotNull(), F.col("chunk_id")))), key)
+
+
+def _body_ahead(key: str) -> Column:
+    """A section's first four chunks, seen from the first of them."""
+    ahead = Window.partitionBy(key, "section").orderBy("place").rowsBetween(0, 3)
+    return F.array_join(F.collect_list("content").over(ahead), "\n")
+
+
+def _scored(rows: DataFrame, question: str) -> DataFrame:
+    return rows.withColumn("score", overlap(question, F.col("content"))).withColumn("t", F.lower(F.coalesce("parent_section", F.lit(""))))
+
+
+def _supported(rows: DataFrame, key: str, **more: Column) -> DataFrame:
+    """Samples, supporting chunks and citations of each document from scored chunks beside the titles of its ``best`` sections."""
+    rows = rows.withColumn("scoped", F.coalesce(F.array_contains("best", F.col("t")), F.lit(False)))
     rows = rows.withColumn("any", F.max("scoped").over(Window.partitionBy(key))).withColumn("kept", F.col("scoped") | (~F.col("any") & (F.col("score") > 0)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("kept"), F.desc("score"), "place"))
-    # A document without such chunks keeps one row.
-    top = rows.withColumn("rank", rank).filter("rank <= 4 and (kept or rank = 1)")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("kept"), F.desc("score"), "place")))
     of = lambda name, most: F.transform(F.array_sort(F.collect_list(F.when(F.col("kept") & (F.col("rank") <= most), F.struct("rank", name)))), lambda x: x[name])
-    out = top.groupBy(key).agg(F.max("kept").alias("kept"), of("content", 2).alias("sample"), F.array_join(of("chunk_id", 4), ",").alias("supporting"), F.array_join(of("content_hash", 3), ",").alias("citations"))
+    return rows.groupBy(key).agg(
+        F.max("kept").alias("kept"), of("content", 2).alias("sample"), F.array_join(of("chunk_id", 4), ",").alias("supporting"), F.array_join(of("content_hash", 3), ",").alias("citations"),
+        *[c.alias(n) for n, c in more.items()],
+    )
+
+
+def _answered(out: DataFrame, key: str) -> DataFrame:
     said = F.trim(F.array_join(F.slice(F.split(F.array_join("sample", " "), r"(?<=[.!?])\s+"), 1, 2), " "))
     answer = F.when(said != "", said).otherwise(F.substring(F.get("sample", F.lit(0)), 1, 280))
-    if facts is not None and "revenue" in question.lower():
-        total = facts.filter("metric_name = 'total_revenue'").groupBy(key).agg(F.max_by("metric_value", "source_chunk_id").alias("total"))
-        out = out.join(shared.large(total), key, "left")
+    if "total" in out.columns:
         answer = F.when(F.col("total").isNotNull(), F.concat(F.lit("Latest extracted total revenue is "), F.format_string("%.2f", "total"), F.lit(" USD."))).otherwise(answer)
     answer = F.when(~F.col("kept"), "No supporting evidence found in the document.").otherwise(answer)
     return out.select(key, answer.alias("answer"), "supporting", "citations")

@@ -174,7 +174,8 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
 
 def summary_sentences(text: Column) -> Column:
     """The first two sentences, 320 characters at most (F-22)."""
-    clean = F.array_join(words(text), " ")
+    # The result is a prefix of the words with single spaces: 320 words hold it.
+    clean = F.substring(F.array_join(F.slice(words(text), 1, 320), " "), 1, 320)
     return F.when(clean == "", "No summary available.").otherwise(F.substring(F.array_join(F.slice(F.split(clean, r"(?<=[.!?])\s+"), 1, 2), " "), 1, 320))
 
 

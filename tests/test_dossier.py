@@ -267,3 +267,28 @@ def test_papers_are_dealt_out_before_their_text_is_made(spark):
     plan = decision_queries.document_answers(spark, SF)._jdf.queryExecution().executedPlan().toString()
     # Every exchange is the one of keys alone.
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") > 0
+
+
+def test_answers_make_their_chunks_once(spark):
+    """Chunks were made three times: for sections, for facts and for scores."""
+    from conftest import SF
+    from tallyfold.plans import decision_queries
+
+    plan = decision_queries.document_answers(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_own_sections_and_facts_answer_as_given_ones(spark):
+    from tallyfold.operators import refinery as rf
+
+    draw, rows = random.Random(3), []
+    words_ = ["Revenue", "order", "report", "cost", "reports", "total revenue: $12,000.", "revenue = 7", "It ends.", "what", "showing", "DOES"]
+    for i in range(60):
+        parts = [draw.choice(["Order Report", "GENERAL NOTES", "1) one\n2) two", "", "Costs"]) if draw.random() < 0.4 else " ".join(draw.choices(words_, k=draw.randint(1, 40))) * draw.choice([1, 1, 30]) for _ in range(draw.randint(0, 9))]
+        rows.append((i, "\n\n".join(parts)))
+    chunks = documents.text_chunks(documents.titled_paragraphs(spark.createDataFrame(rows, "doc_id int, text string").repartition(3, "doc_id"))).cache()
+    for question in ("What revenue does the order report show?", "Which costs are in the notes?", "?"):
+        given = documents.ask(documents.sections(chunks), chunks, question, rf.facts(chunks))
+        assert sorted(map(tuple, documents.ask_own(chunks, question).collect()), key=repr) == sorted(map(tuple, given.collect()), key=repr)
+    score = chunks.select(documents.overlap("Revenue, order 12 cost?", F.col("content")).alias("a"), F.round(F.size(F.array_intersect(F.expr("array('revenue','order','12','cost')"), rf.tokens(F.col("content")))) / 4, 6).alias("b"))
+    assert score.filter("not (a <=> b)").count() == 0
