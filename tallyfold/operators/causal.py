@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import delete, large, table_at
@@ -242,11 +242,10 @@ def narrative(log: DataFrame) -> DataFrame:
     return log.filter(is_type(*SIGNIFICANT)).select("application_id", "global_position", said.alias("sentence"))
 
 
-def told(log: DataFrame) -> DataFrame:
-    """The sentence of each significant event in the words of an examination (F-34); amounts and scores as they print."""
+def _sentence(log: DataFrame) -> Column:
     said = lambda *parts: F.concat(*[F.coalesce(p.cast("string"), F.lit("None")) if not isinstance(p, str) else F.lit(p) for p in parts])
     c = F.col
-    sentence = (
+    return (
         F.when(is_type("ApplicationSubmitted"), said("Application ", c("application_id"), " was submitted for ", c("requested_amount"), " USD."))
         .when(is_type("CreditAnalysisCompleted"), said("Credit analysis by agent ", c("agent_id"), " produced risk tier ", column_of(log, "risk_tier"), " with confidence ", c("confidence"), "."))
         .when(is_type("FraudScreeningCompleted"), said("Fraud screening by agent ", c("agent_id"), " produced score ", c("fraud_score"), "."))
@@ -258,16 +257,28 @@ def told(log: DataFrame) -> DataFrame:
         .when(is_type("ApplicationApproved"), said("Application approved for ", c("approved_amount"), " USD at interest rate ", column_of(log, "interest_rate", "double"), "."))
         .when(is_type("ApplicationDeclined"), "Application was declined after review.")
     )
-    return log.withColumn("sentence", sentence).filter("sentence is not null").select("application_id", "global_position", "sentence")
 
 
-def model_metadata(log: DataFrame) -> DataFrame:
-    """Agent, model and score behind each analysis, screening and decision."""
+def told(log: DataFrame) -> DataFrame:
+    """The sentence of each significant event in the words of an examination (F-34); amounts and scores as they print."""
+    return log.withColumn("sentence", _sentence(log)).filter("sentence is not null").select("application_id", "global_position", "sentence")
+
+
+#: Events behind which an agent and a model stand.
+MODELLED = ("CreditAnalysisCompleted", "FraudScreeningCompleted", "DecisionGenerated")
+
+
+def _model(log: DataFrame) -> tuple[Column, Column, Column]:
+    """Agent, model and score of an event."""
     agent = F.when(is_type("DecisionGenerated"), F.col("orchestrator")).otherwise(F.col("agent_id"))
     model = F.when(is_type("DecisionGenerated"), F.col("decision_model")).otherwise(F.col("model_version"))
-    score = F.when(is_type("FraudScreeningCompleted"), F.col("fraud_score")).otherwise(F.col("confidence"))
-    rows = log.filter(is_type("CreditAnalysisCompleted", "FraudScreeningCompleted", "DecisionGenerated"))
-    return rows.select("application_id", "global_position", "event_id", "event_type", agent.alias("agent_id"), model.alias("model_version"), score.alias("score"))
+    return agent, model, F.when(is_type("FraudScreeningCompleted"), F.col("fraud_score")).otherwise(F.col("confidence"))
+
+
+def model_metadata(log: DataFrame) -> DataFrame:
+    """Agent, model and score behind each analysis, screening and decision."""
+    agent, model, score = _model(log)
+    return log.filter(is_type(*MODELLED)).select("application_id", "global_position", "event_id", "event_type", agent.alias("agent_id"), model.alias("model_version"), score.alias("score"))
 
 
 def package(log: DataFrame, moment: str, chain: DataFrame, key: str = "application_id") -> DataFrame:
@@ -277,17 +288,20 @@ def package(log: DataFrame, moment: str, chain: DataFrame, key: str = "applicati
     as much of it is verified as lay before the moment, and its rolling hash is the final one.
     """
     at = log.filter(F.col("recorded_at") <= F.lit(moment).cast("timestamp_ntz"))
-    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("global_position", name))), lambda s: s[name])
-    story = told(at).groupBy(key).agg(F.array_join(in_order("sentence"), " ").alias("narrative"))
-    shown = F.concat_ws(":", "event_id", "agent_id", F.coalesce("model_version", F.lit("None")), F.coalesce(F.col("score").cast("string"), F.lit("None")))
-    models = model_metadata(at).withColumn("shown", shown).groupBy(key).agg(F.array_join(in_order("shown"), ",").alias("models"))
-    counts = at.groupBy(key).agg(F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.max(F.when(F.startswith("stream_id", F.lit("loan-")), F.col("stream_position"))).alias("upto"))
+    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("global_position", name)))), lambda s: s[name])
+    agent, model, score = _model(at)
+    shown = F.concat_ws(":", "event_id", agent, F.coalesce(model, F.lit("None")), F.coalesce(score.cast("string"), F.lit("None")))
+    upto = F.max(F.when(F.startswith("stream_id", F.lit("loan-")), F.col("stream_position"))).alias("upto")
+    # Counts, story and models are one pass over the log; sides of joins lie by application as the log does.
+    rows = at.withColumns({"sentence": _sentence(at), "shown": F.when(is_type(*MODELLED), shown)})
+    counts = rows.groupBy(key).agg(
+        F.count("*").alias("events"), F.max("global_position").alias("last_position"), F.array_join(in_order("sentence"), " ").alias("narrative"), F.array_join(in_order("shown"), ",").alias("models"),
+    )
     bad = F.col("reason").isNotNull()
-    verified = chain.join(large(counts.select(key, "upto")), key).filter("stream_position <= upto").groupBy(key).agg(
+    verified = chain.join(large(at.groupBy(key).agg(upto)), key).filter("stream_position <= upto").groupBy(key).agg(
         F.count("*").alias("events_verified"), F.count_if(bad).cast("long").alias("violations"), F.max_by("rolling_hash", "stream_position").alias("final_hash")
     )
-    out = counts.drop("upto").join(large(folds.outcome(at, key)), key).join(large(verified), key, "left").join(large(story), key, "left").join(large(models), key, "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("narrative", "models")})
+    out = counts.join(large(folds.outcome(at, key)), key).join(large(verified), key, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("events_verified", "violations")})
     out = out.withColumn("chain_valid", (F.col("events_verified") > 0) & (F.col("violations") == 0))
     whole = [key, "events", "current_state", "compliance", "agents", "events_verified", "violations", "final_hash", "narrative", "models"]

@@ -169,3 +169,9 @@ def test_causes_are_followed_in_any_order_and_within_an_application(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {p for p, undone in want.items() if undone}
+
+
+def test_a_package_reads_the_log_few_times(spark):
+    """The log was made nine times, for counts, story, models, each fold and the chain, and dealt out by stream."""
+    text = plan(entry.queries()["regulatory_packages"](spark, SF))
+    assert text.count("FileScan") <= 4 and text.count("Exchange") <= 5
